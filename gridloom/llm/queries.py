@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gridloom.llm import common, sentencepiece_bpe
+from gridloom.llm import common, mixing, secret_scan, sentencepiece_bpe
 
 
 def tokenizer(name: str = "piece_bpe_32k.model") -> str:
@@ -15,13 +16,29 @@ def tokenizer(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document: secrets found, over a ledger that starts empty."""
+    found = secret_scan.scanned(common.documents(spark, sf_dir), common.scratch(spark, "secret-ledger"))
+    spans = secret_scan.spans(F.col("found"))
+    counts = [secret_scan.count_of(F.col("found"), r.name).alias(f"n_{r.name}") for r in secret_scan.RULES]
+    return found.select("doc_id", *counts, F.sha2(spans.cast("binary"), 256).alias("base_sha256"), spans.alias("spans"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document: its size, its source's size and target, and the words the mix takes."""
+    docs = common.documents(spark, sf_dir)
+    sized = common.stored(docs.select("doc_id", "source", common.word_count(F.col("text")).alias("size")), "mix-sizes")
+    mix = mixing.mixed(sized)
+    return mix.select("doc_id", "size", F.col("source_size").cast("long"), F.col("target").cast("double"), (F.col("copies") * F.col("size")).alias("taken"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document: number of ids, digests of the ids and of the decoded text."""
     return sentencepiece_bpe.encoded(common.documents(spark, sf_dir), tokenizer(), ids=False, digests=True)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op8_sentencepiece]
+    found = [op1_secret_scan, op7_mixing, op8_sentencepiece]
     return {f.__name__: f for f in found}
 
 
