@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import common, minhash_dedup, mixing, secret_scan, sentencepiece_bpe
+from gridloom.llm import common, language_id, minhash_dedup, mixing, secret_scan, sentencepiece_bpe
 
 
 def tokenizer(name: str = "piece_bpe_32k.model") -> str:
@@ -24,6 +24,14 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(spans.cast("binary"), 256).alias("base_sha256"), spans.alias("spans"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document: predicted language, by a network that has not seen the held-out ones."""
+    docs = common.documents(spark, sf_dir)
+    net = language_id.learned(docs)
+    rows = docs.select("doc_id", common.held_out(F.col("doc_id")).alias("held_out"), "text")
+    return language_id.predicted(rows, net, drop=True)
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document: size of its set of 2-word shingles and its component of near duplicates."""
     return minhash_dedup.near_duplicates(common.documents(spark, sf_dir), width=2, percent=80)
@@ -43,7 +51,7 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_secret_scan, op6_minhash, op7_mixing, op8_sentencepiece]
+    found = [op1_secret_scan, op2_language_id, op6_minhash, op7_mixing, op8_sentencepiece]
     return {f.__name__: f for f in found}
 
 
