@@ -31,6 +31,8 @@ HIDDEN = 8
 SAMPLE = 1200
 WINDOWS = 5
 EPOCHS = 3
+#: Steps of training at least, however small the sample.
+STEPS = 240
 BATCH = 256
 #: Windows read at once when predicting.
 BLOCK = 4096
@@ -142,6 +144,7 @@ class Network:
     def train(self, windows: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, seed: int = 6) -> None:
         if not len(windows) or len(self.labels) < 2:
             return
+        epochs = max(epochs, -(-STEPS // ((len(windows) - 1) // BATCH + 1)))
         weight = (1.0 / np.bincount(y, minlength=len(self.labels))[y]).astype(np.float32)
         rng = np.random.default_rng(seed)
         m = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in self.p.items()}

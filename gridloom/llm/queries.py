@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import common, language_id, minhash_dedup, mixing, secret_scan, sentencepiece_bpe
+from gridloom.llm import ann_mih, common, language_id, minhash_dedup, mixing, secret_scan, sentencepiece_bpe, va_file
 
 
 def tokenizer(name: str = "piece_bpe_32k.model") -> str:
@@ -32,6 +32,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predicted(rows, net, drop=True)
 
 
+def op4_ann_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every twentieth vector: its 20 nearest found, by inner product."""
+    return ann_mih.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=20, every=20)
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document: size of its set of 2-word shingles and its component of near duplicates."""
     return minhash_dedup.near_duplicates(common.documents(spark, sf_dir), width=2, percent=80)
@@ -50,10 +55,32 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encoded(common.documents(spark, sf_dir), tokenizer(), ids=False, digests=True)
 
 
+def op9_va_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fiftieth vector: its 5 highest integer inner products, exactly."""
+    return va_file.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=5, every=50)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_secret_scan, op2_language_id, op6_minhash, op7_mixing, op8_sentencepiece]
+    found = [op1_secret_scan, op2_language_id, op4_ann_mih, op6_minhash, op7_mixing, op8_sentencepiece, op9_va_file]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_va_file": OP9}
+
+
+OP9 = """
+WITH ok AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND NOT list_contains(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)), true)
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+  FROM ok q JOIN ok c ON q.vec_id <> c.vec_id
+  WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored
+)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 5
+"""
