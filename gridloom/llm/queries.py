@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import ann_mih, common, language_id, minhash_dedup, mixing, secret_scan, sentencepiece_bpe, va_file
+from gridloom.llm import ann_mih, common, language_id, minhash_dedup, mixing, secret_scan, sentencepiece_bpe, toxicity, va_file
 
 
 def tokenizer(name: str = "piece_bpe_32k.model") -> str:
@@ -32,6 +32,14 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predicted(rows, net, drop=True)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document: probabilities of the label categories, chained, and whether it is toxic."""
+    docs = common.documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").withColumn("low_quality", 1 - F.col("quality"))
+    chain = toxicity.learned(docs, labels, ["low_quality", "toxic"])
+    return toxicity.scored(docs, chain).withColumn("toxic", F.col("p_toxic") >= 0.5)
+
+
 def op4_ann_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every twentieth vector: its 20 nearest found, by inner product."""
     return ann_mih.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=20, every=20)
@@ -61,7 +69,7 @@ def op9_va_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_secret_scan, op2_language_id, op4_ann_mih, op6_minhash, op7_mixing, op8_sentencepiece, op9_va_file]
+    found = [op1_secret_scan, op2_language_id, op3_toxicity, op4_ann_mih, op6_minhash, op7_mixing, op8_sentencepiece, op9_va_file]
     return {f.__name__: f for f in found}
 
 
