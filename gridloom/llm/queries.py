@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import ann_mih, common, language_id, minhash_dedup, mixing, secret_scan, sentencepiece_bpe, toxicity, va_file
+from gridloom.llm import ann_mih, cdc_dedup, common, language_id, minhash_dedup, mixing, secret_scan, sentencepiece_bpe, toxicity, va_file
 
 
 def tokenizer(name: str = "piece_bpe_32k.model") -> str:
@@ -45,6 +45,17 @@ def op4_ann_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_mih.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=20, every=20)
 
 
+def op5_cdc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document: its bytes, and those that repeat an earlier passage of any document."""
+    docs = common.documents(spark, sf_dir)
+    found = cdc_dedup.repeated(docs)
+    sizes = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    joined = sizes.join(found, sizes["doc_id"] == found["doc"], "left")
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+    shown = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return joined.select("doc_id", "n_bytes", F.coalesce(removed, F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_spans"), F.coalesce(shown, F.lit("")).alias("spans"))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document: size of its set of 2-word shingles and its component of near duplicates."""
     return minhash_dedup.near_duplicates(common.documents(spark, sf_dir), width=2, percent=80)
@@ -69,7 +80,7 @@ def op9_va_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_secret_scan, op2_language_id, op3_toxicity, op4_ann_mih, op6_minhash, op7_mixing, op8_sentencepiece, op9_va_file]
+    found = [op1_secret_scan, op2_language_id, op3_toxicity, op4_ann_mih, op5_cdc, op6_minhash, op7_mixing, op8_sentencepiece, op9_va_file]
     return {f.__name__: f for f in found}
 
 
