@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import ann_mih, cdc_dedup, common, language_id, minhash_dedup, mixing, secret_scan, sentencepiece_bpe, toxicity, va_file
+from gridloom.llm import ann_mih, cdc_dedup, common, language_id, lpf_dedup, minhash_dedup, mixing, secret_scan, sentencepiece_bpe, toxicity, va_file
 
 
 def tokenizer(name: str = "piece_bpe_32k.model") -> str:
@@ -79,8 +79,14 @@ def op9_va_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return va_file.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=5, every=50)
 
 
+def op10_lpf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document: what is left without each 400-byte string that also starts elsewhere."""
+    docs = common.documents(spark, sf_dir)
+    return lpf_dedup.cut_documents(docs, lpf_dedup.covered(docs, length=400, keep_first=False))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_secret_scan, op2_language_id, op3_toxicity, op4_ann_mih, op5_cdc, op6_minhash, op7_mixing, op8_sentencepiece, op9_va_file]
+    found = [op1_secret_scan, op2_language_id, op3_toxicity, op4_ann_mih, op5_cdc, op6_minhash, op7_mixing, op8_sentencepiece, op9_va_file, op10_lpf]
     return {f.__name__: f for f in found}
 
 
