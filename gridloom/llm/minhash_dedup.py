@@ -4,11 +4,15 @@ Two permutations, the second shifted circularly, give all coordinates of a signa
 the same set form a class, which one document stands for from then on. Classes meet in bands of ROWS
 coordinates, and in pairs of neighbouring bands, which only very similar sets share. In a bucket no
 pairs are listed: the class that meets most others is compared with the rest. What exact Jaccard
-similarity confirms is contracted to components. Buckets that still hold several components go
-on, each round with another pivot outside the bucket's largest component, until the pairs across
-components that are left are no more than a few for each row of the bucket table; then these
-are compared, too. So every pair of classes that shares a band is either compared or already known
-to be connected: nothing is capped, and rows grow with the input.
+similarity confirms is contracted to components.
+
+Buckets that still hold several components go on. A class outside the largest component of such a
+bucket differs from its centre, so its rarest shingles are not those that the bucket has in common.
+Sorted by rarity, two sets similar enough must share a shingle so early in both that what follows
+can still add up to the similarity: the classes are joined on those shingles, and what meets across
+components is compared. This is exact and needs no pairs of a group either. So every pair of classes
+that shares a band is compared, known to be connected, or proven to be too different: nothing
+is capped, and rows grow with the input.
 
 At a similarity of 0.8 a pair shares none of BANDS bands of ROWS with probability 3e-6.
 
@@ -27,16 +31,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from gridloom.llm.common import session, ship, stored
+from gridloom.llm.common import release, session, ship, stored
 from gridloom.llm.components import components
 from gridloom.llm.shingles import Circulant, WordHashes, mix, shingle_sets, similar
 
 BANDS, ROWS = 42, 6
 #: Texts handled together by a worker, in bytes.
 BATCH = 1 << 20
-#: Pairs across components per row of the bucket table from which on they are all compared.
-FEW = 4
 
 _tools: dict[str, object] = {}
 
@@ -146,27 +149,12 @@ def links(docs: DataFrame, shared: DataFrame, key: str, text: str, width: int, p
     texts = stored(texts, "minhash-texts")
     score = stored(shared.groupBy("node").agg(F.sum("size").alias("score")), "minhash-scores")
     rows = shared.join(score, "node").select("bucket", "node", "n", "score", F.col("node").alias("label"))
-    tested: DataFrame | None = None
-    good: DataFrame | None = None
-    while True:
-        chosen = stored(pivots(rows), "minhash-pivots")
-        pairs = stars(rows, chosen, percent)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "minhash-pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        new = stored(confirmed(pairs, texts, width, percent), "minhash-links")
-        good = new if good is None else good.union(new)
-        # a pivot has met its whole bucket: its row is done with
-        rest = rows.join(chosen.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti")
-        rows = stored(mixed(rest, components(good)), "minhash-mixed")
-        groups = rows.groupBy("bucket", "label").agg(F.count("*").alias("c")).groupBy("bucket").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("cross"), F.sum("c").alias("c"))
-        cross, left = groups.agg(F.sum("cross"), F.sum("c")).first()
-        if not left:
-            return good
-        if cross <= FEW * left:
-            last = stored(across(rows, percent).join(tested, ["a", "b"], "left_anti"), "minhash-pairs")
-            return good.union(stored(confirmed(last, texts, width, percent), "minhash-links"))
+    pairs = stored(stars(rows, pivots(rows), percent), "minhash-pairs")
+    good = stored(confirmed(pairs, texts, width, percent), "minhash-links")
+    rest = stored(mixed(rows, components(good)), "minhash-mixed")
+    release(session(docs))
+    more = stored(across(rest, texts, width, percent).join(pairs, ["a", "b"], "left_anti"), "minhash-pairs")
+    return good.union(stored(confirmed(more, texts, width, percent), "minhash-links"))
 
 
 def mixed(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -197,8 +185,41 @@ def stars(rows: DataFrame, chosen: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
 
 
-def across(rows: DataFrame, percent: int) -> DataFrame:
-    """All pairs across components that share a bucket; the caller has counted them."""
-    x = rows.select("bucket", F.col("node").alias("a"), F.col("n").alias("an"), F.col("label").alias("al"))
-    y = rows.select("bucket", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("label").alias("bl"))
-    return x.join(y, "bucket").where("a < b and al <> bl").where(compatible("an", "bn", percent)).select("a", "b").distinct()
+def shingles_of(texts: DataFrame, width: int) -> DataFrame:
+    """node, n and shingle: every shingle of every text, hashed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, _ = tools()
+        for whole in batches:
+            for part, left in slices(whole, 1):
+                sets = shingle_sets(left, width, words)
+                sizes = np.array([len(x) for x in sets])
+                nodes = np.repeat(part.column(0).to_numpy(), sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(np.repeat(sizes, sizes), pa.int64()), pa.array(np.concatenate(sets).view(np.int64), pa.int64())], ["node", "n", "shingle"])
+
+    return texts.select("node", "text").mapInArrow(run, "node bigint, n bigint, shingle bigint")
+
+
+def across(rows: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a < b) across components of rows that may be similar enough: they share a shingle at
+    positions i and j, rarest first, with 1 + min(n - i, m - j) still enough for the similarity. Of
+    two classes in a bucket one at least is outside its largest component; that one looks for the
+    other."""
+    groups = rows.groupBy("bucket", "label").agg(F.count("*").alias("c"))
+    largest = groups.groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("main"))
+    nodes = rows.join(largest, "bucket").groupBy("node").agg(F.first("label").alias("label"), F.max(F.col("label") != F.col("main.label")).alias("outside"))
+    nodes = stored(nodes, "minhash-rest")
+    each = stored(shingles_of(texts.join(nodes.select("node"), "node", "left_semi"), width), "minhash-shingles")
+    rarity = each.groupBy("shingle").agg(F.count("*").alias("f")).where("f > 1")
+    # shingles of one class only come first, and need no rank: how many there are is enough
+    shared = each.join(rarity, "shingle")
+    alone = shared.groupBy("node").agg(F.count("*").alias("common"))
+    by_rarity = Window.partitionBy("node").orderBy("f", "shingle")
+    ranked = shared.join(alone, "node").withColumn("i", F.row_number().over(by_rarity) + F.col("n") - F.col("common") - 1)
+    early = ranked.where(F.col("i") * 100 <= F.col("n") * (100 - percent)).select("node", "n", "shingle", "i").join(nodes, "node")
+    early = stored(early, "minhash-early")
+    x = early.where("outside").select(F.col("node").alias("x"), F.col("n").alias("xn"), F.col("i").alias("xi"), F.col("label").alias("xl"), "shingle")
+    y = early.select(F.col("node").alias("y"), F.col("n").alias("yn"), F.col("i").alias("yi"), F.col("label").alias("yl"), "shingle")
+    reach = F.least(F.col("xn") - F.col("xi"), F.col("yn") - F.col("yi"))
+    met = x.join(y, "shingle").where("x <> y and xl <> yl").where(compatible("xn", "yn", percent)).where(reach * (100 + percent) >= percent * (F.col("xn") + F.col("yn")))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
