@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 _shipped: set[str] = set()
+_scratch: list[str] = []
 
 
 def session(df: DataFrame) -> SparkSession:
@@ -50,8 +51,21 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def unique(name: str) -> str:
+    return f"{name}-{uuid.uuid4().hex}"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/gridloom/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/gridloom/{unique(name)}"
+    _scratch.append(path)
+    return path
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all scratch folders so far. Only for callers who have written whatever read them."""
+    while _scratch:
+        remove(spark, _scratch.pop())
+    release(spark)
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -111,10 +111,9 @@ def scan(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return found.groupBy("blob_id").agg(F.first("todo").alias("scanned"), F.collect_list(finding).alias("found")).select("blob_id", "scanned", "found")
 
 
-def scanned(versions: DataFrame, ledger_path: str, *, path: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Bring the ledger at ledger_path up to date with versions (a path and a text per row), then
-    return one row per row of versions: path, blob_id, found (all findings of current rules, by
-    start, then in the order of rules)."""
+def findings(versions: DataFrame, ledger_path: str, *, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Bring the ledger at ledger_path up to date with versions (a text per row), then return blob_id
+    and found for all its blobs: what the current rules found, by start, then in the order of rules."""
     before = read_ledger(versions, ledger_path)
     scan(unseen(versions, text, rules, before), rules).write.mode("append").option("compression", "zstd").parquet(ledger_path)
     ledger = session(versions).read.schema(LEDGER).parquet(ledger_path)
@@ -123,7 +122,12 @@ def scanned(versions: DataFrame, ledger_path: str, *, path: str = "doc_id", text
     # a later version of a rule replaces what an earlier one found: only rows of current keys count
     own = F.filter("found", lambda x: F.exists("scanned", lambda k: (F.split_part(k, F.lit("@"), F.lit(1)) == x["rule"]) & F.array_contains(keys, k)))
     current = ledger.select("blob_id", F.transform(own, lambda x: F.struct(x["start"].alias("start"), (F.array_position(order, x["rule"]) - 1).cast("int").alias("kind"), x["end"].alias("end"))).alias("found"))
-    per_blob = current.groupBy("blob_id").agg(F.sort_array(F.flatten(F.collect_list("found"))).alias("found"))
+    return current.groupBy("blob_id").agg(F.sort_array(F.flatten(F.collect_list("found"))).alias("found"))
+
+
+def scanned(versions: DataFrame, ledger_path: str, *, path: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """path, blob_id and found for each row of versions, after bringing the ledger up to date."""
+    per_blob = findings(versions, ledger_path, text=text, rules=rules)
     paths = versions.select(F.col(f"`{path}`").alias("path"), blob_id(F.col(f"`{text}`")).alias("blob_id"))
     return paths.join(per_blob, "blob_id", "left").select(F.col("path").alias(path), "blob_id", F.coalesce("found", F.array().cast(T.ArrayType(FINDING))).alias("found"))
 
@@ -139,21 +143,15 @@ def count_of(found: Column, name: str, rules: tuple[Rule, ...] = RULES) -> Colum
     return F.size(F.filter(found, lambda x: x["kind"] == kind)).cast("long")
 
 
-def redacted(versions: DataFrame, ledger_path: str, *, path: str = "doc_id", text: str = "text", mark: str = "[secret]") -> DataFrame:
-    """versions with every secret replaced by mark; the columns stay as they are. The same rules
-    decide as in scanned(), whose ledger is brought up to date first."""
-    found = per_content(versions, ledger_path, text=text)
-    hit = versions.withColumn("__blob", blob_id(F.col(f"`{text}`"))).join(found.withColumnRenamed("blob_id", "__blob").withColumnRenamed("found", "__found"), "__blob", "left")
-    clean = F.when(F.size("__found") > 0, cut(F.col(f"`{text}`"), F.col("__found"), mark)).otherwise(F.col(f"`{text}`"))
+def redacted(versions: DataFrame, ledger_path: str, *, text: str = "text", rules: tuple[Rule, ...] = RULES, mark: str = "[secret]") -> DataFrame:
+    """versions with every secret replaced by mark; columns and rows stay as they are. The ledger is
+    brought up to date first."""
+    found = findings(versions, ledger_path, text=text, rules=rules).where(F.size("found") > 0)
+    hit = versions.withColumn("__blob", blob_id(F.col(f"`{text}`"))).join(found.select(F.col("blob_id").alias("__blob"), F.col("found").alias("__found")), "__blob", "left")
+    clean = F.when(F.col("__found").isNotNull(), cut(F.col(f"`{text}`"), F.col("__found"), mark)).otherwise(F.col(f"`{text}`"))
     return hit.withColumn(text, clean).select(*[F.col(f"`{c}`") for c in versions.columns])
 
 
-def per_content(versions: DataFrame, ledger_path: str, *, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """blob_id and found, one row per blob with any finding."""
-    every = scanned(versions.select(F.lit(0).alias("doc_id"), F.col(f"`{text}`").alias("text")), ledger_path, rules=rules)
-    return every.where(F.size("found") > 0).select("blob_id", "found").dropDuplicates(["blob_id"])
-
-
 def cut(text: Column, found: Column, mark: str) -> Column:
     """text with each span of found replaced by mark; overlapping spans become one."""
     state = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
