@@ -1,30 +1,78 @@
-"""A corpus pipeline of five stages, each written as Parquet and read again by the next."""
+"""A corpus pipeline of five stages, each written as Parquet and read again by the next.
+
+Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last
+return the columns of documents. When a stage begins, what it is given has been written, so the
+scratch folders of the stages before it are deleted.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gridloom.llm import common, queries
+from gridloom.llm import common, language_id, minhash_dedup, mixing, queries, secret_scan, sentencepiece_bpe
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encode and decode what is left."""
-    from gridloom.llm import sentencepiece_bpe
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without a language, null ones and those without a letter, go; all others stay."""
+    common.sweep(spark)
+    net = language_id.learned(docs)
+    named = language_id.predicted(docs, net, lang="__lang", score="__score")
+    return named.where(F.col("__lang") != language_id.UNKNOWN).drop("__lang", "__score")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates (five-word shingles, similarity of 0.8 or more) the document
+    with the smallest id stays. A repeated id is one document; rows without an id stay."""
+    common.sweep(spark)
+    groups = minhash_dedup.near_duplicates(docs)
+    kept = groups.where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
+    own = docs.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
+    return own.unionByName(docs.where(F.col("doc_id").isNull()))
+
 
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark; every document stays. n_chars follows the text."""
+    common.sweep(spark)
+    clean = secret_scan.redacted(docs, common.scratch(spark, "secret-ledger"))
+    return clean.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long")))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As many copies of each document as the mix takes: none, one or two rows."""
+    common.sweep(spark)
+    sized = docs.withColumn("__words", common.word_count(F.col("text")))
+    mixed = mixing.mixed(sized, size="__words")
+    repeated = mixed.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return repeated.select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of what is left, counted and digested, with the digest of the decoded text."""
+    common.sweep(spark)
     return sentencepiece_bpe.encoded(docs, queries.tokenizer(), ids=False, digests=True)
 
 
-STAGES: list[tuple[str, Stage]] = [("sentencepiece", tokens)]
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", language),
+    ("near_duplicates", near_duplicates),
+    ("secret_scan", secrets),
+    ("mixing", mix),
+    ("sentencepiece", tokens),
+]
 
+#: The network and the signatures have no SQL; tests compare with a brute-force version instead.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
     for name, stage in STAGES:
-        docs = common.stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = f"{common.shared_folder(spark)}/gridloom-pipeline/{common.unique(name)}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs
