@@ -1,15 +1,560 @@
-"""Query registry of the grid-map engine, with the equivalent SQL."""
+"""Queries of the grid-map engine over the driver's tables, each with SQL that gives the same rows.
+
+The tables stand in for map data by projections: lineitem for assignments and elevation points, part
+for features and rectangles, orders and supplier for points and lines, events for moves over cells.
+"""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from gridloom.functions import labels
+from gridloom.functions import geometry as g
+from gridloom.operators import assign, elevation, grid, network, packing, paging, resolve, rules
+from gridloom.plans import schedule as plan
+from gridloom.sources import readers, sinks
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:  # a literal with a point is a decimal in SQL; the engine computes in doubles
+            SQL[f.__name__] = re.sub(r"(?<![\w.'])(\d+\.\d+)(?![\w.'])", r"\1e0", sql)
+        return f
+
+    return add
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---- assignments and their resolution ----
+
+ROWS_SQL = """
+rows_ AS (SELECT DISTINCT CAST(l_orderkey % 64 AS INTEGER) AS xidx, CAST(l_partkey % 64 AS INTEGER) AS yidx,
+  l_linenumber - 3 AS priority, l_returnflag AS name, l_linestatus AS menu, l_quantity AS z FROM lineitem),
+counted AS (SELECT *, count(*) OVER c AS n, min(CASE WHEN priority > 0 THEN priority END) OVER c AS low
+  FROM rows_ WINDOW c AS (PARTITION BY xidx, yidx)),
+dominant AS (SELECT xidx, yidx, priority, name, menu, z FROM counted
+  WHERE NOT (n > 1 AND coalesce(priority = -999 OR (low IS NOT NULL AND (priority > low OR priority < 0)), false)))
+"""
+
+
+def assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    return li.select((F.col("l_orderkey") % 64).cast("int").alias("xidx"), (F.col("l_partkey") % 64).cast("int").alias("yidx"), (F.col("l_linenumber") - 3).alias("priority"), F.col("l_returnflag").alias("name"), F.col("l_linestatus").alias("menu"), F.col("l_quantity").alias("z"))
+
+
+@query(f"WITH {ROWS_SQL} SELECT priority, name, count(*) AS n_rows, count(DISTINCT xidx * 64 + yidx) AS n_cells, CAST(sum(z) AS BIGINT) AS sum_z FROM dominant GROUP BY priority, name")
+def cell_dominance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = resolve.dominant(resolve.valid(assignments(spark, sf_dir)))
+    return rows.groupBy("priority", "name").agg(F.count("*").alias("n_rows"), F.countDistinct(F.col("xidx") * 64 + F.col("yidx")).alias("n_cells"), F.sum("z").cast("long").alias("sum_z"))
+
+
+RANKS = [("A", "F", "F", 1), ("A", "O", "O", 0), ("N", "O", "O", 0), ("R", "F", "F", 2), ("N", "O", "O", 3)]
+
+
+@query(f"""WITH {ROWS_SQL}, ranks AS (SELECT * FROM (VALUES ('A','F',1),('A','O',0),('N','O',0),('R','F',2)) t(name, menu, r)),
+ranked AS (SELECT d.*, r FROM dominant d LEFT JOIN ranks USING (name, menu)),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY xidx, yidx, priority, name, r IS NULL ORDER BY r, z, menu) AS k FROM ranked)
+SELECT xidx, yidx, priority, name, menu, z FROM numbered WHERE r IS NULL OR k = 1""")
+def rank_tiebreak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = spark.createDataFrame(RANKS, "name string, menu string, cat1 string, ord int")
+    rows = assignments(spark, sf_dir).withColumn("cat1", F.col("menu"))
+    return resolve.resolved(rows, ranks, ("z", "menu")).drop("cat1")
+
+
+@query(f"""WITH {ROWS_SQL}, inside AS (SELECT * FROM dominant WHERE xidx BETWEEN 4 AND 40 AND yidx BETWEEN 8 AND 50)
+SELECT CAST(xidx - 4 AS DOUBLE) AS x, CAST(yidx - 8 AS DOUBLE) AS y, coalesce(z, -1) AS z, coalesce(menu, '-1') AS menu, coalesce(name, '-1') AS name, coalesce(priority, -1) AS priority FROM inside
+UNION ALL SELECT 36, 42, -1, '-1', '-1', -1""")
+def map_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = resolve.dominant(resolve.valid(assignments(spark, sf_dir)))
+    doubles = rows.withColumns({"xidx": F.col("xidx").cast("double"), "yidx": F.col("yidx").cast("double")})
+    return sinks.map_table(doubles, (4, 8, 40, 50)).select("x", "y", "z", "menu", "name", "priority")
+
+
+@query(f"""WITH {ROWS_SQL} SELECT DISTINCT xidx, yidx FROM rows_ r WHERE priority > 0 AND NOT EXISTS
+(SELECT 1 FROM rows_ o WHERE o.priority < 0 AND o.xidx = r.xidx AND o.yidx = r.yidx)""")
+def free_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = assignments(spark, sf_dir)
+    return grid.free(rows.where("priority > 0").select("xidx", "yidx").distinct(), rows.where("priority < 0"))
+
+
+# ---- rules ----
+
+CONFIG = {
+    "plain": {"priority": 1, "tags": [["band", "0"], ["band", "1"]], "process": ["type_from_tag"], "cm_types": [{"menu": "Ground 1", "cat1": "Grass", "tags": [["band", "1"]]}, {"menu": "Ground 1", "cat1": "Dirt", "tags": [["type", "PROMO"], ["band", "0"]]}]},
+    "brand": {"priority": 2, "tags": [["brand", "Brand#11"], ["brand", "Brand#23"]], "exclude_tags": [["band", "2"]], "process": ["type_random_area"], "cm_types": [{"menu": "Foliage", "cat1": "Bush", "weight": 2.0}, {"dummy": True, "weight": 1.0}]},
+    "typed": {"priority": 3, "tags": [["type", "PROMO"], ["type", "STANDARD"]], "required_tags": [["band", "3"]], "process": ["road_tiles"], "cm_types": [{"menu": "Road", "cat1": "Dirt", "tags": [["type", "PROMO"]]}]},
+    "banned": {"priority": 4, "tags": [["band", "4"]], "exclude_ids": ["7", "40", "41"], "process": ["fence_tiles", "type_random_area"], "cm_types": [{"menu": "Fence", "cat1": "Stone", "tags": [["band", "4"]]}]},
+    "listed": {"priority": 5, "tags": [["band", "1"]], "allowed_ids": ["1", "2", "3", "5", "8", "13", "21", "34"], "process": ["type_from_church_outline"], "cm_types": [{"menu": "Church", "cat1": "Church", "tags": [["brand", "Brand#11"]]}]},
+    "off": {"priority": 6, "active": False, "tags": [["band", "0"]], "process": ["type_from_tag"], "cm_types": [{"menu": "Never", "cat1": "Never", "tags": [["band", "0"]]}]},
+}
+
+FEATURES_SQL = """
+f AS (SELECT CAST(p_partkey AS VARCHAR) AS id, split_part(p_type, ' ', 1) AS type, p_brand AS brand, CAST(p_size // 10 AS VARCHAR) AS band FROM part),
+m AS (
+  SELECT *, 'plain' AS name, 1 AS priority FROM f WHERE band IN ('0', '1')
+  UNION ALL SELECT *, 'brand', 2 FROM f WHERE brand IN ('Brand#11', 'Brand#23') AND band <> '2'
+  UNION ALL SELECT *, 'typed', 3 FROM f WHERE type IN ('PROMO', 'STANDARD') AND band = '3'
+  UNION ALL SELECT *, 'banned', 4 FROM f WHERE band = '4' AND id NOT IN ('7', '40', '41')
+  UNION ALL SELECT *, 'listed', 5 FROM f WHERE band = '1' AND id IN ('1', '2', '3', '5', '8', '13', '21', '34'))
+"""
+
+
+def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    tags = F.create_map(F.lit("type"), F.split_part("p_type", F.lit(" "), F.lit(1)), F.lit("brand"), F.col("p_brand"), F.lit("band"), F.floor(F.col("p_size") / 10).cast("string"))
+    return p.select(F.col("p_partkey").cast("string").alias("id"), tags.alias("tags"))
+
+
+def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.match(tagged(spark, sf_dir), readers.rule_table(spark, CONFIG))
+
+
+@query(f"WITH {FEATURES_SQL} SELECT id, name, priority FROM m")
+def rule_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matched(spark, sf_dir).select("id", "name", "priority")
+
+
+@query(f"WITH {FEATURES_SQL}, u AS (SELECT * FROM f WHERE id NOT IN (SELECT id FROM m)) SELECT 'type' AS key, type AS value FROM u UNION SELECT 'brand', brand FROM u UNION SELECT 'band', band FROM u")
+def unprocessed_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.unprocessed_tags(tagged(spark, sf_dir), matched(spark, sf_dir))
+
+
+@query(f"""WITH {FEATURES_SQL} SELECT id, name, CASE name WHEN 'plain' THEN 'Ground 1' WHEN 'typed' THEN 'Road' WHEN 'banned' THEN 'Fence' ELSE 'Church' END AS menu,
+CASE name WHEN 'plain' THEN CASE WHEN band = '1' THEN 'Grass' ELSE 'Dirt' END WHEN 'typed' THEN 'Dirt' WHEN 'banned' THEN 'Stone' ELSE 'Church' END AS cat1
+FROM m WHERE name IN ('plain', 'banned') OR (name = 'typed' AND type = 'PROMO') OR (name = 'listed' AND brand = 'Brand#11')""")
+def first_match_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = rules.first_type(F.col("tags"), F.col("cm_types"))
+    return assign.from_tag(matched(spark, sf_dir).withColumn("kind", kind), "kind").select("id", "name", "menu", "cat1")
+
+
+@query(f"""WITH {FEATURES_SQL}, steps AS (SELECT * FROM (VALUES
+  (1, 0, 'type_from_tag', 'element', 'plain'), (2, 0, 'type_random_area', 'element', 'brand'),
+  (3, 0, 'collect_lines', 'element', 'typed'), (3, 1, 'node_lines', 'rule', 'typed'), (3, 2, 'search_paths', 'rule', 'typed'), (3, 3, 'road_tiles', 'rule', 'typed'),
+  (4, 0, 'collect_lines', 'element', 'banned'), (4, 0, 'type_random_area', 'element', 'banned'), (4, 1, 'node_lines', 'rule', 'banned'), (4, 4, 'search_paths', 'rule', 'banned'), (4, 5, 'fence_tiles', 'rule', 'banned'),
+  (5, 0, 'collect_outlines', 'element', 'listed'), (5, 1, 'churches', 'rule', 'listed')) t(priority, stage, operator, mode, name))
+SELECT s.priority, stage, operator, mode, name, count(m.id) AS n_elements FROM steps s LEFT JOIN m USING (name) GROUP BY ALL""")
+def stage_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = plan.schedule(readers.rule_table(spark, CONFIG)).withColumn("name", F.explode("rules"))
+    count = matched(spark, sf_dir).groupBy("name").agg(F.count("*").alias("n"))
+    return steps.join(count, "name", "left").select("priority", "stage", "operator", "mode", "name", F.coalesce("n", F.lit(0)).alias("n_elements"))
+
+
+# ---- grids ----
+
+
+@query("SELECT CAST(i % 90 AS INTEGER) AS xidx, CAST(i // 90 AS INTEGER) AS yidx, (i % 90 + 0.5) * 8.0 + 100 AS x, (i // 90 + 0.5) * 8.0 + 50 AS y FROM range(90 * 70) t(i)")
+def grid_generate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.squares(spark, 90, 70, 100.0, 50.0)
+
+
+@query("SELECT DISTINCT CAST(4 * (i % 60) + a AS INTEGER) AS qx, CAST(4 * (i // 60) + b AS INTEGER) AS qy FROM range(60 * 40) t(i), (VALUES (2, 0), (-2, 0), (0, 2), (0, -2)) s(a, b)")
+def diamond_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.diamonds(grid.squares(spark, 60, 40)).select("qx", "qy")
+
+
+@query("SELECT CAST(4 * (i % 60) + a AS INTEGER) AS qx, CAST(4 * (i // 60) + b AS INTEGER) AS qy, (i % 60 + 0.5) * 8.0 + 2 * a AS x, (i // 60 + 0.5) * 8.0 + 2 * b AS y FROM range(60 * 40) t(i), (VALUES (-1, -1), (1, -1), (-1, 1), (1, 1)) s(a, b)")
+def subsquare_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.quarters(grid.squares(spark, 60, 40))
+
+
+@query("SELECT CAST(i % 50 AS INTEGER) AS xidx, CAST(i // 50 AS INTEGER) AS yidx, round(200 + cos(radians(30)) * ((i % 50 + 0.5) * 8 - 200) - sin(radians(30)) * ((i // 50 + 0.5) * 8 - 160), 4) AS x, round(160 + sin(radians(30)) * ((i % 50 + 0.5) * 8 - 200) + cos(radians(30)) * ((i // 50 + 0.5) * 8 - 160), 4) AS y FROM range(50 * 40) t(i)")
+def grid_rotate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = grid.turned(grid.squares(spark, 50, 40), 30.0, 200.0, 160.0)
+    return cells.withColumns({"x": F.round("x", 4), "y": F.round("y", 4)})
+
+
+PLACES = "SELECT o_orderkey, o_totalprice / 100 AS x, CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE) AS y FROM orders"
+
+
+def places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return o.select("o_orderkey", (F.col("o_totalprice") / 100).alias("x"), F.datediff("o_orderdate", F.lit("1992-01-01").cast("date")).cast("double").alias("y"))
+
+
+@query(f"WITH p AS ({PLACES}) SELECT CAST(floor(x / 8) AS INTEGER) AS xidx, CAST(floor(y / 8) AS INTEGER) AS yidx, count(*) AS n FROM p WHERE x / 8 <> floor(x / 8) AND y / 8 <> floor(y / 8) GROUP BY 1, 2")
+def point_in_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.point_cells(places(spark, sf_dir), "x", "y").groupBy("xidx", "yidx").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH p AS ({PLACES}) SELECT o_orderkey, CAST(least(greatest(floor(x / 8), 0), 199) AS INTEGER) AS xidx, CAST(least(greatest(floor(y / 8), 0), 149) AS INTEGER) AS yidx FROM p")
+def nearest_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.nearest_cell(places(spark, sf_dir), "x", "y", 200, 150).select("o_orderkey", "xidx", "yidx")
+
+
+RECT_SQL = """
+r AS (SELECT p_partkey AS id, (p_partkey % 97) * 5.0 AS x0, (p_partkey % 89) * 3.0 AS y0, p_size * 1.53 + 3.01 AS w, p_size * 0.71 + 5.03 AS h FROM part),
+c AS (SELECT r.*, CAST(unnest(range(CAST(floor(x0 / 8) AS BIGINT), CAST(floor((x0 + w) / 8) AS BIGINT) + 1)) AS INTEGER) AS xidx FROM r),
+d AS (SELECT c.*, CAST(unnest(range(CAST(floor(y0 / 8) AS BIGINT), CAST(floor((y0 + h) / 8) AS BIGINT) + 1)) AS INTEGER) AS yidx FROM c),
+a AS (SELECT id, xidx, yidx, greatest(least(x0 + w, xidx * 8 + 8) - greatest(x0, xidx * 8), 0) * greatest(least(y0 + h, yidx * 8 + 8) - greatest(y0, yidx * 8), 0) AS area FROM d),
+cells AS (SELECT * FROM a WHERE area > 32)
+"""
+
+
+def rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, s = F.col("p_partkey"), F.col("p_size")
+    x0, y0 = (k % 97) * 5.0, (k % 89) * 3.0
+    return table(spark, sf_dir, "part").select(k.alias("id"), g.rectangle(x0, y0, x0 + (s * 1.53 + 3.01), y0 + (s * 0.71 + 5.03)).alias("ring"))
+
+
+def rectangle_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.fill(rectangles(spark, sf_dir), "ring").drop("ring")
+
+
+@query(f"WITH {RECT_SQL} SELECT id, xidx, yidx FROM cells")
+def rect_majority_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rectangle_cells(spark, sf_dir).select("id", "xidx", "yidx")
+
+
+@query("""WITH s AS (SELECT s_suppkey AS id, (s_suppkey % 41) * 11.0 + 40 AS cx, (s_suppkey % 37) * 13.0 + 40 AS cy, (s_suppkey % 5) * 4.0 + 10 AS r FROM supplier)
+SELECT id, round(2 * r * r, 3) AS area, round(cx, 3) AS x, round(cy, 3) AS y, round(2 * r * r, 3) AS by_cell FROM s""")
+def polygon_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Diamond-shaped polygons: area, centroid, and the sum of their areas over the cells they touch."""
+    rings = diamonds(spark, sf_dir)
+    cells = grid.candidate_cells(rings, "ring")
+    x, y = F.col("xidx") * 8.0, F.col("yidx") * 8.0
+    part = cells.withColumn("a", g.clipped_area(F.col("ring"), g.box_planes(x, y, x + 8.0, y + 8.0))).groupBy("id").agg(F.round(F.sum("a"), 3).alias("by_cell"))
+    own = rings.select("id", F.round(g.signed_area(F.col("ring")), 3).alias("area"), g.centroid(F.col("ring")).alias("p"))
+    return own.join(part, "id").select("id", "area", F.round("p.x", 3).alias("x"), F.round("p.y", 3).alias("y"), "by_cell")
+
+
+def diamonds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    cx, cy, r = (k % 41) * 11.0 + 40, (k % 37) * 13.0 + 40, (k % 5) * 4.0 + 10
+    ring = F.array(g.point(cx + r, cy), g.point(cx, cy + r), g.point(cx - r, cy), g.point(cx, cy - r))
+    return table(spark, sf_dir, "supplier").select(k.alias("id"), ring.alias("ring"))
+
+
+@query()
+def diamond_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Diamond cells (quarter units) more than half covered by each polygon."""
+    found = grid.fill_fine(diamonds(spark, sf_dir), "ring", grid.DIAMONDS, 0.5)
+    return found.select("id", "qx", "qy", F.round("area", 3).alias("area"))
+
+
+@query(f"""WITH {RECT_SQL} SELECT id, CAST(4 * c.xidx + s.a AS INTEGER) AS qx, CAST(4 * c.yidx + s.b AS INTEGER) AS qy FROM (SELECT d.*, unnest([{{'a': -1, 'b': -1}}, {{'a': 1, 'b': -1}}, {{'a': -1, 'b': 1}}, {{'a': 1, 'b': 1}}]) AS s FROM d) c
+WHERE greatest(least(x0 + w, xidx * 8 + 4 + 2 * s.a + 2) - greatest(x0, xidx * 8 + 4 + 2 * s.a - 2), 0) * greatest(least(y0 + h, yidx * 8 + 4 + 2 * s.b + 2) - greatest(y0, yidx * 8 + 4 + 2 * s.b - 2), 0) > 8""")
+def quarter_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.fill_fine(rectangles(spark, sf_dir), "ring", grid.QUARTERS, 0.5).select("id", F.col("qx").cast("int").alias("qx"), F.col("qy").cast("int").alias("qy"))
+
+
+# ---- draws ----
+
+TYPES = "array(named_struct('menu', 'Ground', 'cat1', 'Grass', 'cat2', 'g', 'weight', 2.0D, 'dummy', false), named_struct('menu', 'Ground', 'cat1', 'Mud', 'cat2', 'm', 'weight', 0.5D, 'dummy', false), named_struct('menu', CAST(NULL AS STRING), 'cat1', CAST(NULL AS STRING), 'cat2', CAST(NULL AS STRING), 'weight', 1.5D, 'dummy', true))"
+U_SQL = "(CAST(t AS BIGINT) * t + t * 48271 + 11) % 1000003"
+PICK_SQL = f"CASE WHEN {U_SQL} * 4000 < 2000::BIGINT * 1000003 THEN 'Grass' WHEN {U_SQL} * 4000 < 2500::BIGINT * 1000003 THEN 'Mud' END"
+
+
+def with_types(df: DataFrame) -> DataFrame:
+    return df.withColumn("types", F.expr(TYPES))
+
+
+@query(f"WITH {RECT_SQL}, k AS (SELECT *, (5 + (id % 1000003) * 7919) % 1000003 AS t FROM cells) SELECT id, xidx, yidx, {PICK_SQL} AS cat1 FROM k")
+def random_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign.random_area(with_types(rectangle_cells(spark, sf_dir)), "types", "id", salt=5).select("id", "xidx", "yidx", "cat1")
+
+
+CELL_T = "(5 + (id % 1000003) * 7919 + (xidx % 1000003) * 104729 + (yidx % 1000003) * 611953) % 1000003"
+
+
+@query(f"WITH {RECT_SQL}, k AS (SELECT *, {CELL_T} AS t FROM cells) SELECT id, xidx, yidx, {PICK_SQL} AS cat1 FROM k")
+def random_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign.random_cell(with_types(rectangle_cells(spark, sf_dir)), "types", "id", salt=5).select("id", "xidx", "yidx", "cat1")
+
+
+@query(f"WITH {RECT_SQL}, k AS (SELECT *, {CELL_T} AS t FROM cells) SELECT id, count(*) AS n, count({PICK_SQL}) AS n_set FROM k GROUP BY id")
+def random_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = assign.random_clusters(with_types(rectangle_cells(spark, sf_dir)), "types", "id", salt=5)
+    return cells.groupBy("id").agg(F.count("*").alias("n"), F.count("cat1").alias("n_set"))
+
+
+@query(f"WITH {RECT_SQL}, s AS (SELECT *, min(xidx) OVER w AS x1, max(xidx) OVER w AS x2 FROM cells WINDOW w AS (PARTITION BY id)), t AS (SELECT * FROM s WHERE (xidx - x1) % 3 = 0 AND xidx < x2), v AS (SELECT *, min(yidx) OVER w AS y1, max(yidx) OVER w AS y2 FROM t WINDOW w AS (PARTITION BY id)) SELECT id, xidx, yidx FROM v WHERE (yidx - y1) % 2 = 0 AND yidx < y2")
+def stride_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign.strided(rectangle_cells(spark, sf_dir), "id", 3, 2).select("id", "xidx", "yidx")
+
+
+@query(f"WITH p AS ({PLACES}), c AS (SELECT o_orderkey AS id, CAST(floor(x / 8) AS INTEGER) AS xidx, CAST(floor(y / 8) AS INTEGER) AS yidx FROM p WHERE x / 8 <> floor(x / 8) AND y / 8 <> floor(y / 8)), k AS (SELECT *, {CELL_T} AS t FROM c) SELECT id, xidx, yidx, {PICK_SQL} AS cat1 FROM k")
+def single_object(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = grid.point_cells(places(spark, sf_dir), "x", "y").withColumnRenamed("o_orderkey", "id")
+    return assign.random_cell(with_types(cells), "types", "id", salt=5).select("id", "xidx", "yidx", "cat1")
+
+
+@query(f"""WITH {ROWS_SQL}, line AS (SELECT DISTINCT xidx, yidx FROM rows_ WHERE name = 'R' AND priority = 1), cells AS (SELECT 0 AS id, i % 64 AS xidx, i // 64 AS yidx FROM range(64 * 64) r(i)),
+k AS (SELECT c.*, (9 + xidx * 7919 + yidx * 104729) % 1000003 AS t FROM cells c SEMI JOIN line USING (xidx, yidx)) SELECT CAST(xidx AS INTEGER) AS xidx, CAST(yidx AS INTEGER) AS yidx, {PICK_SQL} AS cat1 FROM k""")
+def linear_ground(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = assignments(spark, sf_dir).where("name = 'R' and priority = 1").select("xidx", "yidx", "name", "menu").distinct().dropDuplicates(["xidx", "yidx"])
+    return assign.on_line(with_types(grid.squares(spark, 64, 64)), line, "R", "types", salt=9).select("xidx", "yidx", "cat1")
+
+
+# ---- elevation ----
+
+POINTS_SQL = "pts AS (SELECT CAST(l_orderkey % 512 AS DOUBLE) AS x, CAST(l_partkey % 512 AS DOUBLE) AS y, l_quantity AS z FROM lineitem)"
+
+
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    return li.select((F.col("l_orderkey") % 512).cast("double").alias("x"), (F.col("l_partkey") % 512).cast("double").alias("y"), F.col("l_quantity").alias("z"))
+
+
+@query(f"WITH {POINTS_SQL}, a AS (SELECT DISTINCT x FROM pts ORDER BY x LIMIT 2), b AS (SELECT DISTINCT y FROM pts ORDER BY y LIMIT 2) SELECT (SELECT max(x) - min(x) FROM a) AS dx, (SELECT max(y) - min(y) FROM b) AS dy")
+def elev_cell_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return elevation.cell_size(points(spark, sf_dir))
+
+
+@query(f"WITH {POINTS_SQL} SELECT min(x) AS xmin, min(y) AS ymin, max(x) - min(x) + 1 AS width, max(y) - min(y) + 1 AS height FROM pts")
+def elev_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return elevation.extent(points(spark, sf_dir), 1.0)
+
+
+@query(f"WITH {POINTS_SQL} SELECT z, count(*) AS n FROM pts WHERE x >= 100 AND x < 300 AND y >= 50 AND y < 400 GROUP BY z")
+def elev_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return elevation.clip(points(spark, sf_dir), 100, 50, 300, 400).groupBy("z").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {POINTS_SQL}, m AS (SELECT min(z) AS low FROM pts) SELECT CASE WHEN low < 20 THEN z - floor(low) + 20 ELSE z END AS z, count(*) AS n FROM pts, m GROUP BY 1")
+def elev_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return elevation.lifted(points(spark, sf_dir)).groupBy("z").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {POINTS_SQL}, a AS (SELECT arg_min(z, (x * 1000 + y) * 1000 + z) AS z1 FROM pts WHERE x BETWEEN 99.5 AND 104.5 AND y BETWEEN 79.5 AND 84.5), b AS (SELECT arg_min(z, (x * 1000 + y) * 1000 + z) AS z2 FROM pts WHERE x BETWEEN 399.5 AND 404.5 AND y BETWEEN 299.5 AND 304.5)
+SELECT x, y, round(sum(z - coalesce(300 * (z2 - z1) / (300.0 * 300 + 220 * 220) * (x - 102) + 220 * (z2 - z1) / (300.0 * 300 + 220 * 220) * (y - 82), 0)), 4) AS z FROM pts, a, b GROUP BY x, y""")
+def water_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return elevation.level_water(points(spark, sf_dir), (102.0, 82.0), (402.0, 302.0), 2.5).groupBy("x", "y").agg(F.round(F.sum("z"), 4).alias("z"))
+
+
+RASTER_SQL = f"{POINTS_SQL}, own AS (SELECT CAST(floor(x / 4) AS INTEGER) AS x, CAST(floor(y / 4) AS INTEGER) AS y, max(z) AS z FROM pts GROUP BY 1, 2), raster AS (SELECT CAST(i % 128 AS INTEGER) AS x, CAST(i // 128 AS INTEGER) AS y FROM range(128 * 128) t(i)), dense AS (SELECT x, y, coalesce(z, 0) AS z FROM raster LEFT JOIN own USING (x, y))"
+
+
+def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return elevation.densified(points(spark, sf_dir), 128, 128, 4.0)
+
+
+@query(f"WITH {RASTER_SQL} SELECT * FROM dense")
+def elev_densify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dense(spark, sf_dir)
+
+
+@query(f"WITH {RASTER_SQL} SELECT x // 2 AS x, y // 2 AS y, round(avg(z), 4) AS z FROM dense GROUP BY 1, 2")
+def elev_downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return elevation.downsampled(dense(spark, sf_dir), 2).withColumn("z", F.round("z", 4))
+
+
+@query(f"""WITH {RASTER_SQL}, small AS (SELECT x // 2 AS x, y // 2 AS y, avg(z) AS z FROM dense GROUP BY 1, 2),
+e AS (SELECT a.x, a.y, a.z, b.z AS z2, 1 AS dx, 0 AS dy FROM small a JOIN small b ON b.x = a.x + 1 AND b.y = a.y UNION ALL SELECT a.x, a.y, a.z, b.z, 0, 1 FROM small a JOIN small b ON b.y = a.y + 1 AND b.x = a.x),
+l AS (SELECT *, unnest(range(CAST(greatest(ceil(least(z, z2) / 5.0), 0) AS BIGINT), CAST(ceil(greatest(z, z2) / 5.0) AS BIGINT))) * 5.0 AS level FROM e WHERE z <> z2)
+SELECT DISTINCT CAST(round((x + dx * ((level - z) / (z2 - z))) * 8.0) AS BIGINT) AS x, CAST(round((y + dy * ((level - z) / (z2 - z))) * 8.0) AS BIGINT) AS y, CAST(level AS DOUBLE) AS z FROM l""")
+def contour_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return elevation.contours(elevation.downsampled(dense(spark, sf_dir), 2), 5.0)
+
+
+@query(f"""WITH {RASTER_SQL}, t AS (SELECT x, y, x * 0.5 + 3.25 AS tx, y * 0.5 + 1.5 AS ty FROM raster)
+SELECT t.x, t.y, round(CASE WHEN count(d.z) = count(*) THEN sum(d.z * (1 - abs(tx - d.x)) * (1 - abs(ty - d.y))) ELSE -1 END, 4) AS z
+FROM t LEFT JOIN dense d ON abs(tx - d.x) < 1 AND abs(ty - d.y) < 1 GROUP BY t.x, t.y""")
+def raster_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = dense(spark, sf_dir).select("x", "y", (F.col("x") * 0.5 + 3.25).alias("tx"), (F.col("y") * 0.5 + 1.5).alias("ty"))
+    return elevation.resampled(dense(spark, sf_dir), at).select("x", "y", F.round("z", 4).alias("z"))
+
+
+@query()
+def raster_rotate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dense raster turned by 30 degrees, -1 where nothing was."""
+    return elevation.rotated(dense(spark, sf_dir), 128, 128, 30.0)
+
+
+@query(f"WITH {POINTS_SQL}, r AS (SELECT x, y, z, row_number() OVER (PARTITION BY x ORDER BY y, z) AS k FROM pts) SELECT x, y, z FROM r WHERE (k - 1) % 7 = 0")
+def stride_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return elevation.strided(points(spark, sf_dir), ("y", "z"), 7, "x")
+
+
+@query("SELECT c_custkey, CAST((CASE WHEN lat >= 0 THEN 32600 ELSE 32700 END) + least(floor((lon + 180) / 6) + 1, 60) AS INTEGER) AS epsg FROM (SELECT c_custkey, (c_custkey % 360) - 180.0 + 0.5 AS lon, (c_custkey % 160) - 80.0 + 0.5 AS lat FROM customer)")
+def utm_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select("c_custkey", g.utm_zone((k % 360) - 180.0 + 0.5, (k % 160) - 80.0 + 0.5).alias("epsg"))
+
+
+@query()
+def utm_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eastings and northings of positions on a raster of degrees."""
+    k = F.col("c_custkey")
+    lon, lat = (k % 360) - 180.0 + 0.5, (k % 160) - 80.0 + 0.5
+    p = g.to_utm(lon, lat, g.utm_zone(lon, lat))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.round(p["x"], 2).alias("east"), F.round(p["y"], 2).alias("north"))
+
+
+# ---- pages ----
+
+CELLS_SQL = """
+cells AS (SELECT DISTINCT CAST(l_orderkey % 133 AS DOUBLE) AS x, CAST(l_partkey % 101 AS DOUBLE) AS y, max(l_quantity) AS z FROM lineitem GROUP BY 1, 2),
+tot AS (SELECT CAST(max(x) AS INTEGER) + 1 AS tx, CAST(max(y) AS INTEGER) + 1 AS ty FROM cells),
+sz AS (SELECT tx // 24 AS nx, ty // 22 AS ny, (tx % 24) // 2 * 2 AS rx, (ty % 22) // 2 * 2 AS ry FROM tot),
+sizes AS (SELECT *, nx * 24 + rx AS w, ny * 22 + ry AS h FROM sz),
+paged AS (SELECT x, y, z, CAST(ceil((w - x) / 24.0) - 1 AS INTEGER) AS page_x, CAST(floor(y / 22.0) AS INTEGER) AS page_y, nx, ny, w, h FROM cells, sizes WHERE x < w AND y < h)
+"""
+
+
+def map_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    return li.groupBy((F.col("l_orderkey") % 133).cast("double").alias("x"), (F.col("l_partkey") % 101).cast("double").alias("y")).agg(F.max("l_quantity").alias("z"))
+
+
+@query(f"WITH {CELLS_SQL} SELECT CAST(nx AS INTEGER) AS nx, CAST(ny AS INTEGER) AS ny, CAST(rx AS INTEGER) AS rx, CAST(ry AS INTEGER) AS ry, CAST(w AS INTEGER) AS w, CAST(h AS INTEGER) AS h FROM sizes")
+def page_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paging.sizes(map_cells(spark, sf_dir))
+
+
+@query(f"""WITH {CELLS_SQL} SELECT x, y, z, page_x, page_y, x - CASE WHEN page_x < nx THEN w - (page_x + 1) * 24 ELSE 0 END AS px,
+y - CASE WHEN page_y < ny THEN page_y * 24 - (page_y + 1) * 2 ELSE h - 24 END AS py FROM paged""")
+def page_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paging.paged(map_cells(spark, sf_dir))
+
+
+@query(f"""WITH {CELLS_SQL}, levels AS (SELECT DISTINCT page_x, page_y, z FROM paged), p AS (SELECT page_x, page_y, max(z) AS m FROM levels GROUP BY 1, 2),
+s AS (SELECT page_x, page_y, coalesce(lag(m) OVER (ORDER BY page_y, page_x), 20) AS start FROM p)
+SELECT page_x, page_y, z, coalesce(lag(z) OVER w, start) AS before, z - coalesce(lag(z) OVER w, start) AS steps FROM levels JOIN s USING (page_x, page_y) WINDOW w AS (PARTITION BY page_x, page_y ORDER BY z)""")
+def height_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paging.height_steps(paging.paged(map_cells(spark, sf_dir)))
+
+
+MENUS = [("Ground 1", 10, 20), ("Foliage", 30, 40), ("A", 50, 60), ("N", 70, 80), ("O", 90, 100)]
+
+
+@query("""WITH g AS (SELECT DISTINCT CASE WHEN l_linenumber % 3 = 0 THEN 'Ground 1' WHEN l_linenumber % 3 = 1 THEN 'Foliage' ELSE 'Missing' END AS menu, l_returnflag AS cat1, l_linestatus AS cat2 FROM lineitem),
+m AS (SELECT * FROM (VALUES ('Ground 1', 10, 20), ('Foliage', 30, 40), ('A', 50, 60), ('N', 70, 80), ('O', 90, 100)) t(label, px, py))
+SELECT menu, cat1, cat2, a.px AS menu_px, b.px AS cat1_px, c.px AS cat2_px FROM g JOIN m a ON menu = a.label JOIN m b ON cat1 = b.label LEFT JOIN m c ON cat2 = c.label""")
+def menu_semijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    kind = F.when(F.col("l_linenumber") % 3 == 0, "Ground 1").when(F.col("l_linenumber") % 3 == 1, "Foliage").otherwise("Missing")
+    groups = li.select(kind.alias("menu"), F.col("l_returnflag").alias("cat1"), F.col("l_linestatus").alias("cat2")).distinct().withColumn("direction", F.lit(None).cast("string"))
+    found = paging.in_menu(groups, spark.createDataFrame(MENUS, "label string, px int, py int"))
+    return found.select("menu", "cat1", "cat2", F.col("menu_at.px").alias("menu_px"), F.col("cat1_at.px").alias("cat1_px"), F.col("cat2_at.px").alias("cat2_px"))
+
+
+@query()
+def brush_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strokes for the cells of each page, by height band."""
+    cells = paging.paged(map_cells(spark, sf_dir)).withColumn("menu", F.when(F.col("z") > 12, "Ground 1").otherwise("Walls"))
+    return paging.actions(paging.brushes(cells, ("page_x", "page_y", "menu")), ("menu", "brush", "x", "y"))
+
+
+# ---- networks ----
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    coords = F.array(g.point((k % 61) * 7.0, (k % 53) * 9.0 + 1.5), g.point(((k * 7) % 61) * 7.0 + 3.25, ((k * 11) % 53) * 9.0))
+    return table(spark, sf_dir, "supplier").select(k.alias("line"), F.lit("road").alias("name"), coords.alias("coords"))
+
+
+@query("""WITH s AS (SELECT s_suppkey AS line, (s_suppkey % 61) * 7.0 AS ax, (s_suppkey % 53) * 9.0 + 1.5 AS ay, ((s_suppkey * 7) % 61) * 7.0 + 3.25 AS bx, ((s_suppkey * 11) % 53) * 9.0 AS b_y FROM supplier),
+p AS (SELECT a.line, (b.ax - a.ax) * (b.b_y - b.ay) - (b.ay - a.ay) * (b.bx - b.ax) AS nt, (b.ax - a.ax) * (a.b_y - a.ay) - (b.ay - a.ay) * (a.bx - a.ax) AS nu, (a.bx - a.ax) * (b.b_y - b.ay) - (a.b_y - a.ay) * (b.bx - b.ax) AS d FROM s a JOIN s b ON a.line <> b.line
+  WHERE least(a.ax, a.bx) <= greatest(b.ax, b.bx) AND least(b.ax, b.bx) <= greatest(a.ax, a.bx) AND least(a.ay, a.b_y) <= greatest(b.ay, b.b_y) AND least(b.ay, b.b_y) <= greatest(a.ay, a.b_y)),
+q AS (SELECT DISTINCT line, nt / d AS t FROM p WHERE d <> 0 AND nt / d BETWEEN 0 AND 1 AND nu / d BETWEEN 0 AND 1)
+SELECT line, count(*) AS n, round(sum(t), 4) AS sum_t FROM q GROUP BY line""")
+def line_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    met = network.crossings(network.segments(lines(spark, sf_dir)), 64.0)
+    return met.groupBy("line").agg(F.count("*").alias("n"), F.round(F.sum("t"), 4).alias("sum_t"))
+
+
+@query()
+def line_noding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines cut at their crossings."""
+    return network.noded(lines(spark, sf_dir), 64.0)
+
+
+def path_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    own = F.array(g.point((k % 40) + 0.5, ((k * 3) % 40) + 0.5), g.point(((k * 7) % 40) + 0.5, ((k * 11) % 40) + 0.5))
+    return table(spark, sf_dir, "supplier").select((k % 16).alias("component"), F.col("s_nationkey").alias("rank"), k.alias("edge_id"), own.alias("line"))
+
+
+@query()
+def path_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes over a 40 by 40 lattice, in each of 16 components."""
+    return network.routed(path_edges(spark, sf_dir), (40, 40))
+
+
+def tile_set() -> list[tuple[int, float, dict[str, int]]]:
+    """Straight and bent tiles with one or two port values, and ends."""
+    names = ("u", "d", "l", "r")
+    pairs = [{a: p, b: q} for i, a in enumerate(names) for b in names[i + 1 :] for p in (0, 1) for q in (0, 1)]
+    ends = [{a: p} for a in names for p in (0, 1)]
+    return [(i, 1.0 + 0.5 * sum(t.values()), t) for i, t in enumerate(pairs + ends)]
+
+
+@query()
+def tile_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles along the routes, agreeing at every border."""
+    return network.tile_paths(network.with_directions(path_search(spark, sf_dir)), tile_set())
+
+
+@query("""WITH needs AS (SELECT DISTINCT l_suppkey AS node, CASE l_linenumber % 4 WHEN 0 THEN 'u' WHEN 1 THEN 'd' WHEN 2 THEN 'l' ELSE 'r' END AS port FROM lineitem WHERE l_quantity > 49),
+tiles AS (SELECT * FROM (VALUES (1, ['u','d']), (2, ['l','r']), (3, ['u','l','r']), (4, ['u','d','l','r']), (5, ['u']), (6, ['d']), (7, ['d','u'])) t(tile, ports)),
+p AS (SELECT tile, len(ports) AS m, unnest(ports) AS port FROM tiles), c AS (SELECT node, count(*) AS n FROM needs GROUP BY node)
+SELECT node, tile FROM needs JOIN p USING (port) JOIN c USING (node) GROUP BY node, tile, n, m HAVING count(*) = n AND m = n""")
+def node_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").where("l_quantity > 49")
+    port = F.get(F.array(*[F.lit(x) for x in "udlr"]), F.col("l_linenumber") % 4)
+    tiles = spark.createDataFrame([(1, ["u", "d"]), (2, ["l", "r"]), (3, ["u", "l", "r"]), (4, ["u", "d", "l", "r"]), (5, ["u"]), (6, ["d"]), (7, ["d", "u"])], "tile int, ports array<string>")
+    return network.node_tiles(li.select(F.col("l_suppkey").alias("node"), port.alias("port")), tiles)
+
+
+MOVES_SQL = "mv AS (SELECT user_id, event_id, CAST(floor(value) AS BIGINT) % 3 AS x, event_id % 3 AS y, ts FROM events), st AS (SELECT user_id, event_id, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy FROM mv WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"
+
+
+@query(f"WITH {MOVES_SQL} SELECT user_id, event_id, CASE WHEN abs(dx) <= 1 AND abs(dy) <= 1 THEN CASE dx * 3 + dy WHEN 1 THEN 'u' WHEN -1 THEN 'd' WHEN 3 THEN 'r' WHEN -3 THEN 'l' WHEN 4 THEN 'ur' WHEN 2 THEN 'dr' WHEN -2 THEN 'ul' WHEN -4 THEN 'dl' END END AS direction FROM st")
+def direction_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", (F.floor("value").cast("long") % 3).alias("x"), (F.col("event_id") % 3).alias("y"), "ts")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return e.select("user_id", "event_id", labels.direction(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)).alias("direction"))
+
+
+# ---- buildings ----
+
+
+@query("WITH v AS (SELECT p_partkey AS id, p_size - 25.0 AS dx, p_partkey % 41 - 20.0 AS dy FROM part), a AS (SELECT *, atan2(dy, dx) - floor(atan2(dy, dx) / (pi() / 2)) * (pi() / 2) AS r FROM v) SELECT id, least(r, pi() / 2 - r) > pi() / 8 AS is_diagonal FROM a")
+def orientation_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(k.alias("id"), g.is_diagonal(F.col("p_size") - 25.0, k % 41 - 20.0).alias("is_diagonal"))
+
+
+@query()
+def building_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Footprints of parts, as cells, packed with tiles of three sizes."""
+    p = table(spark, sf_dir, "part")
+    size = F.sequence(F.lit(0), (F.col("p_size") % 4).cast("int") + 1)
+    deep = F.sequence(F.lit(0), (F.col("p_partkey") % 3).cast("int") + 1)
+    cells = p.withColumn("row", F.explode(size)).withColumn("col", F.explode(deep)).where("not (row = 0 and col = 0 and p_partkey % 5 = 0)")
+    return packing.packed(cells.select(F.col("p_partkey").alias("building"), "row", "col"), [(1, 1), (2, 1), (2, 2)])
+
+
+CATALOGUE = [(2, 2, False, 1, 1.0, "Building 1"), (2, 2, False, 2, 0.5, "Building 2"), (2, 2, False, 3, 2.0, "Building 3"), (2, 1, False, 1, 1.0, "Building 4"), (2, 1, True, 2, 1.0, "Building 5")]
+
+
+@query(f"""WITH b AS (SELECT p_partkey AS building, CAST(2 AS INTEGER) AS "rows", CAST(1 + p_size % 2 AS INTEGER) AS cols, p_partkey % 7 = 0 AS is_diagonal FROM part),
+k AS (SELECT *, (3 + building * 7919) % 1000003 AS t FROM b WHERE NOT (cols = 2 AND is_diagonal))
+SELECT building, CASE WHEN cols = 1 AND is_diagonal THEN 'Building 5' WHEN cols = 1 THEN 'Building 4' WHEN {U_SQL} * 8000 < 3000::BIGINT * 1000003 THEN 'Building 1' WHEN {U_SQL} * 8000 < 6000::BIGINT * 1000003 THEN 'Building 2' ELSE 'Building 3' END AS label FROM k""")
+def building_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, s = F.col("p_partkey"), F.col("p_size")
+    placed = table(spark, sf_dir, "part").select(k.alias("building"), F.lit(2).alias("rows"), (1 + s % 2).cast("int").alias("cols"), (k % 7 == 0).alias("is_diagonal"))
+    catalogue = spark.createDataFrame(CATALOGUE, "rows int, cols int, is_diagonal boolean, stories int, weight double, label string")
+    return packing.chosen(placed, catalogue, "building", salt=3).select("building", "label")
+
