@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from gridloom.functions import labels
 from gridloom.functions import geometry as g
-from gridloom.operators import assign, elevation, grid, network, packing, paging, resolve, rules
+from gridloom.operators import assign, catalogues, elevation, grid, network, packing, paging, resolve, rules
 from gridloom.plans import schedule as plan
 from gridloom.sources import readers, sinks
 
@@ -558,3 +558,35 @@ def building_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     catalogue = spark.createDataFrame(CATALOGUE, "rows int, cols int, is_diagonal boolean, stories int, weight double, label string")
     return packing.chosen(placed, catalogue, "building", salt=3).select("building", "label")
 
+
+@query("""WITH c AS (SELECT p_size % 3 + 1 AS width, p_size % 4 + 1 AS height, p_partkey % 2 = 0 AS is_diagonal, p_partkey % 5 = 0 AS is_modular FROM part)
+SELECT is_diagonal, width, height, bool_or(is_modular) AS is_modular FROM c GROUP BY 1, 2, 3""")
+def catalogue_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogues.sizes(catalogue(spark, sf_dir))
+
+
+def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, s = F.col("p_partkey"), F.col("p_size")
+    return table(spark, sf_dir, "part").select((s % 3 + 1).alias("width"), (s % 4 + 1).alias("height"), (k % 2 == 0).alias("is_diagonal"), (k % 5 == 0).alias("is_modular"))
+
+
+@query("WITH c AS (SELECT p_size % 3 + 1 AS width, p_size % 4 + 1 AS height, p_partkey % 2 = 0 AS is_diagonal FROM part) SELECT is_diagonal, max(width * height) * 1.5 AS area FROM c GROUP BY 1")
+def largest_footprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogues.largest_footprint(catalogue(spark, sf_dir), 1.5)
+
+
+@query(f"""WITH {ROWS_SQL}, layer AS (SELECT CAST(i % 64 AS INTEGER) AS xidx, CAST(i // 64 AS INTEGER) AS yidx, -999 AS priority, 'default_ground' AS name, 'Ground' AS menu FROM range(64 * 64) t(i)),
+every AS (SELECT xidx, yidx, priority, name, menu FROM rows_ UNION SELECT * FROM layer),
+n AS (SELECT *, count(*) OVER c AS n, min(CASE WHEN priority > 0 THEN priority END) OVER c AS low FROM every WINDOW c AS (PARTITION BY xidx, yidx))
+SELECT name, priority, count(*) AS n FROM n WHERE NOT (n > 1 AND coalesce(priority = -999 OR (low IS NOT NULL AND (priority > low OR priority < 0)), false)) GROUP BY 1, 2""")
+def default_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    layer = catalogues.default_layer(spark, "default_ground", 64, 64, {"menu": "Ground"}).select("xidx", "yidx", "priority", "name", "menu")
+    rows = assignments(spark, sf_dir).select("xidx", "yidx", "priority", "name", "menu").union(layer).withColumn("z", F.lit(None).cast("double"))
+    return resolve.dominant(resolve.valid(rows)).groupBy("name", "priority").agg(F.count("*").alias("n"))
+
+
+@query("WITH d AS (SELECT s_suppkey AS id, 4 * (s_suppkey % 9) + 2 AS qx, 4 * (s_suppkey % 7) AS qy FROM supplier) SELECT id, CAST((qx - 2 + qy) // 2 AS INTEGER) AS r, CAST((qx - 2 - qy) / 2 AS INTEGER) AS c FROM d")
+def diagonal_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    r, c = catalogues.row_col(4 * (k % 9) + 2, 4 * (k % 7), F.lit(2), F.lit(0), True)
+    return table(spark, sf_dir, "supplier").select(k.alias("id"), r.alias("r"), c.alias("c"))

@@ -175,3 +175,28 @@ def test_empty_tables(spark):
     assert resolve.dominant(resolve.valid(rows)).count() == 0
     cells = spark.createDataFrame([], "x double, y double, z double")
     assert paging.paged(cells).count() == 0 and elevation.contours(cells, 5.0).count() == 0
+
+
+def test_planning():
+    from gridloom.functions import planning
+
+    assert planning.parse_box([1, 2, 0, 5]) == (4326, [(0, 2), (1, 2), (1, 5), (0, 5)])
+    code, box = planning.parse_box([25832, 0, 0, 2, 2, 1, 3, -1, 1])
+    assert code == 25832 and abs(math.dist(box[0], box[1]) * math.dist(box[1], box[2]) - 4) < 1e-9
+    assert planning.reference_points([(0, 0), (4, 0), (4, 2), (0, 2)], (3.9, 1.5)) == ((4, 2), (0, 2), (0, 0))
+    assert planning.split_repeats([(0, 0), (1, 1), (2, 0), (1, 1), (0, 2)]) == [[(0, 0), (1, 1)], [(1, 1), (2, 0), (1, 1), (0, 2)]]
+
+
+def test_catalogues(spark):
+    from gridloom.operators import catalogues
+
+    t = catalogues.tiles(spark, {(0, 0, 0): {"u": [1], "d": [1, 2], "l": None}, (1, 0, 0, 2): {"l": [1], "r": [1]}, (2, 0, 1): {"u": [2], "d": [2]}}, "road")
+    assert [r["tile"] for r in catalogues.fitting(t, {"u": 1, "d": 2}).collect()] == [0]
+    assert {r["n_connections"] for r in t.collect()} == {2}
+    rows = [("p", "residential", 2, 1, False), ("p", "church", 3, 3, True)]
+    b = spark.createDataFrame(rows, "profile string, building_type string, width int, height int, is_modular boolean").withColumn("is_diagonal", F.lit(False))
+    assert [catalogues.buildings(b, "p", k).first()["width"] for k in ("church", "mill")] == [3, 2]
+    assert catalogues.buildings(b, "q", "church").count() == 0
+    layer = catalogues.default_layer(spark, "default_ground", 3, 2, {"menu": "Ground"})
+    other = spark.createDataFrame([(0, 0, "Road", None, None, "road", 1)], layer.schema)
+    assert resolve.dominant(layer.unionByName(other)).where("menu = 'Ground'").count() == 5
