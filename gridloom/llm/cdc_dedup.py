@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridloom.llm.common import session, ship
+from gridloom.llm.common import session, ship, worker_tables
 
 WINDOW = 16
 #: One byte in EVERY ends a chunk, if none of the APART bytes before it does.
@@ -93,16 +93,12 @@ class Chunker:
         return of, begin - first[of], stop - begin, (digest ^ (digest >> np.uint64(32))).view(np.int64)
 
 
-_chunker: list[Chunker] = []
-
-
 def chunked(docs: DataFrame, key: str, text: str) -> DataFrame:
     """doc, pos, len, digest: a row per chunk of each document."""
     ship(session(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not _chunker:
-            _chunker.append(Chunker())
+        chunker = worker_tables("cdc", Chunker)
         for b in batches:
             ids, column = b.column(0).to_numpy(zero_copy_only=False), b.column(1)
             low = 0
@@ -112,7 +108,7 @@ def chunked(docs: DataFrame, key: str, text: str) -> DataFrame:
                     texts.append(column[high].as_py())
                     size += len(texts[-1])
                     high += 1
-                of, pos, length, digest = _chunker[0].chunks(texts)
+                of, pos, length, digest = chunker.chunks(texts)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[low + of], pa.int64()), pa.array(pos, pa.int32()), pa.array(length, pa.int32()), pa.array(digest, pa.int64())], ["doc", "pos", "len", "digest"])
                 low = high
 

@@ -8,7 +8,9 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +20,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 _shipped: set[str] = set()
 _scratch: list[str] = []
+_tables: dict[str, Any] = {}
+#: Bytes of an Arrow batch between Spark and Python; it may hold one long text more.
+ARROW_BYTES = "8m"
 
 
 def session(df: DataFrame) -> SparkSession:
@@ -26,7 +31,9 @@ def session(df: DataFrame) -> SparkSession:
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so that Python workers on other
-    machines can import it whatever the driver's working directory is."""
+    machines can import it whatever the driver's working directory is; and keep Arrow batches small,
+    as they hold whole texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -40,6 +47,16 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def worker_tables(name: str, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps between tasks: the tables of one operator. Another operator's are
+    let go first, as workers are used again and an executor's memory is for all of them."""
+    if name not in _tables:
+        _tables.clear()
+        gc.collect()
+        _tables[name] = make()
+    return _tables[name]
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share; where it is unset
     (tests on one machine) a temporary one, removed at exit."""

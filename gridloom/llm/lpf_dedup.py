@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import release, session, ship, stored
+from gridloom.llm.common import release, session, ship, stored, worker_tables
 
 LENGTH = 400
 SEED = 32
@@ -70,13 +70,8 @@ class Rolling:
         return h ^ (h >> np.uint64(31))
 
 
-_rolling: list[Rolling] = []
-
-
 def rolling() -> Rolling:
-    if not _rolling:
-        _rolling.append(Rolling())
-    return _rolling[0]
+    return worker_tables("lpf", Rolling)
 
 
 def anchors(data: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, np.ndarray]:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridloom.llm.common import release, session, ship, stored
+from gridloom.llm.common import release, session, ship, stored, worker_tables
 from gridloom.llm.components import components
 from gridloom.llm.shingles import Circulant, WordHashes, mix, shingle_sets, similar
 
@@ -41,14 +41,9 @@ BANDS, ROWS = 42, 6
 #: Texts handled together by a worker, in bytes.
 BATCH = 1 << 20
 
-_tools: dict[str, object] = {}
-
-
 def tools() -> tuple[WordHashes, Circulant]:
-    """Tables of a Python worker, made once."""
-    if not _tools:
-        _tools["words"], _tools["circulant"] = WordHashes(), Circulant(BANDS * ROWS)
-    return _tools["words"], _tools["circulant"]  # type: ignore[return-value]
+    """Tables of a Python worker."""
+    return worker_tables("minhash", lambda: (WordHashes(), Circulant(BANDS * ROWS)))
 
 
 def slices(b: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:

@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import session, ship
+from gridloom.llm.common import session, ship, worker_tables
 
 SPACE = "▁"
 NONE = np.iinfo(np.int32).max
 #: Words a worker remembers; when full it starts again, so memory stays bounded.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 120_000
 #: Characters encoded in one go.
 CHUNK_CHARS = 1 << 19
 
@@ -88,7 +88,7 @@ class Bpe:
             self.cut = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.number = [str(i) for i in range(self.n)]
         self.plain = [p.replace(SPACE, " ") if k == 1 else "" for p, k in zip(self.text, kinds, strict=True)]
-        self.by_char = np.full(0x110000, self.stranger, np.int64)
+        self.by_char = np.full(0x110000, self.stranger, np.int32)
         for ch, i in self.symbol.items():
             if len(ch) == 1:
                 self.by_char[ord(ch)] = i
@@ -105,7 +105,7 @@ class Bpe:
         """Symbols of every word after all merge rounds."""
         out: list[list[int]] = [[] for _ in words]
         lens = np.fromiter(map(len, words), np.int64, len(words))
-        sym = self.by_char[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        sym = self.by_char[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
         word = np.repeat(np.arange(len(words)), lens)
         at = np.full(len(sym), len(self.keys) - 1)  # the pair that begins at each symbol
         same = np.flatnonzero(word[1:] == word[:-1]) if len(sym) else np.zeros(0, np.int64)
@@ -234,18 +234,16 @@ class Bpe:
         return [int(i) for e in self.entries(self.pieces(text or "")) for i in e[0].split(",")]
 
 
-_models: dict[str, Bpe] = {}
+def model(path: str, proto: bytes | None = None) -> Bpe:
+    """The model at path, read once per process and kept while no other operator needs the room."""
 
+    def make() -> Bpe:
+        if proto is not None:
+            return Bpe(proto)
+        with open(path, "rb") as f:
+            return Bpe(f.read())
 
-def model(path: str, proto: bytes | None = None) -> Bpe:
-    """The model at path, read once per process."""
-    if path not in _models:
-        _models.clear()
-        if proto is None:
-            with open(path, "rb") as f:
-                proto = f.read()
-        _models[path] = Bpe(proto)
-    return _models[path]
+    return worker_tables(f"bpe {path}", make)
 
 
 def encoded(docs: DataFrame, model_path: str, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: bool = True, digests: bool = False) -> DataFrame:
