@@ -28,7 +28,8 @@ from gridloom.llm.common import held_out, session, ship
 
 LENGTH = 64
 HIDDEN = 8
-SAMPLE = 1200
+#: No more than Spark's limit for ranking before a shuffle (windowGroupLimitThreshold).
+SAMPLE = 1000
 WINDOWS = 5
 EPOCHS = 3
 #: Steps of training at least, however small the sample.

@@ -28,7 +28,10 @@ from pyspark.sql.window import Window
 
 from gridloom.llm.common import session, ship
 
-SAMPLE = 1500
+#: No more than Spark's limit for ranking before a shuffle (windowGroupLimitThreshold).
+SAMPLE = 1000
+#: Rows of the sample that are broadcast at most.
+BROADCAST = 50_000
 FOLDS = 4
 FEATURES = 4000
 LEAST = 5
@@ -152,11 +155,12 @@ def sample(docs: DataFrame, labels: DataFrame, names: list[str], key: str, text:
     """features, the labels and n (documents of that combination), per_group of each at most."""
     known = labels.select(F.col(f"`{key}`").alias("id"), *[F.col(f"`{c}`").cast("int").alias(f"y{i}") for i, c in enumerate(names)]).dropna()
     own = [f"y{i}" for i in range(len(names))]
-    # the label table is as large as the labelled part of documents: a plain join, small rows first
     order = Window.partitionBy(*own).orderBy(F.xxhash64("id"), "id")
     picked = known.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_group).drop("r")
     counts = known.groupBy(*own).agg(F.count("*").alias("n"))
     picked = picked.join(counts, own).dropDuplicates(["id"])
+    if per_group * 2 ** len(names) <= BROADCAST:  # its size is bounded by this, whatever the tables hold
+        picked = F.broadcast(picked)
     rows = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")).join(picked, "id").select("text", "n", *own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
