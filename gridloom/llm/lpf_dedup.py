@@ -37,11 +37,11 @@ from gridloom.llm.common import release, session, ship, stored, worker_tables
 
 LENGTH = 400
 SEED = 32
-#: Distinct segments of an anchor that are sorted together at most.
-MOST = 400
 BATCH = 1 << 20
 #: Bytes of segments that are sorted in one array.
 SORTED = 1 << 21
+#: Distinct segments of an anchor that are sorted together at most: about as many as fill one array.
+MOST = 4096
 _BASE = 0xA0761D6478BD642F
 _M = np.uint64(0xBF58476D1CE4E5B9)
 
