@@ -8,8 +8,12 @@ start. All of it is computed in numpy, by doubling instead of byte by byte.
 
 Chunks are known by a 64-bit digest. Of all occurrences of a digest the first one, in order of
 (id, position), stays. Later ones count as removed where neighbouring ones add up to RUN bytes: so a
-chance collision of a digest removes nothing. A digest's occurrences are counted with a partial
-aggregation and joined back, so a passage in very many documents is no single task.
+chance collision of a digest removes nothing. A repeated passage seldom begins and ends with a chunk;
+so later chunks in shorter runs are compared with the first occurrence byte by byte, and up to RUN equal
+bytes on either side of it count too. What then adds up to RUN bytes goes, and so does any
+text, however short, that is covered as a whole. A passage without a whole chunk in it is not found. A
+digest's occurrences are counted with a partial aggregation and joined back, so a passage in very many
+documents is no single task; of texts only the bytes around chunks are joined by digest.
 
 Cases: null and empty texts have no chunks; texts in any script are cut at bytes; rows that
 repeat an id count as one document; rows with a null id are never changed; an empty table gives an
@@ -26,13 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridloom.llm.common import session, ship, worker_tables
+from gridloom.llm.common import session, ship, stored, worker_tables
 
 WINDOW = 16
 #: One byte in EVERY ends a chunk, if none of the APART bytes before it does.
 EVERY, APART = 32, 8
 LONGEST = 512
-#: Bytes that neighbouring repeated chunks must have together.
+#: Bytes that neighbouring repeats must have together, unless they are a whole text.
 RUN = 96
 BATCH = 1 << 20
 
@@ -116,16 +120,72 @@ def chunked(docs: DataFrame, key: str, text: str) -> DataFrame:
     return source.mapInArrow(run, "doc bigint, pos int, len int, digest bigint")
 
 
+def around(docs: DataFrame, rows: DataFrame, key: str, text: str, reach: int) -> DataFrame:
+    """rows (doc, pos, len, digest) with the bytes of the chunk, up to reach bytes before and after it,
+    and the size of the text. A text is joined once, to all rows of its document."""
+    texts = docs.select(F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{text}`").cast("binary").alias("raw")).dropna()
+    each = texts.join(rows.groupBy("doc").agg(F.collect_set(F.struct("pos", "len", "digest")).alias("all")), "doc")
+    each = each.select("doc", "raw", F.inline("all"))
+    low, end = F.greatest(F.col("pos") - reach, F.lit(0)), F.col("pos") + F.col("len")
+    parts = {"before": F.substring("raw", low + 1, F.col("pos") - low), "body": F.substring("raw", F.col("pos") + 1, F.col("len")), "after": F.substring("raw", end + 1, F.lit(reach))}
+    return each.select("doc", "pos", "len", "digest", *[c.alias(n) for n, c in parts.items()], F.octet_length("raw").alias("size"))
+
+
+def in_common(a: bytes, b: bytes) -> int:
+    """Length of the common prefix."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if a[:mid] == b[:mid] else (low, mid - 1)
+    return low
+
+
+def widened(here: DataFrame, there: DataFrame) -> DataFrame:
+    """doc, start, end, size: chunks of here (as from around()) with the bytes on either side that their
+    digest's first occurrence, in there, has too. In one document the two don't overlap."""
+    first = there.select("digest", F.col("doc").alias("doc_2"), (F.col("pos") + F.col("len")).alias("end_2"), F.col("before").alias("before_2"), "body", F.col("after").alias("after_2"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                left = in_common(r["before"][::-1], r["before_2"][::-1])
+                right = in_common(r["after"], r["after_2"])
+                if r["doc"] == r["doc_2"]:
+                    room = max(r["pos"] - r["end_2"], 0)
+                    left = min(left, room)
+                    right = min(right, room - left)
+                out.append((r["doc"], r["pos"] - left, r["pos"] + r["len"] + right, r["size"]))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["doc", "start", "end", "size"])
+
+    met = here.join(first, ["digest", "body"]).select("doc", "pos", "len", "size", "before", "after", "doc_2", "end_2", "before_2", "after_2")
+    return met.mapInArrow(run, "doc bigint, start int, end int, size int")
+
+
 def repeated(docs: DataFrame, *, key: str = "doc_id", text: str = "text", run: int = RUN) -> DataFrame:
     """doc and spans (start and end in bytes, in order) of what repeats an earlier passage."""
     chunks = chunked(docs, key, text)
     first = chunks.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc").alias("first_doc")).where("n > 1").drop("n")
     again = chunks.join(first, "digest")
     in_doc = Window.partitionBy("doc", "digest")
-    later = again.withColumn("first_pos", F.min("pos").over(in_doc)).where("doc > first_doc or pos > first_pos")
-    by_pos = Window.partitionBy("doc").orderBy("pos")
-    starts = later.select("doc", "pos", (F.col("pos") + F.col("len")).alias("end")).withColumn("new", F.when(F.col("pos") > F.coalesce(F.lag("end").over(by_pos), F.lit(-1)), 1).otherwise(0))
-    runs = starts.withColumn("run", F.sum("new").over(by_pos)).groupBy("doc", "run").agg(F.min("pos").alias("start"), F.max("end").alias("end")).where(F.col("end") - F.col("start") >= run)
+    marked = again.withColumn("first_pos", F.min("pos").over(in_doc)).select("doc", "pos", "len", "digest", F.expr("doc > first_doc or pos > first_pos").alias("later"))
+    marked = stored(marked, "cdc-chunks")
+    by_pos, in_run = Window.partitionBy("doc").orderBy("pos"), Window.partitionBy("doc", "run")
+    starts = marked.where("later").select("doc", "pos", "len", "digest", (F.col("pos") + F.col("len")).alias("end"))
+    starts = starts.withColumn("new", F.when(F.col("pos") > F.coalesce(F.lag("end").over(by_pos), F.lit(-1)), 1).otherwise(0)).withColumn("run", F.sum("new").over(by_pos))
+    sized = starts.withColumns({"start": F.min("pos").over(in_run), "stop": F.max("end").over(in_run)})
+    enough = F.col("stop") - F.col("start") >= run
+    long = sized.where(enough).select("doc", "start", F.col("stop").alias("end"), F.lit(None).cast("int").alias("size")).distinct()
+    short = sized.where(~enough).select("doc", "pos", "len", "digest")
+    source = marked.where("not later").join(short.select("digest").distinct(), "digest", "left_semi")
+    ship(session(docs))
+    wide = widened(around(docs, short, key, text, run), around(docs, source, key, text, run))
+    by_start = Window.partitionBy("doc").orderBy("start", "end")
+    reached = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    pieces = long.union(wide).withColumn("new", F.when(F.col("start") > F.coalesce(reached, F.lit(-1)), 1).otherwise(0))
+    pieces = pieces.withColumn("run", F.sum("new").over(by_start))
+    runs = pieces.groupBy("doc", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("size").alias("size"))
+    runs = runs.where((F.col("end") - F.col("start") >= run) | ((F.col("start") == 0) & (F.col("end") == F.col("size"))))
     return runs.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
 

@@ -197,6 +197,39 @@ def test_cdc(docs, empty, rows):
     assert cdc_dedup.repeated(empty).count() == 0
 
 
+def test_cdc_short_texts(spark):
+    rng = random.Random(11)
+    texts = [prose(rng, n) for n in (1, 2, 4, 6, 9, 12)]
+    assert all(0 < len(t) < cdc_dedup.RUN for t in texts)
+    rows = [(i, t) for i, t in enumerate([*texts, *texts, *[texts[3]] * 300, prose(rng, 9)])]
+    found = {r["doc"]: [tuple(s) for s in r["spans"]] for r in cdc_dedup.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {i: [(0, len(t))] for i, t in rows[len(texts) : -1]}
+
+
+def test_cdc_short_passages(spark):
+    """Passages of 100 to 250 bytes with other text on both sides: all with a whole chunk in them are
+    found, and what is found is an earlier copy."""
+    rng = random.Random(12)
+
+    def noise(n):
+        return "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+
+    passages = [noise(rng.randrange(100, 250)) for _ in range(200)]
+    rows = [(i, noise(150) + passages[i % 200] + noise(150)) for i in range(400)]
+    rows += [(400, noise(90) + passages[0] + noise(400) + passages[0])]
+    found = {r["doc"]: r["spans"] for r in cdc_dedup.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, spans in found.items():
+        for s in spans:
+            piece = rows[i][1][s["start"] : s["end"]]
+            assert len(piece) >= cdc_dedup.RUN and piece in (rows[0][1] if i == 400 else rows[i - 200][1])
+    of, _, _, digest = cdc_dedup.Chunker().chunks([t.encode() for _, t in rows])
+    sets = [set(digest[of == i].tolist()) for i in range(401)]
+    assert set(found) == {400, *(i for i in range(200, 400) if sets[i] & sets[i - 200])}
+    assert len(found) > 150
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert cdc_dedup.repeated(empty).count() == 0
+
+
 def shingle_model(t, width):
     w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
     return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set())
