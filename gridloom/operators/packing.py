@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -15,8 +17,6 @@ from gridloom.functions import geometry as g
 
 # How likely buildings of one, two and three stories are, in tenths.
 STORIES = {1: 3, 2: 6, 3: 1}
-#: Nodes of the search tree at most; the best packing so far counts then.
-NODES = 4_000
 
 
 def footprint(buildings: DataFrame, ring: str) -> DataFrame:
@@ -35,22 +35,47 @@ def unfilled_cost(grid: np.ndarray) -> int:
     return total
 
 
+def least_cover(shape: tuple[int, int], tiles: list[tuple[int, int]]) -> Callable[[np.ndarray], float]:
+    """A function of cells: the least cost of covering them with tiles, an open cell costing one. Cells
+    are bits, in order along the shorter side, and sets of them that are left are settled once: how
+    many there are grows with the shorter side."""
+    turn = shape[1] > shape[0]
+    n, m = shape[::-1] if turn else shape
+    blocks = [(h, w, sum(1 << (r * m + c) for r in range(h) for c in range(w))) for h, w in ((t[::-1] if turn else t) for t in tiles) if h <= n and w <= m]
+    known: dict[int, float] = {0: 0.0}
+
+    def cover(left: int) -> float:
+        if left not in known:
+            first = (left & -left).bit_length() - 1
+            best = 1.0 + cover(left & (left - 1))
+            for h, w, bits in blocks:
+                block = bits << first
+                if first // m + h <= n and first % m + w <= m and left & block == block:
+                    best = min(best, 0.5 + cover(left ^ block))
+            known[left] = best
+        return known[left]
+
+    return lambda cells: cover(int.from_bytes(np.packbits(cells.T if turn else cells, bitorder="little").tobytes(), "little"))
+
+
 def pack(grid: np.ndarray, tiles: list[tuple[int, int]], modular: bool) -> tuple[float, list[tuple[int, int, int, int]]]:
     """Least cost, and the placements (row, col, rows, cols): half a unit a tile, and the cost of what
     stays open. One tile at most, unless modular. Branch and bound over open cells in order: each is
-    the upper left of a tile or stays open."""
+    the upper left of a tile or stays open. The bound is the least cover of the cells to come, beside
+    what the open cells cost, as a further open cell adds one at least."""
     order = sorted(set(tiles), key=lambda t: (-t[0] * t[1], t))
     best: list = [float(unfilled_cost(grid)), []]
-    seen = [0]
+    cover = least_cover(grid.shape, order)
 
     def search(left: np.ndarray, open_: np.ndarray, placed: list[tuple[int, int, int, int]]) -> None:
-        seen[0] += 1
         cost = 0.5 * len(placed) + unfilled_cost(left | open_)
         if cost < best[0]:
             best[:] = [cost, list(placed)]
-        if seen[0] > NODES or 0.5 * (len(placed) + 1) >= best[0] or (placed and not modular) or not left.any():
+        if 0.5 * (len(placed) + 1) >= best[0] or (placed and not modular) or not left.any():
             return
         for r, c in np.argwhere(left).tolist():
+            if modular and 0.5 * len(placed) + unfilled_cost(open_) + cover(left) >= best[0]:
+                return
             for h, w in order:
                 block = left[r : r + h, c : c + w]
                 if block.shape == (h, w) and block.all():
@@ -60,10 +85,13 @@ def pack(grid: np.ndarray, tiles: list[tuple[int, int]], modular: bool) -> tuple
             if modular:  # the cell stays open
                 left, open_ = left.copy(), open_.copy()
                 left[r, c], open_[r, c] = False, True
-                if 0.5 * (len(placed) + 1) + unfilled_cost(open_) >= best[0]:
-                    return
 
-    search(grid.astype(bool), np.zeros(grid.shape, bool), [])
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(limit + 2 * grid.size)
+    try:
+        search(grid.astype(bool), np.zeros(grid.shape, bool), [])
+    finally:
+        sys.setrecursionlimit(limit)
     return best[0], best[1]
 
 

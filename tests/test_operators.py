@@ -126,6 +126,18 @@ def test_packing_is_optimal():
         assert packing.pack(shape, [(1, 1), (2, 1), (2, 2)], True)[0] == brute(shape, [(2, 2), (2, 1), (1, 1)])
 
 
+def test_packing_has_no_limit():
+    """Footprints on which the search is long: a corner of 5 by 4 and of 5 by 8 is missing."""
+    for shape, cost in (((5, 4), 3.5), ((5, 8), 7.5), ((8, 5), 6.0)):
+        cells = np.ones(shape, bool)
+        cells[0, 0] = False
+        got, placed = packing.pack(cells, [(1, 1), (2, 1), (2, 2)], True)
+        for r, c, h, w in placed:
+            assert cells[r : r + h, c : c + w].all()
+            cells[r : r + h, c : c + w] = False
+        assert got == cost == 0.5 * len(placed) + packing.unfilled_cost(cells)
+
+
 def test_routes_are_walks(spark):
     line = [(0.5, 0.5), (9.5, 6.5)]
     edges = spark.createDataFrame([(1, 0, 1, [(0.5, 0.5), (9.5, 6.5)]), (1, 1, 2, [(9.5, 0.5), (0.5, 6.5)]), (2, None, 3, [(3.5, 3.5), (3.5, 3.5)])], "component int, rank int, edge_id long, line array<struct<x:double,y:double>>")
