@@ -10,11 +10,15 @@ from gridloom.operators import grid, resolve, rules
 
 
 def assignments(stream: DataFrame, rule_table: DataFrame) -> DataFrame:
-    """Cells of arriving features (with a ring) and the type their first matching rule type gives. Each
-    row depends on one feature, so there is no state and no watermark."""
-    active = rule_table.where(F.coalesce("active", F.lit(True))).select("name", "priority", "cm_types", F.explode("tags").alias("t"))
+    """Cells of arriving features (with a ring) and the type that the first matching type of
+    each rule gives, for the rules that rules.match() admits. Each row depends on one feature, so there is no
+    state and no watermark."""
+    active = rule_table.where(F.coalesce("active", F.lit(True))).withColumnRenamed("tags", "rule_tags").drop("id").withColumn("t", F.explode(F.array_distinct("rule_tags")))
     each = stream.withColumn("e", F.explode(F.map_entries("tags")))
-    met = each.join(active, (F.col("e.key") == F.col("t.k")) & (F.col("e.value") == F.col("t.v"))).drop("e", "t")
+    met = each.join(active, (F.col("e.key") == F.col("t.k")) & (F.col("e.value") == F.col("t.v")))
+    # of a feature's tags that one rule names, the rule's first stands for all: no repeats, no state
+    once = F.get(F.filter("rule_tags", lambda p: rules.has(F.col("tags"), p)), 0) == F.col("t")
+    met = met.where(once & rules.allowed(F.col("tags"), F.col("id"))).drop("e", "t")
     kind = rules.first_type(F.col("tags"), F.col("cm_types"))
     typed = met.withColumn("kind", kind).where("kind is not null")
     cells = grid.fill(typed, "ring")

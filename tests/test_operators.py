@@ -12,6 +12,7 @@ from gridloom.functions import geometry as g
 from gridloom.operators import elevation, grid, network, packing, paging, resolve, rules
 from gridloom.plans import schedule
 from gridloom.sources import readers, sinks
+from gridloom.streaming import features
 
 
 def model_resolve(rows, ranks):
@@ -212,3 +213,24 @@ def test_catalogues(spark):
     layer = catalogues.default_layer(spark, "default_ground", 3, 2, {"menu": "Ground"})
     other = spark.createDataFrame([(0, 0, "Road", None, None, "road", 1)], layer.schema)
     assert resolve.dominant(layer.unionByName(other)).where("menu = 'Ground'").count() == 5
+
+
+def test_streamed_features_match_as_in_batches(spark, tmp_path):
+    config = {
+        "wood": {"priority": 1, "tags": [["natural", "wood"], ["landuse", "forest"]], "exclude_tags": [["leaf", "none"]], "required_tags": [["kept", "yes"]], "exclude_ids": ["banned"], "cm_types": [{"menu": "w", "tags": [["kept", "yes"]]}]},
+        "listed": {"priority": 2, "tags": [["natural", "wood"]], "allowed_ids": ["twice"], "cm_types": [{"menu": "l", "tags": [["natural", "wood"]]}]},
+        "off": {"priority": 3, "active": False, "tags": [["natural", "wood"]], "cm_types": [{"menu": "o", "tags": [["natural", "wood"]]}]},
+    }
+    table = readers.rule_table(spark, config)
+    wood = {"natural": "wood", "landuse": "forest", "kept": "yes"}
+    each = [("twice", wood), ("banned", wood), ("bare", wood | {"leaf": "none"}), ("loose", {"natural": "wood"})]
+    rows = [(i, tags, [(16.0 * k, 0.0), (16.0 * k + 8, 0.0), (16.0 * k + 8, 8.0), (16.0 * k, 8.0)]) for k, (i, tags) in enumerate(each)]
+    schema = "id string, tags map<string,string>, ring array<struct<x:double,y:double>>"
+    batch = spark.createDataFrame(rows, schema)
+    batch.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    q = features.assignments(stream, table).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out"))
+    assert q.awaitTermination(60)
+    got = sorted((r["xidx"], r["name"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    place = {i: 2 * k for k, (i, _) in enumerate(each)}
+    assert got == [(0, "listed"), (0, "wood")] == sorted((place[r["id"]], r["name"]) for r in rules.match(batch, table).collect())
