@@ -149,6 +149,28 @@ def test_routes_are_walks(spark):
     assert max(network.line_distance(x + 0.5, y + 0.5, line) for _, x, y in own) <= network.DEAREST
 
 
+def test_routes_make_way(spark):
+    """More of many lines find a route than in one pass, no port is taken twice, and a line out of the
+    box is reported without a route."""
+    rng = random.Random(3)
+    box, steps = (12, 12), {"u", "d", "l", "r"}
+    lines = [[(rng.randrange(12) + 0.5, rng.randrange(12) + 0.5) for _ in range(2)] for _ in range(30)]
+    used, before = {}, 0
+    for line in lines:
+        path = network.route(line, used, box, steps)
+        before += path is not None
+        for cell, name in network.Lattice.ports(path or []):
+            used.setdefault(cell, set()).add(name)
+    got = network.route_all(lines, box, steps)
+    ports = [x for path in got for x in network.Lattice.ports(path or [])]
+    assert len(ports) == len(set(ports)) and before < sum(p is not None for p in got)
+    rows = [(1, i, i, line) for i, line in enumerate([*lines, [(20.5, 0.5), (0.5, 0.5)]])]
+    path = network.routed(spark.createDataFrame(rows, "component int, rank int, edge_id long, line array<struct<x:double,y:double>>"), box)
+    assert {r["edge_id"] for r in path.collect()} == set(range(31))
+    assert [tuple(r) for r in path.where("edge_id = 30").collect()] == [(30, None, None, None)]
+    assert {r["edge_id"] for r in network.valid_path(path).where("valid").collect()} == {r["edge_id"] for r in network.with_directions(path).collect()}
+
+
 def test_schedule_order(spark):
     config = {"late": {"priority": 2, "tags": [], "process": ["type_from_tag"]}, "soon": {"priority": -1, "tags": [], "process": ["stream_tiles"]}, "off": {"priority": -5, "active": False, "tags": [], "process": ["type_from_tag"]}}
     steps = [(r["priority"], r["stage"], r["operator"]) for r in schedule.schedule(readers.rule_table(spark, config)).collect()]
