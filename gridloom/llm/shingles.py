@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 #: Universe of the circulant permutations; shingle hashes are folded into it.
@@ -17,48 +19,63 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def normal(text: bytes) -> bytes:
+    """The words of a text in lower case (A-Z only), with one space between them."""
+    return b" ".join(text.lower().split())
+
+
+def exact_shingles(words: list[bytes], width: int) -> set[tuple[bytes, ...]]:
+    """The shingles themselves; the whole sequence, if it is shorter; none without words."""
+    if len(words) >= width:
+        return set(zip(*[words[i:] for i in range(width)], strict=False))
+    return {tuple(words)} if words else set()
+
+
+def alike(a: set, b: set, percent: int) -> bool:
+    """100 * intersection >= percent * union, for sets that aren't empty."""
+    if not a or not b or min(len(a), len(b)) * 100 < percent * max(len(a), len(b)):
+        return False
+    both = len(a & b)
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
 class WordHashes:
-    """Hashes of all words of a batch of texts by one running polynomial over random byte values,
-    modulo 2**64. Words are what lies between ASCII white space; only A-Z is lower-cased."""
-
-    BASE = 0x9E3779B97F4A7C15 | 1
-
-    def __init__(self, seed: int = 77):
-        value = np.random.default_rng(seed).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        for upper in range(65, 91):
-            value[upper] = value[upper + 32]
-        self.value = value
-        self.space = np.zeros(256, bool)
-        self.space[[9, 10, 11, 12, 13, 32]] = True
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def _powers(self, n: int) -> None:
-        if len(self.up) < n:
-            n = max(n, 1 << 20)
-            for name, base in (("up", self.BASE), ("down", pow(self.BASE, -1, 2**64))):
-                p = np.full(n, base, np.uint64)
-                p[0] = 1
-                setattr(self, name, np.cumprod(p, dtype=np.uint64))
+    """Hashes of all words of a batch of normal texts: their bytes go eight by eight through a
+    bijection that isn't linear, so words of one length up to eight bytes never meet, and no
+    arrangement of letters makes longer ones meet. Words beyond LONG bytes are digested apart."""
+
+    LONG = 256
 
     def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The hashes of all words in order, and how many words each text has."""
-        joined = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+        joined = b" ".join(texts) + b" " * 9
+        data = np.frombuffer(joined, np.uint8)
+        gap = np.flatnonzero(data[: len(data) - 8] == 32)
+        begin, end = np.append(0, gap[:-1] + 1), gap
+        some = end > begin
+        begin, end = begin[some], end[some]
+        # eight bytes from each position on
+        eight = np.ndarray((len(data) - 7,), np.uint64, buffer=joined, strides=(1,))
+        size = end - begin
+        h = mix(size.astype(np.uint64) * _M1)
+        left = np.flatnonzero(size <= self.LONG)
+        at = 0
+        while len(left):
+            block = eight[begin[left] + at]
+            spare = np.clip(8 - (size[left] - at), 0, 7).astype(np.uint64) * np.uint64(8)
+            block &= np.uint64(0xFFFFFFFFFFFFFFFF) >> spare
+            h[left] = mix(h[left] * _M1 ^ block)
+            at += 8
+            left = left[size[left] > at]
+        for i in np.flatnonzero(size > self.LONG).tolist():
+            h[i] = int.from_bytes(hashlib.blake2b(joined[begin[i] : end[i]], digest_size=8).digest(), "little")
         ends = np.cumsum([len(t) + 1 for t in texts]) if texts else np.zeros(0, np.int64)
-        gap = self.space[joined]
-        edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
-        if len(joined) and not gap[0]:
-            edge = np.concatenate([[0], edge])
-        begin, end = edge[0::2], edge[1::2]
-        self._powers(len(joined) + 1)
-        total = np.zeros(len(joined) + 1, np.uint64)
-        np.cumsum(self.value[joined] * self.up[: len(joined)], out=total[1:])
-        h = mix((total[end] - total[begin]) * self.down[begin] + (end - begin).astype(np.uint64) * _M1)
         return h, np.diff(np.searchsorted(begin, ends), prepend=0)
 
 
 def shingle_sets(texts: list[bytes], width: int, words: WordHashes) -> list[np.ndarray]:
-    """Per text the sorted distinct hashes of its shingles of width words; of the whole sequence,
-    if it is shorter; none without words."""
+    """Per normal text the sorted distinct hashes of its shingles of width words; of the whole
+    sequence, if it is shorter; none without words."""
     h, counts = words.of(texts)
     x = np.full(len(h), width, np.uint64)
     for k in range(width):
@@ -104,15 +121,3 @@ class Circulant:
         for i in range(0, len(at), 2048):
             np.minimum(low, self.rows[at[i : i + 2048]].min(axis=0), out=low)
         return low
-
-
-def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """100 * intersection >= percent * union, for sorted distinct sets."""
-    if not len(a) or not len(b):
-        return False
-    if min(len(a), len(b)) * 100 < percent * max(len(a), len(b)):
-        return False
-    at = np.searchsorted(a, b)
-    at[at == len(a)] = 0
-    both = int(np.count_nonzero(a[at] == b))
-    return 100 * both >= percent * (len(a) + len(b) - both)

@@ -235,24 +235,56 @@ def shingle_model(t, width):
     return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set())
 
 
-@pytest.mark.parametrize("width", [2, 5])
-def test_minhash(docs, empty, rows, width):
-    sets = {r[0]: shingle_model(r[1], width) for r in rows if r[0] is not None}
+def components_of(sets, percent=80):
     root = {i: i for i in sets}
     for i in sets:
         for j in sets:
             both = len(sets[i] & sets[j])
-            if both and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+            if both and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
                 a, b = root[i], root[j]
                 root = {k: min(a, b) if v in (a, b) else v for k, v in root.items()}
+    return root
+
+
+@pytest.mark.parametrize("width", [2, 5])
+def test_minhash(docs, empty, rows, width):
+    sets = {r[0]: shingle_model(r[1], width) for r in rows if r[0] is not None}
+    root = components_of(sets)
     got = minhash_dedup.near_duplicates(docs, width=width).collect()
     assert len(got) == len(rows)
     for r in got:
         if r["doc_id"] is None:
-            assert r["component_id"] is None or r["kept"] is not None
+            assert r["component_id"] is None and r["kept"]
         else:
             assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[r["doc_id"]]), root[r["doc_id"]], root[r["doc_id"]] == r["doc_id"])
     assert minhash_dedup.near_duplicates(empty).count() == 0
+    kept = minhash_dedup.deduplicated(docs, width=width)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted(set(root.values()))
+    assert kept.where("doc_id is null").count() == sum(r[0] is None for r in rows)
+    assert minhash_dedup.deduplicated(empty).count() == 0
+
+
+def test_minhash_of_repeated_ids(spark):
+    """Rows are told apart by id and words; words by their bytes, whatever the letters."""
+    rng = random.Random(15)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    signs = [""]
+    for _ in range(10):  # letters in an order that polynomial hashes can't tell from its complement
+        signs = [signs[0] + signs[0].translate(str.maketrans("xy", "yx")) if signs[0] else "xy"]
+    odd, even = signs[0], signs[0].translate(str.maketrans("xy", "yx"))
+    rows = [(1, a), (1, b), (1, a), (2, b + " end"), (3, b.upper()), (3, c), (4, a), (7, "k " + odd), (8, "k " + even), (9, None), (9, " "), (9, " "), (10, "")]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, nth int")
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash_dedup.near_duplicates(df, width=2).collect())
+    sets = {k: shingle_model(t, 2) for k, (_, t) in enumerate(rows)}
+    root = components_of(sets)
+    smallest = {v: min(rows[k][0] for k in root if root[k] == v) for v in root.values()}
+    want = sorted((i, len(sets[k]), smallest[root[k]], smallest[root[k]] == i) for k, (i, _) in enumerate(rows))
+    assert got == want and (8, 1, 8, True) in got
+    kept = minhash_dedup.deduplicated(df, width=2).collect()
+    # one of the rows of a, of b and of c; both long words; a null and a blank text of document 9
+    assert sorted((r["doc_id"], r["text"]) for r in kept if r["doc_id"] != 9) == sorted([(1, a), (1, b), (3, c), (7, "k " + odd), (8, "k " + even), (10, "")])
+    assert sorted(str(r["text"]) for r in kept if r["doc_id"] == 9) == [" ", "None"]
 
 
 def test_family_of_chained_copies(spark):
