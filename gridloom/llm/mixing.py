@@ -17,8 +17,9 @@ and ranked apart, so no key is too large for a task.
 
 Cases: null sources are a source of their own, last in order; null or absent sizes count 0 and such
 documents are taken without words; a source of size 0 has target 0; repeated rows each count; an
-empty table gives an empty result; all columns of the input come back, and clashing names are
-avoided by a prefix.
+empty table gives an empty result; all columns of the input come back. Working columns have names
+that begin with __mixing_; a table that has a column of the result's names is refused, unless a
+prefix for these is given. Rows alike in key, size and source are interchangeable.
 """
 
 from __future__ import annotations
@@ -40,6 +41,9 @@ OFFSETS = 128
 #: Documents of one source and size that are ranked together.
 GROUP = 20_000
 EXACT = "decimal(38,9)"
+ADDED = ("source_size", "target", "rate", "copies")
+#: What names of working columns begin with.
+P = "__mixing_"
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -64,16 +68,21 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return open_at.select("source", "sid", "weight", "source_size", target.alias("target"))
 
 
-def mixed(sized: DataFrame, *, source: str = "source", size: str = "size", key: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """sized with source_size, target, rate (double) and copies (long)."""
-    rows = sized.withColumns({"__size": F.coalesce(F.col(f"`{size}`"), F.lit(0)).cast("long"), "__source": F.col(f"`{source}`")})
-    counts = stored(rows.groupBy("__source", "__size").agg(F.count("*").alias("n")), "mix-histogram")
+def mixed(sized: DataFrame, *, source: str = "source", size: str = "size", key: str | tuple[str, ...] = "doc_id", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, prefix: str = "") -> DataFrame:
+    """sized with source_size, target, rate (double) and copies (long), their names behind prefix.
+    key: columns that tell documents apart, by which they are ranked."""
+    clash = {f"{prefix}{c}" for c in ADDED} & set(sized.columns)
+    if clash:
+        raise ValueError(f"columns {sorted(clash)} are there already; choose a prefix")
+    own = (key,) if isinstance(key, str) else key
+    rows = sized.withColumns({f"{P}size": F.coalesce(F.col(f"`{size}`"), F.lit(0)).cast("long"), f"{P}source": F.col(f"`{source}`"), f"{P}key": F.xxhash64(*[F.col(f"`{c}`") for c in own])})
+    counts = stored(rows.groupBy(F.col(f"{P}source").alias("__source"), F.col(f"{P}size").alias("__size")).agg(F.count("*").alias("n")), "mix-histogram")
     per_source = counts.groupBy("__source").agg(F.sum(F.col("__size") * F.col("n")).alias("source_size"), F.sum("n").alias("docs"), F.min(F.when(F.col("__size") > 0, F.col("__size"))).alias("least"))
     aimed = targets(per_source.select(F.col("__source").alias("source"), "source_size"), weights, share, cap)
     per_source = stored(per_source.join(aimed.withColumnRenamed("source", "source2").drop("source_size"), F.col("__source").eqNullSafe(F.col("source2"))).drop("source2"), "mix-sources")
     histogram = stored(counts.join(per_source.select(F.col("__source").alias("s2"), "sid", "docs", "source_size"), F.col("__source").eqNullSafe(F.col("s2"))).select("sid", "__size", "n", (F.col("__size") * F.col("docs") / F.greatest("source_size", F.lit(1))).alias("z")), "mix-sid")
     rates = balanced(histogram, per_source, cap)
-    return rounded(rows, per_source, histogram, rates, key, cap).drop("__size", "__source")
+    return rounded(rows, per_source, histogram, rates, cap, prefix).drop(f"{P}size", f"{P}source", f"{P}key")
 
 
 def tilt(lam: Column, z: Column, cap: float) -> Column:
@@ -112,26 +121,30 @@ def balanced(histogram: DataFrame, per_source: DataFrame, cap: float) -> DataFra
     return state.select("sid", "lam")
 
 
-def rounded(rows: DataFrame, per_source: DataFrame, histogram: DataFrame, rates: DataFrame, key: str, cap: float) -> DataFrame:
+def rounded(rows: DataFrame, per_source: DataFrame, histogram: DataFrame, rates: DataFrame, cap: float, prefix: str) -> DataFrame:
     """rows with source_size, target, rate and copies."""
     rate = F.when(F.col("lam").isNull(), F.lit(cap)).otherwise(tilt(F.col("lam"), F.col("z"), cap))
-    by_size = histogram.join(rates, "sid").join(per_source.select("sid", F.col("__source").alias("s2"), "source_size", "target"), "sid")
-    by_size = by_size.select("sid", F.col("__size").alias("z2"), "s2", "source_size", "target", rate.alias("rate"), F.ceil(F.col("n") / GROUP).cast("long").alias("parts"))
-    by_size = stored(by_size, "mix-rates")
-    met = (F.col("__source").eqNullSafe(F.col("s2"))) & (F.col("__size") == F.col("z2"))
-    told = rows.join(by_size, met).withColumn("__part", F.pmod(F.xxhash64(F.col(f"`{key}`")), F.col("parts")))
-    keys = rows.select("__source", "__size", key).join(by_size.select("sid", "s2", "z2", "rate", "target", "parts"), met)
-    groups = keys.withColumn("__part", F.pmod(F.xxhash64(F.col(f"`{key}`")), F.col("parts"))).groupBy("sid", "z2", "__part").agg(F.count("*").alias("m"), F.first("rate").alias("r"), F.first("target").alias("aim"))
-    running = Window.partitionBy("sid").orderBy("z2", "__part").rowsBetween(Window.unboundedPreceding, -1)
+    by_size = histogram.join(rates, "sid").join(per_source.select("sid", F.col("__source").alias("s"), "source_size", "target"), "sid")
+    by_size = by_size.select("sid", F.col("__size").alias("z"), "s", "source_size", "target", rate.alias("rate"), F.ceil(F.col("n") / GROUP).cast("long").alias("parts"))
+    by_size = stored(by_size.withColumnsRenamed({c: P + c for c in by_size.columns}), "mix-rates")
+    size, source, own = F.col(f"{P}size"), F.col(f"{P}source"), F.col(f"{P}key")
+    met = source.eqNullSafe(F.col(f"{P}s")) & (size == F.col(f"{P}z"))
+    part = F.pmod(own, F.col(f"{P}parts"))
+    told = rows.join(by_size, met).withColumn(f"{P}part", part)
+    keys = rows.select(size.alias(f"{P}size"), source.alias(f"{P}source"), own.alias(f"{P}key")).join(by_size, met).withColumn("part", part)
+    groups = keys.groupBy(F.col(f"{P}sid").alias("sid"), F.col(f"{P}z").alias("z"), "part").agg(F.count("*").alias("m"), F.first(f"{P}rate").alias("r"), F.first(f"{P}target").alias("aim"))
+    running = Window.partitionBy("sid").orderBy("z", "part").rowsBetween(Window.unboundedPreceding, -1)
     base = F.coalesce(F.sum((F.col("m") * F.col("r")).cast(EXACT)).over(running), F.lit(0)).cast("double")
     groups = stored(groups.withColumn("base", base), "mix-base")
     tried = groups.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(OFFSETS - 1)))).withColumn("u", (F.col("k") + 0.5) / OFFSETS)
-    words = F.col("z2") * (F.floor(F.col("base") + F.col("m") * F.col("r") + F.col("u")) - F.floor(F.col("base") + F.col("u")))
+    words = F.col("z") * (F.floor(F.col("base") + F.col("m") * F.col("r") + F.col("u")) - F.floor(F.col("base") + F.col("u")))
     totals = tried.groupBy("sid", "k", "u").agg(F.sum(words).alias("words"), F.first("aim").alias("aim"))
     best = totals.groupBy("sid").agg(F.min_by("u", F.struct(F.abs(F.col("words") - F.col("aim")), "k")).alias("u"))
-    base = groups.join(best, "sid").select(F.col("sid").alias("sid3"), F.col("z2").alias("z3"), F.col("__part").alias("part3"), (F.col("base") + F.col("u")).alias("base"))
-    within = Window.partitionBy("sid", "z2", "__part").orderBy(F.xxhash64(F.col(f"`{key}`"), F.lit(1)), F.col(f"`{key}`"))
-    ranked = told.withColumn("__rank", F.row_number().over(within)).join(base, (F.col("sid") == F.col("sid3")) & (F.col("z2") == F.col("z3")) & (F.col("__part") == F.col("part3")))
-    to = F.floor(F.col("base") + F.col("__rank") * F.col("rate")) - F.floor(F.col("base") + (F.col("__rank") - 1) * F.col("rate"))
+    base = groups.join(best, "sid").select(F.col("sid").alias(f"{P}sid3"), F.col("z").alias(f"{P}z3"), F.col("part").alias(f"{P}part3"), (F.col("base") + F.col("u")).alias(f"{P}base"))
+    within = Window.partitionBy(f"{P}sid", f"{P}z", f"{P}part").orderBy(F.xxhash64(own, F.lit(1)), own)
+    ranked = told.withColumn(f"{P}rank", F.row_number().over(within)).join(base, (F.col(f"{P}sid") == F.col(f"{P}sid3")) & (F.col(f"{P}z") == F.col(f"{P}z3")) & (F.col(f"{P}part") == F.col(f"{P}part3")))
+    at, rank, rate = F.col(f"{P}base"), F.col(f"{P}rank"), F.col(f"{P}rate")
+    to = F.floor(at + rank * rate) - F.floor(at + (rank - 1) * rate)
     copies = F.least(F.greatest(to, F.lit(0)), F.lit(int(cap))).cast("long")
-    return ranked.withColumn("copies", copies).drop("sid", "z2", "s2", "parts", "__part", "__rank", "sid3", "z3", "part3", "base")
+    added = {"source_size": F.col(f"{P}source_size"), "target": F.col(f"{P}target"), "rate": rate, "copies": copies}
+    return ranked.select(*[F.col(f"`{c}`") for c in rows.columns], *[added[c].alias(f"{prefix}{c}") for c in ADDED])

@@ -64,8 +64,8 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document: its size, its source's size and target, and the words the mix takes."""
     docs = common.documents(spark, sf_dir)
-    sized = common.stored(docs.select("doc_id", "source", common.word_count(F.col("text")).alias("size")), "mix-sizes")
-    mix = mixing.mixed(sized)
+    sized = common.stored(docs.select("doc_id", "source", common.word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("h")), "mix-sizes")
+    mix = mixing.mixed(sized, key=("doc_id", "h"))
     return mix.select("doc_id", "size", F.col("source_size").cast("long"), F.col("target").cast("double"), (F.col("copies") * F.col("size")).alias("taken"))
 
 
