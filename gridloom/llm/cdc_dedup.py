@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridloom.llm.common import session, ship, stored, worker_tables
+from gridloom.llm.common import session, settled, ship, stored, worker_tables
 
 WINDOW = 16
 #: One byte in EVERY ends a chunk, if none of the APART bytes before it does.
@@ -117,7 +117,7 @@ def chunked(docs: DataFrame, key: str, text: str) -> DataFrame:
                 low = high
 
     source = docs.select(F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{text}`").cast("binary").alias("text")).dropna()
-    return source.mapInArrow(run, "doc bigint, pos int, len int, digest bigint")
+    return source.mapInArrow(settled(run), "doc bigint, pos int, len int, digest bigint")
 
 
 def around(docs: DataFrame, rows: DataFrame, key: str, text: str, reach: int) -> DataFrame:
@@ -159,7 +159,7 @@ def widened(here: DataFrame, there: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["doc", "start", "end", "size"])
 
     met = here.join(first, ["digest", "body"]).select("doc", "pos", "len", "size", "before", "after", "doc_2", "end_2", "before_2", "after_2")
-    return met.mapInArrow(run, "doc bigint, start int, end int, size int")
+    return met.mapInArrow(settled(run), "doc bigint, start int, end int, size int")
 
 
 def repeated(docs: DataFrame, *, key: str = "doc_id", text: str = "text", run: int = RUN) -> DataFrame:

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import gc
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import wraps
 from pathlib import Path
 from typing import Any
 
@@ -57,13 +61,35 @@ def worker_tables(name: str, make: Callable[[], Any]) -> Any:
     return _tables[name]
 
 
+def settled(run: Callable[[Iterator[Any]], Iterator[Any]]) -> Callable[[Iterator[Any]], Iterator[Any]]:
+    """run, an Arrow function of a task, and then its freed memory given back to the system: workers
+    outlive their tasks, and what they hold on to is missing elsewhere."""
+
+    @wraps(run)
+    def both(batches: Iterator[Any]) -> Iterator[Any]:
+        try:
+            yield from run(batches)
+        finally:
+            import pyarrow as pa
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return both
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; where it is unset
-    (tests on one machine) a temporary one, removed at exit."""
+    """The folder in spark.checkpoint.dir, which driver and executors share. Where it is unset and all
+    runs on one machine, as in tests, a temporary one, removed at exit; on a cluster that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="gridloom-shared-")
-        atexit.register(__import__("shutil").rmtree, root, True)
+        atexit.register(shutil.rmtree, root, True)
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
@@ -73,11 +99,26 @@ def unique(name: str) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path. It stays until sweep() or swept_scratch() deletes it, as results read it."""
     path = f"{shared_folder(spark)}/gridloom/{unique(name)}"
     _scratch.append(path)
     return path
 
 
+@contextlib.contextmanager
+def swept_scratch(spark: SparkSession, before: list[str]) -> Iterator[None]:
+    """Delete the folders in before, then list there those that are made inside, and no others."""
+    while before:
+        remove(spark, before.pop())
+    release(spark)
+    first = len(_scratch)
+    try:
+        yield
+    finally:
+        before += _scratch[first:]
+        del _scratch[first:]
+
+
 def sweep(spark: SparkSession) -> None:
     """Delete all scratch folders so far. Only for callers who have written whatever read them."""
     while _scratch:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridloom.llm.common import held_out, session, ship
+from gridloom.llm.common import held_out, session, settled, ship
 
 LENGTH = 64
 HIDDEN = 8
@@ -208,7 +208,7 @@ def sample(docs: DataFrame, key: str, text: str, label: str, allowed: Column, pe
 
     # ids: at most per_label per label, so the join is with a small table
     chosen = fit.select(F.col(f"`{key}`").alias("id"), F.col(f"`{label}`").alias("label"), F.col(f"`{text}`").cast("binary").alias("text")).join(ids, "id", "left_semi")
-    return chosen.select("label", "text").mapInArrow(run, "label string, piece binary")
+    return chosen.select("label", "text").mapInArrow(settled(run), "label string, piece binary")
 
 
 def learned(docs: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "lang", allowed: Column | None = None) -> Network:
@@ -245,4 +245,4 @@ def predicted(docs: DataFrame, net: Network, *, text: str = "text", lang: str =
                 yield pa.RecordBatch.from_arrays([*[b.column(i) for i in where], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, lang, score])
 
     schema = ", ".join([*[f"`{c}` {k}" for c, k in docs.dtypes if c in keep], f"`{lang}` string", f"`{score}` double"])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(settled(run), schema)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import session, ship, worker_tables
+from gridloom.llm.common import session, settled, ship, worker_tables
 
 SPACE = "▁"
 NONE = np.iinfo(np.int32).max
@@ -266,7 +266,7 @@ def encoded(docs: DataFrame, model_path: str, *, text: str = "text", keep: tuple
                     yield encode_batch(bpe, part, list(keep), ids, digests)
                     gc.enable()
 
-    return chosen.mapInArrow(run, schema)
+    return chosen.mapInArrow(settled(run), schema)
 
 
 def pa_schema(docs: DataFrame, keep: tuple[str, ...], ids: bool, digests: bool) -> str:

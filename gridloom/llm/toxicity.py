@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridloom.llm.common import session, ship
+from gridloom.llm.common import session, settled, ship
 
 #: No more than Spark's limit for ranking before a shuffle (windowGroupLimitThreshold).
 SAMPLE = 1000
@@ -168,7 +168,7 @@ def sample(docs: DataFrame, labels: DataFrame, names: list[str], key: str, text:
             got = pa.array([sorted(features(t)) for t in b.column(0).to_pylist()], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([got, *b.columns[1:]], ["features", "n", *own])
 
-    return rows.mapInArrow(run, ", ".join(["features array<string>", "n bigint", *[f"{c} int" for c in own]]))
+    return rows.mapInArrow(settled(run), ", ".join(["features array<string>", "n bigint", *[f"{c} int" for c in own]]))
 
 
 def learned(docs: DataFrame, labels: DataFrame, names: list[str], *, key: str = "doc_id", text: str = "text", per_group: int = SAMPLE) -> Chain:
@@ -198,5 +198,5 @@ def scored(docs: DataFrame, chain: Chain, *, key: str = "doc_id", text: str = "t
                 yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.float64()) for c in p.T]], ["id", *[f"p_{c}" for c in names]])
 
     kind = dict(docs.dtypes)[key]
-    found = docs.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(run, ", ".join([f"id {kind}", *[f"`p_{c}` double" for c in names]]))
+    found = docs.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(settled(run), ", ".join([f"id {kind}", *[f"`p_{c}` double" for c in names]]))
     return found.withColumnRenamed("id", key)
