@@ -2,12 +2,17 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last
 return the columns of documents. When a stage begins, what it is given has been written, so the
-scratch folders of the stages before it are deleted.
+scratch folders of the stage before it are deleted, and only those.
+
+Cases, for every stage: null texts, ids and sources, empty and very long texts, repeated rows, ids
+that repeat with other texts, and empty tables go through; columns beyond those of documents are
+carried along under any name that doesn't begin with __gridloom.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,44 +21,66 @@ from gridloom.llm import common, language_id, minhash_dedup, mixing, queries, se
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: A document goes if its best language is less probable than this many times chance: what reads like
+#: no language learned. Documents in two languages stay, as each has half of their positions.
+LEAST_CHANCE = 1.2
+
+_left: list[str] = []
+
+
+def tidy(stage: Stage) -> Stage:
+    """stage, with the scratch folders of the stage before it deleted first."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        with common.swept_scratch(spark, _left):
+            return stage(spark, docs, sf_dir)
+
+    return run
+
 
+@tidy
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a language, null ones and those without a letter, go; all others stay."""
-    common.sweep(spark)
+    """The network's language of every document, where lang has none. Documents go that it can't name:
+    null texts, texts without a letter, and those whose best language is hardly above chance."""
     net = language_id.learned(docs)
-    named = language_id.predicted(docs, net, lang="__lang", score="__score")
-    return named.where(F.col("__lang") != language_id.UNKNOWN).drop("__lang", "__score")
+    named = language_id.predicted(docs, net, lang="__gridloom_lang", score="__gridloom_score")
+    least = min(1.0, LEAST_CHANCE / len(net.labels)) if len(net.labels) > 1 else 0.0
+    sure = (F.col("__gridloom_lang") != language_id.UNKNOWN) & (F.col("__gridloom_score") >= least)
+    if not net.labels:  # nothing to learn from: only what can't have a language goes
+        sure = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    told = named.where(sure).withColumn("lang", F.coalesce("lang", F.nullif("__gridloom_lang", F.lit(language_id.UNKNOWN))))
+    return told.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+@tidy
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, similarity of 0.8 or more) the document
-    with the smallest id stays. A repeated id is one document; rows without an id stay."""
-    common.sweep(spark)
-    groups = minhash_dedup.near_duplicates(docs)
-    kept = groups.where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
-    own = docs.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
-    return own.unionByName(docs.where(F.col("doc_id").isNull()))
+    with the smallest id stays. Rows that agree in id and text are one document, of which one row
+    stays; rows that share an id but no text are documents each. Rows without an id stay."""
+    return minhash_dedup.deduplicated(docs)
 
 
+@tidy
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; every document stays. n_chars follows the text."""
-    common.sweep(spark)
     clean = secret_scan.redacted(docs, common.scratch(spark, "secret-ledger"))
     return clean.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long")))
 
 
+@tidy
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies of each document as the mix takes: none, one or two rows."""
-    common.sweep(spark)
-    sized = docs.withColumn("__words", common.word_count(F.col("text")))
-    mixed = mixing.mixed(sized, size="__words")
-    repeated = mixed.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return repeated.select(*docs.columns)
+    sized = docs.withColumn("__gridloom_words", common.word_count(F.col("text")))
+    mixed = mixing.mixed(sized, size="__gridloom_words", key=("doc_id", "text"), prefix="__gridloom_")
+    copies = F.col("__gridloom_copies")
+    repeated = mixed.where(copies > 0).withColumn("__gridloom_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
+    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+@tidy
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of what is left, counted and digested, with the digest of the decoded text."""
-    common.sweep(spark)
     return sentencepiece_bpe.encoded(docs, queries.tokenizer(), ids=False, digests=True)
 
 
