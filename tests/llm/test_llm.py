@@ -373,24 +373,78 @@ def test_sentencepiece(docs, empty, rows):
     assert sentencepiece_bpe.encoded(empty, queries.tokenizer()).count() == 0
 
 
-@pytest.mark.parametrize("most", [1, 400])
-def test_lpf(monkeypatch, docs, empty, rows, most):
-    monkeypatch.setattr(lpf_dedup, "MOST", most)
-    data = [(r[1] or "").encode() for r in rows]
-    count = {}
-    for t in data:
-        for i in range(len(t) - 399):
-            count[t[i : i + 400]] = count.get(t[i : i + 400], 0) + 1
-    want = []
-    for r, t in zip(rows, data):
+def removed_by_brute_force(texts, length, keep_first=False):
+    """Flags of the bytes to remove from each of texts; with keep_first an occurrence goes only if there
+    is an earlier one, in the order of texts."""
+    count, seen = {}, set()
+    for t in texts:
+        for i in range(len(t) - length + 1):
+            count[t[i : i + length]] = count.get(t[i : i + length], 0) + 1
+    out = []
+    for t in texts:
         gone = np.zeros(len(t), bool)
-        for i in range(len(t) - 399):
-            if count[t[i : i + 400]] > 1:
-                gone[i : i + 400] = True
-        edges = int(np.count_nonzero(np.diff(np.concatenate([[0], gone.astype(int)])) == 1))
-        want.append((r[0], len(t), int(gone.sum()), edges, hashlib.sha256(bytes(b for b, g in zip(t, gone) if not g)).hexdigest()))
+        for i in range(len(t) - length + 1):
+            w = t[i : i + length]
+            if w in seen if keep_first else count[w] > 1:
+                gone[i : i + length] = True
+            seen.add(w)
+        out.append(gone)
+    return out
+
+
+def span_list(gone):
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(int), [0]])))
+    return [(int(a), int(b)) for a, b in zip(edge[0::2], edge[1::2])]
+
+
+def cut_model(ids, data, gone):
+    return [(i, len(t), int(g.sum()), len(span_list(g)), hashlib.sha256(bytes(b for b, x in zip(t, g) if not x)).hexdigest()) for i, t, g in zip(ids, data, gone)]
+
+
+@pytest.mark.parametrize("size", [1, 3000, 1 << 20])
+def test_lpf(monkeypatch, docs, empty, rows, size):
+    """size: bytes of a group that are sorted at once; 1 splits all groups down to single windows."""
+    monkeypatch.setattr(lpf_dedup, "SORTED", size)
+    data = [(r[1] or "").encode() for r in rows]
+    want = cut_model([r[0] for r in rows], data, removed_by_brute_force(data, 400))
     got = lpf_dedup.cut_documents(docs, lpf_dedup.covered(docs, keep_first=False)).collect()
     assert sorted(map(repr, (tuple(r) for r in got))) == sorted(map(repr, want))
-    first = lpf_dedup.covered(docs).groupBy().agg(F.count("*").alias("n")).first()["n"]
-    assert 0 < first < sum(w[2] > 0 for w in want)
-    assert lpf_dedup.cut_documents(empty, lpf_dedup.covered(empty)).count() == 0
+    if size > 1:
+        assert lpf_dedup.cut_documents(empty, lpf_dedup.covered(empty)).count() == 0
+
+
+@pytest.mark.parametrize("size", [1, 1 << 20])
+def test_lpf_keeps_the_first(monkeypatch, spark, size):
+    """Rows that repeat id and text are one document, and its passages survive in it."""
+    monkeypatch.setattr(lpf_dedup, "SORTED", size)
+    rng = random.Random(16)
+    t = prose(rng, 130)
+    shared = [prose(rng, 20) for _ in range(4)]
+    texts = {1: t, 2: t[: len(t) * 3 // 4] + prose(rng, 20), 3: prose(rng, 15) + t, 4: t, 5: None, 6: "", 7: "ab" * 300}
+    texts |= {10 + i: "".join(rng.choices(shared, k=6)) + prose(rng, 5) for i in range(20)}
+    rows = [*texts.items(), (1, t), (7, "ab" * 300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for length in (50, 400):
+        got = {r["doc"]: [tuple(x) for x in r["spans"]] for r in lpf_dedup.covered(df, length=length).collect()}
+        data = [(texts[i] or "").encode() for i in sorted(texts)]
+        gone = removed_by_brute_force(data, length, keep_first=True)
+        assert got == {i: span_list(g) for i, g in zip(sorted(texts), gone) if g.any()}
+
+
+def test_longest_factors():
+    """Suffix array, common prefixes, nearest smaller positions: against the definition."""
+    rng = random.Random(17)
+    for length in (16, 24, 40):
+        text = bytes(rng.choices(b"ab", k=300)) * 2 + bytes(rng.choices(b"abc", k=100))
+        data, starts = np.frombuffer(text, np.uint8), np.arange(len(text) - length + 1)
+        previous, following = lpf_dedup.factors(lpf_dedup.Suffixes(data, starts, length))
+
+        def common(i, j):
+            n = 0
+            while n < length and text[i + n] == text[j + n]:
+                n += 1
+            return n if n == length else n - n % lpf_dedup.WORD
+
+        for i in starts.tolist():
+            assert previous[i] == max((common(i, j) for j in range(i)), default=0)
+            assert following[i] == max((common(i, j) for j in range(i + 1, len(starts))), default=0)
