@@ -1,35 +1,45 @@
 """Approximate nearest neighbours by multi-index hashing of learned binary codes.
 
 Nearness is the inner product. Vectors get one more component that makes all norms equal, so the
-largest inner product is the smallest angle. A rotation learned on a bounded sample (principal axes,
-then alternating between signs and the rotation that fits them best) turns them into codes of BITS
-bits. A code is split into substrings, each the key of a table of buckets. For a radius, the
-pigeonhole principle says how far some substring of a code within it may be from the query's: these
-buckets are probed, and what is within the radius is retrieved, all of it. The radius is the
-least that holds SHARE of the true neighbours of sample queries. What is retrieved is ranked by exact
-inner products of the original vectors. A query that finds fewer than k widens its radius.
-
-The sample has SAMPLE vectors at most, by a hash of their id; every vector is indexed.
+largest inner product is the smallest angle. A rotation learned on a bounded sample (principal axes
+and further bases of the same space, then alternating between signs and the rotation that fits them
+best) turns them into codes of BITS bits. A code is split into substrings of PART bits, each indexed:
+its distinct values, and the rows of each. For a radius, the pigeonhole principle says how far some
+substring of a code within it may be from the query's: values that near are probed, and of their rows
+all that are within the radius are retrieved. The radius is the least that holds SHARE of the true
+neighbours of sample queries. What is retrieved is ranked by exact inner products of the original
+vectors. Queries that find fewer than k search again with a wider radius, until they have k.
+
+The sample has SAMPLE vectors at most, by a hash of their id; every vector is indexed. A block of
+queries goes to the tasks that read the vectors; each builds its tables once for all of them.
 
 Cases: null vectors, vectors of zeros, and those with null or non-finite components take no part;
 equal scores go to the smaller id; rows that repeat an id are candidates each, but never of a query
-with that id; with fewer than k candidates all are returned; an empty table gives an empty result;
-other columns are ignored.
+with that id, which is one query, of the vector that comes first; with fewer than k candidates all are
+returned; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from gridloom.llm.common import session, ship
-from gridloom.llm.vectors import best, searched, usable
+from gridloom.llm.common import session, settled, ship, stored
+from gridloom.llm.vectors import matrix, query_blocks, query_set, usable
 
-BITS, PART = 64, 8
+BITS, PART = 256, 64
 SAMPLE, SAMPLE_QUERIES = 8192, 256
 SHARE = 0.975
 ROUNDS = 12
+#: How much wider a radius gets for queries that found too few.
+WIDER = 16
+RESULT = "query_id bigint, rank int, vec_id bigint, score double"
 
 
 class Codes:
@@ -40,9 +50,11 @@ class Codes:
         self.norm = norm
         x = self.lifted(sample)
         d = x.shape[1]
-        axes = np.linalg.eigh(x.T @ x)[1][:, ::-1][:, : min(d, BITS)]
-        if axes.shape[1] < BITS:  # fewer components than bits: more directions of the same space
-            axes = np.concatenate([axes, np.linalg.qr(rng.normal(size=(d, d)))[0]] + [rng.normal(size=(d, max(0, BITS - 2 * d)))], axis=1)[:, :BITS]
+        # principal axes, then, with more bits than components, more bases of the same space
+        bases = [np.linalg.eigh(x.T @ x)[1][:, ::-1]]
+        while sum(b.shape[1] for b in bases) < BITS:
+            bases.append(np.linalg.qr(rng.normal(size=(d, d)))[0])
+        axes = np.concatenate(bases, axis=1)[:, :BITS]
         v = x @ axes
         r = np.linalg.qr(rng.normal(size=(BITS, BITS)))[0]
         for _ in range(ROUNDS):
@@ -56,9 +68,9 @@ class Codes:
         return np.concatenate([x, rest[:, None]], axis=1)
 
     def of(self, x: np.ndarray, *, query: bool = False) -> np.ndarray:
-        """Codes as bytes (n, BITS / 8); a query has nothing in the added component."""
+        """Codes as substrings (n, BITS / PART); a query has nothing in the added component."""
         x = np.concatenate([x, np.zeros((len(x), 1))], axis=1) if query else self.lifted(x)
-        return np.packbits(x @ self.turn >= 0, axis=1)
+        return np.packbits(x @ self.turn >= 0, axis=1).view(np.uint64)
 
     def _radius(self, sample: np.ndarray, k: int) -> int:
         """Measured on a few of the sample as queries, by brute force over the sample."""
@@ -71,59 +83,92 @@ class Codes:
 
 
 class Tables:
-    """Buckets of every substring of the codes of a block."""
-
-    POP = np.bitwise_count(np.arange(1 << PART, dtype=np.uint8)[:, None] ^ np.arange(1 << PART, dtype=np.uint8))
+    """Of every substring of the codes: its distinct values, and the rows of each."""
 
     def __init__(self, codes: np.ndarray):
         self.codes = codes
-        self.order = [np.argsort(c, kind="stable") for c in codes.T]
-        self.sizes = [np.bincount(c, minlength=1 << PART) for c in codes.T]
+        self.values, self.rows, self.starts = [], [], []
+        for c in codes.T:
+            order = np.argsort(c, kind="stable")
+            new = np.flatnonzero(np.append(True, np.diff(c[order]) != 0))
+            self.values.append(c[order][new])
+            self.rows.append(order)
+            self.starts.append(np.append(new, len(c)))
+        self.probed = self.found = 0
 
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
         """Every code at most radius from code. If all of the first rest + 1 substrings differ by more
         than least and the others by least or more, the distance is above radius: so one doesn't."""
-        parts = self.codes.shape[1]
-        least, rest = divmod(radius, parts)
-        seen = np.zeros(len(self.codes), bool)
-        for j, (order, sizes) in enumerate(zip(self.order, self.sizes, strict=True)):
+        least, rest = divmod(radius, len(code))
+        seen = []
+        for j, (values, rows, starts) in enumerate(zip(self.values, self.rows, self.starts, strict=True)):
             reach = least if j <= rest else least - 1
-            if reach >= 0:
-                probed = self.POP[code[j]] <= reach
-                seen[order[np.repeat(probed, sizes)]] = True
-        found = np.flatnonzero(seen)
-        return found[np.bitwise_count(self.codes[found] ^ code).sum(axis=1) <= radius]
-
-
-def block_search(codes: Codes, ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each query's k best of what a block's tables retrieve."""
-    tables = Tables(codes.of(x))
-    out = []
-    for query, row, code in zip(qids.tolist(), q, codes.of(q, query=True), strict=True):
-        radius = codes.radius
-        found = tables.within(code, radius)
-        while np.count_nonzero(ids[found] != query) < k and radius < BITS:
-            radius = min(BITS, radius + 4)
-            found = tables.within(code, radius)
-        got = best(query, ids[found], (x[found] * row).sum(axis=1), k)
-        out.append((query, *got))
-    return (
-        np.concatenate([np.full(len(a), query, np.int64) for query, a, _ in out]),
-        np.concatenate([a for _, a, _ in out]),
-        np.concatenate([s for _, _, s in out]),
-    )
+            near = np.flatnonzero(np.bitwise_count(values ^ code[j]) <= reach) if reach >= 0 else []
+            if len(near):
+                size = starts[near + 1] - starts[near]
+                seen.append(rows[np.repeat(starts[near] - (np.cumsum(size) - size), size) + np.arange(size.sum())])
+        if not seen:
+            return np.zeros(0, np.int64)
+        some = np.unique(np.concatenate(seen))
+        found = some[np.bitwise_count(self.codes[some] ^ code).sum(axis=1) <= radius]
+        self.probed += len(some)
+        self.found += len(found)
+        return found
+
+
+def best(query: int, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k largest scores, ties to the smaller id, the query's own id left out."""
+    other = ids != query
+    ids, scores = ids[other], scores[other]
+    by = np.lexsort((ids, -scores))[:k]
+    return ids[by], scores[by]
+
+
+def searched(rows: DataFrame, codes: Codes, qids: np.ndarray, q: np.ndarray, radius: int, d: int, k: int) -> DataFrame:
+    """query_id, vec_id, score: of each task the k best that its tables retrieve for each query."""
+    own = codes.of(q, query=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids, x = b.column(0).to_numpy(), matrix(b.column(1), d)
+            tables = Tables(codes.of(x))
+            got = []
+            for query, vec, code in zip(qids.tolist(), q, own, strict=True):
+                found = tables.within(code, radius)
+                if len(found):
+                    got.append((query, *best(query, ids[found], (x[found] * vec).sum(axis=1), k)))
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat([g[0] for g in got], [len(g[1]) for g in got]), pa.int64()), pa.array(np.concatenate([g[1] for g in got])), pa.array(np.concatenate([g[2] for g in got]))], ["query_id", "vec_id", "score"])
+
+    return rows.mapInArrow(settled(run), "query_id bigint, vec_id bigint, score double")
 
 
 def nearest(table: DataFrame, *, k: int, every: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score for the rows whose id every divides, against all others."""
-    ship(session(table))
+    spark = session(table)
+    ship(spark)
     rows, n, d = usable(table, key, vector, zero=False)
+    if not n:
+        return spark.createDataFrame([], RESULT)
     square = F.aggregate("vec", F.lit(0.0), lambda a, v: a + v * v)
     norm = (rows.agg(F.max(square)).first()[0] or 0.0) ** 0.5
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vec").collect()
-    codes = Codes(np.array([r[0] for r in sample], np.float64), norm, k) if sample else None
-
-    def kernel(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return block_search(codes, ids, x, qids, q, k)
-
-    return searched(rows, n, d, every, k, kernel, "double")
+    sample = rows.orderBy(F.xxhash64("id", "vec"), "id").limit(SAMPLE).select("vec").collect()
+    codes = Codes(np.array([r[0] for r in sample], np.float64), norm, k)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = []
+    for qids, q in query_blocks(query_set(rows, every), d):
+        radius = BITS if n <= 2 * k else codes.radius
+        while True:
+            local = searched(rows, codes, qids, q, radius, d, k)
+            top = stored(local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "ann-found")
+            full = top.where(F.col("rank") == k).select("query_id") if radius < BITS else top.select("query_id").distinct()
+            found.append(top.join(full, "query_id", "left_semi"))
+            if radius >= BITS:
+                break
+            few = ~np.isin(qids, full.toArrow()["query_id"].to_numpy())  # at most the block's queries
+            if not few.any():
+                break
+            qids, q, radius = qids[few], q[few], min(BITS, radius + WIDER)
+    return reduce(DataFrame.union, found) if found else spark.createDataFrame([], RESULT)

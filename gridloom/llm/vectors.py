@@ -1,25 +1,24 @@
-"""Searching a query set against all vectors in bounded blocks.
+"""What the searches over vectors share: which rows take part, and query sets in bounded blocks.
 
-Vectors and queries are dealt to blocks by a hash of their id; the sides of every (vector block,
-query block) pair meet as a group of bounded size, are searched by a kernel in numpy, and the results
-of a query's groups are ranked together. No block depends on how often a vector or an id repeats,
-and nothing is broadcast.
+A block of queries travels to the tasks that read the vectors, so vectors are neither copied nor
+shuffled for a search; a block has QUERY_BYTES at most, about, whatever the number of queries.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-#: Rows of a block at most, on average.
-VECTORS, QUERIES = 8192, 2048
+from gridloom.llm.common import stored
 
-Kernel = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
+#: Bytes of the queries of a block, as doubles.
+QUERY_BYTES = 1 << 23
+#: Scores that are held at once by a task.
+SCORES = 1 << 21
 
 
 def usable(table: DataFrame, key: str, vector: str, *, zero: bool) -> tuple[DataFrame, int, int]:
@@ -37,42 +36,32 @@ def usable(table: DataFrame, key: str, vector: str, *, zero: bool) -> tuple[Data
     return rows.where(F.size("vec") == sizes["d"]), sizes["n"], sizes["d"]
 
 
-def matrix(column: pa.ChunkedArray, d: int) -> np.ndarray:
+def matrix(column: pa.Array | pa.ChunkedArray, d: int) -> np.ndarray:
     """Rows of a list column of doubles; lists are dense and of length d."""
-    flat = column.combine_chunks().flatten()
-    return flat.to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, d)
-
-
-def searched(rows: DataFrame, n: int, d: int, every: int, k: int, kernel: Kernel, score: str) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best of each query (rows whose id every divides), largest
-    score first, ties to the smaller id. kernel(ids, vectors, query ids, queries) returns aligned
-    arrays of query ids, ids and scores with each query's k best of the block at least, itself left
-    out."""
-    queries = rows.where(F.col("id") % every == 0)
-    nq = queries.count() if n else 0
-    vb, qb = max(1, -(-n // VECTORS)), max(1, -(-nq // QUERIES))
-    kind = pa.int64() if score == "bigint" else pa.float64()
-
-    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        else:
-            found = kernel(left["id"].to_numpy(), matrix(left["vec"], d), right["id"].to_numpy(), matrix(right["vec"], d))
-        return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], kind)})
-
-    def dealt(x: DataFrame, own: str, blocks: int, other: str, others: int) -> DataFrame:
-        return x.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
-
-    left = dealt(rows, "vb", vb, "qb", qb).groupBy("vb", "qb")
-    right = dealt(queries, "qb", qb, "vb", vb).select("id", "vec", "vb", "qb").groupBy("vb", "qb")
-    local = left.cogroup(right).applyInArrow(run, f"query_id bigint, vec_id bigint, score {score}")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def best(query: int, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k largest scores, ties to the smaller id, the query's own id left out."""
-    other = ids != query
-    ids, scores = ids[other], scores[other]
-    by = np.lexsort((ids, -scores))[:k]
-    return ids[by], scores[by]
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, d)
+
+
+def query_set(rows: DataFrame, every: int) -> DataFrame:
+    """id and vec of the queries, one for each id that every divides: of rows that repeat an id the one
+    whose vector comes first."""
+    return stored(rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("vec").alias("vec")), "search-queries")
+
+
+def query_blocks(queries: DataFrame, d: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """ids (in order) and vectors of the queries, dealt by hash to blocks of a bounded size."""
+    blocks = -(-queries.count() * d * 8 // QUERY_BYTES)
+    for k in range(blocks):
+        own = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).toArrow()
+        ids = own["id"].to_numpy()
+        by = np.argsort(ids, kind="stable")
+        if len(ids):
+            yield ids[by], matrix(own["vec"], d)[by]
+
+
+def others(qids: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (query, row) at which ids holds a query's own id; qids are in order."""
+    at = np.minimum(np.searchsorted(qids, ids), len(qids) - 1)
+    row = np.flatnonzero(qids[at] == ids)
+    return at[row], row

@@ -1,6 +1,7 @@
 """Operators of the subpackage against brute force on small tables with every kind of odd row."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -131,41 +132,93 @@ def vectors(spark):
     x = rng.normal(0, 1, (400, 16))
     rows = [(i, v.astype(float).tolist(), 0) for i, v in enumerate(x)]
     rows += [(400 + i, rows[i % 3][1], 0) for i in range(60)]  # copies and ties
+    rows += [rows[7], rows[7], (7, rows[8][1], 0)]  # ids that repeat
     odd = [(900, None, 0), (901, [], 0), (902, [None] * 16, 0), (903, [float("nan")] * 16, 0), (904, [float("inf")] * 16, 0), (905, [0.0] * 16, 0), (906, [1.0] * 3, 0), (None, rows[0][1], 0)]
     return spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>, score int"), rows
 
 
-def test_va_file(spark, vectors):
+def nearest_by_brute_force(rows, k, every, score):
+    """(query, rank, id, score), a query being the first vector of its id."""
+    out = []
+    for i in sorted({r[0] for r in rows if r[0] % every == 0}):
+        q = min(r[1] for r in rows if r[0] == i)
+        near = sorted((-score(q, r[1]), r[0]) for r in rows if r[0] != i)[:k]
+        out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(near)]
+    return out
+
+
+def integer_product(a, b):
+    return sum((int(x) * 256 if abs(x) >= 2**53 else math.floor(256 * x)) * (int(y) * 256 if abs(y) >= 2**53 else math.floor(256 * y)) for x, y in zip(a, b))
+
+
+def tuples(df):
+    return sorted(tuple(r) for r in df.select("query_id", "rank", "vec_id", "score").collect())
+
+
+@pytest.mark.parametrize("cells", [2, 256])
+def test_va_file(monkeypatch, spark, vectors, cells):
+    monkeypatch.setattr(va_file, "CELLS", cells)  # 2: bounds are wide, and rounds of exact vectors needed
     table, rows = vectors
     rows = [*rows, (905, [0.0] * 16, 0)]
-    ids, z = np.array([r[0] for r in rows]), np.floor(256 * np.array([r[1] for r in rows]))
-    s = z @ z.T
-    want = sorted((int(i), k + 1, int(ids[j]), int(s[a, j])) for a, i in enumerate(ids) if i % 20 == 0 for k, j in enumerate([j for j in np.lexsort((ids, -s[a])) if ids[j] != i][:5]))
-    got = va_file.top_k(table, k=5, every=20)
-    assert sorted(tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()) == want
-    assert va_file.top_k(table.where("vec_id < 3"), k=5, every=2).count() == 4
-    assert va_file.top_k(table.where("vec_id < 0"), k=5, every=2).count() == 0
-    big = spark.createDataFrame([(0, [1e12, 1.0]), (1, [1e12, 2.0]), (2, [-1e12, 0.0])], "vec_id long, embedding array<double>")
-    assert [r["vec_id"] for r in va_file.top_k(big, k=2, every=3).orderBy("rank").collect()] == [1, 2]
+    assert tuples(va_file.top_k(table, k=5, every=5)) == nearest_by_brute_force(rows, 5, 5, integer_product)
+    if cells == 256:
+        assert tuples(va_file.top_k(table, k=3, every=7)) == nearest_by_brute_force(rows, 3, 7, integer_product)
+        assert va_file.top_k(table.where("vec_id < 3"), k=5, every=2).count() == 4
+        assert va_file.top_k(table.where("vec_id < 0"), k=5, every=2).count() == 0
+        assert va_file.top_k(table, k=5, every=10**6).select("query_id").distinct().count() == 1  # id 0
+
+
+def test_va_file_beyond_doubles(spark):
+    """Scores that doubles can't tell apart, beyond 64 bits, and beyond what doubles hold."""
+    rng = random.Random(18)
+    for scale in (1e6, 1e12, 1e200):
+        rows = [(i, [rng.uniform(-1, 1) * scale for _ in range(4)]) for i in range(40)]
+        rows += [(40 + i, [math.nextafter(v, scale) for v in rows[i][1]]) for i in range(20)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        want = nearest_by_brute_force(rows, 4, 10, integer_product)
+        assert tuples(va_file.top_k(df, k=4, every=10)) == [(*w[:3], max(-(2**63), min(2**63 - 1, w[3]))) for w in want]
 
 
 def test_ann(spark, vectors):
     table, rows = vectors
-    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-    s = x @ x.T
-    truth = {(int(i), int(ids[j])) for a, i in enumerate(ids) if i % 20 == 0 for j in [j for j in np.lexsort((ids, -s[a])) if ids[j] != i][:20]}
+    want = nearest_by_brute_force(rows, 20, 20, lambda a, b: float(np.dot(a, b)))
+    truth = {(q, i) for q, _, i, _ in want}
     got = ann_mih.nearest(table, k=20, every=20).collect()
     assert len({(r["query_id"], r["vec_id"]) for r in got} & truth) / len(truth) >= 0.9
-    assert {r["vec_id"] for r in got} <= set(ids.tolist())
+    x = {}
+    for r in rows:
+        x.setdefault(r[0], []).append(r[1])
+    for r in got:
+        assert any(abs(r["score"] - np.dot(min(x[r["query_id"]]), v)) < 1e-9 for v in x[r["vec_id"]]) and r["vec_id"] != r["query_id"]
+    assert len(got) == len(want) and {(r["query_id"], r["rank"]) for r in got} == {w[:2] for w in want}
     assert ann_mih.nearest(table.where("vec_id < 0"), k=20, every=20).count() == 0
     assert ann_mih.nearest(table.where("vec_id < 2"), k=20, every=1).count() == 2
 
 
+def test_ann_recall_on_embeddings(spark):
+    """On the given embeddings: every query's neighbours against brute force, and what is probed."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r["vec_id"], r["embedding"]) for r in table.collect()]
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)
+    s = x @ x.T
+    np.fill_diagonal(s, -np.inf)
+    truth = {(int(i), int(ids[j])) for a, i in enumerate(ids) if i % 20 == 0 for j in np.lexsort((ids, -s[a]))[:20]}
+    got = {(r["query_id"], r["vec_id"]) for r in ann_mih.nearest(table, k=20, every=20).collect()}
+    assert len(got) == len(truth) and len(got & truth) / len(truth) >= 0.9
+    codes = ann_mih.Codes(x, float(np.sqrt((x * x).sum(axis=1).max())), 20)
+    tables = ann_mih.Tables(codes.of(x))
+    queries = codes.of(x[:100], query=True)
+    for q in queries:
+        tables.within(q, codes.radius)
+    assert tables.probed < 0.5 * 100 * len(x) and tables.found < 0.2 * 100 * len(x)
+
+
 def test_hamming_tables_are_exact():
     rng = np.random.default_rng(9)
-    codes = rng.integers(0, 256, (500, 8)).astype(np.uint8)
+    codes = rng.integers(0, 2**63, (500, 4)).astype(np.uint64)
+    codes[300:] = codes[rng.integers(0, 5, 200)] ^ (np.uint64(1) << rng.integers(0, 64, (200, 4)).astype(np.uint64))
     tables = ann_mih.Tables(codes)
-    for radius in (0, 3, 9, 20, 27, 64):
+    for radius in (0, 3, 9, 20, 110, 128, 256):
         d = np.bitwise_count(codes ^ codes[7]).sum(axis=1)
         assert (tables.within(codes[7], radius) == np.flatnonzero(d <= radius)).all()
 
