@@ -6,22 +6,24 @@ in the few bytes before, a chunk ends. Chunks therefore move with their content:
 the chunks it touches and no other. Gaps that grow too long are cut at a fixed distance from their
 start. All of it is computed in numpy, by doubling instead of byte by byte.
 
-Chunks are known by a 64-bit digest. Of all occurrences of a digest the first one, in order of
-(id, position), stays. Later ones count as removed where neighbouring ones add up to RUN bytes: so a
-chance collision of a digest removes nothing. A repeated passage seldom begins and ends with a chunk;
+Chunks are known by a digest of 128 bits. Of all occurrences of a digest the first one, in order of
+(id, hash of the text, position), stays. Later ones count as removed where neighbouring ones add up to
+RUN bytes: shorter repeats are common phrases. A repeated passage seldom begins and ends with a chunk;
 so later chunks in shorter runs are compared with the first occurrence byte by byte, and up to RUN equal
 bytes on either side of it count too. What then adds up to RUN bytes goes, and so does any
 text, however short, that is covered as a whole. A passage without a whole chunk in it is not found. A
-digest's occurrences are counted with a partial aggregation and joined back, so a passage in very many
-documents is no single task; of texts only the bytes around chunks are joined by digest.
+digest's first occurrence is found with a partial aggregation, stored and joined back by a join of two
+plain exchanges, which adaptive execution splits: a passage in very many documents is no single
+task. Of texts only the bytes around chunks are joined by digest.
 
-Cases: null and empty texts have no chunks; texts in any script are cut at bytes; rows that
-repeat an id count as one document; rows with a null id are never changed; an empty table gives an
-empty result; other columns are ignored.
+Cases: null and empty texts have no chunks; texts in any script are cut at bytes; rows that repeat an
+id and text count as one document, and rows that repeat an id with another text as documents each;
+rows with a null id are never changed; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,27 +46,15 @@ BATCH = 1 << 20
 class Chunker:
     """Random tables, made once per worker."""
 
-    BASE = 0xD6E8FEB86659FD93
-
     def __init__(self, seed: int = 11):
-        rng = np.random.default_rng(seed)
-        self.gear = rng.integers(0, 1 << 16, 256).astype(np.uint16)
-        self.value = rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def _powers(self, n: int) -> None:
-        if len(self.up) < n:
-            n = max(n, 2 * BATCH)
-            for name, base in (("up", self.BASE), ("down", pow(self.BASE, -1, 2**64))):
-                p = np.full(n, base, np.uint64)
-                p[0] = 1
-                setattr(self, name, np.cumprod(p, dtype=np.uint64))
-
-    def chunks(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        self.gear = np.random.default_rng(seed).integers(0, 1 << 16, 256).astype(np.uint16)
+
+    def chunks(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
         """Text number, first byte, length and digest of every chunk."""
         gap = bytes(WINDOW + APART)  # what each text is preceded by
         sizes = np.array([len(t) for t in texts], np.int64)
-        data = np.frombuffer(b"".join(x for t in texts for x in (gap, t)), np.uint8)
+        joined = b"".join(x for t in texts for x in (gap, t))
+        data = np.frombuffer(joined, np.uint8)
         first = np.cumsum(sizes + len(gap)) - sizes
         h = self.gear[data]
         step = 1
@@ -89,22 +79,24 @@ class Chunker:
             begin = np.repeat(begin, parts) + nth * LONGEST
             stop = np.minimum(np.repeat(stop, parts), begin + LONGEST)
             of = np.repeat(of, parts)
-        self._powers(len(data) + 1)
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.value[data] * self.up[: len(data)], out=total[1:])
-        digest = (total[stop] - total[begin]) * self.down[begin] + (stop - begin).astype(np.uint64)
-        digest = (digest ^ (digest >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        return of, begin - first[of], stop - begin, (digest ^ (digest >> np.uint64(32))).view(np.int64)
+        digest = [hashlib.blake2b(joined[x:y], digest_size=16).digest() for x, y in zip(begin.tolist(), stop.tolist(), strict=True)]
+        return of, begin - first[of], stop - begin, digest
+
+
+def texts_of(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """doc, h (hash of the text) and raw (its bytes) of every row with an id and a text."""
+    raw = F.col(f"`{text}`").cast("binary")
+    return docs.select(F.col(f"`{key}`").cast("long").alias("doc"), F.xxhash64(raw).alias("h"), raw.alias("raw")).dropna()
 
 
 def chunked(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """doc, pos, len, digest: a row per chunk of each document."""
+    """doc, h, pos, len, digest: a row per chunk of each document."""
     ship(session(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunker = worker_tables("cdc", Chunker)
         for b in batches:
-            ids, column = b.column(0).to_numpy(zero_copy_only=False), b.column(1)
+            ids, hashes, column = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2)
             low = 0
             while low < b.num_rows:
                 texts, size, high = [], 0, low
@@ -113,22 +105,20 @@ def chunked(docs: DataFrame, key: str, text: str) -> DataFrame:
                     size += len(texts[-1])
                     high += 1
                 of, pos, length, digest = chunker.chunks(texts)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[low + of], pa.int64()), pa.array(pos, pa.int32()), pa.array(length, pa.int32()), pa.array(digest, pa.int64())], ["doc", "pos", "len", "digest"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[low + of], pa.int64()), pa.array(hashes[low + of], pa.int64()), pa.array(pos, pa.int32()), pa.array(length, pa.int32()), pa.array(digest, pa.binary())], ["doc", "h", "pos", "len", "digest"])
                 low = high
 
-    source = docs.select(F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{text}`").cast("binary").alias("text")).dropna()
-    return source.mapInArrow(settled(run), "doc bigint, pos int, len int, digest bigint")
+    return texts_of(docs, key, text).mapInArrow(settled(run), "doc bigint, h bigint, pos int, len int, digest binary")
 
 
 def around(docs: DataFrame, rows: DataFrame, key: str, text: str, reach: int) -> DataFrame:
-    """rows (doc, pos, len, digest) with the bytes of the chunk, up to reach bytes before and after it,
-    and the size of the text. A text is joined once, to all rows of its document."""
-    texts = docs.select(F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{text}`").cast("binary").alias("raw")).dropna()
-    each = texts.join(rows.groupBy("doc").agg(F.collect_set(F.struct("pos", "len", "digest")).alias("all")), "doc")
-    each = each.select("doc", "raw", F.inline("all"))
+    """rows (doc, h, pos, len, digest) with the bytes of the chunk, up to reach bytes before and after
+    it, and the size of the text. A text is joined once, to all rows of its document."""
+    lists = rows.groupBy("doc", "h").agg(F.collect_set(F.struct("pos", "len", "digest")).alias("all"))
+    each = texts_of(docs, key, text).join(lists, ["doc", "h"]).select("doc", "h", "raw", F.inline("all"))
     low, end = F.greatest(F.col("pos") - reach, F.lit(0)), F.col("pos") + F.col("len")
     parts = {"before": F.substring("raw", low + 1, F.col("pos") - low), "body": F.substring("raw", F.col("pos") + 1, F.col("len")), "after": F.substring("raw", end + 1, F.lit(reach))}
-    return each.select("doc", "pos", "len", "digest", *[c.alias(n) for n, c in parts.items()], F.octet_length("raw").alias("size"))
+    return each.select("doc", "h", "pos", "len", "digest", *[c.alias(n) for n, c in parts.items()], F.octet_length("raw").alias("size"))
 
 
 def in_common(a: bytes, b: bytes) -> int:
@@ -141,9 +131,9 @@ def in_common(a: bytes, b: bytes) -> int:
 
 
 def widened(here: DataFrame, there: DataFrame) -> DataFrame:
-    """doc, start, end, size: chunks of here (as from around()) with the bytes on either side that their
-    digest's first occurrence, in there, has too. In one document the two don't overlap."""
-    first = there.select("digest", F.col("doc").alias("doc_2"), (F.col("pos") + F.col("len")).alias("end_2"), F.col("before").alias("before_2"), "body", F.col("after").alias("after_2"))
+    """doc, h, start, end, size: chunks of here (as from around()) with the bytes on either side that
+    their digest's first occurrence, in there, has too. In one document the two don't overlap."""
+    first = there.select("digest", F.col("doc").alias("doc_2"), F.col("h").alias("h_2"), (F.col("pos") + F.col("len")).alias("end_2"), F.col("before").alias("before_2"), "body", F.col("after").alias("after_2"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -151,51 +141,51 @@ def widened(here: DataFrame, there: DataFrame) -> DataFrame:
             for r in b.to_pylist():
                 left = in_common(r["before"][::-1], r["before_2"][::-1])
                 right = in_common(r["after"], r["after_2"])
-                if r["doc"] == r["doc_2"]:
+                if (r["doc"], r["h"]) == (r["doc_2"], r["h_2"]):
                     room = max(r["pos"] - r["end_2"], 0)
                     left = min(left, room)
                     right = min(right, room - left)
-                out.append((r["doc"], r["pos"] - left, r["pos"] + r["len"] + right, r["size"]))
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["doc", "start", "end", "size"])
+                out.append((r["doc"], r["h"], r["pos"] - left, r["pos"] + r["len"] + right, r["size"]))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], ["doc", "h", "start", "end", "size"])
 
-    met = here.join(first, ["digest", "body"]).select("doc", "pos", "len", "size", "before", "after", "doc_2", "end_2", "before_2", "after_2")
-    return met.mapInArrow(settled(run), "doc bigint, start int, end int, size int")
+    met = here.join(first, ["digest", "body"]).select("doc", "h", "pos", "len", "size", "before", "after", "doc_2", "h_2", "end_2", "before_2", "after_2")
+    return met.mapInArrow(settled(run), "doc bigint, h bigint, start int, end int, size int")
 
 
 def repeated(docs: DataFrame, *, key: str = "doc_id", text: str = "text", run: int = RUN) -> DataFrame:
-    """doc and spans (start and end in bytes, in order) of what repeats an earlier passage."""
+    """doc, h (hash of the text's bytes) and spans (start and end in bytes, in order) of what repeats an
+    earlier passage."""
     chunks = chunked(docs, key, text)
-    first = chunks.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc").alias("first_doc")).where("n > 1").drop("n")
-    again = chunks.join(first, "digest")
-    in_doc = Window.partitionBy("doc", "digest")
-    marked = again.withColumn("first_pos", F.min("pos").over(in_doc)).select("doc", "pos", "len", "digest", F.expr("doc > first_doc or pos > first_pos").alias("later"))
+    first = chunks.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("doc", "h", "pos")).alias("first")).where("n > 1").drop("n")
+    again = chunks.join(stored(first, "cdc-first"), "digest")
+    marked = again.select("doc", "h", "pos", "len", "digest", (F.struct("doc", "h", "pos") > F.col("first")).alias("later"))
     marked = stored(marked, "cdc-chunks")
-    by_pos, in_run = Window.partitionBy("doc").orderBy("pos"), Window.partitionBy("doc", "run")
-    starts = marked.where("later").select("doc", "pos", "len", "digest", (F.col("pos") + F.col("len")).alias("end"))
+    by_pos, in_run = Window.partitionBy("doc", "h").orderBy("pos"), Window.partitionBy("doc", "h", "run")
+    starts = marked.where("later").select("doc", "h", "pos", "len", "digest", (F.col("pos") + F.col("len")).alias("end"))
     starts = starts.withColumn("new", F.when(F.col("pos") > F.coalesce(F.lag("end").over(by_pos), F.lit(-1)), 1).otherwise(0)).withColumn("run", F.sum("new").over(by_pos))
     sized = starts.withColumns({"start": F.min("pos").over(in_run), "stop": F.max("end").over(in_run)})
     enough = F.col("stop") - F.col("start") >= run
-    long = sized.where(enough).select("doc", "start", F.col("stop").alias("end"), F.lit(None).cast("int").alias("size")).distinct()
-    short = sized.where(~enough).select("doc", "pos", "len", "digest")
+    long = sized.where(enough).select("doc", "h", "start", F.col("stop").alias("end"), F.lit(None).cast("int").alias("size")).distinct()
+    short = sized.where(~enough).select("doc", "h", "pos", "len", "digest")
     source = marked.where("not later").join(short.select("digest").distinct(), "digest", "left_semi")
-    ship(session(docs))
     wide = widened(around(docs, short, key, text, run), around(docs, source, key, text, run))
-    by_start = Window.partitionBy("doc").orderBy("start", "end")
+    by_start = Window.partitionBy("doc", "h").orderBy("start", "end")
     reached = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
     pieces = long.union(wide).withColumn("new", F.when(F.col("start") > F.coalesce(reached, F.lit(-1)), 1).otherwise(0))
     pieces = pieces.withColumn("run", F.sum("new").over(by_start))
-    runs = pieces.groupBy("doc", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("size").alias("size"))
+    runs = pieces.groupBy("doc", "h", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("size").alias("size"))
     runs = runs.where((F.col("end") - F.col("start") >= run) | ((F.col("start") == 0) & (F.col("end") == F.col("size"))))
-    return runs.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    return runs.groupBy("doc", "h").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
 
 def deduplicated(docs: DataFrame, *, key: str = "doc_id", text: str = "text", run: int = RUN) -> DataFrame:
     """docs without later copies of passages. Bytes of a character cut in two go with it."""
-    found = repeated(docs, key=key, text=text, run=run).withColumnRenamed("doc", "__doc").withColumnRenamed("spans", "__spans")
-    raw = F.col(f"`{text}`").cast("binary")
+    found = repeated(docs, key=key, text=text, run=run).toDF("__gridloom_doc", "__gridloom_h", "__gridloom_spans")
+    raw, spans = F.col(f"`{text}`").cast("binary"), F.col("__gridloom_spans")
     state = F.struct(F.lit(b"").alias("out"), F.lit(0).alias("at"))
-    cut = F.aggregate("__spans", state, lambda s, x: F.struct(F.concat(s["out"], F.substring(raw, s["at"] + 1, x["start"] - s["at"])).alias("out"), x["end"].alias("at")))
+    cut = F.aggregate(spans, state, lambda s, x: F.struct(F.concat(s["out"], F.substring(raw, s["at"] + 1, x["start"] - s["at"])).alias("out"), x["end"].alias("at")))
     rest = F.concat(cut["out"], F.substring(raw, cut["at"] + 1, F.octet_length(raw)))
-    joined = docs.join(found, F.col(f"`{key}`") == F.col("__doc"), "left")
-    clean = F.when(F.col("__spans").isNull(), F.col(f"`{text}`")).otherwise(F.decode(rest, "UTF-8"))
+    joined = docs.join(found.hint("shuffle_hash"), (F.col(f"`{key}`").cast("long") == F.col("__gridloom_doc")) & (F.xxhash64(raw) == F.col("__gridloom_h")), "left")
+    clean = F.when(spans.isNull(), F.col(f"`{text}`")).otherwise(F.decode(rest, "UTF-8"))
     return joined.withColumn(text, clean).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -49,8 +49,8 @@ def op5_cdc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document: its bytes, and those that repeat an earlier passage of any document."""
     docs = common.documents(spark, sf_dir)
     found = cdc_dedup.repeated(docs)
-    sizes = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    joined = sizes.join(found, sizes["doc_id"] == found["doc"], "left")
+    sizes = docs.select("doc_id", F.xxhash64(F.col("text").cast("binary")).alias("own"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    joined = sizes.join(found, (sizes["doc_id"] == found["doc"]) & (sizes["own"] == found["h"]), "left")
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     shown = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",")
     return joined.select("doc_id", "n_bytes", F.coalesce(removed, F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_spans"), F.coalesce(shown, F.lit("")).alias("spans"))

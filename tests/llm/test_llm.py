@@ -232,24 +232,100 @@ def test_chunks_follow_content():
         own = of == i
         assert length[own].sum() == len(t) and (np.cumsum(length[own]) - length[own] == pos[own]).all()
     shifted = c.chunks([b"inserted " + texts[3]])[3]
-    assert len(set(digest[of == 3].tolist()) - set(shifted.tolist())) <= 2
+    assert len({d for d, i in zip(digest, of) if i == 3} - set(shifted)) <= 2
+    gear = c.gear.tolist()
+    for i, t in enumerate(texts):  # every edge, from the definition, byte by byte
+        h, hits, edges = 0, [], [0]
+        padded = bytes(cdc_dedup.WINDOW + cdc_dedup.APART) + t
+        for k, byte in enumerate(padded):
+            h = ((h << 1) + gear[byte]) & 0xFFFF
+            hits.append(h < (1 << 16) // cdc_dedup.EVERY)
+            at = k - cdc_dedup.WINDOW - cdc_dedup.APART + 1
+            if hits[-1] and not any(hits[-1 - cdc_dedup.APART : -1]) and 0 < at < len(t):
+                edges.append(at)
+        edges.append(len(t))
+        want = [(a + x, min(b - a - x, cdc_dedup.LONGEST)) for a, b in zip(edges, edges[1:]) for x in range(0, b - a, cdc_dedup.LONGEST)]
+        got = list(zip(pos[of == i].tolist(), length[of == i].tolist()))
+        assert got == want
+        assert [d for d, k in zip(digest, of) if k == i] == [hashlib.blake2b(t[a : a + n], digest_size=16).digest() for a, n in got]
+
+
+def repeats_by_brute_force(rows):
+    """Spans of each (id, text), from the chunks of all, chunk by chunk and byte by byte."""
+    keys = sorted({(i, t) for i, t in rows if i is not None and t is not None}, key=lambda x: (x[0], hash_of(x[1])))
+    c, run = cdc_dedup.Chunker(), cdc_dedup.RUN
+    first, later = {}, {}
+    for key in keys:
+        of, pos, length, digest = c.chunks([key[1].encode()])
+        for p, n, d in zip(pos.tolist(), length.tolist(), digest):
+            if first.setdefault(d, (key, p)) != (key, p):
+                later.setdefault(key, []).append((p, p + n, d))
+    out = {}
+    for key, chunks in later.items():
+        t = key[1].encode()
+        groups = []
+        for x in chunks:
+            if groups and x[0] <= groups[-1][-1][1]:
+                groups[-1].append(x)
+            else:
+                groups.append([x])
+        spans = []
+        for g in groups:
+            if g[-1][1] - g[0][0] >= run:
+                spans.append((g[0][0], g[-1][1]))
+                continue
+            for a, z, d in g:
+                key2, a2 = first[d]
+                u, z2 = key2[1].encode(), a2 + z - a
+                room = max(a - z2, 0) if key2 == key else run
+                left = right = 0
+                while left < min(room, run, a, a2) and t[a - left - 1] == u[a2 - left - 1]:
+                    left += 1
+                while right < min(room - left if key2 == key else run, len(t) - z, len(u) - z2) and t[z + right] == u[z2 + right]:
+                    right += 1
+                spans.append((a - left, z + right))
+        gone = []
+        for a, z in sorted(spans):
+            if gone and a <= gone[-1][1]:
+                gone[-1] = (gone[-1][0], max(z, gone[-1][1]))
+            else:
+                gone.append((a, z))
+        gone = [x for x in gone if x[1] - x[0] >= run or x == (0, len(t))]
+        if gone:
+            out[key] = gone
+    return out
+
+
+def hash_of(text):
+    import xxhash
+
+    return int.from_bytes(xxhash.xxh64(text.encode(), seed=42).digest(), "big", signed=True)
 
 
 def test_cdc(docs, empty, rows):
-    found = {r["doc"]: r["spans"] for r in cdc_dedup.repeated(docs).collect()}
-    texts = {r[0]: (r[1] or "").encode() for r in rows if r[0] is not None}
-    for i, spans in found.items():
-        for s in spans:
-            piece = texts[i][s["start"] : s["end"]]
-            assert len(piece) >= cdc_dedup.RUN
-    assert all(i in found for i in range(41, 45) if len(texts[i]) > 300)  # exact copies
-    assert all(i in found for i in range(46, 52))  # a shared passage, but for its first copy
-    assert not [i for i in found if i < 40]  # first copies stay
+    found = {(r["doc"], r["h"]): [tuple(x) for x in r["spans"]] for r in cdc_dedup.repeated(docs).collect()}
+    assert found == {(i, hash_of(t)): spans for (i, t), spans in repeats_by_brute_force([(r[0], r[1]) for r in rows]).items()}
+    assert {i for i, _ in found} >= {*(i for i in range(41, 45) if len(rows[i][1]) > 300), *range(46, 52)}  # copies, a shared passage
+    assert not [i for i, _ in found if i < 40]  # first copies stay
     clean = cdc_dedup.deduplicated(docs)
     assert clean.count() == len(rows) and clean.columns == docs.columns
+    by_id = {r["doc_id"]: r["text"] for r in clean.collect()}
+    texts = {r[0]: r[1] for r in rows}
+    for (i, _), spans in found.items():
+        if texts[i].isascii():
+            edges = [0, *[x for s in spans for x in s], len(texts[i])]
+            assert by_id[i] == "".join(texts[i][a:b] for a, b in zip(edges[0::2], edges[1::2]))
     assert cdc_dedup.repeated(empty).count() == 0
 
 
+def test_cdc_repeated_ids(spark):
+    rng = random.Random(19)
+    a, b = prose(rng, 60), prose(rng, 60)
+    rows = [(1, a), (1, b), (1, a), (2, a + b), (3, None), (3, ""), (None, a)]
+    found = {(r["doc"], r["h"]): [tuple(x) for x in r["spans"]] for r in cdc_dedup.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {(i, hash_of(t)): s for (i, t), s in repeats_by_brute_force(rows).items()} and {i for i, _ in found} == {2}
+
+
 def test_cdc_short_texts(spark):
     rng = random.Random(11)
     texts = [prose(rng, n) for n in (1, 2, 4, 6, 9, 12)]
@@ -276,7 +352,7 @@ def test_cdc_short_passages(spark):
             piece = rows[i][1][s["start"] : s["end"]]
             assert len(piece) >= cdc_dedup.RUN and piece in (rows[0][1] if i == 400 else rows[i - 200][1])
     of, _, _, digest = cdc_dedup.Chunker().chunks([t.encode() for _, t in rows])
-    sets = [set(digest[of == i].tolist()) for i in range(401)]
+    sets = [{d for d, k in zip(digest, of) if k == i} for i in range(401)]
     assert set(found) == {400, *(i for i in range(200, 400) if sets[i] & sets[i - 200])}
     assert len(found) > 150
     empty = spark.createDataFrame([], "doc_id long, text string")
