@@ -18,6 +18,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: ASCII white space, as the contracts define it, for Java's and Python's regex alike.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -168,3 +169,22 @@ def word_count(text: Column) -> Column:
 def held_out(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 4, is 2."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+#: Rows of a sample that are broadcast at most: some 24 bytes each.
+BROADCAST = 50_000
+
+
+def least_hashed(rows: DataFrame, groups: list[str], most: int) -> DataFrame:
+    """The distinct rows (groups and h, a hash) with the most least h of each group. Only rows below
+    a threshold, at which a group has four times as many as are wanted, are ranked, so no
+    group is ranked as a whole, however large it or one of its rows is."""
+    counts = rows.groupBy(*groups).agg(F.approx_count_distinct("h", 0.03).alias("distinct"))
+    counts = stored(counts, "sample-counts")
+    share = F.least(F.lit(1.0), F.lit(4.0 * most) / F.greatest("distinct", F.lit(1)))
+    low = F.broadcast(counts) if counts.count() <= BROADCAST else counts
+    # h as a number from 0 to 1
+    near = rows.join(low, groups).where(F.col("h").cast("double") / 2.0**64 + 0.5 <= share).select(*groups, "h").distinct()
+    ranked = near.withColumn("r", F.row_number().over(Window.partitionBy(*groups).orderBy("h"))).where(F.col("r") <= most).drop("r")
+    ranked = stored(ranked, "sample")
+    return F.broadcast(ranked) if ranked.count() <= BROADCAST else ranked

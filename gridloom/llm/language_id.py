@@ -4,13 +4,14 @@ A text's UTF-8 bytes are cut into windows; two gated recurrent units read each w
 direction, and a softmax over both states labels every position. A document's probabilities are the
 mean over all its positions: every byte of every text counts. The network is trained in numpy by
 backpropagation through time with Adam, on windows of a bounded sample: at most SAMPLE documents per
-language, chosen by a hash of their id, and WINDOWS windows spread evenly over each of them. Neither
-source nor id nor any label is an input of a prediction.
+language, those with the least hashes of id and text, and WINDOWS windows spread evenly over each of
+them. Neither source nor id nor any label is an input of a prediction.
 
 Cases: null text, and text without a letter, is 'und' with score 0; the empty text likewise; long
-texts go through in blocks; repeated rows get equal results; an empty table gives an empty result;
+texts go through in blocks; equal probabilities go to the language that comes first by code point;
+repeated rows get equal results and count once in the sample; an empty table gives an empty result;
 without any labelled document there is nothing to learn and every text is 'und'; a null id counts as
-not held out; other columns are ignored.
+not held out; other columns are carried along (predicted() refuses names that are there already).
 """
 
 from __future__ import annotations
@@ -22,13 +23,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from gridloom.llm.common import held_out, session, settled, ship
+from gridloom.llm.common import held_out, least_hashed, session, settled, ship
 
 LENGTH = 64
 HIDDEN = 8
-#: No more than Spark's limit for ranking before a shuffle (windowGroupLimitThreshold).
 SAMPLE = 1000
 WINDOWS = 5
 EPOCHS = 3
@@ -198,16 +197,15 @@ def cut_evenly(text: bytes, windows: int = WINDOWS) -> list[bytes]:
 def sample(docs: DataFrame, key: str, text: str, label: str, allowed: Column, per_label: int = SAMPLE) -> DataFrame:
     """label and windows of at most per_label documents of each label."""
     fit = docs.where(allowed & F.col(f"`{label}`").isNotNull() & F.col(f"`{text}`").isNotNull())
-    order = Window.partitionBy("label").orderBy("h", "id")
-    ids = fit.select(F.col(f"`{label}`").alias("label"), F.xxhash64(F.col(f"`{key}`")).alias("h"), F.col(f"`{key}`").alias("id")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_label).select("id").distinct()
+    fit = fit.select(F.col(f"`{label}`").alias("label"), F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")).alias("h"), F.col(f"`{text}`").cast("binary").alias("text"))
+    ids = least_hashed(fit.select("label", "h"), ["label"], per_label)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [(y, w) for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for w in cut_evenly(t)]
             yield pa.RecordBatch.from_arrays([pa.array([y for y, _ in rows], pa.string()), pa.array([w for _, w in rows], pa.binary())], ["label", "piece"])
 
-    # ids: at most per_label per label, so the join is with a small table
-    chosen = fit.select(F.col(f"`{key}`").alias("id"), F.col(f"`{label}`").alias("label"), F.col(f"`{text}`").cast("binary").alias("text")).join(ids, "id", "left_semi")
+    chosen = fit.join(ids, ["label", "h"], "left_semi").dropDuplicates(["label", "h"])
     return chosen.select("label", "text").mapInArrow(settled(run), "label string, piece binary")
 
 
@@ -228,6 +226,8 @@ def predicted(docs: DataFrame, net: Network, *, text: str = "text", lang: str =
     """docs with the predicted language and its probability as two more columns; drop: without the
     text."""
     ship(session(docs))
+    if {lang, score} & set(docs.columns):
+        raise ValueError(f"{lang} or {score} is a column already; choose other names")
     at = docs.columns.index(text)
     keep = [c for c in docs.columns if not drop or c != text]
     where = [docs.columns.index(c) for c in keep]

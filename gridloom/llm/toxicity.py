@@ -1,18 +1,20 @@
 """Toxicity by a chain of linear classifiers.
 
 The chain predicts its categories one after the other. Each is a logistic regression over the
-presence of words and word beginnings, and of the log-odds of all categories before it. When later
-models are trained, the earlier categories' log-odds are predicted out of fold, by models that have
-not seen the document, so a later model sees them as good as they will be on new texts.
+presence of words and word beginnings, and of the probabilities of all categories before it. When later
+models are trained, the earlier categories' probabilities are predicted out of fold, by models that
+have not seen the document, so a later model sees them as good as they will be on new texts.
 
 It learns from a sample of the labelled documents, at most SAMPLE for each combination of labels, by
 a hash of their id, weighted back to the combination's true share. Scoring reads every word of every
 text, with the words' contributions looked up in a table.
 
-Cases: null and empty texts get the base rate; null labels leave a document out of training; without
-labelled documents every probability is 0; a category with a single value has that value as its
-probability; repeated rows get equal results; an empty table gives an empty result; other columns
-are ignored.
+Cases: null and empty texts get the base rate; null labels leave a document out of training; an id
+that is labelled in several ways counts for each of them, and once for each; of rows that repeat a
+sampled id the text with the least hash counts; of features that tell equally much those that come
+first by code point are taken; without labelled documents every probability is 0; a category with a
+single value has that value as its probability; repeated rows get equal results; an empty table gives
+an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,14 +26,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from gridloom.llm.common import session, settled, ship
+from gridloom.llm.common import BROADCAST, least_hashed, session, settled, ship, stored
 
-#: No more than Spark's limit for ranking before a shuffle (windowGroupLimitThreshold).
 SAMPLE = 1000
-#: Rows of the sample that are broadcast at most.
-BROADCAST = 50_000
 FOLDS = 4
 FEATURES = 4000
 LEAST = 5
@@ -68,7 +66,7 @@ class Linear:
         sizes = np.diff(starts)
         m = [np.zeros(len(self.w) + len(self.d) + 1), np.zeros(len(self.w) + len(self.d) + 1)]
         for step in range(1, STEPS + 1):
-            p = 1 / (1 + np.exp(-np.clip(self.scores(at, starts, dense), -40, 40)))
+            p = probability(self.scores(at, starts, dense))
             g = weight * (p - y)
             grad = np.concatenate([np.bincount(at, np.repeat(g, sizes), len(self.w)) + RIDGE * self.w, dense.T @ g + RIDGE * self.d, [g.sum()]])
             m[0] += 0.1 * (grad - m[0])
@@ -107,8 +105,12 @@ class Chain:
         starts = np.cumsum([0, *map(len, rows)])
         dense = np.zeros((len(texts), 0))
         for model in self.models:
-            dense = np.column_stack([dense, np.clip(model.scores(at, starts, dense), -20, 20)])
-        return 1 / (1 + np.exp(-dense))
+            dense = np.column_stack([dense, probability(model.scores(at, starts, dense))])
+        return dense
+
+
+def probability(score: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(score, -40, 40)))
 
 
 def trained(rows: list[list[str]], labels: np.ndarray, weight: np.ndarray, names: list[str], seed: int = 9) -> Chain:
@@ -146,8 +148,8 @@ def trained(rows: list[list[str]], labels: np.ndarray, weight: np.ndarray, names
                 inside, outside = fold != k, fold == k
                 if inside.any() and outside.any():
                     model = Linear(width, dense.shape[1]).fit(*some(inside), dense[inside], y[inside], weight[inside])
-                    unseen[outside] = model.scores(*some(outside), dense[outside])
-            dense = np.column_stack([dense, np.clip(unseen, -20, 20)])
+                    unseen[outside] = probability(model.scores(*some(outside), dense[outside]))
+            dense = np.column_stack([dense, unseen])
     return Chain(names, {f: int(place[i]) for f, i in first.items() if chosen[i]}, models)
 
 
@@ -155,13 +157,15 @@ def sample(docs: DataFrame, labels: DataFrame, names: list[str], key: str, text:
     """features, the labels and n (documents of that combination), per_group of each at most."""
     known = labels.select(F.col(f"`{key}`").alias("id"), *[F.col(f"`{c}`").cast("int").alias(f"y{i}") for i, c in enumerate(names)]).dropna()
     own = [f"y{i}" for i in range(len(names))]
-    order = Window.partitionBy(*own).orderBy(F.xxhash64("id"), "id")
-    picked = known.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_group).drop("r")
-    counts = known.groupBy(*own).agg(F.count("*").alias("n"))
-    picked = picked.join(counts, own).dropDuplicates(["id"])
+    known = known.withColumn("h", F.xxhash64("id"))
+    counts = known.select("id", *own).distinct().groupBy(*own).agg(F.count("*").alias("n"))
+    picked = known.join(least_hashed(known.select(*own, "h"), own, per_group), [*own, "h"], "left_semi").select("id", *own).distinct()
+    picked = stored(picked.join(counts, own), "toxicity-sample")
     if per_group * 2 ** len(names) <= BROADCAST:  # its size is bounded by this, whatever the tables hold
         picked = F.broadcast(picked)
-    rows = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")).join(picked, "id").select("text", "n", *own)
+    texts = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")).join(picked, "id")
+    one = texts.groupBy("id", "n", *own).agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    rows = one.select("t.text", "n", *own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

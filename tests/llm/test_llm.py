@@ -91,6 +91,60 @@ def test_language_id(spark, docs, empty):
     assert language_id.learned(empty).labels == [] and language_id.predicted(docs, language_id.learned(empty), lang="l", score="s").where("l <> 'und'").count() == 0
 
 
+def test_network_reads_every_byte():
+    """Documents' probabilities against gates written out, byte by byte and unit by unit."""
+    net = language_id.Network(["a", "b", "c"], hidden=3, seed=20)
+    rng = np.random.default_rng(21)
+    net.p["b"] += rng.normal(size=net.p["b"].shape).astype(np.float32)
+    net.p["o"] += rng.normal(size=net.p["o"].shape).astype(np.float32)
+    texts = [b"", b"x", bytes(rng.integers(0, 256, language_id.LENGTH).tolist()), bytes(rng.integers(0, 256, 2 * language_id.LENGTH + 9).tolist())]
+
+    def sigmoid(v):
+        return 1 / (1 + math.exp(-v))
+
+    def states(side, data):
+        p, h, out = {k: v.astype(float) for k, v in net.p.items()}, [0.0] * 3, []
+        for byte in data:
+            rec = [sum(p["u"][side, i, j] * h[j] for j in range(3)) for i in range(9)]
+            x = [p["x"][side, i, byte] for i in range(9)]
+            new = []
+            for i in range(3):
+                z, r = sigmoid(2 * (x[i] + rec[i])), sigmoid(2 * (x[3 + i] + rec[3 + i]))
+                n = math.tanh(x[6 + i] + r * (rec[6 + i] + p["b"][side, i, 0]))
+                new.append((1 - z) * n + z * h[i])
+            h = new
+            out.append(h)
+        return out
+
+    want = np.zeros((len(texts), 3))
+    for k, t in enumerate(texts):
+        for low in range(0, len(t), language_id.LENGTH):
+            w = t[low : low + language_id.LENGTH].ljust(language_id.LENGTH, b" ")
+            there, back = states(0, w), states(1, w[::-1])[::-1]
+            for at in range(min(language_id.LENGTH, len(t) - low)):
+                score = [net.p["o"][c, 0] + sum(net.p["v"][0, c, i] * there[at][i] + net.p["v"][1, c, i] * back[at][i] for i in range(3)) for c in range(3)]
+                e = np.exp(np.array(score, float) - max(score))
+                want[k] += e / e.sum()
+    want /= np.maximum([len(t) for t in texts], 1)[:, None]
+    assert np.abs(net.documents(texts) - want).max() < 1e-5
+
+
+def test_samples_are_bounded_and_distinct(spark):
+    from gridloom.llm.common import least_hashed
+
+    rows = [("a", 5)] * 3000 + [("a", i * 2**50) for i in range(-8000, 8000)] + [("b", 1), ("b", 2), (None, 3)]
+    df = spark.createDataFrame(rows, "g string, h long")
+    got = sorted((r["g"], r["h"]) for r in least_hashed(df, ["g"], 100).collect() if r["g"])
+    assert got == sorted([("a", h) for h in sorted({h for g, h in rows if g == "a"})[:100]] + [("b", 1), ("b", 2)])
+    texts = [(1, "one text"), (1, "another text")] * 50 + [(2, "third one here")]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in texts], "doc_id long, text string, lang string")
+    allowed = F.lit(True)
+    assert language_id.sample(docs, "doc_id", "text", "lang", allowed).count() == 3
+    labels = spark.createDataFrame([(1, 0, 0), (1, 0, 0), (1, 1, 0), (2, 1, 1), (3, None, 1)], "doc_id long, x int, y int")
+    got = toxicity.sample(docs, labels, ["x", "y"], "doc_id", "text", 10).collect()
+    assert sorted((r["n"], r["y0"], r["y1"]) for r in got) == [(1, 0, 0), (1, 1, 0), (1, 1, 1)]
+
+
 def test_network_gradient():
     net = language_id.Network(["a", "b", "c"], hidden=3)
     rng = np.random.default_rng(0)
@@ -124,6 +178,37 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.scored(docs, chain).count() == docs.count()
     none = toxicity.learned(empty, labels, ["low_quality", "toxic"])
     assert {r["p_toxic"] for r in toxicity.scored(docs, none).collect()} == {0.0}
+    # every probability from the definition, feature by feature, earlier ones feeding later models
+    for r in rows[300:330] + [(999, None), (998, ""), (997, "zzz nasty")]:
+        known = {chain.vocabulary[f] for f in toxicity.features(r[1]) if f in chain.vocabulary}
+        p = []
+        for model in chain.models:
+            score = model.b + sum(model.w[c] for c in known) + sum(d * x for d, x in zip(model.d, p, strict=True))
+            p.append(1 / (1 + math.exp(-score)))
+        assert np.abs(chain.probabilities([r[1]])[0] - p).max() < 1e-9
+
+
+def test_chain_is_fed_out_of_fold(monkeypatch):
+    """Later models are trained on probabilities by models that haven't seen the document."""
+    rng = np.random.default_rng(22)
+    rows = [sorted(set(rng.choice(list("abcdefgh"), 4))) for _ in range(200)]
+    y = np.column_stack([[("a" in r) ^ (rng.random() < 0.2) for r in rows], [("b" in r) for r in rows]]).astype(int)
+    fits = []
+    fit = toxicity.Linear.fit
+    monkeypatch.setattr(toxicity.Linear, "fit", lambda self, at, starts, dense, y, weight: fits.append((len(y), dense.copy())) or fit(self, at, starts, dense, y, weight))
+    weight = np.ones(200)
+    toxicity.trained(rows, y, weight, ["x", "y"])
+    assert [n for n, _ in fits] == [200, 150, 150, 150, 150, 200]
+    last = fits[-1][1][:, 0]
+    assert last.min() >= 0 and last.max() <= 1
+    fold = np.random.default_rng(9).permutation(200) % toxicity.FOLDS
+    columns = {f: i for i, f in enumerate("abcdefgh")}
+    flat = [np.array([columns[f] for f in r]) for r in rows]
+    for k in range(toxicity.FOLDS):
+        own = [flat[i] for i in np.flatnonzero(fold != k)]
+        model = fit(toxicity.Linear(8, 0), np.concatenate(own), np.cumsum([0, *map(len, own)]), np.zeros((150, 0)), y[fold != k, 0].astype(float), weight[fold != k])
+        for i in np.flatnonzero(fold == k):
+            assert abs(last[i] - 1 / (1 + math.exp(-(model.b + model.w[flat[i]].sum())))) < 1e-6
 
 
 @pytest.fixture(scope="module")
