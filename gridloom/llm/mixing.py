@@ -4,7 +4,7 @@ Every source has a token target. Document rates that stay as close to 1 as possi
 entropy, meet the targets and never pass a cap are exponentially tilted: min(cap, exp(lambda * z)),
 z being a document's size over its source's mean size. The multipliers maximise a concave dual; its
 gradient and curvature are sums over the documents, taken by one aggregation per Newton step for all
-sources together. A step that leaves the bracket known to hold the root is replaced by its midpoint.
+sources together; a job takes several steps. A step that leaves the bracket known to hold the root is replaced by its midpoint.
 
 The sums only depend on a histogram of (source, size), which is aggregated once, before any
 iteration, so iterations don't touch documents. They are summed as decimals: order plays no part,
@@ -35,6 +35,8 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 CAP = 2.0
 STEPS = 60
+#: Newton steps of one job.
+AT_ONCE = 4
 TOLERANCE = 1e-10
 #: Starts of a source's running sum that are tried.
 OFFSETS = 128
@@ -103,19 +105,22 @@ def balanced(histogram: DataFrame, per_source: DataFrame, cap: float) -> DataFra
         F.lit(None).cast("double").alias("off"),
     )
     state = stored(state, "mix-state")
-    for _ in range(STEPS):
-        at = histogram.join(state.where(F.col("lam").isNotNull()).select("sid", "lam"), "sid")
-        rate = tilt(F.col("lam"), F.col("z"), cap)
-        mass = F.col("n") * F.col("__size")
-        slope = F.when(F.col("lam") * F.col("z") < F.log(F.lit(cap)), mass * F.col("z") * rate).otherwise(F.lit(0.0))
-        sums = at.groupBy("sid").agg(F.sum((mass * rate).cast(EXACT)).cast("double").alias("sum"), F.sum(slope.cast(EXACT)).cast("double").alias("slope"))
-        off = F.col("sum") - F.col("target")
-        low, high = F.when(off <= 0, F.col("lam")).otherwise(F.col("low")), F.when(off >= 0, F.col("lam")).otherwise(F.col("high"))
-        new = F.col("lam") - off / F.col("slope")
-        good = (F.col("slope") > 0) & (new > low) & (new < high)
-        near = F.abs(off) <= F.col("target") * TOLERANCE
-        lam = F.when(near, F.col("lam")).otherwise(F.when(good, new).otherwise((low + high) / 2))
-        state = stored(state.drop("off").join(sums, "sid", "left").select("sid", "target", lam.alias("lam"), low.alias("low"), high.alias("high"), (F.abs(off) / F.greatest("target", F.lit(1.0))).alias("off")), "mix-state")
+    rate = tilt(F.col("lam"), F.col("z"), cap)
+    mass = F.col("n") * F.col("__size")
+    slope = F.when(F.col("lam") * F.col("z") < F.log(F.lit(cap)), mass * F.col("z") * rate).otherwise(F.lit(0.0))
+    off = F.col("sum") - F.col("target")
+    low, high = F.when(off <= 0, F.col("lam")).otherwise(F.col("low")), F.when(off >= 0, F.col("lam")).otherwise(F.col("high"))
+    new = F.col("lam") - off / F.col("slope")
+    good = (F.col("slope") > 0) & (new > low) & (new < high)
+    near = F.abs(off) <= F.col("target") * TOLERANCE
+    lam = F.when(near, F.col("lam")).otherwise(F.when(good, new).otherwise((low + high) / 2))
+    after = [lam.alias("lam"), low.alias("low"), high.alias("high"), (F.abs(off) / F.greatest("target", F.lit(1.0))).alias("off")]
+    for _ in range(0, STEPS, AT_ONCE):
+        for _ in range(AT_ONCE):  # one plan: each step is one aggregation, and carries its source's state along
+            sums = [F.sum(x.cast(EXACT)).cast("double").alias(c) for x, c in ((mass * rate, "sum"), (slope, "slope"))]
+            same = [F.first(c).alias(c) for c in ("target", "lam", "low", "high")]
+            state = histogram.join(state.drop("off"), "sid").groupBy("sid").agg(*sums, *same).select("sid", "target", *after)
+        state = stored(state, "mix-state")
         if (state.agg(F.max("off")).first()[0] or 0.0) <= TOLERANCE:
             break
     return state.select("sid", "lam")
