@@ -29,8 +29,9 @@ from gridloom.llm.common import session, settled, ship, worker_tables
 
 SPACE = "▁"
 NONE = np.iinfo(np.int32).max
-#: Words a worker remembers; when full it starts again, so memory stays bounded.
-CACHE_WORDS = 120_000
+#: Words a worker remembers, or a batch has: half of them in use, half from before. Words that come
+#: again move from the old half to the other; when that is full, it becomes the old one.
+CACHE_WORDS = 300_000
 #: Characters encoded in one go.
 CHUNK_CHARS = 1 << 19
 
@@ -93,6 +94,7 @@ class Bpe:
             if len(ch) == 1:
                 self.by_char[ord(ch)] = i
         self.known: dict[str, tuple[str, int, str]] = {}
+        self.old: dict[str, tuple[str, int, str]] = {}
 
     def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Where each pair is in the table; the last entry stands for absence."""
@@ -215,12 +217,18 @@ class Bpe:
 
     def entries(self, words: list[str]) -> list[tuple[str, int, str]]:
         """(ids as text, number of ids, decoded text) of every word, in order."""
-        known = self.known
-        missing = [w for w in dict.fromkeys(words) if w not in known]
+        known, old, missing = self.known, self.old, []
+        distinct = dict.fromkeys(words)
+        for w in distinct:
+            if w not in known:
+                if w in old:
+                    known[w] = old[w]
+                else:
+                    missing.append(w)
         if missing:
-            if len(known) + len(missing) > CACHE_WORDS:
-                known.clear()
-                missing = list(dict.fromkeys(words))
+            if len(known) + len(missing) > CACHE_WORDS // 2:  # what is in use moves on, the rest grows old
+                self.old, self.known = known, {w: known[w] for w in distinct if w in known}
+                known = self.known
             size = low = 0
             for k, w in enumerate(missing):
                 size += len(w)
