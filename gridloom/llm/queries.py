@@ -91,7 +91,38 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_va_file": OP9}
+    return {"op1_secret_scan": OP1, "op6_minhash": OP6, "op9_va_file": OP9}
+
+
+ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']? *[:=] *["'']?([A-Za-z0-9+/_.=-]+)"""
+
+OP1 = f"""
+WITH d AS (SELECT row_number() OVER () AS nth, doc_id, coalesce(text, '') AS t FROM documents),
+kinds AS (SELECT * FROM (VALUES (0, 'assign', 6), (1, 'access', 20), (2, 'hex', 24)) k(kind, name, least)),
+every AS (
+  SELECT nth, 0 AS kind, regexp_extract_all(t, '{ASSIGN}') AS m, regexp_extract_all(t, '{ASSIGN}', 2) AS counted, string_split_regex(t, '{ASSIGN}') AS gaps FROM d
+  UNION ALL SELECT nth, 1, regexp_extract_all(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+'), string_split_regex(t, 'AKIA[A-Z0-9]+') FROM d
+  UNION ALL SELECT nth, 2, regexp_extract_all(t, '[0-9a-f]+'), regexp_extract_all(t, '[0-9a-f]+'), string_split_regex(t, '[0-9a-f]+') FROM d),
+each AS (SELECT nth, kind, unnest(m) AS s, unnest(counted) AS c, unnest(gaps[1:len(m)]) AS gap, unnest(range(len(m))) AS pos FROM every WHERE len(m) > 0),
+placed AS (SELECT *, sum(length(gap) + length(s)) OVER (PARTITION BY nth, kind ORDER BY pos) AS stop FROM each),
+found AS (SELECT nth, kind, name, CAST(stop - length(s) AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM placed JOIN kinds USING (kind) WHERE length(c) >= least),
+per_doc AS (SELECT nth, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS k, count(*) FILTER (kind = 2) AS h,
+  string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind, stop) AS spans FROM found GROUP BY nth)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(k, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN per_doc USING (nth)
+"""
+
+OP6 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS shingle FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM s a JOIN s b USING (shingle) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM pairs JOIN n nx ON x = nx.doc_id JOIN n ny ON y = ny.doc_id WHERE 100 * shared >= 80 * (nx.n + ny.n - shared)),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id AS node, doc_id AS other FROM d UNION SELECT b.y, r.other FROM reach r JOIN both_ways b ON b.x = r.node),
+roots AS (SELECT node AS doc_id, min(other) AS component_id FROM reach GROUP BY node)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM d JOIN roots USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
 
 
 OP9 = """
