@@ -135,3 +135,89 @@ def to_utm(lon: Column, lat: Column, zone: Column) -> Column:
         y = y + c * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
     north = F.when(zone >= 32700, F.lit(south)).otherwise(F.lit(0.0))
     return point(k0 * radius * x + east, k0 * radius * y + north)
+
+
+def bounds(ring: Column) -> Column:
+    """x0, y0, x1, y1 of the box around a ring."""
+
+    def values(c: str) -> Column:
+        return F.transform(ring, lambda p: p[c])
+
+    return F.struct(*[f(values(c)).alias(f"{c}{i}") for i, f in ((0, F.array_min), (1, F.array_max)) for c in "xy"])
+
+
+def is_box(ring: Column) -> Column:
+    """Four corners, and sides along the axes."""
+    p = [F.get(ring, i) for i in range(4)]
+    turns = [(p[0][a] == p[1][a]) & (p[1][b] == p[2][b]) & (p[2][a] == p[3][a]) & (p[3][b] == p[0][b]) for a, b in (("x", "y"), ("y", "x"))]
+    return (F.size(ring) == 4) & (turns[0] | turns[1])
+
+
+def box_overlap(box: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """Area that a box (as by bounds) shares with another."""
+    wide = F.least(box["x1"], x1) - F.greatest(box["x0"], x0)
+    high = F.least(box["y1"], y1) - F.greatest(box["y0"], y0)
+    return F.greatest(wide, F.lit(0.0)) * F.greatest(high, F.lit(0.0))
+
+
+def counter_clockwise(ring: Column) -> Column:
+    return F.when(signed_area(ring) < 0, F.reverse(ring)).otherwise(ring)
+
+
+def concave_vertices(ring: Column) -> Column:
+    """Vertices at which a ring, gone through counter-clockwise, turns to the right."""
+
+    def own(ring: Column) -> Column:
+        def turn(p: Column, i: Column) -> Column:
+            before, after = F.get(ring, (i - 1 + F.size(ring)) % F.size(ring)), _next(ring, i)
+            return (p["x"] - before["x"]) * (after["y"] - p["y"]) - (p["y"] - before["y"]) * (after["x"] - p["x"])
+
+        return F.filter(ring, lambda p, i: turn(p, i) < 0)
+
+    return let(counter_clockwise(ring), own)
+
+
+def side_planes(ring: Column, inward: Column) -> Column:
+    """The half-planes of a counter-clockwise ring's sides, moved inward by a distance."""
+
+    def of(ring: Column) -> Column:
+        def side(p: Column, i: Column) -> Column:
+            n = _next(ring, i)
+            dx, dy = n["x"] - p["x"], n["y"] - p["y"]
+            size = F.sqrt(dx * dx + dy * dy)
+            return half_plane(-dy / size, dx / size, (dy * p["x"] - dx * p["y"]) / size - inward)
+
+        return F.transform(ring, side)
+
+    return let(F.filter(ring, lambda p, i: p != _next(ring, i)), of)  # sides of no length have no direction
+
+
+def eroded(ring: Column, by: Column) -> Column:
+    """A convex ring less all that lies nearer than by to its border; it may be empty."""
+    return let(counter_clockwise(ring), lambda own: clipped(own, side_planes(own, by)))
+
+
+def overlap(a: Column, b: Column) -> Column:
+    """shared, together and iou (shared over together): areas of a ring with a convex one."""
+    shared = let(counter_clockwise(b), lambda own: clipped_area(a, side_planes(own, F.lit(0.0))))
+    total = F.abs(signed_area(a)) + F.abs(signed_area(b))
+    return let(shared, lambda s: F.struct(s.alias("shared"), (total - s).alias("together"), F.when(total - s > 0, s / (total - s)).alias("iou")))
+
+
+def scaled(ring: Column, factor: Column) -> Column:
+    """A ring drawn larger or smaller about its centroid."""
+    return let(centroid(ring), lambda c: F.transform(ring, lambda p: point(c["x"] + (p["x"] - c["x"]) * factor, c["y"] + (p["y"] - c["y"]) * factor)))
+
+
+def border_distance(ring: Column, x: Column, y: Column) -> Column:
+    """Distance of a point to the nearest side of a ring."""
+
+    def side(p: Column, i: Column) -> Column:
+        n = _next(ring, i)
+        dx, dy = n["x"] - p["x"], n["y"] - p["y"]
+        size = dx * dx + dy * dy
+        at = F.when(size > 0, F.least(F.greatest(((x - p["x"]) * dx + (y - p["y"]) * dy) / size, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+        ex, ey = x - p["x"] - at * dx, y - p["y"] - at * dy
+        return F.sqrt(ex * ex + ey * ey)
+
+    return F.array_min(F.transform(ring, side))

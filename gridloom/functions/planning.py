@@ -85,3 +85,15 @@ def split_repeats(line: list[Point]) -> list[list[Point]]:
         if line.count(p) > 1:
             return [line[: i + 1], line[i:]]
     return [line]
+
+
+def crop_box(nx: int, ny: int, width: float, height: float, cell: float = 1.0, step: int = 8) -> tuple[int, int, int, int]:
+    """The part of an nx by ny raster, in cells, that a map of a width and height covers about its
+    centre: a corner, and as many whole steps as fit (x0, y0, x1, y1, the last ones out)."""
+
+    def along(n: int, size: float) -> tuple[int, int]:
+        low = round(max(0.0, n / 2 - 0.5 - size / 2 / cell))
+        return low, low + min((n - 1 - low) // step * step, int(size / step) * step)
+
+    (x0, x1), (y0, y1) = along(nx, width), along(ny, height)
+    return x0, y0, x1, y1

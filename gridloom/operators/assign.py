@@ -26,12 +26,16 @@ def drawn(cells: DataFrame, cm_types: str, *keys: str, salt: int = 0) -> DataFra
     return cells.withColumns({c: F.when(real, t[c]) for c in ("menu", "cat1", "cat2")})
 
 
-def strided(cells: DataFrame, element: str, sx: int, sy: int) -> DataFrame:
-    """Every sx-th column and sy-th row of each element's cells, from its first on, never its last."""
+def strided(cells: DataFrame, element: str, sx: int | str, sy: int | str) -> DataFrame:
+    """Every sx-th column and sy-th row (numbers, or columns) of each element's cells, from its first
+    on, never its last; a stride of one leaves all."""
     own = Window.partitionBy(element)
-    for c, s in (("xidx", sx), ("yidx", sy)):
+    for c, stride in (("xidx", sx), ("yidx", sy)):
+        if stride == 1:
+            continue
+        s = F.col(stride) if isinstance(stride, str) else F.lit(stride)
         cells = cells.withColumns({"__low": F.min(c).over(own), "__high": F.max(c).over(own)})
-        cells = cells.where(((F.col(c) - F.col("__low")) % s == 0) & (F.col(c) < F.col("__high"))).drop("__low", "__high") if s > 1 else cells.drop("__low", "__high")
+        cells = cells.where((s <= 1) | (((F.col(c) - F.col("__low")) % s == 0) & (F.col(c) < F.col("__high")))).drop("__low", "__high")
     return cells
 
 

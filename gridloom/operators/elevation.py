@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridloom.functions import geometry as g
+from gridloom.functions.number import numbered
 from gridloom.plans.model import CELL
 
 # The least height of a map, and what is added so that it is reached.
@@ -111,7 +112,43 @@ def contours(raster: DataFrame, step: float) -> DataFrame:
 
 
 def strided(points: DataFrame, order: tuple[str, ...], n: int, group: str | None = None) -> DataFrame:
-    """Every n-th row in an order, from the first. Ranking all rows of a table is one sort; with group
-    ranks start again in each."""
-    own = (Window.partitionBy(group) if group else Window.partitionBy()).orderBy(*order)
-    return points.withColumn("__r", F.row_number().over(own)).where((F.col("__r") - 1) % n == 0).drop("__r")
+    """Every n-th row in an order, from the first; with group, in each group. Without, the first column
+    of the order is a number, by whose whole part rows are dealt to be ranked."""
+    if group:
+        ranked = points.withColumn("__k", F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1)
+    else:
+        ranked = numbered(points, F.floor(order[0]), *order, name="__k")
+    return ranked.where(F.col("__k") % n == 0).drop("__k")
+
+
+def with_corner(points: DataFrame, extent_of: DataFrame) -> DataFrame:
+    """points and a last row at the largest x and y of extent_of, with a height of -1, by which readers
+    know the extent."""
+    kinds = dict(points.dtypes)
+    corner = extent_of.agg(F.max("x").cast(kinds["x"]).alias("x"), F.max("y").cast(kinds["y"]).alias("y"), F.lit(-1).cast(kinds["z"]).alias("z")).where("x is not null")
+    return points.unionByName(corner)
+
+
+def pixel(x: Column, y: Column, left: float, top: float, cell: float) -> tuple[Column, Column]:
+    """Row and column of a position in a raster whose rows go down from its upper left corner."""
+    return F.floor((F.lit(top) - y) / cell).cast("int"), F.floor((x - left) / cell).cast("int")
+
+
+def position(row: Column, col: Column, left: float, top: float, cell: float) -> tuple[Column, Column]:
+    """x and y of a pixel's centre."""
+    return F.lit(left) + (col + 0.5) * cell, F.lit(top) - (row + 0.5) * cell
+
+
+def window(pixels: DataFrame, box: tuple[float, float, float, float], left: float, top: float, cell: float) -> DataFrame:
+    """x, y, z of the pixels (row, col, z) of a box (xmin, ymin, xmax, ymax) and of one more all around."""
+    low, high = (pixel(F.lit(float(box[i])), F.lit(float(box[i + 1])), left, top, cell) for i in (0, 2))
+    inside = pixels.where(F.col("row").between(high[0] - 1, low[0] + 1) & F.col("col").between(low[1] - 1, high[1] + 1))
+    x, y = position(F.col("row"), F.col("col"), left, top, cell)
+    return inside.select(x.alias("x"), y.alias("y"), "z")
+
+
+def cropped(raster: DataFrame, box: tuple[int, int, int, int]) -> DataFrame:
+    """Cells of a box (x0, y0, x1, y1, the last ones out), counted from its corner."""
+    x0, y0, x1, y1 = box
+    inside = raster.where(F.col("x").between(x0, x1 - 1) & F.col("y").between(y0, y1 - 1))
+    return inside.withColumns({"x": F.col("x") - x0, "y": F.col("y") - y0})

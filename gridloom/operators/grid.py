@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,12 +59,19 @@ def nearest_cell(points: DataFrame, x: str, y: str, nx: int, ny: int, cell: floa
     return points.withColumns({"xidx": near(x, nx), "yidx": near(y, ny)})
 
 
-def candidate_cells(shapes: DataFrame, ring: str, cell: float = CELL) -> DataFrame:
-    """shapes with one row per cell of the ring's bounding box."""
+def all_grids(cells: DataFrame, cell: float = CELL) -> DataFrame:
+    """kind, qx, qy, x, y: the squares, diamonds and quarter cells of a map, in quarter units."""
+    own = cells.select((F.col("xidx") * 4).alias("qx"), (F.col("yidx") * 4).alias("qy"), "x", "y")
+    each = [("square", own), ("diamond", diamonds(cells, cell)), ("quarter", quarters(cells, cell))]
+    return reduce(DataFrame.union, [df.select(F.lit(kind).alias("kind"), "qx", "qy", "x", "y") for kind, df in each])
+
+
+def candidate_cells(shapes: DataFrame, ring: str, cell: float = CELL, pad: Column | float = 0.0) -> DataFrame:
+    """shapes with one row per cell of the ring's bounding box, which pad widens."""
 
     def span(c: str) -> Column:
         values = F.transform(ring, lambda p: p[c])
-        return F.sequence(F.floor(F.array_min(values) / cell), F.floor(F.array_max(values) / cell))
+        return F.sequence(F.floor((F.array_min(values) - pad) / cell), F.floor((F.array_max(values) + pad) / cell))
 
     wide = shapes.withColumn("xidx", F.explode(span("x")))
     return wide.withColumn("yidx", F.explode(span("y"))).withColumns({"xidx": F.col("xidx").cast("int"), "yidx": F.col("yidx").cast("int")})
@@ -71,23 +80,49 @@ def candidate_cells(shapes: DataFrame, ring: str, cell: float = CELL) -> DataFra
 def fill(shapes: DataFrame, ring: str, share: float = 0.5, cell: float = CELL) -> DataFrame:
     """shapes with one row per cell of which more than share is covered, and the area covered."""
     x, y = F.col("xidx") * cell, F.col("yidx") * cell
-    area = g.clipped_area(F.col(ring), g.box_planes(x, y, x + cell, y + cell))
-    cells = candidate_cells(shapes, ring, cell).withColumn("area", area)
-    return cells.where(F.col("area") > share * SQUARE_AREA * (cell / CELL) ** 2)
+    cells = candidate_cells(with_box(shapes, ring), ring, cell).withColumn("area", box_area(ring, x, y, x + cell, y + cell))
+    return cells.drop("__box").where(F.col("area") > share * SQUARE_AREA * (cell / CELL) ** 2)
+
+
+def with_box(shapes: DataFrame, ring: str) -> DataFrame:
+    """shapes with __box, the bounds of rings that are boxes: found once for each shape."""
+    return shapes.withColumn("__box", F.when(g.is_box(F.col(ring)), g.bounds(F.col(ring))))
+
+
+def box_area(ring: str, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """Area of a ring in an upright cell: a product for boxes, else the ring is cut."""
+    cut = g.clipped_area(F.col(ring), g.box_planes(x0, y0, x1, y1))
+    return F.when(F.col("__box").isNotNull(), g.box_overlap(F.col("__box"), x0, y0, x1, y1)).otherwise(cut)
+
+
+def fill_core(shapes: DataFrame, ring: str, border: str, share: float = 0.5, cell: float = CELL) -> DataFrame:
+    """The same, after a border of so many cells (a column, null for none) is taken off the shape; a
+    negative one is added to it. Convex shapes are cut exactly. Of others those cells stay whose centre
+    is as far from the border, and a border is added by the cells whose centre it reaches."""
+    by = F.col(border) * cell
+    convex = F.size(g.concave_vertices(F.col(ring))) == 0
+    marked = shapes.withColumn("__by", F.coalesce(by, F.lit(0.0))).withColumn("__exact", convex | (F.col("__by") == 0))
+    cut = marked.withColumn("__core", F.when((F.col("__by") > 0) & F.col("__exact"), g.eroded(F.col(ring), F.col("__by"))).otherwise(F.col(ring))).where(F.size("__core") > 0)
+    x, y = F.col("xidx") * cell, F.col("yidx") * cell
+    cells = candidate_cells(with_box(cut, "__core"), "__core", cell, F.greatest(-F.col("__by"), F.lit(0.0))).withColumn("area", box_area("__core", x, y, x + cell, y + cell))
+    far = g.border_distance(F.col(ring), x + cell / 2, y + cell / 2)
+    enough = F.col("area") > share * SQUARE_AREA * (cell / CELL) ** 2
+    kept = F.when(F.col("__by") < 0, enough | (far <= -F.col("__by"))).when(F.col("__exact"), enough).otherwise(enough & (far >= F.col("__by")))
+    return cells.where(kept).drop("__by", "__exact", "__core", "__box")
 
 
 def fill_fine(shapes: DataFrame, ring: str, offsets: tuple[tuple[int, int], ...], share: float, cell: float = CELL) -> DataFrame:
     """The same over diamonds or quarter cells, in quarter units."""
     steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in offsets])
-    each = candidate_cells(shapes, ring, cell).withColumn("s", F.explode(steps))
+    each = candidate_cells(with_box(shapes, ring), ring, cell).withColumn("s", F.explode(steps))
     fine = each.withColumns({"qx": F.col("xidx") * 4 + F.col("s.a"), "qy": F.col("yidx") * 4 + F.col("s.b")}).drop("s")
     cx, cy = (F.col("qx") / 4 + 0.5) * cell, (F.col("qy") / 4 + 0.5) * cell
     if offsets == DIAMONDS:
-        planes, base = g.diamond_planes(cx, cy, cell / 2), cell * cell / 2
+        area, base = g.clipped_area(F.col(ring), g.diamond_planes(cx, cy, cell / 2)), cell * cell / 2
     else:
-        planes, base = g.box_planes(cx - cell / 4, cy - cell / 4, cx + cell / 4, cy + cell / 4), cell * cell / 4
+        area, base = box_area(ring, cx - cell / 4, cy - cell / 4, cx + cell / 4, cy + cell / 4), cell * cell / 4
     keyed = fine.drop("xidx", "yidx").dropDuplicates([*[c for c in shapes.columns if c != ring], "qx", "qy"])
-    return keyed.withColumn("area", g.clipped_area(F.col(ring), planes)).where(F.col("area") > share * base)
+    return keyed.withColumn("area", area).where(F.col("area") > share * base).drop("__box")
 
 
 def free(cells: DataFrame, occupied: DataFrame, keys: tuple[str, ...] = ("xidx", "yidx")) -> DataFrame:

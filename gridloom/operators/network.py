@@ -299,3 +299,13 @@ def tile_paths(squares: DataFrame, tiles: list[tuple[int, float, dict[str, int]]
         return pa.table({n: pa.array([o[i] for o in out], k) for i, (n, k) in enumerate((("edge_id", pa.int64()), ("pos", pa.int32()), ("tile", pa.int32())))})
 
     return squares.groupBy("edge_id").applyInArrow(run, "edge_id bigint, pos int, tile int")
+
+
+def path_cells(cells: DataFrame, path: DataFrame) -> DataFrame:
+    """cells that lie on a path, by both their indexes."""
+    return cells.join(path.select("xidx", "yidx").distinct(), ["xidx", "yidx"], "left_semi")
+
+
+def occupied(before: DataFrame, path: DataFrame) -> DataFrame:
+    """Cells occupied so far, and those of a path that has been taken."""
+    return before.select("xidx", "yidx").union(path.select("xidx", "yidx")).distinct()

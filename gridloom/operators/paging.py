@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -98,3 +98,26 @@ def actions(strokes: DataFrame, order: tuple[str, ...]) -> DataFrame:
     at = labels.click(F.col("x"), F.col("y"))
     own = Window.partitionBy("page_y", "page_x").orderBy(*order)
     return strokes.withColumns({"seq": F.row_number().over(own), "click": at})
+
+
+# Squares of a map at the start.
+START_SQUARES = 40
+
+
+def resizes(pages: DataFrame, map_: str, order: str) -> DataFrame:
+    """map_, order, button, clicks: what brings the editor from one page's size (nx, ny) to the next
+    one's, two squares a click. A size shrinks or grows on one side, and unless the map has its first
+    size still, the opposite way on the other one, so that the part shown moves."""
+    own = Window.partitionBy(map_).orderBy(order)
+    told = pages.select(map_, order, "nx", "ny", *[F.coalesce(F.lag(c).over(own), F.lit(START_SQUARES)).alias(f"{c}_before") for c in ("nx", "ny")])
+    first = (F.col("nx_before") == START_SQUARES) & (F.col("ny_before") == START_SQUARES)
+
+    def clicks(c: str, side: str) -> list[Column]:
+        n = F.floor(F.abs(F.col(f"{c}_before") - F.col(c)) / 2).cast("int")
+        smaller = F.col(c) <= F.col(f"{c}_before")
+        away = F.struct(F.when(smaller, f"{side}_minus").otherwise(f"{side}_plus").alias("button"), n.alias("clicks"))
+        other = F.struct(F.when(smaller, f"{side}_plus2").otherwise(f"{side}_minus2").alias("button"), F.when(first, 0).otherwise(n).alias("clicks"))
+        return [away, other]
+
+    each = told.withColumn("c", F.explode(F.array(*clicks("nx", "horizontal"), *clicks("ny", "vertical"))))
+    return each.where("c.clicks > 0").select(map_, order, "c.button", "c.clicks")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions.number import numbered
+
 
 def has(tags: Column, pair: Column) -> Column:
     return F.coalesce(F.try_element_at(tags, pair["k"]) == pair["v"], F.lit(False))
@@ -43,3 +45,10 @@ def unprocessed_tags(features: DataFrame, matched: DataFrame) -> DataFrame:
 def first_type(tags: Column, cm_types: Column) -> Column:
     """The first type, in the order of the rule, with any matching tag; null without one."""
     return F.get(F.filter(cm_types, lambda t: F.exists(F.coalesce(t["tags"], F.array().cast("array<struct<k:string,v:string>>")), lambda p: has(tags, p))), 0)
+
+
+def indexed(matched: DataFrame, order: Column, chunk: int = 100_000) -> DataFrame:
+    """matched with idx, the number of each element: by the place of its feature (order, a whole number
+    that rises along the input), then by the order of the rules."""
+    own = matched.withColumn("__at", order)
+    return numbered(own, F.floor(F.col("__at") / chunk), "__at", "ord").drop("__at")

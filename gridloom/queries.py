@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridloom.functions import labels
 from gridloom.functions import geometry as g
+from gridloom.functions import labels, planning
 from gridloom.operators import assign, catalogues, elevation, grid, network, packing, paging, resolve, rules
+from gridloom.plans import maps
 from gridloom.plans import schedule as plan
 from gridloom.sources import readers, sinks
 
@@ -160,6 +161,12 @@ def stage_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return steps.join(count, "name", "left").select("priority", "stage", "operator", "mode", "name", F.coalesce("n", F.lit(0)).alias("n_elements"))
 
 
+@query(f"WITH {FEATURES_SQL}, o AS (SELECT m.*, CASE name WHEN 'plain' THEN 0 WHEN 'brand' THEN 1 WHEN 'typed' THEN 2 WHEN 'banned' THEN 3 ELSE 4 END AS ord FROM m) SELECT row_number() OVER (ORDER BY CAST(id AS BIGINT), ord) - 1 AS idx, id, name FROM o")
+def element_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements numbered by feature, then by rule."""
+    return rules.indexed(matched(spark, sf_dir), F.col("id").cast("long"), chunk=64).select("idx", "id", "name")
+
+
 # ---- grids ----
 
 
@@ -245,7 +252,13 @@ def diamonds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(k.alias("id"), ring.alias("ring"))
 
 
-@query()
+@query("""WITH s AS (SELECT s_suppkey AS id, (s_suppkey % 41) * 11.0 + 40 AS cx, (s_suppkey % 37) * 13.0 + 40 AS cy, (s_suppkey % 5) * 4.0 + 10 AS r FROM supplier),
+c AS (SELECT s.*, unnest(range(CAST(floor((cx - r) / 8) AS BIGINT) - 1, CAST(floor((cx + r) / 8) AS BIGINT) + 2)) AS i FROM s),
+d AS (SELECT c.*, unnest(range(CAST(floor((cy - r) / 8) AS BIGINT) - 1, CAST(floor((cy + r) / 8) AS BIGINT) + 2)) AS j FROM c),
+q AS (SELECT DISTINCT id, cx, cy, r, 4 * i + a AS qx, 4 * j + b AS qy FROM d, (VALUES (2, 0), (-2, 0), (0, 2), (0, -2)) t(a, b)),
+u AS (SELECT *, (qx / 4 + 0.5) * 8.0 AS x, (qy / 4 + 0.5) * 8.0 AS y FROM q),
+o AS (SELECT *, greatest(least(cx + cy + r, x + y + 4) - greatest(cx + cy - r, x + y - 4), 0) * greatest(least(cx - cy + r, x - y + 4) - greatest(cx - cy - r, x - y - 4), 0) / 2 AS area FROM u)
+SELECT id, qx, qy, round(area, 3) AS area FROM o WHERE round(area, 6) > 16""")
 def diamond_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Diamond cells (quarter units) more than half covered by each polygon."""
     found = grid.fill_fine(diamonds(spark, sf_dir), "ring", grid.DIAMONDS, 0.5)
@@ -258,6 +271,65 @@ def quarter_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.fill_fine(rectangles(spark, sf_dir), "ring", grid.QUARTERS, 0.5).select("id", F.col("qx").cast("int").alias("qx"), F.col("qy").cast("int").alias("qy"))
 
 
+@query(f"""WITH {RECT_SQL}, q AS (SELECT id, CAST(4 * c.xidx + s.a AS INTEGER) AS qx, CAST(4 * c.yidx + s.b AS INTEGER) AS qy FROM (SELECT d.*, unnest([{{'a': -1, 'b': -1}}, {{'a': 1, 'b': -1}}, {{'a': -1, 'b': 1}}, {{'a': 1, 'b': 1}}]) AS s FROM d) c
+WHERE greatest(least(x0 + w, xidx * 8 + 4 + 2 * s.a + 2) - greatest(x0, xidx * 8 + 4 + 2 * s.a - 2), 0) * greatest(least(y0 + h, yidx * 8 + 4 + 2 * s.b + 2) - greatest(y0, yidx * 8 + 4 + 2 * s.b - 2), 0) > 8)
+SELECT id, qx, qy FROM q WHERE id % 7 = 1 AND NOT EXISTS (SELECT 1 FROM q o WHERE o.id % 7 = 0 AND o.qx = q.qx AND o.qy = q.qy)""")
+def quarter_free(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quarter cells of some shapes that others have not occupied before."""
+    found = quarter_fill(spark, sf_dir)
+    return grid.free(found.where("id % 7 = 1"), found.where("id % 7 = 0"), ("qx", "qy")).select("id", "qx", "qy")
+
+
+@query("""WITH r AS (SELECT p_partkey AS id, (p_partkey % 97) * 5.0 AS x0, (p_partkey % 89) * 3.0 AS y0, p_size * 1.53 + 3.01 AS w, p_size * 0.71 + 5.03 AS h, CASE WHEN p_partkey % 2 = 0 THEN 3.5 ELSE 0.0 END AS d FROM part),
+b AS (SELECT id, x0 + d AS x1, y0 + d AS y1, x0 + w - d AS x2, y0 + h - d AS y2 FROM r WHERE w > 2 * d AND h > 2 * d),
+c AS (SELECT b.*, CAST(unnest(range(CAST(floor(x1 / 8) AS BIGINT), CAST(floor(x2 / 8) AS BIGINT) + 1)) AS INTEGER) AS xidx FROM b),
+e AS (SELECT c.*, CAST(unnest(range(CAST(floor(y1 / 8) AS BIGINT), CAST(floor(y2 / 8) AS BIGINT) + 1)) AS INTEGER) AS yidx FROM c)
+SELECT id, xidx, yidx FROM e WHERE greatest(least(x2, xidx * 8 + 8) - greatest(x1, xidx * 8), 0) * greatest(least(y2, yidx * 8 + 8) - greatest(y1, yidx * 8), 0) > 32""")
+def core_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of shapes of which every second one is less a border of 7/16 of a cell."""
+    border = F.when(F.col("id") % 2 == 0, 0.4375)
+    return grid.fill_core(rectangles(spark, sf_dir).withColumn("border", border), "ring", "border").select("id", "xidx", "yidx")
+
+
+@query("""SELECT 'square' AS kind, count(*) AS n, min(4 * (i % 40)) AS low, max(4 * (i // 40)) AS high FROM range(40 * 30) t(i)
+UNION ALL SELECT kind, count(*), min(qx), max(qy) FROM (SELECT DISTINCT kind, 4 * (i % 40) + a AS qx, 4 * (i // 40) + b AS qy FROM range(40 * 30) t(i), (VALUES ('diamond', 2, 0), ('diamond', -2, 0), ('diamond', 0, 2), ('diamond', 0, -2), ('quarter', -1, -1), ('quarter', 1, -1), ('quarter', -1, 1), ('quarter', 1, 1)) s(kind, a, b)) GROUP BY kind""")
+def grid_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three grids of a map: how many cells, and how far they reach."""
+    every = grid.all_grids(grid.squares(spark, 40, 30))
+    return every.groupBy("kind").agg(F.count("*").alias("n"), F.min("qx").cast("long").alias("low"), F.max("qy").cast("long").alias("high"))
+
+
+@query("""WITH r AS (SELECT p_partkey AS id, p_size * 1.53 + 3.01 AS w, p_size * 0.71 + 5.03 AS h, (p_partkey % 13) * 1.5 AS dx, (p_partkey % 7) * 0.5 AS dy FROM part),
+i AS (SELECT *, greatest(w - dx, 0) * greatest(h - dy, 0) AS shared FROM r)
+SELECT id, round(shared, 4) AS shared, round(2 * w * h - shared, 4) AS together, round(shared / (2 * w * h - shared), 6) AS iou FROM i""")
+def polygon_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rectangles and themselves moved aside: areas shared and together."""
+    k = F.col("id")
+    moved = F.transform("ring", lambda p: g.point(p["x"] + (k % 13) * 1.5, p["y"] + (k % 7) * 0.5))
+    both = rectangles(spark, sf_dir).withColumn("o", g.overlap(F.col("ring"), moved))
+    return both.select("id", F.round("o.shared", 4).alias("shared"), F.round("o.together", 4).alias("together"), F.round("o.iou", 6).alias("iou"))
+
+
+@query("SELECT p_partkey AS id, CAST(p_size + 1 AS DOUBLE) AS x, 2.0 AS y, round(2.25 * ((p_size + 3) * 2.0 + (p_size + 1) * 3.0), 4) AS scaled_area FROM part")
+def ring_concave(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L-shaped rings of either direction: their concave corner, and their area drawn half as large again."""
+    s = F.col("p_size")
+    corners = ((F.lit(0), F.lit(0)), (s + 3, F.lit(0)), (s + 3, F.lit(2)), (s + 1, F.lit(2)), (s + 1, F.lit(5)), (F.lit(0), F.lit(5)))
+    ring = F.array(*[g.point(x, y) for x, y in corners])
+    own = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 2 == 0, F.reverse(ring)).otherwise(ring).alias("ring"))
+    corner = F.explode(g.concave_vertices(F.col("ring")))
+    area = F.abs(g.signed_area(g.scaled(F.col("ring"), F.lit(1.5))))
+    return own.select("id", "ring", corner.alias("p")).select("id", "p.x", "p.y", F.round(area, 4).alias("scaled_area"))
+
+
+@query("""WITH a AS (SELECT p_partkey AS id, atan2(p_size - 25.0, p_partkey % 41 - 20.0) AS a, atan2(p_partkey % 17 - 8.0, p_size - 13.0) AS b FROM part),
+d AS (SELECT id, (a - b) - floor((a - b) / (2 * pi())) * (2 * pi()) AS d FROM a) SELECT id, round(least(d, 2 * pi() - d), 6) AS angle FROM d""")
+def angle_between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, s = F.col("p_partkey"), F.col("p_size")
+    angle = g.angle_difference(F.atan2(s - 25.0, k % 41 - 20.0), F.atan2(k % 17 - 8.0, s - 13.0))
+    return table(spark, sf_dir, "part").select(k.alias("id"), F.round(angle, 6).alias("angle"))
+
+
 # ---- draws ----
 
 TYPES = "array(named_struct('menu', 'Ground', 'cat1', 'Grass', 'cat2', 'g', 'weight', 2.0D, 'dummy', false), named_struct('menu', 'Ground', 'cat1', 'Mud', 'cat2', 'm', 'weight', 0.5D, 'dummy', false), named_struct('menu', CAST(NULL AS STRING), 'cat1', CAST(NULL AS STRING), 'cat2', CAST(NULL AS STRING), 'weight', 1.5D, 'dummy', true))"
@@ -375,10 +447,33 @@ def raster_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elevation.resampled(dense(spark, sf_dir), at).select("x", "y", F.round("z", 4).alias("z"))
 
 
-@query()
+@query(f"""WITH {RASTER_SQL}, t AS (SELECT x, y, 63.5 + (x - 63.5) * cos(radians(-30)) - (y - 63.5) * sin(radians(-30)) AS tx, 63.5 + (x - 63.5) * sin(radians(-30)) + (y - 63.5) * cos(radians(-30)) AS ty FROM raster),
+c AS (SELECT t.*, unnest([0, 0, 1, 1]) AS a, unnest([0, 1, 0, 1]) AS b FROM t),
+w AS (SELECT *, CAST(floor(tx) + a AS INTEGER) AS nx, CAST(floor(ty) + b AS INTEGER) AS ny, CASE WHEN a = 1 THEN tx - floor(tx) ELSE 1 - (tx - floor(tx)) END * CASE WHEN b = 1 THEN ty - floor(ty) ELSE 1 - (ty - floor(ty)) END AS weight FROM c)
+SELECT w.x, w.y, round(CASE WHEN count(d.z) = count(*) THEN sum(weight * d.z) ELSE -1 END, 4) AS z FROM w LEFT JOIN dense d ON d.x = nx AND d.y = ny WHERE weight > 0 GROUP BY w.x, w.y""")
 def raster_rotate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A dense raster turned by 30 degrees, -1 where nothing was."""
-    return elevation.rotated(dense(spark, sf_dir), 128, 128, 30.0)
+    return elevation.rotated(dense(spark, sf_dir), 128, 128, 30.0).withColumn("z", F.round("z", 4))
+
+
+@query(f"WITH {RASTER_SQL} SELECT x - 12 AS x, y - 36 AS y, z FROM dense WHERE x BETWEEN 12 AND 12 + 103 AND y BETWEEN 36 AND 36 + 55")
+def raster_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of a raster that a map of 104 by 56 cells covers about its centre."""
+    return elevation.cropped(dense(spark, sf_dir), planning.crop_box(128, 128, 104.0, 56.0))
+
+
+@query(f"WITH {RASTER_SQL} SELECT 1000 + (x + 0.5) * 4 AS x, 2512 - (y + 0.5) * 4 AS y, z FROM dense WHERE y BETWEEN 52 - 1 AND 102 + 1 AND x BETWEEN 25 - 1 AND 75 + 1")
+def raster_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels of a box and one more all around, at their positions."""
+    pixels = dense(spark, sf_dir).select(F.col("y").alias("row"), F.col("x").alias("col"), "z")
+    return elevation.window(pixels, (1100.0, 2103.0, 1300.0, 2301.0), 1000.0, 2512.0, 4.0)
+
+
+@query(f"WITH {POINTS_SQL}, r AS (SELECT x, y, z, row_number() OVER (ORDER BY x, y, z) AS k FROM pts) SELECT x, y, z FROM r WHERE (k - 1) % 5 = 0 UNION ALL SELECT max(x), max(y), -1 FROM pts")
+def stride_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth point of all, and a row that marks the far corner."""
+    own = points(spark, sf_dir)
+    return elevation.with_corner(elevation.strided(own, ("x", "y", "z"), 5), own)
 
 
 @query(f"WITH {POINTS_SQL}, r AS (SELECT x, y, z, row_number() OVER (PARTITION BY x ORDER BY y, z) AS k FROM pts) SELECT x, y, z FROM r WHERE (k - 1) % 7 = 0")
@@ -392,7 +487,13 @@ def utm_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", g.utm_zone((k % 360) - 180.0 + 0.5, (k % 160) - 80.0 + 0.5).alias("epsg"))
 
 
-@query()
+@query("""WITH p AS (SELECT c_custkey, (c_custkey % 360) - 180.0 + 0.5 AS lon, (c_custkey % 160) - 80.0 + 0.5 AS lat FROM customer),
+c AS (SELECT *, 1 / 298.257223563 / (2 - 1 / 298.257223563) AS n, radians(lat) AS phi, radians(lon - (least(floor((lon + 180) / 6) + 1, 60) * 6 - 183)) AS lam FROM p),
+e AS (SELECT *, 2 * sqrt(n) / (1 + n) AS ecc, 6378137.0 / (1 + n) * (1 + n * n / 4 + n * n * n * n / 64) AS radius FROM c),
+t AS (SELECT *, sinh(atanh(sin(phi)) - ecc * atanh(ecc * sin(phi))) AS tau FROM e),
+z AS (SELECT *, atan2(tau, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + tau * tau)) AS eta, n / 2 - 2 * n * n / 3 + 5 * n * n * n / 16 AS a1, 13 * n * n / 48 - 3 * n * n * n / 5 AS a2, 61 * n * n * n / 240 AS a3 FROM t)
+SELECT c_custkey, round(0.9996 * radius * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta)) + 500000, 2) AS east,
+round(0.9996 * radius * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta)) + CASE WHEN lat >= 0 THEN 0 ELSE 10000000 END, 2) AS north FROM z""")
 def utm_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eastings and northings of positions on a raster of degrees."""
     k = F.col("c_custkey")
@@ -435,6 +536,20 @@ def height_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paging.height_steps(paging.paged(map_cells(spark, sf_dir)))
 
 
+@query("""WITH p AS (SELECT c_nationkey AS map, c_custkey AS seq, CAST(c_custkey % 37 + 10 AS INTEGER) AS nx, CAST(c_custkey % 23 + 20 AS INTEGER) AS ny FROM customer),
+b AS (SELECT *, coalesce(lag(nx) OVER w, 40) AS bx, coalesce(lag(ny) OVER w, 40) AS b_y FROM p WINDOW w AS (PARTITION BY map ORDER BY seq)),
+c AS (SELECT map, seq, CASE WHEN nx <= bx THEN 'horizontal_minus' ELSE 'horizontal_plus' END AS button, abs(bx - nx) // 2 AS clicks FROM b
+UNION ALL SELECT map, seq, CASE WHEN nx <= bx THEN 'horizontal_plus2' ELSE 'horizontal_minus2' END, abs(bx - nx) // 2 FROM b WHERE NOT (bx = 40 AND b_y = 40)
+UNION ALL SELECT map, seq, CASE WHEN ny <= b_y THEN 'vertical_minus' ELSE 'vertical_plus' END, abs(b_y - ny) // 2 FROM b
+UNION ALL SELECT map, seq, CASE WHEN ny <= b_y THEN 'vertical_plus2' ELSE 'vertical_minus2' END, abs(b_y - ny) // 2 FROM b WHERE NOT (bx = 40 AND b_y = 40))
+SELECT map, seq, button, CAST(clicks AS INTEGER) AS clicks FROM c WHERE clicks > 0""")
+def map_resize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks that bring a map from page size to page size."""
+    k = F.col("c_custkey")
+    pages = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("map"), k.alias("seq"), (k % 37 + 10).cast("int").alias("nx"), (k % 23 + 20).cast("int").alias("ny"))
+    return paging.resizes(pages, "map", "seq")
+
+
 MENUS = [("Ground 1", 10, 20), ("Foliage", 30, 40), ("A", 50, 60), ("N", 70, 80), ("O", 90, 100)]
 
 
@@ -474,10 +589,36 @@ def line_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.groupBy("line").agg(F.count("*").alias("n"), F.round(F.sum("t"), 4).alias("sum_t"))
 
 
-@query()
+@query("""WITH s AS (SELECT s_suppkey AS line, (s_suppkey % 61) * 7.0 AS ax, (s_suppkey % 53) * 9.0 + 1.5 AS ay, ((s_suppkey * 7) % 61) * 7.0 + 3.25 AS bx, ((s_suppkey * 11) % 53) * 9.0 AS b_y FROM supplier),
+p AS (SELECT a.line, (b.ax - a.ax) * (b.b_y - b.ay) - (b.ay - a.ay) * (b.bx - b.ax) AS nt, (b.ax - a.ax) * (a.b_y - a.ay) - (b.ay - a.ay) * (a.bx - a.ax) AS nu, (a.bx - a.ax) * (b.b_y - b.ay) - (a.b_y - a.ay) * (b.bx - b.ax) AS d FROM s a JOIN s b ON a.line <> b.line),
+q AS (SELECT DISTINCT line, nt / d AS t, 1 AS cut FROM p WHERE d <> 0 AND nt / d BETWEEN 0 AND 1 AND nu / d BETWEEN 0 AND 1),
+e AS (SELECT line, t, max(cut) AS cut FROM (SELECT * FROM q UNION ALL SELECT line, 0, 0 FROM s UNION ALL SELECT line, 1, 0 FROM s) GROUP BY line, t),
+k AS (SELECT line, t, sum(cut) OVER w AS part, lead(t) OVER w AS t2 FROM e WINDOW w AS (PARTITION BY line ORDER BY t))
+SELECT k.line, CAST(part AS BIGINT) AS part, round(ax + t * (bx - ax), 4) AS x1, round(ay + t * (b_y - ay), 4) AS y1, round(ax + t2 * (bx - ax), 4) AS x2, round(ay + t2 * (b_y - ay), 4) AS y2, 2 AS points FROM k JOIN s USING (line) WHERE t2 IS NOT NULL""")
 def line_noding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines cut at their crossings."""
-    return network.noded(lines(spark, sf_dir), 64.0)
+    """Lines cut at their crossings: ends of the pieces, in order, and how many points they have."""
+    cut = network.noded(lines(spark, sf_dir), 64.0)
+    ends = [F.round(f"{p}.{c}", 4).alias(f"{c}{i}") for p, i in (("src", 1), ("dst", 2)) for c in "xy"]
+    return cut.select("line", F.col("part").cast("long").alias("part"), *ends, F.size("points").alias("points"))
+
+
+@query("WITH e AS (SELECT l_orderkey % 50 AS src, l_partkey % 50 AS dst FROM lineitem) SELECT node, count(*) AS degree FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY node")
+def node_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    return network.degrees(li.select((F.col("l_orderkey") % 50).alias("src"), (F.col("l_partkey") % 50).alias("dst")))
+
+
+@query(f"""WITH {ROWS_SQL}, path AS (SELECT DISTINCT xidx, yidx FROM rows_ WHERE priority = 2 AND z > 25), cells AS (SELECT CAST(i % 80 AS INTEGER) AS xidx, CAST(i // 80 AS INTEGER) AS yidx FROM range(80 * 60) t(i)),
+taken AS (SELECT xidx, yidx FROM path UNION SELECT DISTINCT xidx, yidx FROM rows_ WHERE priority < 0)
+SELECT xidx, yidx, (xidx, yidx) IN (SELECT (xidx, yidx) FROM path) AS on_path, (xidx, yidx) IN (SELECT (xidx, yidx) FROM taken) AS occupied FROM cells""")
+def path_occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of a map: those on a path, and those occupied once the path is taken."""
+    rows, cells = assignments(spark, sf_dir), grid.squares(spark, 80, 60).select("xidx", "yidx")
+    path = rows.where("priority = 2 and z > 25")
+    on_path = network.path_cells(cells, path).withColumn("on_path", F.lit(True))
+    taken = network.occupied(rows.where("priority < 0"), path).withColumn("occupied", F.lit(True))
+    both = cells.join(on_path, ["xidx", "yidx"], "left").join(taken, ["xidx", "yidx"], "left")
+    return both.select("xidx", "yidx", F.coalesce("on_path", F.lit(False)).alias("on_path"), F.coalesce("occupied", F.lit(False)).alias("occupied"))
 
 
 def path_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -506,15 +647,15 @@ def tile_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network.tile_paths(network.with_directions(path_search(spark, sf_dir)), tile_set())
 
 
-@query("""WITH needs AS (SELECT DISTINCT l_suppkey AS node, CASE l_linenumber % 4 WHEN 0 THEN 'u' WHEN 1 THEN 'd' WHEN 2 THEN 'l' ELSE 'r' END AS port FROM lineitem WHERE l_quantity > 49),
+@query("""WITH needs AS (SELECT DISTINCT l_orderkey AS node, CASE l_linenumber % 4 WHEN 0 THEN 'u' WHEN 1 THEN 'd' WHEN 2 THEN 'l' ELSE 'r' END AS port FROM lineitem),
 tiles AS (SELECT * FROM (VALUES (1, ['u','d']), (2, ['l','r']), (3, ['u','l','r']), (4, ['u','d','l','r']), (5, ['u']), (6, ['d']), (7, ['d','u'])) t(tile, ports)),
 p AS (SELECT tile, len(ports) AS m, unnest(ports) AS port FROM tiles), c AS (SELECT node, count(*) AS n FROM needs GROUP BY node)
 SELECT node, tile FROM needs JOIN p USING (port) JOIN c USING (node) GROUP BY node, tile, n, m HAVING count(*) = n AND m = n""")
 def node_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").where("l_quantity > 49")
+    li = table(spark, sf_dir, "lineitem")
     port = F.get(F.array(*[F.lit(x) for x in "udlr"]), F.col("l_linenumber") % 4)
     tiles = spark.createDataFrame([(1, ["u", "d"]), (2, ["l", "r"]), (3, ["u", "l", "r"]), (4, ["u", "d", "l", "r"]), (5, ["u"]), (6, ["d"]), (7, ["d", "u"])], "tile int, ports array<string>")
-    return network.node_tiles(li.select(F.col("l_suppkey").alias("node"), port.alias("port")), tiles)
+    return network.node_tiles(li.select(F.col("l_orderkey").alias("node"), port.alias("port")), tiles)
 
 
 MOVES_SQL = "mv AS (SELECT user_id, event_id, CAST(floor(value) AS BIGINT) % 3 AS x, event_id % 3 AS y, ts FROM events), st AS (SELECT user_id, event_id, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy FROM mv WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"
@@ -585,6 +726,29 @@ def default_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.dominant(resolve.valid(rows)).groupBy("name", "priority").agg(F.count("*").alias("n"))
 
 
+MAP_X, MAP_Y = 64, 40
+
+
+@query(f"""WITH {FEATURES_SQL}, {RECT_SQL}, o AS (SELECT m.*, CASE name WHEN 'plain' THEN 0 WHEN 'brand' THEN 1 WHEN 'typed' THEN 2 WHEN 'banned' THEN 3 ELSE 4 END AS ord FROM m),
+x AS (SELECT o.*, row_number() OVER (ORDER BY CAST(id AS BIGINT), ord) - 1 AS idx FROM o),
+t AS (SELECT *, (7 + (idx % 1000003) * 7919) % 1000003 AS t FROM x),
+y AS (SELECT id, name, priority, CASE name WHEN 'plain' THEN 'Ground 1' WHEN 'brand' THEN 'Foliage' ELSE 'Fence' END AS menu, CASE name WHEN 'plain' THEN CASE WHEN band = '1' THEN 'Grass' ELSE 'Dirt' END WHEN 'brand' THEN 'Bush' ELSE 'Stone' END AS cat1,
+  CASE WHEN name = 'plain' AND band = '0' THEN 1 ELSE 0 END AS r FROM t WHERE name IN ('plain', 'banned') OR (name = 'brand' AND {U_SQL.replace("t", "t.t")} * 3000 < 2000::BIGINT * 1000003)),
+every AS (SELECT c.xidx, c.yidx, y.* FROM y JOIN cells c ON CAST(y.id AS BIGINT) = c.id WHERE c.xidx BETWEEN 0 AND {{MAP_X}} - 1 AND c.yidx BETWEEN 0 AND {{MAP_Y}} - 1
+  UNION ALL SELECT CAST(i % {{MAP_X}} AS INTEGER), CAST(i // {{MAP_X}} AS INTEGER), NULL, 'default_ground', -999, 'Ground 1', 'Grass', NULL FROM range({{MAP_X}} * {{MAP_Y}}) s(i)),
+n AS (SELECT *, count(*) OVER c AS n, min(CASE WHEN priority > 0 THEN priority END) OVER c AS low FROM every WINDOW c AS (PARTITION BY xidx, yidx)),
+dom AS (SELECT * FROM n WHERE NOT (n > 1 AND coalesce(priority = -999 OR (low IS NOT NULL AND (priority > low OR priority < 0)), false))),
+k AS (SELECT *, row_number() OVER (PARTITION BY xidx, yidx, priority, name, r IS NULL ORDER BY r, id, cat1) AS k FROM dom)
+SELECT CAST(xidx AS DOUBLE) AS x, CAST(yidx AS DOUBLE) AS y, menu, cat1, coalesce(id, '-1') AS id, name, priority FROM k WHERE r IS NULL OR k = 1 UNION ALL SELECT {{MAP_X}} - 1, {{MAP_Y}} - 1, '-1', '-1', '-1', '-1', -1""".replace("{MAP_X}", "64").replace("{MAP_Y}", "40"))
+def map_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole map: features matched, numbered, assigned in their stages, resolved over a background, and
+    written as a table."""
+    shaped = tagged(spark, sf_dir).join(rectangles(spark, sf_dir).withColumn("id", F.col("id").cast("string")), "id")
+    rows = maps.build(shaped, readers.rule_table(spark, CONFIG), F.col("id").cast("long"), (MAP_X, MAP_Y), {"menu": "Ground 1", "cat1": "Grass"}, salt=7)
+    doubles = rows.withColumns({"xidx": F.col("xidx").cast("double"), "yidx": F.col("yidx").cast("double")})
+    return sinks.map_table(doubles, (0, 0, MAP_X - 1, MAP_Y - 1)).select("x", "y", "menu", "cat1", "id", "name", "priority")
+
+
 @query("WITH d AS (SELECT s_suppkey AS id, 4 * (s_suppkey % 9) + 2 AS qx, 4 * (s_suppkey % 7) AS qy FROM supplier) SELECT id, CAST((qx - 2 + qy) // 2 AS INTEGER) AS r, CAST((qx - 2 - qy) / 2 AS INTEGER) AS c FROM d")
 def diagonal_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")

@@ -57,12 +57,11 @@ def rule_table(spark: SparkSession, config: dict) -> DataFrame:
 
 
 def elevation_points(spark: SparkSession, path: str) -> DataFrame:
-    """x, y, z of every regular file of a folder, split at white space or, if the first line has
-    none, at commas. Compressed files are read by suffix."""
+    """x, y, z of every regular file of a folder, each line split at white space or, if it has commas,
+    at these. Compressed files are read by suffix."""
     text = spark.read.text(path).where(F.trim("value") != "")
-    first = text.limit(1).collect()
-    comma = bool(first) and len(first[0][0].split()) == 1 and "," in first[0][0]
-    parts = F.split(F.trim("value"), r"\s*,\s*" if comma else r"\s+")
+    line = F.trim(F.regexp_replace("value", r"\s+", " "))
+    parts = F.when(F.contains(line, F.lit(",")), F.split(line, " *, *")).otherwise(F.split(line, " "))
     return text.select(*[F.get(parts, i).try_cast("double").alias(c) for i, c in enumerate("xyz")]).where("x is not null and y is not null")
 
 
@@ -80,3 +79,8 @@ def raster(spark: SparkSession, path: str, nodata: float | None = None) -> DataF
     need a decoder, which is left to a converter."""
     df = spark.read.parquet(path).select("x", "y", F.col("z").cast("double"))
     return df if nodata is None else df.withColumn("z", F.when(F.col("z") == nodata, F.lit(-1.0)).otherwise(F.col("z")))
+
+
+def grids(spark: SparkSession, path: str) -> DataFrame:
+    """The cells of a map's grids as sinks.write_grids() left them: kind, qx, qy, x, y."""
+    return spark.read.parquet(path)

@@ -22,3 +22,8 @@ def map_table(assignments: DataFrame, box: tuple[int, int, int, int]) -> DataFra
 def write(df: DataFrame, path: str, kind: str = "csv") -> None:
     writer = df.write.mode("overwrite")
     (writer.option("header", True).csv if kind == "csv" else writer.parquet)(path)
+
+
+def write_grids(grids: DataFrame, path: str) -> None:
+    """The three grids of a map (kind, qx, qy, x, y), a folder for each."""
+    grids.write.mode("overwrite").partitionBy("kind").parquet(path)

@@ -33,5 +33,8 @@ def maintain(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
         if number:
             batch = batch.unionByName(spark.read.parquet(f"{path}/{number - 1}"))
         resolve.dominant(resolve.valid(batch)).write.mode("overwrite").parquet(f"{path}/{number}")
+        if number > 1:  # a batch that is run again needs the one before it, and none before that
+            old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{number - 2}")
+            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import draw
 from gridloom.functions import geometry as g
+from gridloom.functions import planning
 from gridloom.operators import elevation, grid, network, packing, paging, resolve, rules
 from gridloom.plans import schedule
 from gridloom.sources import readers, sinks
@@ -256,3 +257,61 @@ def test_streamed_features_match_as_in_batches(spark, tmp_path):
     got = sorted((r["xidx"], r["name"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     place = {i: 2 * k for k, (i, _) in enumerate(each)}
     assert got == [(0, "listed"), (0, "wood")] == sorted((place[r["id"]], r["name"]) for r in rules.match(batch, table).collect())
+
+
+def test_borders_of_cores(spark):
+    """A border is taken off or added; concave shapes by the distance of centres."""
+    cell = [(0, 0), (64, 0), (64, 64), (0, 64)]
+    ell = [(0, 0), (64, 0), (64, 24), (24, 24), (24, 64), (0, 64)]
+    rows = [(1, cell, None), (2, cell, 1.0), (3, cell, -1.0), (4, ell, 1.0), (5, ell, None), (6, cell[::-1], 1.0), (7, cell, 5.0)]
+    df = spark.createDataFrame([(i, [(float(x), float(y)) for x, y in r], b) for i, r, b in rows], "id int, ring array<struct<x:double,y:double>>, border double")
+    got = {}
+    for r in grid.fill_core(df, "ring", "border").collect():
+        got.setdefault(r["id"], set()).add((r["xidx"], r["yidx"]))
+    square = {(x, y) for x in range(8) for y in range(8)}
+    assert got[1] == square and got[2] == got[6] == {(x, y) for x, y in square if 0 < x < 7 and 0 < y < 7}
+    assert got[3] == {(x, y) for x in range(-1, 9) for y in range(-1, 9)} - {(-1, -1), (-1, 8), (8, -1), (8, 8)} | ({(-1, -1), (-1, 8), (8, -1), (8, 8)} & got[3])
+    corner = {(x, y) for x, y in square if x < 3 or y < 3}
+    assert got[5] == corner and got[4] == {(x, y) for x, y in corner if 1 <= x < 7 and 1 <= y < 7 and (x < 2 or y < 2)}
+    assert 7 not in got
+
+
+def test_numbers_of_rows(spark):
+    from gridloom.functions.number import numbered
+
+    rows = [(None, 1), (3, 2), (3, 1), (250, 0), (101, 5), (99, 9), (-7, 3)]
+    df = spark.createDataFrame(rows, "a int, b int")
+    got = {(r["a"], r["b"]): r["idx"] for r in numbered(df, F.floor(F.col("a") / 100), "a", "b").collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert got == {r: i for i, r in enumerate(order)}
+    assert numbered(df.where("a > 999"), F.floor("a"), "a").count() == 0
+
+
+def test_grid_files_and_mixed_delimiters(spark, tmp_path):
+    every = grid.all_grids(grid.squares(spark, 3, 2))
+    sinks.write_grids(every, str(tmp_path / "grids"))
+    back = readers.grids(spark, str(tmp_path / "grids")).select(*every.columns)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, every.collect()))
+    (tmp_path / "points").mkdir()
+    (tmp_path / "points" / "a.xyz").write_text("1 2 3\n4\t5   6.5\n\n")
+    (tmp_path / "points" / "b.csv").write_text("7,8,9\n10 , 11, 12\nx,y,z\n13.5 14,15\n")
+    got = {(r["x"], r["y"], r["z"]) for r in readers.elevation_points(spark, str(tmp_path / "points")).collect()}
+    assert got >= {(1.0, 2.0, 3.0), (4.0, 5.0, 6.5), (7.0, 8.0, 9.0), (10.0, 11.0, 12.0)}
+
+
+def test_crop_of_a_turned_raster():
+    assert planning.crop_box(128, 128, 104.0, 56.0) == (12, 36, 116, 92)
+    assert planning.crop_box(50, 40, 500.0, 20.0) == (0, 10, 48, 26)
+
+
+def test_map_of_nothing(spark):
+    from gridloom.plans import maps
+
+    rules_ = readers.rule_table(spark, {"a": {"priority": 1, "tags": [["k", "v"]], "process": ["type_random_area", "type_from_linear"], "cm_types": [{"menu": "M", "cat1": "C"}], "modifiers": {"linear_name": "a", "stride_x": 2}}})
+    none = spark.createDataFrame([], "id string, tags map<string,string>, ring array<struct<x:double,y:double>>")
+    got = maps.build(none, rules_, F.col("id").cast("long"), (3, 2), {"menu": "G"}).collect()
+    assert len(got) == 6 and {r["menu"] for r in got} == {"G"}
+    ring = [(0.0, 0.0), (32.0, 0.0), (32.0, 16.0), (0.0, 16.0)]
+    one = spark.createDataFrame([("1", {"k": "v"}, ring)], none.schema)
+    got = {(r["xidx"], r["yidx"]): r["name"] for r in maps.build(one, rules_, F.col("id").cast("long"), (4, 2), {"menu": "G"}).collect()}
+    assert {k for k, name in got.items() if name == "a"} == {(0, 0), (0, 1), (2, 0), (2, 1)} and len(got) == 8
