@@ -8,6 +8,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections import deque
+from collections.abc import Callable, Iterable, Iterator
 from itertools import product
 
 import pyarrow as pa
@@ -104,37 +105,55 @@ def cells_of_ends(line: list[tuple[float, float]]) -> tuple[tuple[int, int], tup
 def route(line: list[tuple[float, float]], used: dict[tuple[int, int], set[str]], box: tuple[int, int], steps: set[str], ends: tuple[tuple[int, int], tuple[int, int]] | None = None, far: dict[tuple[int, int], float] | None = None) -> list[tuple[int, int]] | None:
     """Cheapest walk over cells from a line's first to its last point, in cell units. A step costs the
     distance of the cell it enters from the line; a port that another route has taken is closed, and
-    so is a cell inside that already has two connections. ends: other cells to begin and end at; far:
-    distances of cells from the line so far."""
+    so is a cell inside that already has two connections. It has no more steps than LONGEST times the
+    line's length. ends: other cells to begin and end at; far: distances of cells from the line so far."""
     start, goal = ends or cells_of_ends(line)
     far = {} if far is None else far
     if start == goal:
         return [start]
-    heap, cost, came = [(0.0, start)], {start: 0.0}, {}
     limit = LONGEST * sum(math.dist(a, b) for a, b in zip(line, line[1:], strict=False)) + 2
-    hops = {start: 0}
-    while heap:
-        c, at = heapq.heappop(heap)
-        if c > cost[at]:
-            continue
-        if at == goal:
-            path = [at]
-            while at in came:
-                at = came[at]
-                path.append(at)
-            return path[::-1]
+
+    def moves(at: tuple[int, int]) -> Iterator[tuple[tuple[int, int], float]]:
         for (dx, dy), name in STEPS.items():
             to = (at[0] + dx, at[1] + dy)
-            if name not in steps or not (0 <= to[0] < box[0] and 0 <= to[1] < box[1]) or hops[at] + 1 > limit:
+            if name not in steps or not (0 <= to[0] < box[0] and 0 <= to[1] < box[1]):
                 continue
             if name in used.get(at, ()) or OPPOSITE[name] in used.get(to, ()) or (to != goal and len(used.get(to, ())) > 1):
                 continue
             if to not in far:
                 far[to] = line_distance(to[0] + 0.5, to[1] + 0.5, line)
-            step = far[to]
-            if step <= DEAREST and c + step + 1e-6 < cost.get(to, math.inf):
-                cost[to], came[to], hops[to] = c + step + 1e-6, at, hops[at] + 1
-                heapq.heappush(heap, (cost[to], to))
+            if far[to] <= DEAREST:
+                yield to, far[to] + 1e-6
+
+    path = cheapest(start, goal, moves)
+    return path if path is None or len(path) - 1 <= limit else cheapest(start, goal, moves, limit)
+
+
+def cheapest(start: tuple[int, int], goal: tuple[int, int], moves: Callable[[tuple[int, int]], Iterable[tuple[tuple[int, int], float]]], limit: float = math.inf) -> list[tuple[int, int]] | None:
+    """Cheapest walk of at most limit steps. With a limit a cell has several labels, as a dearer way to
+    it that takes fewer steps may be the one that can go on."""
+    heap, labels, fewest, cost = [(0.0, 0, 0)], [(start, -1)], {}, {start: 0.0}
+    while heap:
+        c, hops, k = heapq.heappop(heap)
+        at = labels[k][0]
+        if at in fewest and (limit == math.inf or fewest[at] <= hops):
+            continue
+        fewest[at] = hops
+        if at == goal:
+            path = []
+            while k >= 0:
+                at, k = labels[k]
+                path.append(at)
+            return path[::-1]
+        for to, step in moves(at):
+            if limit == math.inf:
+                if to in fewest or cost.get(to, math.inf) <= c + step:
+                    continue
+                cost[to] = c + step
+            elif hops + 1 > limit or fewest.get(to, math.inf) <= hops + 1:
+                continue
+            labels.append((to, k))
+            heapq.heappush(heap, (c + step, hops + 1, len(labels) - 1))
     return None
 
 

@@ -280,14 +280,14 @@ def quarter_free(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.free(found.where("id % 7 = 1"), found.where("id % 7 = 0"), ("qx", "qy")).select("id", "qx", "qy")
 
 
-@query("""WITH r AS (SELECT p_partkey AS id, (p_partkey % 97) * 5.0 AS x0, (p_partkey % 89) * 3.0 AS y0, p_size * 1.53 + 3.01 AS w, p_size * 0.71 + 5.03 AS h, CASE WHEN p_partkey % 2 = 0 THEN 3.5 ELSE 0.0 END AS d FROM part),
+@query("""WITH r AS (SELECT p_partkey AS id, (p_partkey % 97) * 5.0 AS x0, (p_partkey % 89) * 3.0 AS y0, p_size * 1.53 + 3.01 AS w, p_size * 0.71 + 5.03 AS h, CASE WHEN p_partkey % 2 = 0 THEN 3.44 ELSE 0.0 END AS d FROM part),
 b AS (SELECT id, x0 + d AS x1, y0 + d AS y1, x0 + w - d AS x2, y0 + h - d AS y2 FROM r WHERE w > 2 * d AND h > 2 * d),
 c AS (SELECT b.*, CAST(unnest(range(CAST(floor(x1 / 8) AS BIGINT), CAST(floor(x2 / 8) AS BIGINT) + 1)) AS INTEGER) AS xidx FROM b),
 e AS (SELECT c.*, CAST(unnest(range(CAST(floor(y1 / 8) AS BIGINT), CAST(floor(y2 / 8) AS BIGINT) + 1)) AS INTEGER) AS yidx FROM c)
 SELECT id, xidx, yidx FROM e WHERE greatest(least(x2, xidx * 8 + 8) - greatest(x1, xidx * 8), 0) * greatest(least(y2, yidx * 8 + 8) - greatest(y1, yidx * 8), 0) > 32""")
 def core_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells of shapes of which every second one is less a border of 7/16 of a cell."""
-    border = F.when(F.col("id") % 2 == 0, 0.4375)
+    """Cells of shapes of which every second one is less a border of 0.43 cells."""
+    border = F.when(F.col("id") % 2 == 0, 0.43)
     return grid.fill_core(rectangles(spark, sf_dir).withColumn("border", border), "ring", "border").select("id", "xidx", "yidx")
 
 

@@ -315,3 +315,28 @@ def test_map_of_nothing(spark):
     one = spark.createDataFrame([("1", {"k": "v"}, ring)], none.schema)
     got = {(r["xidx"], r["yidx"]): r["name"] for r in maps.build(one, rules_, F.col("id").cast("long"), (4, 2), {"menu": "G"}).collect()}
     assert {k for k, name in got.items() if name == "a"} == {(0, 0), (0, 1), (2, 0), (2, 1)} and len(got) == 8
+
+
+def test_cheapest_walks_with_few_steps():
+    """Against all walks, on small lattices with random costs."""
+    rng = random.Random(31)
+    for _ in range(30):
+        cost = {(x, y): rng.choice((0.1, 1.0, 3.0)) for x in range(4) for y in range(3)}
+
+        def moves(at):
+            return [(to, cost[to]) for to in ((at[0] + 1, at[1]), (at[0] - 1, at[1]), (at[0], at[1] + 1), (at[0], at[1] - 1)) if to in cost]
+
+        best = {0: {(0, 0): 0.0}}  # by number of steps
+        for n in range(12):
+            best[n + 1] = {}
+            for at, c in best[n].items():
+                for to, step in moves(at):
+                    best[n + 1][to] = min(best[n + 1].get(to, math.inf), c + step)
+        for limit in (3, 5, 7, 12):
+            want = min((b.get((3, 2), math.inf) for n, b in best.items() if n <= limit), default=math.inf)
+            path = network.cheapest((0, 0), (3, 2), moves, limit)
+            if want == math.inf:
+                assert path is None
+            else:
+                assert len(path) - 1 <= limit and abs(sum(cost[p] for p in path[1:]) - want) < 1e-9
+        assert abs(sum(cost[p] for p in network.cheapest((0, 0), (3, 2), moves)[1:]) - min(b.get((3, 2), math.inf) for b in best.values())) < 1e-9
