@@ -120,18 +120,29 @@ def route(line: list[tuple[float, float]], used: dict[tuple[int, int], set[str]]
                 continue
             if name in used.get(at, ()) or OPPOSITE[name] in used.get(to, ()) or (to != goal and len(used.get(to, ())) > 1):
                 continue
+            if apart(start, to) + apart(to, goal) > limit:
+                continue
             if to not in far:
                 far[to] = line_distance(to[0] + 0.5, to[1] + 0.5, line)
             if far[to] <= DEAREST:
                 yield to, far[to] + 1e-6
 
+    diagonal = any(len(s) > 1 for s in steps)
+
+    def apart(a: tuple[int, int], b: tuple[int, int]) -> int:
+        dx, dy = abs(a[0] - b[0]), abs(a[1] - b[1])
+        return max(dx, dy) if diagonal else dx + dy
+
     path = cheapest(start, goal, moves)
-    return path if path is None or len(path) - 1 <= limit else cheapest(start, goal, moves, limit)
+    if path is None or len(path) - 1 <= limit:
+        return path
+    return cheapest(start, goal, moves, limit, lambda at: apart(at, goal))
 
 
-def cheapest(start: tuple[int, int], goal: tuple[int, int], moves: Callable[[tuple[int, int]], Iterable[tuple[tuple[int, int], float]]], limit: float = math.inf) -> list[tuple[int, int]] | None:
+def cheapest(start: tuple[int, int], goal: tuple[int, int], moves: Callable[[tuple[int, int]], Iterable[tuple[tuple[int, int], float]]], limit: float = math.inf, ahead: Callable[[tuple[int, int]], int] = lambda at: 0) -> list[tuple[int, int]] | None:
     """Cheapest walk of at most limit steps. With a limit a cell has several labels, as a dearer way to
-    it that takes fewer steps may be the one that can go on."""
+    it that takes fewer steps may be the one that can go on. ahead: steps from a cell to the goal at
+    least."""
     heap, labels, fewest, cost = [(0.0, 0, 0)], [(start, -1)], {}, {start: 0.0}
     while heap:
         c, hops, k = heapq.heappop(heap)
@@ -150,7 +161,7 @@ def cheapest(start: tuple[int, int], goal: tuple[int, int], moves: Callable[[tup
                 if to in fewest or cost.get(to, math.inf) <= c + step:
                     continue
                 cost[to] = c + step
-            elif hops + 1 > limit or fewest.get(to, math.inf) <= hops + 1:
+            elif hops + 1 + ahead(to) > limit or fewest.get(to, math.inf) <= hops + 1:
                 continue
             labels.append((to, k))
             heapq.heappush(heap, (c + step, hops + 1, len(labels) - 1))
@@ -256,7 +267,9 @@ def routed(edges: DataFrame, box: tuple[int, int], steps: tuple[str, ...] = ("u"
             out += [(r["edge_id"], i, *c) for i, c in enumerate(path)] if path else [(r["edge_id"], None, None, None)]
         return pa.table({n: pa.array([o[i] for o in out], k) for i, (n, k) in enumerate((("edge_id", pa.int64()), ("pos", pa.int32()), ("xidx", pa.int32()), ("yidx", pa.int32())))})
 
-    return edges.groupBy("component").applyInArrow(run, "edge_id bigint, pos int, xidx int, yidx int")
+    # few bytes but much work: as many partitions as are set, which adaptive execution doesn't merge
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return edges.repartition(parts, "component").groupBy("component").applyInArrow(run, "edge_id bigint, pos int, xidx int, yidx int")
 
 
 def with_directions(path: DataFrame) -> DataFrame:

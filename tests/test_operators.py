@@ -334,7 +334,7 @@ def test_cheapest_walks_with_few_steps():
                     best[n + 1][to] = min(best[n + 1].get(to, math.inf), c + step)
         for limit in (3, 5, 7, 12):
             want = min((b.get((3, 2), math.inf) for n, b in best.items() if n <= limit), default=math.inf)
-            path = network.cheapest((0, 0), (3, 2), moves, limit)
+            path = network.cheapest((0, 0), (3, 2), moves, limit, lambda at: 3 - at[0] + 2 - at[1])
             if want == math.inf:
                 assert path is None
             else:
