@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import remove, session, stored_at
 
-ROUNDS = 60
+#: Far more than the logarithm of any path's length.
+ROUNDS = 100
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -16,7 +17,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     A round hooks the larger neighbours of every node, then its smaller ones, to the smallest node
     of its neighbourhood; the number of rounds grows with the logarithm of the longest path. All
     steps are joins and aggregations, so a node with very many neighbours is no single row or task.
-    Each round is written to the shared folder. No edges give no rows."""
+    Each round is written to the shared folder; ROUNDS of them would do for any graph that can be stored,
+    and more are an error. No edges give no rows."""
     spark = session(edges)
     now = edges.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("u")).where("v <> u").distinct()
     now, path = stored_at(now, "edges")
@@ -34,5 +36,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if found == mark:
             break
         mark = found
+    else:
+        raise RuntimeError(f"components aren't settled after {ROUNDS} rounds")
     roots = now.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct()
     return now.select(F.col("v").alias("node"), F.col("u").alias("root")).union(roots)
