@@ -82,9 +82,15 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def snapped(edges: DataFrame, cell: float) -> DataFrame:
-    """edge_id, component and the cells of each edge's vertices, repeats dropped."""
-    at = F.transform("points", lambda p: F.struct(F.floor(p["x"] / cell).cast("int").alias("x"), F.floor(p["y"] / cell).cast("int").alias("y")))
-    return edges.withColumn("cells", F.filter(at, lambda p, i: (i == 0) | (p != F.get(at, i - 1))))
+    """edges with cells (x, y, and pos, the vertex), those of each edge's vertices, without repeats in a
+    row."""
+
+    def at(p: Column) -> Column:
+        return F.struct(F.floor(p["x"] / cell).cast("int").alias("x"), F.floor(p["y"] / cell).cast("int").alias("y"))
+
+    own = F.transform("points", lambda p, i: F.struct(at(p).alias("c"), at(F.get("points", i - 1)).alias("b"), i.alias("i")))
+    fresh = F.filter(own, lambda p: (p["i"] == 0) | (p["c"] != p["b"]))
+    return edges.withColumn("cells", F.transform(fresh, lambda p: F.struct(p["c"]["x"].alias("x"), p["c"]["y"].alias("y"), p["i"].alias("pos"))))
 
 
 def line_distance(x: float, y: float, line: list[tuple[float, float]]) -> float:

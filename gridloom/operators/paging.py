@@ -121,3 +121,8 @@ def resizes(pages: DataFrame, map_: str, order: str) -> DataFrame:
 
     each = told.withColumn("c", F.explode(F.array(*clicks("nx", "horizontal"), *clicks("ny", "vertical"))))
     return each.where("c.clicks > 0").select(map_, order, "c.button", "c.clicks")
+
+
+def extents(cells: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """keys and the box of each group's cells on its page."""
+    return cells.groupBy(*keys).agg(*[f(f"p{c}").alias(f"{c}{n}") for n, f in (("min", F.min), ("max", F.max)) for c in "xy"])

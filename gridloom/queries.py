@@ -571,6 +571,22 @@ def brush_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paging.actions(paging.brushes(cells, ("page_x", "page_y", "menu")), ("menu", "brush", "x", "y"))
 
 
+@query(f"""WITH {CELLS_SQL}, p AS (SELECT page_x, page_y, z > 12 AS high, x - CASE WHEN page_x < nx THEN w - (page_x + 1) * 24 ELSE 0 END AS px, y - CASE WHEN page_y < ny THEN page_y * 24 - (page_y + 1) * 2 ELSE h - 24 END AS py FROM paged)
+SELECT page_x, page_y, high, min(px) AS xmin, min(py) AS ymin, max(px) AS xmax, max(py) AS ymax FROM p GROUP BY ALL""")
+def group_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of the low and the high cells of each page."""
+    return paging.extents(paging.paged(map_cells(spark, sf_dir)).withColumn("high", F.col("z") > 12), ("page_x", "page_y", "high"))
+
+
+@query("""SELECT p_partkey AS id, 'Road Tile ' || (p_size // 9 * 9 + p_size % 9 + 1) AS tile, 'Direction ' || (p_partkey % 4 + 1) AS direction,
+CAST(p_size * 16 + 233 AS INTEGER) AS px, CAST(451 - (p_partkey % 24) * 16 AS INTEGER) AS py FROM part""")
+def tile_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of tiles laid out nine in a row, of directions, and where on the screen a square is."""
+    k, s = F.col("p_partkey"), F.col("p_size")
+    at = labels.click(s, k % 24)
+    return table(spark, sf_dir, "part").select(k.alias("id"), labels.numbered("Road Tile", F.floor(s / 9), s % 9, 9).alias("tile"), labels.direction_label(k % 4).alias("direction"), at["px"].alias("px"), at["py"].alias("py"))
+
+
 # ---- networks ----
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -687,6 +703,39 @@ def building_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(cells.select(F.col("p_partkey").alias("building"), "row", "col"), [(1, 1), (2, 1), (2, 2)])
 
 
+@query("""WITH r AS (SELECT p_partkey AS id, p_size - 25.0 AS ax, p_partkey % 41 - 20.0 AS ay, p_partkey % 13 - 6.0 AS bx, p_size % 11 - 5.0 AS b_y FROM part),
+a AS (SELECT id, atan2(ay, ax) - floor(atan2(ay, ax) / (pi() / 2)) * (pi() / 2) AS t FROM r WHERE ax * b_y - ay * bx <> 0)
+SELECT id, least(t, pi() / 2 - t) > pi() / 8 AS is_diagonal FROM a""")
+def footprint_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outlines with an area, and whether they lie diagonally. They are parallelograms by two sides."""
+    k, s = F.col("p_partkey"), F.col("p_size")
+    a, b = (s - 25.0, k % 41 - 20.0), (k % 13 - 6.0, s % 11 - 5.0)
+    ring = F.array(g.point(F.lit(0), F.lit(0)), g.point(*a), g.point(a[0] + b[0], a[1] + b[1]), g.point(*b))
+    own = table(spark, sf_dir, "part").select(k.alias("id"), ring.alias("ring"))
+    return packing.footprint(own, "ring").select("id", "is_diagonal")
+
+
+@query("""WITH c AS (SELECT l_orderkey AS building, l_linenumber % 2 = 0 AS matches, l_quantity / 50 AS iou, l_partkey * 1000 + l_suppkey AS candidate FROM lineitem),
+r AS (SELECT *, row_number() OVER (PARTITION BY building ORDER BY matches DESC, iou DESC, candidate) AS k FROM c) SELECT building, matches, iou, candidate FROM r WHERE k = 1""")
+def best_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each building's candidates the one of its orientation with the largest overlap."""
+    li = table(spark, sf_dir, "lineitem")
+    return packing.best_candidate(li.select(F.col("l_orderkey").alias("building"), (F.col("l_linenumber") % 2 == 0).alias("matches"), (F.col("l_quantity") / 50).alias("iou"), (F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("candidate")))
+
+
+@query("""WITH e AS (SELECT p_partkey AS edge_id, [p_size * 1.7, p_size * 1.7 + 3, p_size * 1.7 + 3.5, p_partkey % 50 * 2.0] AS xs, [1.5, 1.5, 2.5, p_partkey % 31 * 1.0] AS ys FROM part),
+p AS (SELECT edge_id, unnest(range(4)) AS i, CAST(floor(unnest(xs) / 8.0) AS INTEGER) AS x, CAST(floor(unnest(ys) / 8.0) AS INTEGER) AS y FROM e),
+l AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM p WINDOW w AS (PARTITION BY edge_id ORDER BY i))
+SELECT edge_id, i AS pos, x, y FROM l WHERE i = 0 OR x <> px OR y <> py""")
+def snapped_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of the vertices of lines, without repeats in a row; pos is the vertex."""
+    k, s = F.col("p_partkey"), F.col("p_size")
+    xy = ((s * 1.7, F.lit(1.5)), (s * 1.7 + 3, F.lit(1.5)), (s * 1.7 + 3.5, F.lit(2.5)), (k % 50 * 2.0, k % 31 * 1.0))
+    own = table(spark, sf_dir, "part").select(k.alias("edge_id"), F.array(*[g.point(x, y) for x, y in xy]).alias("points"))
+    cells = network.snapped(own, 8.0).select("edge_id", F.explode("cells").alias("c"))
+    return cells.select("edge_id", F.col("c.pos").cast("long").alias("pos"), "c.x", "c.y")
+
+
 CATALOGUE = [(2, 2, False, 1, 1.0, "Building 1"), (2, 2, False, 2, 0.5, "Building 2"), (2, 2, False, 3, 2.0, "Building 3"), (2, 1, False, 1, 1.0, "Building 4"), (2, 1, True, 2, 1.0, "Building 5")]
 
 

@@ -340,3 +340,50 @@ def test_cheapest_walks_with_few_steps():
             else:
                 assert len(path) - 1 <= limit and abs(sum(cost[p] for p in path[1:]) - want) < 1e-9
         assert abs(sum(cost[p] for p in network.cheapest((0, 0), (3, 2), moves)[1:]) - min(b.get((3, 2), math.inf) for b in best.values())) < 1e-9
+
+
+def test_tile_paths_against_all_choices(spark):
+    """The cheapest row of tiles whose ports agree, among all rows."""
+    from itertools import product
+
+    rng = random.Random(32)
+    names = ("u", "d", "l", "r")
+    tiles = [(i, rng.choice((1.0, 1.5, 2.25, 4.0)), t) for i, t in enumerate([{a: p, b: q} for i, a in enumerate(names) for b in names[i + 1 :] for p in (0, 1) for q in (0, 1) if rng.random() < 0.8] + [{a: p} for a in names for p in (0, 1)])]
+    other = {"u": "d", "d": "u", "l": "r", "r": "l"}
+    rows, want = [], {}
+    for edge in range(25):
+        steps = [rng.choice(names)]
+        for _ in range(rng.randrange(4)):
+            steps.append(rng.choice([n for n in names if n != other[steps[-1]]]))
+        squares = [(to, back) for to, back in zip([*steps, None], [None, *[other[s] for s in steps]])]
+        rows += [(edge, k, to, back) for k, (to, back) in enumerate(squares)]
+        best = math.inf
+        fitting = [[t for t in tiles if set(t[2]) == {x for x in sq if x}] for sq in squares]
+        for row in product(*fitting):
+            if all(a[2][steps[k]] == b[2][other[steps[k]]] for k, (a, b) in enumerate(zip(row, row[1:]))):
+                best = min(best, sum(t[1] for t in row))
+        want[edge] = best
+    got = {}
+    df = spark.createDataFrame(rows, "edge_id long, pos int, to string, back string")
+    for r in network.tile_paths(df, tiles).collect():
+        got.setdefault(r["edge_id"], {})[r["pos"]] = tiles[r["tile"]]
+    for edge, best in want.items():
+        if best == math.inf:
+            assert edge not in got
+            continue
+        own = [(k, to, back) for e, k, to, back in rows if e == edge]
+        assert abs(sum(got[edge][k][1] for k, _, _ in own) - best) < 1e-9
+        assert all(set(got[edge][k][2]) == {x for x in (to, back) if x} for k, to, back in own)
+        assert all(got[edge][k][2][to] == got[edge][k + 1][2][other[to]] for k, to, _ in own if to)
+
+
+def test_strokes_set_each_cell_once(spark):
+    rng = random.Random(33)
+    rows = [(page, menu, x, y) for page in (0, 1) for menu in ("Ground 1", "Walls") for x in range(20) for y in range(18) if rng.random() < 0.8 or (x < 8 and y < 8)]
+    df = spark.createDataFrame(rows, "page int, menu string, px int, py int")
+    got = []
+    for r in paging.brushes(df, ("page", "menu")).collect():
+        half = r["brush"] // 2
+        assert r["menu"] != "Walls" or r["brush"] == 1
+        got += [(r["page"], r["menu"], x, y) for x in range(r["x"] - half, r["x"] + half + 1) for y in range(r["y"] - half, r["y"] + half + 1)]
+    assert sorted(got) == sorted(rows)
