@@ -45,10 +45,11 @@ def largest_footprint(catalogue: DataFrame, factor: float) -> DataFrame:
 
 def row_col(qx: Column, qy: Column, xmin: Column, ymin: Column, diagonal: bool) -> tuple[Column, Column]:
     """Row and column of a fine cell (quarter units) in a footprint's matrix. Diamonds are turned by
-    45 degrees, so that their neighbours along a side are neighbours in the matrix."""
+    45 degrees, so that their neighbours along a side are neighbours in the matrix: these are two
+    quarters away in x and in y."""
     dx, dy = qx - xmin, qy - ymin
     if diagonal:
-        return ((dx + dy) / 2).cast("int"), ((dx - dy) / 2).cast("int")
+        return ((dx + dy) / 4).cast("int"), ((dx - dy) / 4).cast("int")
     return (dy / 2).cast("int"), (dx / 2).cast("int")
 
 

@@ -15,7 +15,8 @@ from pyspark.sql.window import Window
 from gridloom.functions import draw
 from gridloom.functions import geometry as g
 
-# How likely buildings of one, two and three stories are, in tenths.
+# How likely buildings of one, two and three stories are, in tenths. Others are as their
+# weight says.
 STORIES = {1: 3, 2: 6, 3: 1}
 
 
@@ -122,7 +123,7 @@ def chosen(placements: DataFrame, catalogue: DataFrame, *keys: str, salt: int =
     stories, weight, label), by weight times how likely its number of stories is. keys: integer columns
     that the draw depends on."""
     stories = F.create_map(*[F.lit(x) for kv in STORIES.items() for x in kv])
-    own = catalogue.withColumn("w", (F.round(F.col("weight") * 1000) * F.coalesce(F.try_element_at(stories, F.col("stories")), F.lit(0))).cast("long"))
+    own = catalogue.withColumn("w", (F.round(F.col("weight") * 1000) * F.coalesce(F.try_element_at(stories, F.col("stories")), F.lit(10))).cast("long"))
     lists = own.groupBy("rows", "cols", "is_diagonal").agg(F.sort_array(F.collect_list(F.struct("label", "w"))).alias("options"))
     met = placements.join(lists, ["rows", "cols", "is_diagonal"])
     at = draw.pick(draw.number(*[F.col(k) for k in keys], salt=salt), F.transform("options", lambda o: o["w"]))

@@ -798,7 +798,7 @@ def map_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.map_table(doubles, (0, 0, MAP_X - 1, MAP_Y - 1)).select("x", "y", "menu", "cat1", "id", "name", "priority")
 
 
-@query("WITH d AS (SELECT s_suppkey AS id, 4 * (s_suppkey % 9) + 2 AS qx, 4 * (s_suppkey % 7) AS qy FROM supplier) SELECT id, CAST((qx - 2 + qy) // 2 AS INTEGER) AS r, CAST((qx - 2 - qy) / 2 AS INTEGER) AS c FROM d")
+@query("WITH d AS (SELECT s_suppkey AS id, 4 * (s_suppkey % 9) + 2 AS qx, 4 * (s_suppkey % 7) AS qy FROM supplier) SELECT id, CAST((qx - 2 + qy) // 4 AS INTEGER) AS r, CAST((qx - 2 - qy) / 4 AS INTEGER) AS c FROM d")
 def diagonal_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
     r, c = catalogues.row_col(4 * (k % 9) + 2, 4 * (k % 7), F.lit(2), F.lit(0), True)

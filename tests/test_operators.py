@@ -140,6 +140,21 @@ def test_packing_has_no_limit():
         assert got == cost == 0.5 * len(placed) + packing.unfilled_cost(cells)
 
 
+def test_matrix_of_diamonds(spark):
+    """Diamonds that share a side are neighbours in the matrix, along rows and columns."""
+    from gridloom.operators import catalogues
+
+    own = spark.createDataFrame([(2, 0), (4, 2), (4, -2), (6, 0)], "qx int, qy int")
+    r, c = catalogues.row_col(F.col("qx"), F.col("qy"), F.lit(2), F.lit(0), True)
+    assert [tuple(x) for x in own.select(r, c).collect()] == [(0, 0), (1, 0), (0, 1), (1, 1)]
+
+
+def test_buildings_of_no_stories_are_drawn(spark):
+    placed = spark.createDataFrame([(1, 2, 3, False)], "building long, rows int, cols int, is_diagonal boolean")
+    barns = spark.createDataFrame([(2, 3, False, 0, 1.0, "Barn 1")], "rows int, cols int, is_diagonal boolean, stories int, weight double, label string")
+    assert [r["label"] for r in packing.chosen(placed, barns, "building").collect()] == ["Barn 1"]
+
+
 def test_routes_are_walks(spark):
     line = [(0.5, 0.5), (9.5, 6.5)]
     edges = spark.createDataFrame([(1, 0, 1, [(0.5, 0.5), (9.5, 6.5)]), (1, 1, 2, [(9.5, 0.5), (0.5, 6.5)]), (2, None, 3, [(3.5, 3.5), (3.5, 3.5)])], "component int, rank int, edge_id long, line array<struct<x:double,y:double>>")
