@@ -118,14 +118,14 @@ def packed(cells: DataFrame, tiles: list[tuple[int, int]], modular: bool = True)
     return cells.groupBy("building").applyInArrow(run, "building bigint, cost double, row int, col int, rows int, cols int")
 
 
-def chosen(placements: DataFrame, catalogue: DataFrame, *keys: str, salt: int = 0) -> DataFrame:
-    """placements with a building of their size drawn from the catalogue (rows, cols, is_diagonal,
-    stories, weight, label), by weight times how likely its number of stories is. keys: integer columns
-    that the draw depends on."""
+def chosen(placements: DataFrame, catalogue: DataFrame, *keys: str, salt: int = 0, by: tuple[str, ...] = ("rows", "cols", "is_diagonal")) -> DataFrame:
+    """placements with a building of their size drawn from the catalogue (the columns in by, stories,
+    weight, label), by weight times how likely its number of stories is. keys: integer columns that the
+    draw depends on."""
     stories = F.create_map(*[F.lit(x) for kv in STORIES.items() for x in kv])
     own = catalogue.withColumn("w", (F.round(F.col("weight") * 1000) * F.coalesce(F.try_element_at(stories, F.col("stories")), F.lit(10))).cast("long"))
-    lists = own.groupBy("rows", "cols", "is_diagonal").agg(F.sort_array(F.collect_list(F.struct("label", "w"))).alias("options"))
-    met = placements.join(lists, ["rows", "cols", "is_diagonal"])
+    lists = own.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("label", "w"))).alias("options"))
+    met = placements.join(lists, list(by))
     at = draw.pick(draw.number(*[F.col(k) for k in keys], salt=salt), F.transform("options", lambda o: o["w"]))
     return met.withColumn("label", F.get("options", at)["label"]).drop("options")
 

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from gridloom.functions import geometry as g
 from gridloom.functions import labels, planning
-from gridloom.operators import assign, catalogues, elevation, grid, network, packing, paging, resolve, rules
+from gridloom.operators import assign, catalogues, elevation, grid, network, outlines, packing, paging, resolve, rules
 from gridloom.plans import maps
 from gridloom.plans import schedule as plan
 from gridloom.sources import readers, sinks
@@ -775,6 +775,29 @@ def default_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.dominant(resolve.valid(rows)).groupBy("name", "priority").agg(F.count("*").alias("n"))
 
 
+HOUSES = [("Modular", "Block", 0, r, c, d, 2, 1.0, w, h, True) for d in (False, True) for r, (w, h) in enumerate(((1, 1), (2, 1), (1, 2), (2, 2))) for c in (0, 1)]
+HOUSES += [("Houses", "House", 1, r, 0, d, s, 2.0, w, h, False) for d in (False, True) for s in (1, 3) for r, (w, h) in enumerate(((2, 2), (3, 2), (2, 3)))]
+
+
+@query()
+def building_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buildings of a catalogue on outlines of all parts, each on what those before it have left free.
+    Every fifth one has another outline beside it."""
+    k, s = F.col("p_partkey"), F.col("p_size")
+
+    def ring(x, y):
+        w, h = s % 5 * 3 + 6.3, k % 4 * 3 + 5.1
+        corners = [(x, y), (x + w, y), (x + w, y + h), (x, y + h)]
+        return F.array(*[g.rotated(g.point(a, b), k % 8 * 11.25, x, y) for a, b in corners])
+
+    x, y = k % 499 * 9.0 + 20, k % 487 * 11.0 + 20
+    rings = F.when(k % 5 == 0, F.array(ring(x, y), ring(x + 17, y + 4))).otherwise(F.array(ring(x, y)))
+    own = outlines.parts(table(spark, sf_dir, "part").select(k.alias("idx"), (s % 2 + 1).alias("priority"), rings.alias("rings")), "rings", "idx")
+    columns = "menu string, cat1 string, direction int, row int, col int, is_diagonal boolean, stories int, weight double, width int, height int, is_modular boolean"
+    catalogue = spark.createDataFrame(HOUSES, columns)
+    return outlines.drawn(outlines.placed(own, catalogue, (570, 680)), catalogue, "Building", 4)
+
+
 MAP_X, MAP_Y = 64, 40
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -15,3 +19,17 @@ def session(master: str = "local[*]", app: str = "gridloom", **settings: str) ->
         "spark.ui.enabled": "false",
     } | settings
     return SparkSession.builder.master(master).appName(app).config(map=own).getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, for tables that cut a long lineage. Where it is unset, a
+    temporary one if all runs on this machine, which is removed at exit; on a cluster that is an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="gridloom-shared-")
+        atexit.register(shutil.rmtree, root, True)
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
