@@ -1,8 +1,8 @@
 """A whole map from features and rules: match, number, run the stages, add the background, resolve.
 
 Elements are features matched with a rule; each has a ring. The operators bound here assign types to
-the cells of rings. Stages without an operator here (networks and buildings, which need tile and building
-catalogues) are passed over, or given by the caller.
+the cells of rings. Stages that need catalogues are passed over unless the caller gives operators for them;
+building_operators() makes those for buildings, networks have none here.
 """
 
 from __future__ import annotations
@@ -10,9 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.operators import assign, catalogues, grid, resolve, rules
+from gridloom.operators import assign, catalogues, grid, outlines, resolve, rules
 from gridloom.plans import schedule
 
+# Stages that place buildings, the kind in the catalogue, and how its entries are named
+# and laid out.
+BUILDING_STAGES = {"residential_buildings": ("residential", "Building", 4), "churches": ("church", "Church", 3), "barns": ("barn", "Barn", 3)}
+
 COLUMNS = ("xidx", "yidx", "z", "menu", "cat1", "cat2", "direction", "id", "name", "priority")
 
 
@@ -57,6 +61,30 @@ def operators(salt: int = 0) -> dict[str, schedule.Operator]:
     return {"type_from_tag": from_tag, "type_random_area": random_area, "type_random_individual": random_cell, "type_random_clusters": random_clusters, "type_from_linear": linear}
 
 
+def building_operators(catalogue: DataFrame, profile: str, size: tuple[int, int], taken: DataFrame | None = None, salt: int = 0) -> dict[str, schedule.Operator]:
+    """Operators that place buildings of a catalogue (BUILDINGS) on the rings of elements: rule by rule
+    within a step, and not on what is taken before (ax, ay, priority) or what earlier steps have
+    placed. They are for one map, and place buildings as they are called."""
+    there = taken
+
+    def on_outlines(stage: str) -> schedule.Operator:
+        kind, label, per_row = BUILDING_STAGES[stage]
+
+        def run(own: DataFrame, state: DataFrame) -> DataFrame:
+            nonlocal there
+            mine = catalogues.buildings(catalogue, profile, kind)
+            turn = F.col("ord").cast("long") * (1 << 40) + F.col("idx")
+            placed = outlines.placed(own.select(F.col("idx").alias("building"), turn.alias("place"), "priority", "ring"), mine, size, there)
+            new = outlines.taken_by(placed)
+            there = new if there is None else there.union(new.select(*there.columns))
+            found = outlines.drawn(placed, mine, label, per_row, salt).drop("priority")
+            return rows(found.join(own.select(F.col("idx").alias("building"), "id", "name", "priority"), "building"))
+
+        return run
+
+    return {stage: on_outlines(stage) for stage in BUILDING_STAGES}
+
+
 def build(features: DataFrame, rule_table: DataFrame, place: Column, size: tuple[int, int], background: dict[str, str], more: dict[str, schedule.Operator] | None = None, salt: int = 0) -> DataFrame:
     """Assignments of an nx by ny map: of features (id, tags, ring) by the rules, in their stages, over
     a background. place: a whole number that rises along the features."""

@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.operators import outlines, packing
+from gridloom.plans import maps
 from gridloom.plans.model import BUILDINGS
+from gridloom.sources import readers
 
 NX, NY = 12, 9
 SIZES = {(1, 1, False), (1, 2, False), (2, 2, False), (2, 3, False), (1, 1, True), (2, 1, True)}
@@ -149,6 +151,26 @@ def test_buildings_drawn(spark):
     assert {r["cat2"] for r in got if r["building"] == 1} == {"Building 7"} and len(got) == 3
 
 
+def test_buildings_of_a_map(spark):
+    """Rules of one step follow each other, whatever the order of their features; a later step finds
+    their cells taken; what isn't an outline gets its cells as before."""
+    config = {
+        "first": {"priority": 1, "tags": [["b", "1"]], "process": ["type_from_residential_building_outline"]},
+        "second": {"priority": 1, "tags": [["b", "2"]], "process": ["type_from_residential_building_outline"]},
+        "third": {"priority": 2, "tags": [["b", "3"]], "process": ["type_from_barn_outline"]},
+        "grass": {"priority": 3, "tags": [["g", "1"]], "process": ["type_from_tag"], "cm_types": [{"menu": "Ground", "cat1": "Grass", "tags": [["g", "1"]]}]},
+    }
+    box = [(8.0, 8.0), (16.0, 8.0), (16.0, 16.0), (8.0, 16.0)]
+    aside = [(24.0, 8.0), (32.0, 8.0), (32.0, 12.0), (24.0, 12.0)]
+    features = [("1", {"b": "2"}, box), ("2", {"b": "1"}, box), ("3", {"b": "3"}, box), ("4", {"b": "3"}, aside), ("5", {"g": "1"}, box)]
+    table_ = spark.createDataFrame(features, "id string, tags map<string,string>, ring array<struct<x:double,y:double>>")
+    rows = [("p", "residential", "House", "Two", 0, 0, 1, False, 2, 1.0, 2, 2, False), ("p", "barn", "Independent", "Barn", 3, 1, 0, False, 0, 1.0, 2, 1, False)]
+    own = maps.building_operators(spark.createDataFrame(rows, BUILDINGS), "p", (6, 4))
+    got = maps.build(table_, readers.rule_table(spark, config), F.col("id").cast("long"), (6, 4), {"menu": "Ground"}, own).where("name <> 'default_ground'")
+    found = sorted(tuple(r) for r in got.select("id", "xidx", "yidx", "menu", "cat2", "direction").collect())
+    assert found == [("2", 0.5, 1.0, "House", "Building 2", "Direction 1"), ("4", 2.5, 1.0, "Independent", "Barn 4", "Direction 4"), ("5", 1.0, 1.0, "Ground", None, None)]
+
+
 def test_parts(spark):
     own = spark.createDataFrame([(4, [turned_box(0, 0, 8, 8, 0), [(1.0, 1.0)], turned_box(20, 0, 8, 8, 0)]), (5, None)], "idx int, rings array<array<struct<x:double,y:double>>>")
     got = outlines.parts(own, "rings", "idx").collect()
