@@ -18,7 +18,6 @@ empty catalogue or no outlines give no rows.
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
 from typing import Any, NamedTuple
 
@@ -29,14 +28,11 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import geometry as g
 from gridloom.functions import labels, planning
-from gridloom.operators import catalogues, grid, packing
+from gridloom.operators import catalogues, grid, packing, rounds
 from gridloom.plans.model import DIAMOND_AREA, QUARTER_AREA
-from gridloom.session import shared_folder
 
 #: A cell takes part if more than this share of it is covered.
 SHARES = (0.0, 0.5)
-#: Map cells along the edge of a tile, within which buildings are settled in one task.
-TILE = 64
 #: Less than this share of a cell is rounding.
 NOTHING = 1e-9
 PLACED = "array<struct<diagonal:boolean,rows:int,cols:int,qx:int,qy:int>>"
@@ -181,13 +177,7 @@ def one_round(left: DataFrame, sizes: dict[bool, Sizes], modular: bool) -> DataF
     """left, with settled and placements."""
     each = left.select("tile", F.struct("priority", "place", "building").alias("turn"), F.explode("cells").alias("c"))
     claims = each.select("tile", "turn", F.explode(triangles(F.col("c.diagonal"), F.col("c.qx"), F.col("c.qy"))).alias("t")).select("tile", "turn", "t.ax", "t.ay")
-    # the first turn of every tile at a triangle: the least two tell who has to wait for another tile.
-    # At most as many rows meet as there are tiles whose buildings reach this far
-    first = claims.groupBy("ax", "ay", "tile").agg(F.min("turn").alias("turn"))
-    two = first.groupBy("ax", "ay").agg(F.slice(F.sort_array(F.collect_list(F.struct("turn", "tile"))), 1, 2).alias("two")).where(F.size("two") > 1)
-    met = claims.join(two, ["ax", "ay"])
-    other = F.when(F.get("two", 0)["tile"] != F.col("tile"), F.get("two", 0)["turn"]).otherwise(F.get("two", 1)["turn"])
-    waiting = met.where(other < F.col("turn")).select("turn.building").distinct().withColumn("waits", F.lit(True))
+    waiting = rounds.waiting(claims, "ax", "ay").select("turn.building").withColumn("waits", F.lit(True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
@@ -209,9 +199,7 @@ def one_round(left: DataFrame, sizes: dict[bool, Sizes], modular: bool) -> DataF
                 out = []
 
     flagged = left.join(waiting, "building", "left").select(*left.columns, F.coalesce("waits", F.lit(False)).alias("waits"))
-    # packing is much work on few bytes: as many partitions as are set, which aren't merged
-    spread = flagged.repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tile")
-    return spread.sortWithinPartitions("tile", "priority", "place", "building").mapInArrow(run, f"{STATE}, settled boolean, placed {PLACED}")
+    return rounds.spread(flagged, "priority", "place", "building").mapInArrow(run, f"{STATE}, settled boolean, placed {PLACED}")
 
 
 def less_taken(left: DataFrame, taken: DataFrame) -> DataFrame:
@@ -232,7 +220,7 @@ def placed(outlines: DataFrame, catalogue: DataFrame, size: tuple[int, int], tak
     is_diagonal, is_modular, of some dozens of sizes. taken: ax, ay, priority, of what is there before.
     Every round is written to the shared folder, which the result reads."""
     spark = outlines.sparkSession
-    folder = f"{shared_folder(spark)}/gridloom-outlines/{uuid.uuid4().hex}"
+    folder = rounds.new_folder(spark, "outlines")
     found = catalogues.sizes(catalogue).collect()
     unit = {False: QUARTER_AREA, True: DIAMOND_AREA}
     sizes = {}
@@ -244,7 +232,7 @@ def placed(outlines: DataFrame, catalogue: DataFrame, size: tuple[int, int], tak
 
     own = outlines.select(F.col("building").cast("long").alias("building"), F.col("place").cast("long").alias("place"), F.col("priority").cast("int").alias("priority"), "ring").where(F.abs(g.signed_area(F.col("ring"))) > 0)
     cells = reached(own, size).groupBy("building").agg(F.sort_array(F.collect_list(F.struct("diagonal", "qx", "qy", "area"))).alias("cells"))
-    corner = [F.floor(F.array_min(F.transform("cells", lambda c: c[q])) / (4 * TILE)).cast("long") for q in ("qx", "qy")]
+    corner = [F.floor(F.array_min(F.transform("cells", lambda c: c[q])) / (4 * rounds.TILE)).cast("long") for q in ("qx", "qy")]
     state = own.join(cells, "building").withColumn("tile", corner[0] * (1 << 32) + corner[1])
     left = state.select("building", "place", "priority", "tile", "ring", "cells")
     if taken is not None:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from itertools import combinations, product
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from pyspark.sql.window import Window
 
 from gridloom.functions import geometry as g
 from gridloom.functions import labels, planning
-from gridloom.operators import assign, catalogues, elevation, grid, network, outlines, packing, paging, resolve, rules
+from gridloom.operators import assign, catalogues, elevation, grid, network, outlines, packing, paging, resolve, rules, tiling
 from gridloom.plans import maps
 from gridloom.plans import schedule as plan
 from gridloom.sources import readers, sinks
@@ -663,6 +664,20 @@ def tile_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network.tile_paths(network.with_directions(path_search(spark, sf_dir)), tile_set())
 
 
+def junction_tiles() -> list[tiling.Tile]:
+    """Tiles with two, three and four open sides, of one or two port values each."""
+    sides = [c for n in (2, 3, 4) for c in combinations("udlr", n)]
+    ports = [dict(zip(c, p, strict=True)) for c in sides for p in product((0, 1), repeat=len(c))]
+    return [tiling.Tile(i, 1.0 + 0.5 * sum(t.values()), t) for i, t in enumerate(ports)]
+
+
+@query()
+def network_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles along all routes, agreeing at borders and where routes meet; routes choose in order."""
+    own = path_edges(spark, sf_dir).select("component", "rank", "edge_id")
+    return tiling.tiled(path_search(spark, sf_dir).join(own, "edge_id"), junction_tiles())
+
+
 @query("""WITH needs AS (SELECT DISTINCT l_orderkey AS node, CASE l_linenumber % 4 WHEN 0 THEN 'u' WHEN 1 THEN 'd' WHEN 2 THEN 'l' ELSE 'r' END AS port FROM lineitem),
 tiles AS (SELECT * FROM (VALUES (1, ['u','d']), (2, ['l','r']), (3, ['u','l','r']), (4, ['u','d','l','r']), (5, ['u']), (6, ['d']), (7, ['d','u'])) t(tile, ports)),
 p AS (SELECT tile, len(ports) AS m, unnest(ports) AS port FROM tiles), c AS (SELECT node, count(*) AS n FROM needs GROUP BY node)

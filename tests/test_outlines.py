@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators import outlines, packing
+from gridloom.operators import outlines, packing, rounds
 from gridloom.plans import maps
 from gridloom.plans.model import BUILDINGS
 from gridloom.sources import readers
@@ -104,7 +104,7 @@ def indexed(df):
 @pytest.mark.parametrize("tile", [64, 2])
 def test_outlines_in_order(spark, monkeypatch, tile):
     """Crowded outlines, part of them off the map, in one tile or across many."""
-    monkeypatch.setattr(outlines, "TILE", tile)
+    monkeypatch.setattr(rounds, "TILE", tile)
     r = random.Random(5)
     angles = [r.choice((0, 7, 45, 50, 90, 117)) for _ in range(30)]
     rings = [turned_box(r.uniform(-5, NX * 8), r.uniform(-5, NY * 8), r.uniform(3, 13), r.uniform(3, 9), a) for a in angles]
