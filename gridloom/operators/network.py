@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridloom.functions.labels import STEPS
+from gridloom.operators import rounds
 
 # Costs above this are not walked, a route is no longer than this times its line.
 DEAREST, LONGEST = 5.0, 2.0
@@ -32,13 +33,66 @@ def segments(lines: DataFrame) -> DataFrame:
     return each.select("line", "name", "pos", a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by"))
 
 
+def collected(lines: DataFrame, width: float, height: float) -> DataFrame:
+    """line, name, piece, coords: lines (line, name, coords) as far as they lie on a map of a width and
+    height; a line that leaves it and comes back gives a piece each time."""
+    segs = segments(lines)
+    enter, leave, inside = [F.lit(0.0)], [F.lit(1.0)], F.lit(True)
+    for c, size in (("x", width), ("y", height)):
+        a, d = F.col(f"a{c}"), F.col(f"b{c}") - F.col(f"a{c}")
+        enter.append(F.when(d > 0, -a / d).when(d < 0, (size - a) / d).otherwise(0.0))
+        leave.append(F.when(d > 0, (size - a) / d).when(d < 0, -a / d).otherwise(1.0))
+        inside = inside & ((d != 0) | a.between(0.0, size))
+    on_map = segs.where(inside).withColumns({"t": F.greatest(*enter), "u": F.least(*leave)}).where("t < u")
+
+    def at(t: str) -> Column:
+        return F.struct((F.col("ax") + F.col(t) * (F.col("bx") - F.col("ax"))).alias("x"), (F.col("ay") + F.col(t) * (F.col("by") - F.col("ay"))).alias("y"))
+
+    own = Window.partitionBy("line").orderBy("pos")
+    on = (F.lag("pos").over(own) == F.col("pos") - 1) & (F.lag("u").over(own) == 1) & (F.col("t") == 0)
+    piece = on_map.withColumn("new", F.when(F.coalesce(on, F.lit(False)), 0).otherwise(1)).withColumn("piece", F.sum("new").over(own))
+    joined = piece.groupBy("line", "name", "piece").agg(F.min(F.struct(F.col("pos"), at("t").alias("p"))).alias("first"), F.sort_array(F.collect_list(F.struct("pos", at("u").alias("p")))).alias("rest"))
+    return joined.select("line", "name", "piece", F.concat(F.array("first.p"), F.transform("rest", lambda r: r["p"])).alias("coords"))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """edges with component, the least node (long) that can be reached from src and dst (long).
+
+    Every label hooks to its least neighbour, and the trees that this gives are drawn together to their
+    roots by doubling; what is left are links between roots. All steps are joins and aggregations,
+    written to the shared folder."""
+    folder, tables = rounds.new_folder(edges.sparkSession, "components"), 0
+
+    def written(df: DataFrame) -> DataFrame:
+        nonlocal tables
+        tables += 1
+        return rounds.written(df, f"{folder}/{tables}")
+
+    edges = written(edges)
+    ends = written(edges.select("src", "dst").distinct())
+    links = written(ends.select(F.greatest("src", "dst").alias("hi"), F.least("src", "dst").alias("lo")).where("hi <> lo").distinct())
+    label = ends.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("component", F.col("node"))
+    while not links.isEmpty():
+        up = written(links.groupBy("hi").agg(F.min("lo").alias("up")))
+        while True:
+            above = up.select(F.col("hi").alias("up"), F.col("up").alias("top"))
+            if up.join(above, "up", "left_semi").isEmpty():
+                break
+            up = written(up.join(above, "up", "left").select("hi", F.coalesce("top", "up").alias("up")))
+        label = written(label.join(up.withColumnRenamed("hi", "component"), "component", "left").select("node", F.coalesce("up", "component").alias("component")))
+        hi = links.join(up, "hi").select(F.col("up").alias("a"), F.col("lo").alias("b"))
+        both = hi.join(up.withColumnsRenamed({"hi": "b", "up": "c"}), "b", "left").select("a", F.coalesce("c", "b").alias("b"))
+        links = written(both.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi <> lo").distinct())
+    return edges.join(label.withColumnRenamed("node", "src"), "src")
+
+
 def _cross(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     return ax * by - ay * bx
 
 
 def crossings(segs: DataFrame, bucket: float) -> DataFrame:
-    """line, pos, t (place on the segment, 0 to 1), x, y: where segments of different lines meet.
-    Both sides are dealt to square buckets of the plane and joined on them."""
+    """line, pos, t (place on the segment, 0 to 1), x, y: where segments of different lines of one
+    name meet. Both sides are dealt to square buckets of the plane and joined on them."""
 
     def dealt(side: str) -> DataFrame:
         s = segs.select(*[F.col(c).alias(f"{side}_{c}") for c in segs.columns])
@@ -49,7 +103,8 @@ def crossings(segs: DataFrame, bucket: float) -> DataFrame:
 
         return s.withColumn("bx", F.explode(cells("x"))).withColumn("by", F.explode(cells("y")))
 
-    met = dealt("p").join(dealt("q"), ["bx", "by"]).where("p_line <> q_line")
+    own = dealt("p").withColumn("name", F.col("p_name")).join(dealt("q").withColumn("name", F.col("q_name")), ["name", "bx", "by"])
+    met = own.where("p_line <> q_line")
     rx, ry = F.col("p_bx") - F.col("p_ax"), F.col("p_by") - F.col("p_ay")
     sx, sy = F.col("q_bx") - F.col("q_ax"), F.col("q_by") - F.col("q_ay")
     qx, qy = F.col("q_ax") - F.col("p_ax"), F.col("q_ay") - F.col("p_ay")

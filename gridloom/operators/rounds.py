@@ -33,3 +33,9 @@ def spread(rows: DataFrame, *order: str) -> DataFrame:
 def new_folder(spark: SparkSession, name: str) -> str:
     """For the tables of all rounds, which cut the lineage and which the result reads."""
     return f"{shared_folder(spark)}/gridloom-{name}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """df, cut from its lineage: what reads it often doesn't plan and compute it again."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,7 +2,7 @@
 
 Elements are features matched with a rule; each has a ring. The operators bound here assign types to
 the cells of rings. Stages that need catalogues are passed over unless the caller gives operators for them;
-building_operators() makes those for buildings, networks have none here.
+building_operators() and network_operators() make them.
 """
 
 from __future__ import annotations
@@ -10,13 +10,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.operators import assign, catalogues, grid, outlines, resolve, rules
+from gridloom.functions import labels
+from gridloom.functions.number import numbered
+from gridloom.operators import assign, catalogues, grid, network, outlines, resolve, rounds, rules, tiling
 from gridloom.plans import schedule
+from gridloom.plans.model import CELL
 
 # Stages that place buildings, the kind in the catalogue, and how its entries are named
 # and laid out.
 BUILDING_STAGES = {"residential_buildings": ("residential", "Building", 4), "churches": ("church", "Church", 3), "barns": ("barn", "Barn", 3)}
 
+# Stages that lay tiles, and the kind in the catalogue; how tiles are named and laid out.
+NETWORK_STAGES = {"road_tiles": "road", "rail_tiles": "rail", "stream_tiles": "stream", "fence_tiles": "fence"}
+TILE_NAME, TILES_PER_ROW = "Road Tile", 3
+
 COLUMNS = ("xidx", "yidx", "z", "menu", "cat1", "cat2", "direction", "id", "name", "priority")
 
 
@@ -85,6 +92,40 @@ def building_operators(catalogue: DataFrame, profile: str, size: tuple[int, int]
     return {stage: on_outlines(stage) for stage in BUILDING_STAGES}
 
 
+def network_operators(tile_table: DataFrame, size: tuple[int, int], bucket: float = 64.0) -> dict[str, schedule.Operator]:
+    """Operators that lay tiles of a catalogue (TILES) along the lines of elements (lines, arrays of
+    points, beside ring): lines of a rule are cut where they meet, routed in order of their type and
+    number, and given tiles that agree. Elements without a type take part, but get no rows."""
+    nx, ny = size
+
+    def on_lines(kind: str) -> schedule.Operator:
+        def run(own: DataFrame, state: DataFrame) -> DataFrame:
+            listed = tile_table.where(F.col("kind") == kind).select("tile", "cost", "ports").collect()
+            tiles = [tiling.Tile(r["tile"], r["cost"], {k: tuple(v) for k, v in r["ports"].items()}) for r in listed]
+            steps = tuple(sorted({side for t in tiles for side in t.ports}))
+            lines = own.select("idx", F.col("ord").alias("rule"), "name", F.posexplode("lines").alias("k", "coords"))
+            clipped = network.collected(lines.select(F.struct("rule", "idx", "k").alias("line"), "name", "coords"), nx * CELL, ny * CELL)
+            edges = network.noded(clipped.select(F.struct("line.*", "piece").alias("line"), "name", "coords"), bucket)
+
+            def node(p: str) -> Column:
+                return F.col("line.rule").cast("long") * (1 << 44) + F.floor(F.col(p)["x"] / CELL) * (1 << 22) + F.floor(F.col(p)["y"] / CELL)
+
+            each = numbered(edges, F.floor(F.col("line.idx") / 100_000), "line", "part", name="edge_id")
+            each = each.select("edge_id", F.col("line.idx").alias("idx"), node("src").alias("src"), node("dst").alias("dst"), F.transform("points", lambda p: F.struct((p["x"] / CELL).alias("x"), (p["y"] / CELL).alias("y"))).alias("line"))
+            typed = own.select("idx", "id", "name", "priority", rules.first_type(F.col("tags"), F.col("cm_types")).alias("kind"))
+            known = network.components(each.join(typed.select("idx", F.col("kind.ord").cast("long").alias("rank")), "idx"))
+            known = known.select("edge_id", "component", "rank", "idx", "line")
+            path = rounds.written(network.routed(known.select("component", "rank", "edge_id", "line"), size, steps), rounds.new_folder(own.sparkSession, "routes"))
+            laid = tiling.tiled(path.join(known.select("edge_id", "component", "rank"), "edge_id"), tiles)
+            found = laid.join(known.select("edge_id", "idx"), "edge_id").join(typed.where("kind is not null"), "idx")
+            looks = tile_table.where(F.col("kind") == kind).select("tile", labels.numbered(TILE_NAME, F.col("row"), F.col("col"), TILES_PER_ROW).alias("cat2"), labels.direction_label(F.col("direction")).alias("direction"))
+            return rows(found.join(looks, "tile").select("xidx", "yidx", "kind.menu", "kind.cat1", "cat2", "direction", "id", "name", "priority").distinct())
+
+        return run
+
+    return {stage: on_lines(kind) for stage, kind in NETWORK_STAGES.items()}
+
+
 def build(features: DataFrame, rule_table: DataFrame, place: Column, size: tuple[int, int], background: dict[str, str], more: dict[str, schedule.Operator] | None = None, salt: int = 0) -> DataFrame:
     """Assignments of an nx by ny map: of features (id, tags, ring) by the rules, in their stages, over
     a background. place: a whole number that rises along the features."""

@@ -4,9 +4,12 @@ import random
 from itertools import combinations, product
 
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.functions.labels import STEPS
-from gridloom.operators import rounds, tiling
+from gridloom.operators import catalogues, network, rounds, tiling
+from gridloom.plans import maps
+from gridloom.sources import readers
 
 PATH = "component int, rank int, edge_id long, pos int, xidx int, yidx int"
 BACK = {"u": "d", "d": "u", "l": "r", "r": "l"}
@@ -117,3 +120,56 @@ def test_networks_without_tiles(spark):
     assert tiling.tiled(own.limit(0), tiles).count() == 0
     apart = spark.createDataFrame([(1, 0, 1, 0, 0, 0), (1, 0, 1, 1, 5, 5)], PATH)
     assert tiling.tiled(apart, tiles).count() == 0
+
+
+def test_lines_on_the_map(spark):
+    """Lines that leave and come back, end off the map, run along its border, or miss it."""
+    lines = {1: [(5, 5), (5, 30), (9, 30), (9, 5)], 2: [(-5, 10), (25, 10)], 3: [(30, 0), (30, 9)], 4: [(2, 2), (4, 4), (4, 4), (6, 2)], 5: [(-4, 4), (4, -4)], 6: [(0, 3), (0, 8)], 7: [(1, 1)]}
+    own = spark.createDataFrame([(k, "n", [(float(x), float(y)) for x, y in v]) for k, v in lines.items()], "line int, name string, coords array<struct<x:double,y:double>>")
+    got = {(r["line"], r["piece"]): [(p["x"], p["y"]) for p in r["coords"]] for r in network.collected(own, 20.0, 20.0).collect()}
+    assert got == {(1, 1): [(5, 5), (5, 20)], (1, 2): [(9, 20), (9, 5)], (2, 1): [(0, 10), (20, 10)], (4, 1): [(2, 2), (4, 4), (4, 4), (6, 2)], (6, 1): [(0, 3), (0, 8)]}
+
+
+def test_components_of_edges(spark):
+    rng = random.Random(2)
+    pairs = [(k, k + 1) for k in range(40)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(60)] + [(300, 300)]
+    root = {}
+
+    def find(v):
+        while root.setdefault(v, v) != v:
+            v = root[v]
+        return v
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    own = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "edge_id int, src long, dst long")
+    assert {r["edge_id"]: r["component"] for r in network.components(own).collect()} == {i: find(a) for i, (a, _) in enumerate(pairs)}
+    assert network.components(own.limit(0)).count() == 0
+
+
+def test_roads_of_a_map(spark):
+    """Two roads that cross, and a fence over them that doesn't: tiles by what meets in each cell."""
+    config = {
+        "road": {"priority": 1, "tags": [["r", "1"], ["r", "2"]], "process": ["road_tiles"], "cm_types": [{"menu": "Road", "cat1": "Paved", "tags": [["r", "1"]]}]},
+        "fence": {"priority": 2, "tags": [["f", "1"]], "process": ["fence_tiles"], "cm_types": [{"menu": "Fence", "cat1": "Wood", "tags": [["f", "1"]]}]},
+    }
+    point = "struct<x:double,y:double>"
+    features = [("1", {"r": "1"}, [[(4.0, 20.0), (44.0, 20.0)]]), ("2", {"r": "1"}, [[(20.0, 4.0), (20.0, 36.0)], [(1.0, 1.0)]]), ("3", {"r": "2"}, [[(4.0, 60.0), (36.0, 60.0)]]), ("4", {"f": "1"}, [[(-30.0, 28.0), (28.0, 28.0)]])]
+    own = spark.createDataFrame([(i, t, None, ls) for i, t, ls in features], f"id string, tags map<string,string>, ring array<{point}>, lines array<array<{point}>>")
+    sides = [c for n in (2, 3, 4) for c in combinations("udlr", n)]
+    tiles = catalogues.tiles(spark, {(i % 4, i // 3, i % 3): {s: [1] for s in c} for i, c in enumerate(sides)}, "road")
+    both = tiles.union(tiles.withColumns({"kind": F.lit("fence")}))
+    got = maps.build(own, readers.rule_table(spark, config), F.col("id").cast("long"), (6, 8), {"menu": "Ground"}, maps.network_operators(both, (6, 8))).where("name <> 'default_ground'")
+    name = {frozenset(c): (f"Direction {i % 4 + 1}", f"Road Tile {i + 1}") for i, c in enumerate(sides)}
+    want = {}
+    for x in range(6):
+        want["road", x, 2] = name[frozenset("lr")]
+    for y in (0, 1, 3, 4):
+        want["road", 2, y] = name[frozenset("ud")]
+    want["road", 2, 2] = name[frozenset("udlr")]
+    found = {(r["name"], r["xidx"], r["yidx"]): (r["direction"], r["cat2"]) for r in got.collect()}
+    fences = {k: found.pop(k) for k in list(found) if k[0] == "fence"}
+    assert found == want
+    # where the road lies the fence, of a later priority, gives way
+    assert fences == {("fence", x, 3): name[frozenset("lr")] for x in (0, 1, 3)}
