@@ -70,8 +70,8 @@ def operators(salt: int = 0) -> dict[str, schedule.Operator]:
 
 def building_operators(catalogue: DataFrame, profile: str, size: tuple[int, int], taken: DataFrame | None = None, salt: int = 0) -> dict[str, schedule.Operator]:
     """Operators that place buildings of a catalogue (BUILDINGS) on the rings of elements: rule by rule
-    within a step, and not on what is taken before (ax, ay, priority) or what earlier steps have
-    placed. They are for one map, and place buildings as they are called."""
+    within a step, and not on what is taken before (ax, ay, priority), on tiles of networks, or on what
+    earlier steps have placed. They are for one map, and place buildings as they are called."""
     there = taken
 
     def on_outlines(stage: str) -> schedule.Operator:
@@ -81,7 +81,9 @@ def building_operators(catalogue: DataFrame, profile: str, size: tuple[int, int]
             nonlocal there
             mine = catalogues.buildings(catalogue, profile, kind)
             turn = F.col("ord").cast("long") * (1 << 40) + F.col("idx")
-            placed = outlines.placed(own.select(F.col("idx").alias("building"), turn.alias("place"), "priority", "ring"), mine, size, there)
+            tiles = outlines.taken_squares(state.where(F.col("cat2").startswith(TILE_NAME)).select("xidx", "yidx", "priority"))
+            before = tiles if there is None else tiles.unionByName(there)
+            placed = outlines.placed(own.select(F.col("idx").alias("building"), turn.alias("place"), "priority", "ring"), mine, size, before)
             new = outlines.taken_by(placed)
             there = new if there is None else there.union(new.select(*there.columns))
             found = outlines.drawn(placed, mine, label, per_row, salt).drop("priority")

@@ -171,6 +171,16 @@ def test_buildings_of_a_map(spark):
     assert found == [("2", 0.5, 1.0, "House", "Building 2", "Direction 1"), ("4", 2.5, 1.0, "Independent", "Barn 4", "Direction 4"), ("5", 1.0, 1.0, "Ground", None, None)]
 
 
+def test_buildings_keep_off_roads(spark):
+    """Tiles of the same or an earlier priority take their cells; other rows of a cell don't."""
+    rows = [("p", "church", "Church", "Old", 0, 0, 0, False, 1, 1.0, 2, 2, False)]
+    boxes = [[(x, 8.0), (x + 8, 8.0), (x + 8, 16.0), (x, 16.0)] for x in (8.0, 24.0, 40.0)]
+    own = spark.createDataFrame([(str(i), i, 0, "church", 2, b) for i, b in enumerate(boxes)], "id string, idx long, ord int, name string, priority int, ring array<struct<x:double,y:double>>")
+    state = spark.createDataFrame([(1, 1, "Road Tile 4", 2), (3, 1, "Grass", 1), (5, 1, "Road Tile 1", 3)], "xidx int, yidx int, cat2 string, priority int")
+    got = maps.building_operators(spark.createDataFrame(rows, BUILDINGS), "p", (8, 4))["churches"](own, state)
+    assert {r["id"] for r in got.collect()} == {"1", "2"}
+
+
 def test_parts(spark):
     own = spark.createDataFrame([(4, [turned_box(0, 0, 8, 8, 0), [(1.0, 1.0)], turned_box(20, 0, 8, 8, 0)]), (5, None)], "idx int, rings array<array<struct<x:double,y:double>>>")
     got = outlines.parts(own, "rings", "idx").collect()
