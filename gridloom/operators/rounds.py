@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.session import shared_folder
 
+_folders: list[str] = []
 #: Map cells along the edge of a tile, within which things are settled in order by one task.
 TILE = 64
 
@@ -31,8 +32,18 @@ def spread(rows: DataFrame, *order: str) -> DataFrame:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """For the tables of all rounds, which cut the lineage and which the result reads."""
-    return f"{shared_folder(spark)}/gridloom-{name}/{uuid.uuid4().hex}"
+    """For the tables of all rounds, which cut the lineage and which the result reads. It stays until
+    sweep() deletes it."""
+    _folders.append(f"{shared_folder(spark)}/gridloom-{name}/{uuid.uuid4().hex}")
+    return _folders[-1]
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete the folders of all rounds so far. Only for callers who have written whatever reads them."""
+    jvm = spark.sparkContext._jvm
+    while _folders:
+        target = jvm.org.apache.hadoop.fs.Path(_folders.pop())
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def written(df: DataFrame, path: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Tiles of networks, against going through all rows of tiles, route by route."""
 
+import os
 import random
 from itertools import combinations, product
 
@@ -112,6 +113,14 @@ def test_tiles_of_networks(spark, monkeypatch, tile):
             assert nodes.setdefault((r["component"], r["xidx"], r["yidx"]), r["tile"]) == r["tile"]
 
 
+def test_folders_are_swept(spark):
+    own = rounds.written(spark.range(3), f"{rounds.new_folder(spark, 'test')}/1")
+    path = rounds._folders[-1]
+    assert own.count() == 3 and os.path.isdir(path)
+    rounds.sweep(spark)
+    assert not os.path.exists(path) and not rounds._folders
+
+
 def test_networks_without_tiles(spark):
     tiles = catalogue(random.Random(1))
     own = spark.createDataFrame([(1, 0, 1, None, None, None), (1, 0, 2, 0, 3, 3), (1, None, 3, 0, 1, 1), (1, None, 3, 1, 2, 1)], PATH)
