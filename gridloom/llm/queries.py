@@ -143,7 +143,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scan": OP1, "op6_minhash": OP6, "op9_va_file": OP9}
+    return {"op1_secret_scan": OP1, "op6_minhash": OP6, "op9_va_file": OP9, "op11_yinyang": op11_sql(), "op12_chat_format": OP12, "op13_periodic_runs": OP13}
 
 
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']? *[:=] *["'']?([A-Za-z0-9+/_.=-]+)"""
@@ -192,3 +192,61 @@ WITH ok AS (
 )
 SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 5
 """
+
+
+def op11_sql(rounds: int = 6) -> str:
+    """All rounds written out one after the other."""
+    distance = "list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i])))"
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT rn, p, k, d FROM (SELECT rn, p, k, {distance} AS d FROM x JOIN c{r} USING (p)) QUALIFY row_number() OVER (PARTITION BY rn, p ORDER BY d, k) = 1)""")
+        if r < rounds:
+            steps.append(f"""s{r} AS (SELECT p, k, i, CAST(floor(sum(z) / count(*)) AS BIGINT) AS z FROM (SELECT p, k, unnest(x) AS z, unnest(range(len(x))) AS i FROM x JOIN a{r} USING (rn, p)) GROUP BY p, k, i),
+n{r} AS (SELECT p, k, list(z ORDER BY i) AS c FROM s{r} GROUP BY p, k),
+c{r + 1} AS MATERIALIZED (SELECT p, k, coalesce(n.c, o.c) AS c FROM c{r} o LEFT JOIN n{r} n USING (p, k))""")
+    return f"""
+WITH ok AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id, v) AS rn, vec_id, label, v FROM (
+    SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND NOT list_contains(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)), true))),
+x AS MATERIALIZED (SELECT rn, p, v[p * (len(v) // 8) + 1 : (p + 1) * (len(v) // 8)] AS x FROM ok, range(8) parts(p)),
+c0 AS MATERIALIZED (SELECT p, rn - 1 AS k, x AS c FROM x WHERE rn <= 16),
+{",{0}".format(chr(10)).join(steps)},
+per AS (SELECT rn, string_agg(printf('%02x', k), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY rn),
+book AS (SELECT sha256(string_agg(CAST(z AS VARCHAR), ',' ORDER BY p, k, i)) AS digest FROM (SELECT p, k, unnest(c) AS z, unnest(range(len(c))) AS i FROM c{rounds}))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, digest AS codebooks_sha256 FROM ok JOIN per USING (rn), book
+"""
+
+
+# lengths of markers: 12 and 1 around a role, 11 after a block, 11 within one; "<|" grows by a backslash
+OP12 = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, i, r, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(i, r)),
+t AS (SELECT *, coalesce(role = lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text), false) AS same FROM c)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(text) + len(regexp_extract_all(text, '<\\*\|')) + CASE WHEN same THEN 11 ELSE 24 + length(role) + len(regexp_extract_all(role, '<\\*\|')) END) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+OP13 = r"""
+WITH d AS (SELECT row_number() OVER () AS nth, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+steps AS (SELECT *, len(w) AS n, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ord(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])) AS ops FROM d),
+crc AS (SELECT *, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), ops), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, CASE WHEN a % 2 = 1 THEN 3988292384 ELSE 0 END) END)) AS h FROM steps),
+g AS (SELECT *, h // 10 AS g FROM crc),
+made AS (SELECT nth, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: CASE WHEN i < g % n THEN w[i + 1] ELSE w[g % n + (i - g % n) % (1 + (n - g % n) // (3 + g % 8)) + 1] END) ELSE w END AS w FROM g),
+word AS MATERIALIZED (SELECT nth, n, unnest(w) AS word, unnest(range(n)) AS i FROM made),
+same AS (SELECT x.nth, y.i - x.i AS q, x.i FROM word x JOIN word y ON x.nth = y.nth AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+island AS (SELECT nth, q, i, i - row_number() OVER (PARTITION BY nth, q ORDER BY i) AS k FROM same),
+stretch AS (SELECT nth, q, min(i) AS s, count(*) + q AS len FROM island GROUP BY nth, q, k HAVING count(*) >= greatest(6 - q, 3 * q)),
+run AS MATERIALIZED (SELECT nth, s, len, min(q) AS q FROM stretch GROUP BY nth, s, len),
+per AS (SELECT nth, count(*) AS n_runs, first(s ORDER BY len / q DESC, s, q) AS s, first(len ORDER BY len / q DESC, s, q) AS len, first(q ORDER BY len / q DESC, s, q) AS q,
+  string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS runs FROM run GROUP BY nth),
+gone AS (SELECT DISTINCT nth, unnest(range(s + q, s + len)) AS i FROM run),
+kept AS (SELECT nth, string_agg(word, ' ' ORDER BY i) AS t FROM word ANTI JOIN gone USING (nth, i) GROUP BY nth)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, len AS length, q AS period, 1000 * len // q AS exponent_milli,
+  sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM made LEFT JOIN per USING (nth) LEFT JOIN kept USING (nth)
+"""
