@@ -37,7 +37,11 @@ BATCH = 256
 #: Windows read at once when predicting.
 BLOCK = 4096
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter: of a Unicode category that begins with L, so not ½, ² or Ⅷ."""
+    return any(map(str.isalpha, text))
 
 
 class Network:
@@ -237,7 +241,7 @@ def predicted(docs: DataFrame, net: Network, *, text: str = "text", lang: str =
             for low in range(0, whole.num_rows, 256):
                 b = whole.slice(low, 256)
                 texts = b.column(at).to_pylist()
-                known = [t is not None and bool(net.labels) and LETTER.search(t) is not None for t in texts]
+                known = [t is not None and bool(net.labels) and has_letter(t) for t in texts]
                 p = net.documents([t.encode() if k else b"" for t, k in zip(texts, known, strict=True)])
                 best = p.argmax(axis=1) if net.labels else np.zeros(len(texts), int)
                 names = [net.labels[i] if k else UNKNOWN for i, k in zip(best, known, strict=True)]

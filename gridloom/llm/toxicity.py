@@ -53,8 +53,13 @@ class Linear:
         self.w, self.d, self.b = np.zeros(width), np.zeros(dense), 0.0
 
     def scores(self, at: np.ndarray, starts: np.ndarray, dense: np.ndarray) -> np.ndarray:
-        total = np.append(0.0, np.cumsum(self.w[at]))
-        return total[starts[1:]] - total[starts[:-1]] + dense @ self.d + self.b
+        """Each row is summed on its own, in the order of its columns, so its score is the same whatever
+        rows are beside it."""
+        n = len(starts) - 1
+        total = np.bincount(np.repeat(np.arange(n), np.diff(starts)), self.w[at], n).astype(float) + self.b
+        for column, weight in zip(dense.T, self.d, strict=True):
+            total = total + column * weight
+        return total
 
     def fit(self, at: np.ndarray, starts: np.ndarray, dense: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Linear:
         """Adam on the weighted mean log-loss with a ridge, all rows at each step."""
@@ -193,6 +198,8 @@ def scored(docs: DataFrame, chain: Chain, *, key: str = "doc_id", text: str = "t
     """key and p_<category> (double) of every document."""
     ship(session(docs))
     names = chain.names
+    if key in [f"p_{c}" for c in names]:
+        raise ValueError(f"{key} is the name of a probability, too; rename it")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
