@@ -139,7 +139,7 @@ def best_packing(ring: list[tuple[float, float]], cells: list[tuple[bool, int, i
             matrix = np.zeros((max(r for r, _ in use) - low + 1, max(c for _, c in use) - left + 1), bool)
             for r, c in use:
                 matrix[r - low, c - left] = True
-            _, found = packing.packed_shape(matrix.shape, matrix.tobytes(), tiles, modular and area > largest)
+            found = packing.packed_shape(matrix.shape, matrix.tobytes(), tiles, modular and area > largest).placed
             if not found:
                 continue
             covered = [(r + low + i, c + left + j) for r, c, h, w in found for i in range(h) for j in range(w)]

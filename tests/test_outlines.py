@@ -69,7 +69,7 @@ def loop(rings, angles, taken):
                 for r, c in at:
                     m[int(r - low), int(c - left)] = True
                 largest = max(h * w for h, w in fit) * unit
-                _, placed = packing.pack(m, fit, area(ring) > largest)
+                placed = packing.pack(m, fit, area(ring) > largest).placed
                 if placed:
                     used = [[at[r + i + low, c + j + left] for i in range(h) for j in range(w)] for r, c, h, w in placed]
                     flat = [c for u in used for c in u]
