@@ -1,16 +1,8 @@
-"""Networks of lines: noding, routing over the cell lattice, and choosing tiles along routes.
-
-Relational steps (collecting, intersecting, splitting, degrees) are joins and windows. Routing and tile
-choice are sequential within a connected component; each component is one bounded group."""
+"""Networks of lines: collecting, intersecting and splitting them, degrees, components, and what
+routes over cells make of them, by joins and windows."""
 
 from __future__ import annotations
 
-import heapq
-import math
-from collections import deque
-from collections.abc import Callable, Iterable, Iterator
-from itertools import product
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,12 +11,6 @@ from pyspark.sql.window import Window
 from gridloom.functions.labels import STEPS
 from gridloom.operators import rounds
 
-# Costs above this are not walked, a route is no longer than this times its line.
-DEAREST, LONGEST = 5.0, 2.0
-#: Turns of ripping up per edge of a component.
-RETRIES = 10
-OPPOSITE = {"u": "d", "d": "u", "l": "r", "r": "l", "ur": "dl", "dl": "ur", "ul": "dr", "dr": "ul"}
-
 
 def segments(lines: DataFrame) -> DataFrame:
     """line, pos, ax, ay, bx, by: the straight pieces of lines (line, name, coords)."""
@@ -148,191 +134,6 @@ def snapped(edges: DataFrame, cell: float) -> DataFrame:
     return edges.withColumn("cells", F.transform(fresh, lambda p: F.struct(p["c"]["x"].alias("x"), p["c"]["y"].alias("y"), p["i"].alias("pos"))))
 
 
-def line_distance(x: float, y: float, line: list[tuple[float, float]]) -> float:
-    best = math.inf
-    for (ax, ay), (bx, by) in zip(line, line[1:] or line, strict=False):
-        dx, dy = bx - ax, by - ay
-        n = dx * dx + dy * dy
-        t = 0.0 if n == 0 else max(0.0, min(1.0, ((x - ax) * dx + (y - ay) * dy) / n))
-        best = min(best, math.hypot(x - ax - t * dx, y - ay - t * dy))
-    return best
-
-
-def cells_of_ends(line: list[tuple[float, float]]) -> tuple[tuple[int, int], tuple[int, int]]:
-    start, goal = ((math.floor(p[0]), math.floor(p[1])) for p in (line[0], line[-1]))
-    return start, goal
-
-
-def route(line: list[tuple[float, float]], used: dict[tuple[int, int], set[str]], box: tuple[int, int], steps: set[str], ends: tuple[tuple[int, int], tuple[int, int]] | None = None, far: dict[tuple[int, int], float] | None = None) -> list[tuple[int, int]] | None:
-    """Cheapest walk over cells from a line's first to its last point, in cell units. A step costs the
-    distance of the cell it enters from the line; a port that another route has taken is closed, and
-    so is a cell inside that already has two connections. It has no more steps than LONGEST times the
-    line's length. ends: other cells to begin and end at; far: distances of cells from the line so far."""
-    start, goal = ends or cells_of_ends(line)
-    far = {} if far is None else far
-    if start == goal:
-        return [start]
-    limit = LONGEST * sum(math.dist(a, b) for a, b in zip(line, line[1:], strict=False)) + 2
-
-    def moves(at: tuple[int, int]) -> Iterator[tuple[tuple[int, int], float]]:
-        for (dx, dy), name in STEPS.items():
-            to = (at[0] + dx, at[1] + dy)
-            if name not in steps or not (0 <= to[0] < box[0] and 0 <= to[1] < box[1]):
-                continue
-            if name in used.get(at, ()) or OPPOSITE[name] in used.get(to, ()) or (to != goal and len(used.get(to, ())) > 1):
-                continue
-            if apart(start, to) + apart(to, goal) > limit:
-                continue
-            if to not in far:
-                far[to] = line_distance(to[0] + 0.5, to[1] + 0.5, line)
-            if far[to] <= DEAREST:
-                yield to, far[to] + 1e-6
-
-    diagonal = any(len(s) > 1 for s in steps)
-
-    def apart(a: tuple[int, int], b: tuple[int, int]) -> int:
-        dx, dy = abs(a[0] - b[0]), abs(a[1] - b[1])
-        return max(dx, dy) if diagonal else dx + dy
-
-    path = cheapest(start, goal, moves)
-    if path is None or len(path) - 1 <= limit:
-        return path
-    return cheapest(start, goal, moves, limit, lambda at: apart(at, goal))
-
-
-def cheapest(start: tuple[int, int], goal: tuple[int, int], moves: Callable[[tuple[int, int]], Iterable[tuple[tuple[int, int], float]]], limit: float = math.inf, ahead: Callable[[tuple[int, int]], int] = lambda at: 0) -> list[tuple[int, int]] | None:
-    """Cheapest walk of at most limit steps. With a limit a cell has several labels, as a dearer way to
-    it that takes fewer steps may be the one that can go on. ahead: steps from a cell to the goal at
-    least."""
-    heap, labels, fewest, cost = [(0.0, 0, 0)], [(start, -1)], {}, {start: 0.0}
-    while heap:
-        c, hops, k = heapq.heappop(heap)
-        at = labels[k][0]
-        if at in fewest and (limit == math.inf or fewest[at] <= hops):
-            continue
-        fewest[at] = hops
-        if at == goal:
-            path = []
-            while k >= 0:
-                at, k = labels[k]
-                path.append(at)
-            return path[::-1]
-        for to, step in moves(at):
-            if limit == math.inf:
-                if to in fewest or cost.get(to, math.inf) <= c + step:
-                    continue
-                cost[to] = c + step
-            elif hops + 1 + ahead(to) > limit or fewest.get(to, math.inf) <= hops + 1:
-                continue
-            labels.append((to, k))
-            heapq.heappush(heap, (c + step, hops + 1, len(labels) - 1))
-    return None
-
-
-class Lattice:
-    """Routes taken so far, and the edge that holds each port of a cell."""
-
-    def __init__(self) -> None:
-        self.paths: dict[int, list[tuple[int, int]]] = {}
-        self.used: dict[tuple[int, int], set[str]] = {}
-        self.holder: dict[tuple[tuple[int, int], str], int] = {}
-
-    @staticmethod
-    def ports(path: list[tuple[int, int]]) -> list[tuple[tuple[int, int], str]]:
-        names = [(a, b, STEPS[b[0] - a[0], b[1] - a[1]]) for a, b in zip(path, path[1:], strict=False)]
-        return [x for a, b, n in names for x in ((a, n), (b, OPPOSITE[n]))]
-
-    def holders(self, cell: tuple[int, int]) -> set[int]:
-        return {self.holder[cell, n] for n in self.used.get(cell, ())}
-
-    def take(self, edge: int, path: list[tuple[int, int]]) -> None:
-        self.paths[edge] = path
-        for cell, name in self.ports(path):
-            self.used.setdefault(cell, set()).add(name)
-            self.holder[cell, name] = edge
-
-    def drop(self, edge: int) -> None:
-        for cell, name in self.ports(self.paths.pop(edge)):
-            self.used[cell].discard(name)
-            del self.holder[cell, name]
-
-    def in_the_way(self, path: list[tuple[int, int]]) -> list[int]:
-        found = {self.holder[x] for x in self.ports(path) if x in self.holder}
-        for cell in path[1:-1]:
-            if len(self.used.get(cell, ())) > 1:
-                found |= self.holders(cell)
-        return sorted(found)
-
-
-def route_all(lines: list[list[tuple[float, float]]], box: tuple[int, int], steps: set[str]) -> list[list[tuple[int, int]] | None]:
-    """A route for each line, taken in order. For a line that finds its way taken, the routes in its way
-    are ripped up and queue again, RETRIES times the number of lines at most; what had most routes at
-    any time counts. Then lines without a route may begin and end at a cell beside, which, where the cell
-    itself has routes, must be on one of them. None: still no route."""
-    lattice, far = Lattice(), [{} for _ in lines]
-    todo: deque[int] = deque()
-    for i, line in enumerate(lines):
-        path = route(line, lattice.used, box, steps, None, far[i])
-        if path:
-            lattice.take(i, path)
-        elif route(line, {}, box, steps, None, far[i]):
-            todo.append(i)
-    best = dict(lattice.paths)
-    most = len(best) + len(todo)
-    for _ in range(RETRIES * len(lines)):
-        if not todo or len(best) == most:
-            break
-        i = todo.popleft()
-        path = route(lines[i], lattice.used, box, steps, None, far[i])
-        if not path:
-            path = route(lines[i], {}, box, steps, None, far[i])
-            for other in lattice.in_the_way(path):
-                lattice.drop(other)
-                todo.append(other)
-        lattice.take(i, path)
-        if len(lattice.paths) > len(best):
-            best = dict(lattice.paths)
-    lattice = Lattice()
-    for i, path in best.items():
-        lattice.take(i, path)
-    for i, line in enumerate(lines):
-        if i not in lattice.paths:
-            path = beside(line, lattice, box, steps, far[i])
-            if path:
-                lattice.take(i, path)
-    return [lattice.paths.get(i) for i in range(len(lines))]
-
-
-def beside(line: list[tuple[float, float]], lattice: Lattice, box: tuple[int, int], steps: set[str], far: dict[tuple[int, int], float]) -> list[tuple[int, int]] | None:
-    """A route between cells next to a line's ends, the nearest ones first."""
-    start, goal = cells_of_ends(line)
-    for dx, dy, ex, ey in sorted(product((0, 1, -1), repeat=4), key=lambda m: sum(map(abs, m))):
-        a, b = (start[0] + dx, start[1] + dy), (goal[0] + ex, goal[1] + ey)
-        if a == b or not all(0 <= c[0] < box[0] and 0 <= c[1] < box[1] for c in (a, b)):
-            continue
-        if all(new == old or not lattice.holders(old) or lattice.holders(old) & lattice.holders(new) for new, old in ((a, start), (b, goal))):
-            path = route(line, lattice.used, box, steps, (a, b), far)
-            if path:
-                return path
-    return None
-
-
-def routed(edges: DataFrame, box: tuple[int, int], steps: tuple[str, ...] = ("u", "d", "l", "r")) -> DataFrame:
-    """edge_id, pos, xidx, yidx: routes of edges (component, rank, edge_id, line in cell units), taken
-    in order of rank within each component. An edge without a route gives one row of nulls."""
-
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        own = sorted(rows.to_pylist(), key=lambda r: (r["rank"] is None, r["rank"], r["edge_id"]))
-        out = []
-        for r, path in zip(own, route_all([[(p["x"], p["y"]) for p in r["line"]] for r in own], box, set(steps)), strict=True):
-            out += [(r["edge_id"], i, *c) for i, c in enumerate(path)] if path else [(r["edge_id"], None, None, None)]
-        return pa.table({n: pa.array([o[i] for o in out], k) for i, (n, k) in enumerate((("edge_id", pa.int64()), ("pos", pa.int32()), ("xidx", pa.int32()), ("yidx", pa.int32())))})
-
-    # few bytes but much work: as many partitions as are set, which adaptive execution doesn't merge
-    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return edges.repartition(parts, "component").groupBy("component").applyInArrow(run, "edge_id bigint, pos int, xidx int, yidx int")
-
-
 def with_directions(path: DataFrame) -> DataFrame:
     """Route squares with the names of the steps into and out of each (null at the ends).
     Edges without a route have none."""

@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 
 from gridloom.functions import labels
 from gridloom.operators import rounds
-from gridloom.operators.network import OPPOSITE
+from gridloom.operators.routing import OPPOSITE
 
 NODE = "struct<x:int,y:int>"
 ROUTE = f"component bigint, rank bigint, edge_id bigint, part int, src {NODE}, dst {NODE}, squares array<struct<pos:int,x:int,y:int>>, begin array<string>, finish array<string>"

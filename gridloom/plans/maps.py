@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import labels
 from gridloom.functions.number import numbered
-from gridloom.operators import assign, catalogues, grid, network, outlines, resolve, rounds, rules, tiling
+from gridloom.operators import assign, catalogues, grid, network, outlines, resolve, rounds, routing, rules, tiling
 from gridloom.plans import schedule
 from gridloom.plans.model import CELL
 
@@ -96,31 +96,48 @@ def building_operators(catalogue: DataFrame, profile: str, size: tuple[int, int]
 
 def network_operators(tile_table: DataFrame, size: tuple[int, int], bucket: float = 64.0) -> dict[str, schedule.Operator]:
     """Operators that lay tiles of a catalogue (TILES) along the lines of elements (lines, arrays of
-    points, beside ring): lines of a rule are cut where they meet, routed in order of their type and
-    number, and given tiles that agree. Elements without a type take part, but get no rows."""
+    points, beside ring). Rule by rule, lines are cut where they meet, routed in order of their type and
+    number, and given tiles that agree. Cells of a rule's routes are closed to the rules that follow,
+    until one with a priority below 1 opens all again. Elements without a type take part, but get no
+    rows. The operators are for one map, and lay networks as they are called."""
     nx, ny = size
+    closed: DataFrame | None = None
+
+    def lay(own: DataFrame, tiles: list[tiling.Tile]) -> DataFrame:
+        lines = own.select("idx", "name", F.posexplode("lines").alias("k", "coords"))
+        clipped = network.collected(lines.select(F.struct("idx", "k").alias("line"), "name", "coords"), nx * CELL, ny * CELL)
+        edges = network.noded(clipped.select(F.struct("line.*", "piece").alias("line"), "name", "coords"), bucket)
+        each = numbered(edges, F.floor(F.col("line.idx") / 100_000), "line", "part", name="edge_id")
+        each = each.select("edge_id", F.col("line.idx").alias("idx"), F.transform("points", lambda p: F.struct((p["x"] / CELL).alias("x"), (p["y"] / CELL).alias("y"))).alias("line"))
+        typed = own.select("idx", "id", "name", "priority", rules.first_type(F.col("tags"), F.col("cm_types")).alias("kind"))
+        ranked = each.join(typed.select("idx", F.col("kind.ord").cast("long").alias("rank")), "idx")
+        known = rounds.written(ranked.select("edge_id", "rank", "idx", "line"), rounds.new_folder(own.sparkSession, "edges"))
+        path = routing.routed(known, size, {side for t in tiles for side in t.ports}, [t.ports for t in tiles], closed)
+        path = rounds.written(path, rounds.new_folder(own.sparkSession, "paths"))
+        laid = tiling.tiled(path.join(known.select("edge_id", "rank", F.lit(0).cast("long").alias("component")), "edge_id"), tiles)
+        leave(path, own)
+        return laid.join(known.select("edge_id", "idx"), "edge_id").join(typed.where("kind is not null"), "idx")
+
+    def leave(path: DataFrame, own: DataFrame) -> None:
+        """Close the cells of a rule's routes, or open all."""
+        nonlocal closed
+        if not own.where("priority < 1").isEmpty():
+            closed = None
+            return
+        cells = path.where("pos is not null").select("xidx", "yidx")
+        closed = cells if closed is None else closed.union(cells)
 
     def on_lines(kind: str) -> schedule.Operator:
         def run(own: DataFrame, state: DataFrame) -> DataFrame:
-            listed = tile_table.where(F.col("kind") == kind).select("tile", "cost", "ports").collect()
-            tiles = [tiling.Tile(r["tile"], r["cost"], {k: tuple(v) for k, v in r["ports"].items()}) for r in listed]
-            steps = tuple(sorted({side for t in tiles for side in t.ports}))
-            lines = own.select("idx", F.col("ord").alias("rule"), "name", F.posexplode("lines").alias("k", "coords"))
-            clipped = network.collected(lines.select(F.struct("rule", "idx", "k").alias("line"), "name", "coords"), nx * CELL, ny * CELL)
-            edges = network.noded(clipped.select(F.struct("line.*", "piece").alias("line"), "name", "coords"), bucket)
-
-            def node(p: str) -> Column:
-                return F.col("line.rule").cast("long") * (1 << 44) + F.floor(F.col(p)["x"] / CELL) * (1 << 22) + F.floor(F.col(p)["y"] / CELL)
-
-            each = numbered(edges, F.floor(F.col("line.idx") / 100_000), "line", "part", name="edge_id")
-            each = each.select("edge_id", F.col("line.idx").alias("idx"), node("src").alias("src"), node("dst").alias("dst"), F.transform("points", lambda p: F.struct((p["x"] / CELL).alias("x"), (p["y"] / CELL).alias("y"))).alias("line"))
-            typed = own.select("idx", "id", "name", "priority", rules.first_type(F.col("tags"), F.col("cm_types")).alias("kind"))
-            known = network.components(each.join(typed.select("idx", F.col("kind.ord").cast("long").alias("rank")), "idx"))
-            known = known.select("edge_id", "component", "rank", "idx", "line")
-            path = rounds.written(network.routed(known.select("component", "rank", "edge_id", "line"), size, steps), rounds.new_folder(own.sparkSession, "routes"))
-            laid = tiling.tiled(path.join(known.select("edge_id", "component", "rank"), "edge_id"), tiles)
-            found = laid.join(known.select("edge_id", "idx"), "edge_id").join(typed.where("kind is not null"), "idx")
-            looks = tile_table.where(F.col("kind") == kind).select("tile", labels.numbered(TILE_NAME, F.col("row"), F.col("col"), TILES_PER_ROW).alias("cat2"), labels.direction_label(F.col("direction")).alias("direction"))
+            of_kind = tile_table.where(F.col("kind") == kind)
+            tiles = [tiling.Tile(r["tile"], r["cost"], {k: tuple(v) for k, v in r["ports"].items()}) for r in of_kind.select("tile", "cost", "ports").collect()]
+            found = None
+            for (ord_,) in own.select("ord").distinct().orderBy("ord").collect():  # rules, of a rule file
+                new = lay(own.where(F.col("ord") == ord_), tiles)
+                found = new if found is None else found.union(new)
+            if found is None:
+                return state.limit(0)
+            looks = of_kind.select("tile", labels.numbered(TILE_NAME, F.col("row"), F.col("col"), TILES_PER_ROW).alias("cat2"), labels.direction_label(F.col("direction")).alias("direction"))
             return rows(found.join(looks, "tile").select("xidx", "yidx", "kind.menu", "kind.cat1", "cat2", "direction", "id", "name", "priority").distinct())
 
         return run

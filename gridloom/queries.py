@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridloom.functions import geometry as g
-from gridloom.functions import labels, planning
-from gridloom.operators import assign, catalogues, elevation, grid, network, outlines, packing, paging, resolve, rules, tiling
+from gridloom.functions import labels, number, planning
+from gridloom.operators import assign, catalogues, elevation, grid, network, outlines, packing, paging, resolve, rounds, routing, rules, tiling
 from gridloom.plans import maps
 from gridloom.plans import schedule as plan
 from gridloom.sources import readers, sinks
@@ -638,16 +638,31 @@ def path_occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("xidx", "yidx", F.coalesce("on_path", F.lit(False)).alias("on_path"), F.coalesce("occupied", F.lit(False)).alias("occupied"))
 
 
+#: Cells along the edge of the map of networks.
+NET_SIZE = 768
+
+
+def net_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """line, name, coords: a line for each customer, across the map in cell units."""
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    x, y = (k * 389) % (NET_SIZE - 32) + 16.3, (k * 631) % (NET_SIZE - 33) + 16.6
+    bend = g.point(x + (n % 7) - 3.2, y + (n % 5) - 1.7)
+    ends = g.point(x, y), g.point(x + (k * 13) % 29 - 14.1, y + (k * 17) % 31 - 15.4)
+    return table(spark, sf_dir, "customer").select(k.alias("line"), F.lit("road").alias("name"), F.array(ends[0], bend, ends[1]).alias("coords"), n.alias("rank"))
+
+
 def path_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("s_suppkey")
-    own = F.array(g.point((k % 40) + 0.5, ((k * 3) % 40) + 0.5), g.point(((k * 7) % 40) + 0.5, ((k * 11) % 40) + 0.5))
-    return table(spark, sf_dir, "supplier").select((k % 16).alias("component"), F.col("s_nationkey").alias("rank"), k.alias("edge_id"), own.alias("line"))
+    """edge_id, rank, line: the lines, cut where they meet."""
+    lines = net_lines(spark, sf_dir)
+    edges = network.noded(network.collected(lines, NET_SIZE, NET_SIZE).select("line", "name", "coords"), 32.0)
+    each = number.numbered(edges, F.floor(F.col("line") / 1000), "line", "part", name="edge_id")
+    return each.join(lines.select("line", "rank"), "line").select("edge_id", (F.col("rank") % 4).alias("rank"), F.col("points").alias("line"))
 
 
 @query()
 def path_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Routes over a 40 by 40 lattice, in each of 16 components."""
-    return network.routed(path_edges(spark, sf_dir), (40, 40))
+    """Routes of a network of lines over the cells of a map, where some tile has the sides in use."""
+    return routing.routed(path_edges(spark, sf_dir), (NET_SIZE, NET_SIZE), tiles=[t.ports for t in junction_tiles()])
 
 
 def tile_set() -> list[tuple[int, float, dict[str, int]]]:
@@ -674,8 +689,9 @@ def junction_tiles() -> list[tiling.Tile]:
 @query()
 def network_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tiles along all routes, agreeing at borders and where routes meet; routes choose in order."""
-    own = path_edges(spark, sf_dir).select("component", "rank", "edge_id")
-    return tiling.tiled(path_search(spark, sf_dir).join(own, "edge_id"), junction_tiles())
+    own = rounds.written(path_edges(spark, sf_dir), rounds.new_folder(spark, "edges"))
+    path = routing.routed(own, (NET_SIZE, NET_SIZE), tiles=[t.ports for t in junction_tiles()])
+    return tiling.tiled(path.join(own.select("edge_id", "rank", F.lit(0).cast("long").alias("component")), "edge_id"), junction_tiles())
 
 
 @query("""WITH needs AS (SELECT DISTINCT l_orderkey AS node, CASE l_linenumber % 4 WHEN 0 THEN 'u' WHEN 1 THEN 'd' WHEN 2 THEN 'l' ELSE 'r' END AS port FROM lineitem),

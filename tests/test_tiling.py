@@ -157,10 +157,12 @@ def test_components_of_edges(spark):
     assert network.components(own.limit(0)).count() == 0
 
 
-def test_roads_of_a_map(spark):
-    """Two roads that cross, and a fence over them that doesn't: tiles by what meets in each cell."""
+@pytest.mark.parametrize("priority", [0, 1])
+def test_roads_of_a_map(spark, priority):
+    """Two roads that cross, and a fence over them that doesn't: tiles by what meets in each cell. Cells of
+    roads are closed to the fence, unless the roads' priority is below 1."""
     config = {
-        "road": {"priority": 1, "tags": [["r", "1"], ["r", "2"]], "process": ["road_tiles"], "cm_types": [{"menu": "Road", "cat1": "Paved", "tags": [["r", "1"]]}]},
+        "road": {"priority": priority, "tags": [["r", "1"], ["r", "2"]], "process": ["road_tiles"], "cm_types": [{"menu": "Road", "cat1": "Paved", "tags": [["r", "1"]]}]},
         "fence": {"priority": 2, "tags": [["f", "1"]], "process": ["fence_tiles"], "cm_types": [{"menu": "Fence", "cat1": "Wood", "tags": [["f", "1"]]}]},
     }
     point = "struct<x:double,y:double>"
@@ -180,5 +182,6 @@ def test_roads_of_a_map(spark):
     found = {(r["name"], r["xidx"], r["yidx"]): (r["direction"], r["cat2"]) for r in got.collect()}
     fences = {k: found.pop(k) for k in list(found) if k[0] == "fence"}
     assert found == want
-    # where the road lies the fence, of a later priority, gives way
-    assert fences == {("fence", x, 3): name[frozenset("lr")] for x in (0, 1, 3)}
+    straight = {("fence", x, 3): name[frozenset("lr")] for x in range(4)}
+    turns = [(0, 3, "lr"), (1, 3, "lu"), (1, 4, "ud"), (1, 5, "dr"), (2, 5, "lr"), (3, 5, "ld"), (3, 4, "ud"), (3, 3, "ud")]
+    assert fences == (straight if priority < 1 else {("fence", x, y): name[frozenset(c)] for x, y, c in turns})
