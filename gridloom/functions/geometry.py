@@ -137,6 +137,28 @@ def to_utm(lon: Column, lat: Column, zone: Column) -> Column:
     return point(k0 * radius * x + east, k0 * radius * y + north)
 
 
+def from_utm(x: Column, y: Column, zone: Column) -> Column:
+    """Longitude and latitude (x, y) on WGS 84 of an easting and northing: the inverse series to third
+    order. The latitude follows from the conformal one by steps that each leave a 150th of the error."""
+    # The WGS 84 ellipsoid and the scale and offsets of UTM.
+    a, f, k0, east, south = 6378137.0, 1 / 298.257223563, 0.9996, 500000.0, 10000000.0
+    n = f / (2 - f)
+    radius = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
+    e = 2 * n**0.5 / (1 + n)
+    xi = (y - F.when(zone >= 32700, F.lit(south)).otherwise(F.lit(0.0))) / (k0 * radius)
+    eta = (x - east) / (k0 * radius)
+    u, v = xi, eta
+    for j, c in enumerate(beta, 1):
+        u = u - c * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        v = v - c * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+    level = F.asinh(F.sin(u) / F.sqrt(F.sinh(v) * F.sinh(v) + F.cos(u) * F.cos(u)))
+    q = level
+    for _ in range(6):
+        q = level + e * F.atanh(e * F.tanh(q))
+    return point(F.degrees(F.atan2(F.sinh(v), F.cos(u))) + (zone % 100) * 6 - 183, F.degrees(F.asin(F.tanh(q))))
+
+
 def bounds(ring: Column) -> Column:
     """x0, y0, x1, y1 of the box around a ring."""
 

@@ -152,3 +152,21 @@ def cropped(raster: DataFrame, box: tuple[int, int, int, int]) -> DataFrame:
     x0, y0, x1, y1 = box
     inside = raster.where(F.col("x").between(x0, x1 - 1) & F.col("y").between(y0, y1 - 1))
     return inside.withColumns({"x": F.col("x") - x0, "y": F.col("y") - y0})
+
+
+def rescaled(raster: DataFrame, step_x: float, step_y: float) -> DataFrame:
+    """x, y, z of a raster whose cells are step_x by step_y cells of the given one (x, y, z), whole numbers
+    or not. Heights are weighted by a triangle as wide as two cells, old ones or new ones, whichever are
+    larger: first along rows, then along columns. Cells without a height have no weight; new cells
+    that none reaches get no row."""
+
+    def along(rows: DataFrame, c: str, other: str, step: float) -> DataFrame:
+        wide, at = max(step, 1.0), F.col(c) + 0.5
+        first, last = F.floor((at - wide) / step - 0.5) + 1, F.ceil((at + wide) / step - 0.5) - 1
+        each = rows.where(first <= last).withColumn("__t", F.explode(F.sequence(first, last)))
+        w = (1 - F.abs(at - (F.col("__t") + 0.5) * step) / wide) * F.col("__w")
+        new = each.withColumn("__v", w).where("__v > 0").groupBy(F.col("__t").cast("int").alias(c), F.col(other))
+        return new.agg(F.sum(F.col("__v") * F.col("z")).alias("__s"), F.sum("__v").alias("__w")).select("x", "y", (F.col("__s") / F.col("__w")).alias("z"), "__w")
+
+    known = raster.where("z is not null").select("x", "y", F.col("z").cast("double").alias("z"), F.lit(1.0).alias("__w"))
+    return along(along(known, "x", "y", step_x), "y", "x", step_y).select("x", "y", "z")

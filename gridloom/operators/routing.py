@@ -52,7 +52,7 @@ SQUARE = 128
 #: Cells along the edge of a tile, which one task settles in a round.
 TILE = SQUARE
 #: So many edges or fewer, with what is near them, are settled by one task.
-FEW = 500
+FEW = 1000
 #: Cells beyond a line that its route can reach: DEAREST from a cell's centre.
 MARGIN = DEAREST + 1
 SIDES = {name: 1 << i for i, name in enumerate(STEPS.values())}

@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from gridloom.functions import geometry as g
 from gridloom.functions import labels, number, planning
-from gridloom.operators import assign, catalogues, elevation, grid, network, outlines, packing, paging, resolve, rounds, routing, rules, tiling
+from gridloom.operators import assign, catalogues, elevation, grid, network, outlines, packing, paging, resolve, rounds, routing, rules, scattered, tiling
 from gridloom.plans import maps
 from gridloom.plans import schedule as plan
 from gridloom.sources import readers, sinks
@@ -448,6 +448,16 @@ def raster_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elevation.resampled(dense(spark, sf_dir), at).select("x", "y", F.round("z", 4).alias("z"))
 
 
+@query()
+def scattered_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heights of the corners of a grid between points that lie irregularly."""
+    li = table(spark, sf_dir, "lineitem")
+    points = li.select((F.col("l_orderkey") % 512 + (F.col("l_suppkey") % 17) / 20.0).alias("x"), (F.col("l_partkey") % 512 + (F.col("l_linenumber") % 7) / 9.0).alias("y"), F.col("l_quantity").alias("z"))
+    k = F.col("o_orderkey")
+    corners = table(spark, sf_dir, "orders").select(k.alias("id"), ((k % 64) * 8.0).alias("x"), ((k % 61) * 8.4).alias("y"))
+    return scattered.interpolated(points, corners, 64.0, 4.0).select("id", "x", "y", "z")
+
+
 @query(f"""WITH {RASTER_SQL}, t AS (SELECT x, y, 63.5 + (x - 63.5) * cos(radians(-30)) - (y - 63.5) * sin(radians(-30)) AS tx, 63.5 + (x - 63.5) * sin(radians(-30)) + (y - 63.5) * cos(radians(-30)) AS ty FROM raster),
 c AS (SELECT t.*, unnest([0, 0, 1, 1]) AS a, unnest([0, 1, 0, 1]) AS b FROM t),
 w AS (SELECT *, CAST(floor(tx) + a AS INTEGER) AS nx, CAST(floor(ty) + b AS INTEGER) AS ny, CASE WHEN a = 1 THEN tx - floor(tx) ELSE 1 - (tx - floor(tx)) END * CASE WHEN b = 1 THEN ty - floor(ty) ELSE 1 - (ty - floor(ty)) END AS weight FROM c)
@@ -503,6 +513,27 @@ def utm_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", F.round(p["x"], 2).alias("east"), F.round(p["y"], 2).alias("north"))
 
 
+@query("SELECT c_custkey, round((c_custkey % 360) - 180.0 + 0.5, 7) AS lon, round((c_custkey % 160) - 80.0 + 0.5, 7) AS lat FROM customer")
+def utm_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions on a raster of degrees, projected and back."""
+    k = F.col("c_custkey")
+    lon, lat = (k % 360) - 180.0 + 0.5, (k % 160) - 80.0 + 0.5
+    there = table(spark, sf_dir, "customer").select("c_custkey", g.utm_zone(lon, lat).alias("zone"), g.to_utm(lon, lat, g.utm_zone(lon, lat)).alias("p"))
+    back = there.select("c_custkey", g.from_utm(F.col("p.x"), F.col("p.y"), F.col("zone")).alias("q"))
+    return back.select("c_custkey", F.round("q.x", 7).alias("lon"), F.round("q.y", 7).alias("lat"))
+
+
+@query(f"""WITH {RASTER_SQL}, near AS (SELECT x, y, z, unnest(range(CAST(floor((x - 2.0) / 2.5 - 0.5) AS BIGINT), CAST(floor((x + 3.5) / 2.5 - 0.5) AS BIGINT) + 2)) AS t FROM dense),
+w AS (SELECT t, y, z, 1 - abs(x + 0.5 - (t + 0.5) * 2.5) / 2.5 AS w FROM near),
+a AS (SELECT t AS x, y, sum(w * z) / sum(w) AS z, sum(w) AS v FROM w WHERE w > 0 GROUP BY t, y),
+far AS (SELECT x, y, z, v, unnest(range(CAST(floor((y - 2.0) / 2.5 - 0.5) AS BIGINT), CAST(floor((y + 3.5) / 2.5 - 0.5) AS BIGINT) + 2)) AS t FROM a),
+u AS (SELECT x, t, z, (1 - abs(y + 0.5 - (t + 0.5) * 2.5) / 2.5) * v AS w, 1 - abs(y + 0.5 - (t + 0.5) * 2.5) / 2.5 AS own FROM far)
+SELECT CAST(x AS INTEGER) AS x, CAST(t AS INTEGER) AS y, round(sum(w * z) / sum(w), 3) AS z FROM u WHERE own > 0 GROUP BY x, t""")
+def raster_rescale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A raster with cells two and a half times as wide and high."""
+    return elevation.rescaled(dense(spark, sf_dir), 2.5, 2.5).withColumn("z", F.round("z", 3))
+
+
 # ---- pages ----
 
 CELLS_SQL = """
@@ -639,16 +670,16 @@ def path_occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Cells along the edge of the map of networks.
-NET_SIZE = 768
+NET_SIZE = 256
 
 
 def net_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """line, name, coords: a line for each customer, across the map in cell units."""
-    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    """line, name, coords: a line for each supplier, across the map in cell units."""
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
     x, y = (k * 389) % (NET_SIZE - 32) + 16.3, (k * 631) % (NET_SIZE - 33) + 16.6
     bend = g.point(x + (n % 7) - 3.2, y + (n % 5) - 1.7)
     ends = g.point(x, y), g.point(x + (k * 13) % 29 - 14.1, y + (k * 17) % 31 - 15.4)
-    return table(spark, sf_dir, "customer").select(k.alias("line"), F.lit("road").alias("name"), F.array(ends[0], bend, ends[1]).alias("coords"), n.alias("rank"))
+    return table(spark, sf_dir, "supplier").select(k.alias("line"), F.lit("road").alias("name"), F.array(ends[0], bend, ends[1]).alias("coords"), n.alias("rank"))
 
 
 def path_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
