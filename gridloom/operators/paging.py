@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridloom.functions import labels
+from gridloom.functions.number import numbered
 
 # Squares of a page and its margins, brush sizes, start height.
 PAGE, RIGHT, TOP, BOTTOM = 26, 2, 2, 2
@@ -104,13 +105,13 @@ def actions(strokes: DataFrame, order: tuple[str, ...]) -> DataFrame:
 START_SQUARES = 40
 
 
-def resizes(pages: DataFrame, map_: str, order: str) -> DataFrame:
+def resizes(pages: DataFrame, map_: str, order: str, start: tuple[int, int] = (START_SQUARES, START_SQUARES)) -> DataFrame:
     """map_, order, button, clicks: what brings the editor from one page's size (nx, ny) to the next
     one's, two squares a click. A size shrinks or grows on one side, and unless the map has its first
-    size still, the opposite way on the other one, so that the part shown moves."""
+    size (start) still, the opposite way on the other one, so that the part shown moves."""
     own = Window.partitionBy(map_).orderBy(order)
-    told = pages.select(map_, order, "nx", "ny", *[F.coalesce(F.lag(c).over(own), F.lit(START_SQUARES)).alias(f"{c}_before") for c in ("nx", "ny")])
-    first = (F.col("nx_before") == START_SQUARES) & (F.col("ny_before") == START_SQUARES)
+    told = pages.select(map_, order, "nx", "ny", *[F.coalesce(F.lag(c).over(own), F.lit(n)).alias(f"{c}_before") for c, n in zip(("nx", "ny"), start, strict=True)])
+    first = (F.col("nx_before") == start[0]) & (F.col("ny_before") == start[1])
 
     def clicks(c: str, side: str) -> list[Column]:
         n = F.floor(F.abs(F.col(f"{c}_before") - F.col(c)) / 2).cast("int")
@@ -126,3 +127,55 @@ def resizes(pages: DataFrame, map_: str, order: str) -> DataFrame:
 def extents(cells: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """keys and the box of each group's cells on its page."""
     return cells.groupBy(*keys).agg(*[f(f"p{c}").alias(f"{c}{n}") for n, f in (("min", F.min), ("max", F.max)) for c in "xy"])
+
+
+def start_size(cells: DataFrame) -> tuple[int, int]:
+    """The size of a map in the editor that a file of it was saved with."""
+    r = cells.agg(F.max("x").alias("x"), F.max("y").alias("y")).first()
+    return (START_SQUARES, START_SQUARES) if r["x"] is None else (int(r["x"] // 1) + RIGHT, int(r["y"] // 1) + BOTTOM)
+
+
+def page_list(cells: DataFrame) -> DataFrame:
+    """page_x, page_y, nx, ny: every page of a map and the squares that the editor shows for it. Pages of a
+    remainder of nothing are left out."""
+    own = sizes(cells)
+    each = own.withColumn("page_x", F.explode(F.sequence(F.lit(0), F.col("nx")))).withColumn("page_y", F.explode(F.sequence(F.lit(0), F.col("ny"))))
+    some = each.where("(page_x < nx or rx > 0) and (page_y < ny or ry > 0)")
+
+    def shown(page: str, n: str, rest: str, margin: int) -> Column:
+        p = F.col(page)
+        return F.when(p < F.col(n), (p + 1) * PAGE - p * margin).otherwise(p * PAGE - (p - 1) * margin + F.col(rest)).cast("int")
+
+    return some.select("page_x", "page_y", shown("page_x", "nx", "rx", RIGHT).alias("nx"), shown("page_y", "ny", "ry", TOP + BOTTOM).alias("ny"))
+
+
+def stream(cells: DataFrame, strokes: DataFrame | None = None, start: tuple[int, int] = (START_SQUARES, START_SQUARES)) -> DataFrame:
+    """seq, page_y, page_x, action, what, times, px, py: all that the editor is told for a map, in one
+    order over all pages, which go from right to left, then up. On a page: clicks that resize the map (action
+    button), then for each height the keys that lead to it (key, + or -) and the click of each of its cells
+    (height), then strokes (page_x, page_y, menu, brush, x, y) if given (brush, what is the menu). Cells
+    without a height get no click. Rows are numbered page by page; sizes of pages alone are summed up in one
+    place, so the order survives whatever way rows are written."""
+    none = F.lit(None).cast("int")
+    own = paged(cells)
+
+    def rows(df: DataFrame, part: int, action: str, what: Column, times: Column, at: Column | None, *order: Column) -> DataFrame:
+        keys = [*[o.cast("double") for o in order], *[F.lit(0.0)] * (4 - len(order))]
+        px, py = (at["px"], at["py"]) if at is not None else (none, none)
+        return df.select("page_y", "page_x", F.lit(part).alias("__part"), *[k.alias(f"__{i}") for i, k in enumerate(keys)], F.lit(action).alias("action"), what.cast("string").alias("what"), times.cast("int").alias("times"), px.alias("px"), py.alias("py"))
+
+    number = F.col("page_y").cast("long") * (1 << 20) + F.col("page_x")
+    pages = page_list(cells).withColumns({"map": F.lit(0), "page": number})
+    sized = resizes(pages, "map", "page", start).withColumns({"page_y": F.floor(F.col("page") / (1 << 20)).cast("int"), "page_x": (F.col("page") % (1 << 20)).cast("int")})
+    turn = F.when(F.col("button").startswith("vertical"), 2).otherwise(0) + F.when(F.col("button").endswith("2"), 1).otherwise(0)
+    found = rows(sized, 0, "button", F.col("button"), F.col("clicks"), None, turn)
+    steps = height_steps(own).where("steps <> 0")
+    found = found.union(rows(steps, 1, "key", F.when(F.col("steps") > 0, "+").otherwise("-"), F.abs("steps"), None, F.col("z"), F.lit(0)))
+    clicks = own.where("z is not null")
+    found = found.union(rows(clicks, 1, "height", F.lit(None), F.lit(1), labels.click(F.col("px"), F.col("py")), F.col("z"), F.lit(1), F.col("x"), F.col("y")))
+    if strokes is not None:
+        menus = strokes.select(F.col("menu").alias("__menu")).distinct().withColumn("__m", F.rank().over(Window.orderBy("__menu")))  # few
+        met = strokes.join(menus, F.col("menu").eqNullSafe(F.col("__menu")))
+        found = found.union(rows(met, 2, "brush", F.col("menu"), F.lit(1), labels.click(F.col("x"), F.col("y")), F.col("__m"), -F.col("brush"), F.col("x"), F.col("y")))
+    order = ["page_y", "page_x", "__part", "__0", "__1", "__2", "__3"]
+    return numbered(found, number, *order, name="seq").select((F.col("seq") + 1).cast("long").alias("seq"), "page_y", "page_x", "action", "what", "times", "px", "py")

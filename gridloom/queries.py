@@ -582,6 +582,26 @@ def map_resize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paging.resizes(pages, "map", "seq")
 
 
+@query(f"""WITH {CELLS_SQL}, own AS (SELECT *, x - CASE WHEN page_x < nx THEN w - (page_x + 1) * 24 ELSE 0 END AS px, y - CASE WHEN page_y < ny THEN page_y * 24 - (page_y + 1) * 2 ELSE h - 24 END AS py FROM paged),
+pg AS (SELECT a.p AS page_x, b.p AS page_y, CASE WHEN a.p < nx THEN (a.p + 1) * 26 - a.p * 2 ELSE a.p * 26 - (a.p - 1) * 2 + rx END AS nx, CASE WHEN b.p < ny THEN (b.p + 1) * 26 - b.p * 4 ELSE b.p * 26 - (b.p - 1) * 4 + ry END AS ny
+  FROM sizes, range(1000) a(p), range(1000) b(p) WHERE a.p <= nx AND b.p <= ny AND (a.p < nx OR rx > 0) AND (b.p < ny OR ry > 0)),
+b AS (SELECT *, coalesce(lag(nx) OVER w, 40) AS bx, coalesce(lag(ny) OVER w, 40) AS b_y FROM pg WINDOW w AS (ORDER BY page_y, page_x)),
+c AS (SELECT page_y, page_x, 0 AS turn, CASE WHEN nx <= bx THEN 'horizontal_minus' ELSE 'horizontal_plus' END AS button, abs(bx - nx) // 2 AS clicks FROM b
+UNION ALL SELECT page_y, page_x, 1, CASE WHEN nx <= bx THEN 'horizontal_plus2' ELSE 'horizontal_minus2' END, abs(bx - nx) // 2 FROM b WHERE NOT (bx = 40 AND b_y = 40)
+UNION ALL SELECT page_y, page_x, 2, CASE WHEN ny <= b_y THEN 'vertical_minus' ELSE 'vertical_plus' END, abs(b_y - ny) // 2 FROM b
+UNION ALL SELECT page_y, page_x, 3, CASE WHEN ny <= b_y THEN 'vertical_plus2' ELSE 'vertical_minus2' END, abs(b_y - ny) // 2 FROM b WHERE NOT (bx = 40 AND b_y = 40)),
+levels AS (SELECT DISTINCT page_x, page_y, z FROM paged), p AS (SELECT page_x, page_y, max(z) AS m FROM levels GROUP BY 1, 2),
+s AS (SELECT page_x, page_y, coalesce(lag(m) OVER (ORDER BY page_y, page_x), 20) AS start FROM p),
+k AS (SELECT page_x, page_y, z, z - coalesce(lag(z) OVER w, start) AS steps FROM levels JOIN s USING (page_x, page_y) WINDOW w AS (PARTITION BY page_x, page_y ORDER BY z)),
+every AS (SELECT page_y, page_x, 0 AS part, turn AS a, 0 AS b, 0 AS x, 0 AS y, 'button' AS action, button AS what, clicks AS times, NULL AS px, NULL AS py FROM c WHERE clicks > 0
+UNION ALL SELECT page_y, page_x, 1, z, 0, 0, 0, 'key', CASE WHEN steps > 0 THEN '+' ELSE '-' END, abs(steps), NULL, NULL FROM k WHERE steps <> 0
+UNION ALL SELECT page_y, page_x, 1, z, 1, x, y, 'height', NULL, 1, px * 16 + 233, 451 - py * 16 FROM own)
+SELECT row_number() OVER (ORDER BY page_y, page_x, part, a, b, x, y) AS seq, CAST(page_y AS INTEGER) AS page_y, CAST(page_x AS INTEGER) AS page_x, action, what, CAST(times AS INTEGER) AS times, CAST(px AS INTEGER) AS px, CAST(py AS INTEGER) AS py FROM every""")
+def action_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything the editor is told for the heights of a map, in one order over all pages."""
+    return paging.stream(map_cells(spark, sf_dir))
+
+
 MENUS = [("Ground 1", 10, 20), ("Foliage", 30, 40), ("A", 50, 60), ("N", 70, 80), ("O", 90, 100)]
 
 

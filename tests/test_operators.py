@@ -345,3 +345,37 @@ def test_strokes_set_each_cell_once(spark):
         assert r["menu"] != "Walls" or r["brush"] == 1
         got += [(r["page"], r["menu"], x, y) for x in range(r["x"] - half, r["x"] + half + 1) for y in range(r["y"] - half, r["y"] + half + 1)]
     assert sorted(got) == sorted(rows)
+
+
+def test_stream_of_actions_is_in_order(spark):
+    """Against a loop over the pages of a small map, with strokes."""
+    rng = random.Random(7)
+    cells = [(float(x), float(y), float(rng.choice((18, 19, 22)))) for x in range(51) for y in range(25) if rng.random() < 0.8]
+    own = spark.createDataFrame([*cells, (50.0, 24.0, None)], "x double, y double, z double").repartition(5)
+    strokes = [(1, 0, "Ground", 3, 4, 4), (1, 0, "Ground", 1, 2, 2), (0, 0, "Brush", 1, 1, 1), (1, 1, "Brush", 1, 0, 0)]
+    start = paging.start_size(own)
+    assert start == (52, 26)
+    got = sorted(tuple(r) for r in paging.stream(own, spark.createDataFrame(strokes, "page_x int, page_y int, menu string, brush int, x int, y int"), start).collect())
+    assert [r[0] for r in got] == list(range(1, len(got) + 1))
+    want, height, size = [], 20, list(start)
+    # 51 x 25 cells: two pages of 24 and a rest of 2 across, one of 22 and a rest of 2 upward
+    for py in (0, 1):
+        for px in (0, 1, 2):
+            shown = [26 + 24 * px if px < 2 else 2 * 26 - 2 + 2, 26 if py == 0 else 26 + 2]
+            first = size == list(start)
+            for k, name in ((0, "horizontal"), (1, "vertical")):
+                n, less = abs(size[k] - shown[k]) // 2, shown[k] <= size[k]
+                if n:
+                    want.append((py, px, "button", f"{name}_{'minus' if less else 'plus'}", n))
+                    if not first:
+                        want.append((py, px, "button", f"{name}_{'plus2' if less else 'minus2'}", n))
+            size = shown
+            x1 = 50 - 24 * px
+            on = [c for c in cells if max(x1 - 24, 0) <= c[0] < x1 and (c[1] < 22 if py == 0 else 22 <= c[1] < 24)]
+            for z in sorted({c[2] for c in on}):
+                if z != height:
+                    want.append((py, px, "key", "+" if z > height else "-", int(abs(z - height))))
+                height = z
+                want += [(py, px, "height", None, 1)] * sum(c[2] == z for c in on)
+            want += [(py, px, "brush", m, 1) for x, y, m, *_ in sorted(strokes, key=lambda s: (s[2], -s[3], s[4])) if (x, y) == (px, py)]
+    assert [r[1:6] for r in got] == want
