@@ -18,10 +18,20 @@ QUARTERS = ((-1, -1), (1, -1), (-1, 1), (1, 1))
 def squares(spark: SparkSession, nx: int, ny: int, x0: float = 0.0, y0: float = 0.0, cell: float = CELL) -> DataFrame:
     """xidx, yidx, x, y (centre) of all cells, from one range: no join."""
     i = spark.range(nx * ny)
-    cells = i.select((F.col("id") % nx).cast("int").alias("xidx"), F.floor(F.col("id") / nx).cast("int").alias("yidx"))
+    cells = i.select((F.col("id") % max(nx, 1)).cast("int").alias("xidx"), F.floor(F.col("id") / max(nx, 1)).cast("int").alias("yidx"))
     return cells.withColumns({"x": F.lit(x0) + (F.col("xidx") + 0.5) * cell, "y": F.lit(y0) + (F.col("yidx") + 0.5) * cell})
 
 
+def squares_over(points: DataFrame, x: str, y: str, cell: float = CELL) -> DataFrame:
+    """All cells that the box around a table's points touches, numbered from its lower left one. No points, no
+    cells."""
+    ends = [f(F.floor(F.col(c) / cell)).alias(f"{n}{i}") for i, c in enumerate((x, y)) for n, f in (("low", F.min), ("high", F.max))]
+    r = points.agg(*ends).first()  # one row
+    if r["low0"] is None or r["low1"] is None:
+        return squares(points.sparkSession, 0, 0, cell=cell)
+    return squares(points.sparkSession, r["high0"] - r["low0"] + 1, r["high1"] - r["low1"] + 1, r["low0"] * cell, r["low1"] * cell, cell)
+
+
 def around(cells: DataFrame, offsets: tuple[tuple[int, int], ...], cell: float = CELL) -> DataFrame:
     """Cells of a finer grid around each centre, once each, indexed in quarter units (qx, qy)."""
     steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in offsets])

@@ -171,35 +171,45 @@ def element_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- grids ----
 
 
-@query("SELECT CAST(i % 90 AS INTEGER) AS xidx, CAST(i // 90 AS INTEGER) AS yidx, (i % 90 + 0.5) * 8.0 + 100 AS x, (i // 90 + 0.5) * 8.0 + 50 AS y FROM range(90 * 70) t(i)")
+PLACES = "SELECT o_orderkey, o_totalprice / 100 AS x, CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE) AS y FROM orders"
+
+
+def places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return o.select("o_orderkey", (F.col("o_totalprice") / 100).alias("x"), F.datediff("o_orderdate", F.lit("1992-01-01").cast("date")).cast("double").alias("y"))
+
+
+#: The cells that the box around all places touches: i (number), nx, and x0 and y0 of its corner.
+EXTENT_SQL = f"""p AS ({PLACES}), e AS (SELECT floor(min(x) / 8) AS cx, floor(min(y) / 8) AS cy, floor(max(x) / 8) AS dx, floor(max(y) / 8) AS dy FROM p),
+t AS (SELECT unnest(range(CAST((dx - cx + 1) * (dy - cy + 1) AS BIGINT))) AS i, CAST(dx - cx + 1 AS BIGINT) AS nx, cx * 8 AS x0, cy * 8 AS y0 FROM e)"""
+
+
+def place_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.squares_over(places(spark, sf_dir), "x", "y")
+
+
+@query(f"WITH {EXTENT_SQL} SELECT CAST(i % nx AS INTEGER) AS xidx, CAST(i // nx AS INTEGER) AS yidx, (i % nx + 0.5) * 8.0 + x0 AS x, (i // nx + 0.5) * 8.0 + y0 AS y FROM t")
 def grid_generate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.squares(spark, 90, 70, 100.0, 50.0)
+    """The square grid over the box around all places."""
+    return place_squares(spark, sf_dir)
 
 
-@query("SELECT DISTINCT CAST(4 * (i % 60) + a AS INTEGER) AS qx, CAST(4 * (i // 60) + b AS INTEGER) AS qy FROM range(60 * 40) t(i), (VALUES (2, 0), (-2, 0), (0, 2), (0, -2)) s(a, b)")
+@query(f"WITH {EXTENT_SQL} SELECT DISTINCT CAST(4 * (i % nx) + a AS INTEGER) AS qx, CAST(4 * (i // nx) + b AS INTEGER) AS qy FROM t, (VALUES (2, 0), (-2, 0), (0, 2), (0, -2)) s(a, b)")
 def diamond_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.diamonds(grid.squares(spark, 60, 40)).select("qx", "qy")
+    return grid.diamonds(place_squares(spark, sf_dir)).select("qx", "qy")
 
 
-@query("SELECT CAST(4 * (i % 60) + a AS INTEGER) AS qx, CAST(4 * (i // 60) + b AS INTEGER) AS qy, (i % 60 + 0.5) * 8.0 + 2 * a AS x, (i // 60 + 0.5) * 8.0 + 2 * b AS y FROM range(60 * 40) t(i), (VALUES (-1, -1), (1, -1), (-1, 1), (1, 1)) s(a, b)")
+@query(f"WITH {EXTENT_SQL} SELECT CAST(4 * (i % nx) + a AS INTEGER) AS qx, CAST(4 * (i // nx) + b AS INTEGER) AS qy, (i % nx + 0.5) * 8.0 + x0 + 2 * a AS x, (i // nx + 0.5) * 8.0 + y0 + 2 * b AS y FROM t, (VALUES (-1, -1), (1, -1), (-1, 1), (1, 1)) s(a, b)")
 def subsquare_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.quarters(grid.squares(spark, 60, 40))
+    return grid.quarters(place_squares(spark, sf_dir))
 
 
-@query("SELECT CAST(i % 50 AS INTEGER) AS xidx, CAST(i // 50 AS INTEGER) AS yidx, round(200 + cos(radians(30)) * ((i % 50 + 0.5) * 8 - 200) - sin(radians(30)) * ((i // 50 + 0.5) * 8 - 160), 4) AS x, round(160 + sin(radians(30)) * ((i % 50 + 0.5) * 8 - 200) + cos(radians(30)) * ((i // 50 + 0.5) * 8 - 160), 4) AS y FROM range(50 * 40) t(i)")
+@query(f"WITH {EXTENT_SQL} SELECT CAST(i % nx AS INTEGER) AS xidx, CAST(i // nx AS INTEGER) AS yidx, round(200 + cos(radians(30)) * ((i % nx + 0.5) * 8 + x0 - 200) - sin(radians(30)) * ((i // nx + 0.5) * 8 + y0 - 160), 4) AS x, round(160 + sin(radians(30)) * ((i % nx + 0.5) * 8 + x0 - 200) + cos(radians(30)) * ((i // nx + 0.5) * 8 + y0 - 160), 4) AS y FROM t")
 def grid_rotate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = grid.turned(grid.squares(spark, 50, 40), 30.0, 200.0, 160.0)
+    cells = grid.turned(place_squares(spark, sf_dir), 30.0, 200.0, 160.0)
     return cells.withColumns({"x": F.round("x", 4), "y": F.round("y", 4)})
 
 
-PLACES = "SELECT o_orderkey, o_totalprice / 100 AS x, CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE) AS y FROM orders"
-
-
-def places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
-    return o.select("o_orderkey", (F.col("o_totalprice") / 100).alias("x"), F.datediff("o_orderdate", F.lit("1992-01-01").cast("date")).cast("double").alias("y"))
-
-
 @query(f"WITH p AS ({PLACES}) SELECT CAST(floor(x / 8) AS INTEGER) AS xidx, CAST(floor(y / 8) AS INTEGER) AS yidx, count(*) AS n FROM p WHERE x / 8 <> floor(x / 8) AND y / 8 <> floor(y / 8) GROUP BY 1, 2")
 def point_in_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.point_cells(places(spark, sf_dir), "x", "y").groupBy("xidx", "yidx").agg(F.count("*").alias("n"))
@@ -274,11 +284,11 @@ def quarter_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {RECT_SQL}, q AS (SELECT id, CAST(4 * c.xidx + s.a AS INTEGER) AS qx, CAST(4 * c.yidx + s.b AS INTEGER) AS qy FROM (SELECT d.*, unnest([{{'a': -1, 'b': -1}}, {{'a': 1, 'b': -1}}, {{'a': -1, 'b': 1}}, {{'a': 1, 'b': 1}}]) AS s FROM d) c
 WHERE greatest(least(x0 + w, xidx * 8 + 4 + 2 * s.a + 2) - greatest(x0, xidx * 8 + 4 + 2 * s.a - 2), 0) * greatest(least(y0 + h, yidx * 8 + 4 + 2 * s.b + 2) - greatest(y0, yidx * 8 + 4 + 2 * s.b - 2), 0) > 8)
-SELECT id, qx, qy FROM q WHERE id % 7 = 1 AND NOT EXISTS (SELECT 1 FROM q o WHERE o.id % 7 = 0 AND o.qx = q.qx AND o.qy = q.qy)""")
+SELECT id, qx, qy FROM q WHERE id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM q o WHERE o.id % 2 = 0 AND o.qx = q.qx AND o.qy = q.qy)""")
 def quarter_free(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quarter cells of some shapes that others have not occupied before."""
+    """Quarter cells of every second shape that the others have not occupied before."""
     found = quarter_fill(spark, sf_dir)
-    return grid.free(found.where("id % 7 = 1"), found.where("id % 7 = 0"), ("qx", "qy")).select("id", "qx", "qy")
+    return grid.free(found.where("id % 2 = 1"), found.where("id % 2 = 0"), ("qx", "qy")).select("id", "qx", "qy")
 
 
 @query("""WITH r AS (SELECT p_partkey AS id, (p_partkey % 97) * 5.0 AS x0, (p_partkey % 89) * 3.0 AS y0, p_size * 1.53 + 3.01 AS w, p_size * 0.71 + 5.03 AS h, CASE WHEN p_partkey % 2 = 0 THEN 3.44 ELSE 0.0 END AS d FROM part),
@@ -292,11 +302,11 @@ def core_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.fill_core(rectangles(spark, sf_dir).withColumn("border", border), "ring", "border").select("id", "xidx", "yidx")
 
 
-@query("""SELECT 'square' AS kind, count(*) AS n, min(4 * (i % 40)) AS low, max(4 * (i // 40)) AS high FROM range(40 * 30) t(i)
-UNION ALL SELECT kind, count(*), min(qx), max(qy) FROM (SELECT DISTINCT kind, 4 * (i % 40) + a AS qx, 4 * (i // 40) + b AS qy FROM range(40 * 30) t(i), (VALUES ('diamond', 2, 0), ('diamond', -2, 0), ('diamond', 0, 2), ('diamond', 0, -2), ('quarter', -1, -1), ('quarter', 1, -1), ('quarter', -1, 1), ('quarter', 1, 1)) s(kind, a, b)) GROUP BY kind""")
+@query(f"""WITH {EXTENT_SQL} SELECT 'square' AS kind, count(*) AS n, min(4 * (i % nx)) AS low, max(4 * (i // nx)) AS high FROM t
+UNION ALL SELECT kind, count(*), min(qx), max(qy) FROM (SELECT DISTINCT kind, 4 * (i % nx) + a AS qx, 4 * (i // nx) + b AS qy FROM t, (VALUES ('diamond', 2, 0), ('diamond', -2, 0), ('diamond', 0, 2), ('diamond', 0, -2), ('quarter', -1, -1), ('quarter', 1, -1), ('quarter', -1, 1), ('quarter', 1, 1)) s(kind, a, b)) GROUP BY kind""")
 def grid_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three grids of a map: how many cells, and how far they reach."""
-    every = grid.all_grids(grid.squares(spark, 40, 30))
+    """The three grids over all places: how many cells, and how far they reach."""
+    every = grid.all_grids(place_squares(spark, sf_dir))
     return every.groupBy("kind").agg(F.count("*").alias("n"), F.min("qx").cast("long").alias("low"), F.max("qy").cast("long").alias("high"))
 
 
