@@ -90,14 +90,15 @@ def crossings(segs: DataFrame, bucket: float) -> DataFrame:
         return s.withColumn("bx", F.explode(cells("x"))).withColumn("by", F.explode(cells("y")))
 
     own = dealt("p").withColumn("name", F.col("p_name")).join(dealt("q").withColumn("name", F.col("q_name")), ["name", "bx", "by"])
-    met = own.where("p_line <> q_line")
+    met = own.where("p_line < q_line")  # each pair once; both sides are told
     rx, ry = F.col("p_bx") - F.col("p_ax"), F.col("p_by") - F.col("p_ay")
     sx, sy = F.col("q_bx") - F.col("q_ax"), F.col("q_by") - F.col("q_ay")
     qx, qy = F.col("q_ax") - F.col("p_ax"), F.col("q_ay") - F.col("p_ay")
     den = _cross(rx, ry, sx, sy)
     t, u = _cross(qx, qy, sx, sy) / den, _cross(qx, qy, rx, ry) / den
     hit = met.where(den != 0).withColumns({"t": t, "u": u}).where("t between 0 and 1 and u between 0 and 1")
-    return hit.select(F.col("p_line").alias("line"), F.col("p_pos").alias("pos"), "t", (F.col("p_ax") + F.col("t") * rx).alias("x"), (F.col("p_ay") + F.col("t") * ry).alias("y")).dropDuplicates(["line", "pos", "t"])
+    sides = [F.struct(F.col(f"{k}_line").alias("line"), F.col(f"{k}_pos").alias("pos"), F.col(at).alias("t"), (F.col(f"{k}_ax") + F.col(at) * dx).alias("x"), (F.col(f"{k}_ay") + F.col(at) * dy).alias("y")) for k, at, dx, dy in (("p", "t", rx, ry), ("q", "u", sx, sy))]
+    return hit.select(F.inline(F.array(*sides))).dropDuplicates(["line", "pos", "t"])
 
 
 def noded(lines: DataFrame, bucket: float) -> DataFrame:
