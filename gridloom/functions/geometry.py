@@ -219,11 +219,29 @@ def eroded(ring: Column, by: Column) -> Column:
     return let(counter_clockwise(ring), lambda own: clipped(own, side_planes(own, by)))
 
 
+def shared_area(a: Column, b: Column) -> Column:
+    """Area that two rings share, whatever their turns. A ring is the sum of the triangles of its fan, each
+    with the sign of its turn, so what they share is the sum of what the first ring shares with each; a
+    convex ring is one piece."""
+
+    def convex(own: Column) -> Column:
+        return clipped_area(a, side_planes(own, F.lit(0.0)))
+
+    def fan(own: Column) -> Column:
+        def triangle(i: Column) -> Column:
+            corners = F.array(F.get(own, F.lit(0)), F.get(own, i), F.get(own, i + 1))
+            return let(corners, lambda t: F.when(signed_area(t) == 0, 0.0).otherwise(F.signum(signed_area(t)) * convex(counter_clockwise(t))))
+
+        each = F.transform(F.sequence(F.lit(1), F.size(own) - 2), triangle)
+        return F.abs(F.aggregate(each, F.lit(0.0), lambda total, area: total + area))
+
+    return F.when(F.size(b) < 3, 0.0).when(F.size(concave_vertices(b)) == 0, let(counter_clockwise(b), convex)).otherwise(fan(b))
+
+
 def overlap(a: Column, b: Column) -> Column:
-    """shared, together and iou (shared over together): areas of a ring with a convex one."""
-    shared = let(counter_clockwise(b), lambda own: clipped_area(a, side_planes(own, F.lit(0.0))))
+    """shared, together and iou (shared over together): areas of two rings."""
     total = F.abs(signed_area(a)) + F.abs(signed_area(b))
-    return let(shared, lambda s: F.struct(s.alias("shared"), (total - s).alias("together"), F.when(total - s > 0, s / (total - s)).alias("iou")))
+    return let(shared_area(a, b), lambda s: F.struct(s.alias("shared"), (total - s).alias("together"), F.when(total - s > 0, s / (total - s)).alias("iou")))
 
 
 def scaled(ring: Column, factor: Column) -> Column:

@@ -122,17 +122,19 @@ def fill_core(shapes: DataFrame, ring: str, border: str, share: float = 0.5, cel
 
 
 def fill_fine(shapes: DataFrame, ring: str, offsets: tuple[tuple[int, int], ...], share: float, cell: float = CELL) -> DataFrame:
-    """The same over diamonds or quarter cells, in quarter units."""
-    steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in offsets])
-    each = candidate_cells(with_box(shapes, ring), ring, cell).withColumn("s", F.explode(steps))
-    fine = each.withColumns({"qx": F.col("xidx") * 4 + F.col("s.a"), "qy": F.col("yidx") * 4 + F.col("s.b")}).drop("s")
+    """The same over diamonds or quarter cells, in quarter units. Each fine cell is told of once: a quarter
+    by its cell, a diamond by the cell left of it or below it."""
+    twice = offsets == DIAMONDS
+    own = [o for o in offsets if min(o) >= 0] if twice else offsets
+    steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in own])
+    each = candidate_cells(with_box(shapes, ring), ring, cell, cell if twice else 0.0).withColumn("s", F.explode(steps))
+    fine = each.withColumns({"qx": F.col("xidx") * 4 + F.col("s.a"), "qy": F.col("yidx") * 4 + F.col("s.b")}).drop("s", "xidx", "yidx")
     cx, cy = (F.col("qx") / 4 + 0.5) * cell, (F.col("qy") / 4 + 0.5) * cell
-    if offsets == DIAMONDS:
+    if twice:
         area, base = g.clipped_area(F.col(ring), g.diamond_planes(cx, cy, cell / 2)), cell * cell / 2
     else:
         area, base = box_area(ring, cx - cell / 4, cy - cell / 4, cx + cell / 4, cy + cell / 4), cell * cell / 4
-    keyed = fine.drop("xidx", "yidx").dropDuplicates([*[c for c in shapes.columns if c != ring], "qx", "qy"])
-    return keyed.withColumn("area", area).where(F.col("area") > share * base).drop("__box")
+    return fine.withColumn("area", area).where(F.col("area") > share * base).drop("__box")
 
 
 def free(cells: DataFrame, occupied: DataFrame, keys: tuple[str, ...] = ("xidx", "yidx")) -> DataFrame:

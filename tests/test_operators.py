@@ -379,3 +379,33 @@ def test_stream_of_actions_is_in_order(spark):
                 want += [(py, px, "height", None, 1)] * sum(c[2] == z for c in on)
             want += [(py, px, "brush", m, 1) for x, y, m, *_ in sorted(strokes, key=lambda s: (s[2], -s[3], s[4])) if (x, y) == (px, py)]
     assert [r[1:6] for r in got] == want
+
+
+def test_rings_with_turns_share_areas(spark):
+    """Concave rings, in either sense, against a fine raster of points; and closed forms."""
+    rng = np.random.default_rng(8)
+
+    def star(n, cx, cy):
+        t = np.sort(rng.uniform(0, 2 * np.pi, n))
+        r = rng.uniform(1, 6, n)
+        return np.stack([cx + r * np.cos(t), cy + r * np.sin(t)], 1)
+
+    def inside(p, ring):
+        odd = np.zeros(len(p), bool)
+        for (ax, ay), (bx, by) in zip(ring, np.roll(ring, -1, 0)):
+            odd ^= ((ay > p[:, 1]) != (by > p[:, 1])) & (p[:, 0] < (bx - ax) * (p[:, 1] - ay) / (by - ay) + ax)
+        return odd
+
+    pairs = [(star(9, 0, 0), star(8, rng.uniform(-3, 3), rng.uniform(-3, 3))[:: (-1) ** k]) for k in range(12)]
+    comb = np.array([(0, 0), (6, 0), (6, 4), (5, 4), (5, 1), (3, 1), (3, 4), (2, 4), (2, 1), (0, 1)], float)
+    pairs += [(comb, comb + [0, 2]), (comb, comb), (comb, comb + [20, 0])]
+    point = "array<struct<x:double,y:double>>"
+    rows = [(k, *[[(float(x), float(y)) for x, y in r] for r in p]) for k, p in enumerate(pairs)]
+    got = {r["k"]: r["o"] for r in spark.createDataFrame(rows, f"k int, a {point}, b {point}").select("k", g.overlap(F.col("a"), F.col("b")).alias("o")).collect()}
+    step = 0.02
+    at = np.stack([v.ravel() for v in np.mgrid[-7:7:step, -7:7:step]], 1) + step / 2
+    for k, (a, b) in enumerate(pairs[:12]):
+        want = (inside(at, a) & inside(at, b)).sum() * step * step
+        assert abs(got[k]["shared"] - want) < 0.15, (k, got[k], want)
+    # teeth of one comb between x = 2 and 3, 5 and 6 meet the other's back and its own teeth
+    assert abs(got[12]["shared"] - (2 * 1 * 2)) < 1e-9 and abs(got[13]["iou"] - 1) < 1e-9 and got[14]["shared"] == 0
