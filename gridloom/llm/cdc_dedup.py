@@ -36,7 +36,7 @@ from gridloom.llm.common import session, settled, ship, stored, worker_tables
 
 WINDOW = 16
 #: One byte in EVERY ends a chunk, if none of the APART bytes before it does.
-EVERY, APART = 32, 8
+EVERY, APART = 16, 12
 LONGEST = 512
 #: Bytes that neighbouring repeats must have together, unless they are a whole text.
 RUN = 96

@@ -439,7 +439,7 @@ def test_cdc_short_passages(spark):
     of, _, _, digest = cdc_dedup.Chunker().chunks([t.encode() for _, t in rows])
     sets = [{d for d, k in zip(digest, of) if k == i} for i in range(401)]
     assert set(found) == {400, *(i for i in range(200, 400) if sets[i] & sets[i - 200])}
-    assert len(found) > 150
+    assert len(found) >= 0.95 * 200 + 1
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert cdc_dedup.repeated(empty).count() == 0
 
