@@ -63,9 +63,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 @tidy
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; every document stays. n_chars follows the text."""
+    """Secrets are replaced by a mark; every document stays. n_chars follows the text, if there is one."""
     clean = secret_scan.redacted(docs, common.scratch(spark, "secret-ledger"))
-    return clean.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long")))
+    return clean if "n_chars" not in docs.columns else clean.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long")))
 
 
 @tidy

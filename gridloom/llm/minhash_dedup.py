@@ -166,7 +166,8 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
 def deduplicated(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """docs with one row of each component: one of its first node's. Rows without an id stay, and of
-    rows without words those that agree in id and text stay once."""
+    rows without words those that agree in id and text stay once. Of rows that agree in id and text the
+    one stays whose other columns come first as JSON."""
     named = members(docs, key, text, width, percent).where("doc is not null")
     first = F.col("node").isNull() | ((F.col("doc") == F.col("node.doc")) & F.coalesce(F.col("root") == F.col("node"), F.lit(True)))
     kept = named.where(first).groupBy("doc", "d0", "d1").agg(F.min(F.struct("h")).alias("low"), F.collect_set("h").alias("all"), F.count("*").alias("rows"))
@@ -179,7 +180,9 @@ def deduplicated(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wi
     stay = own.join(kept.where("not __gridloom_more").hint("shuffle_hash"), match, "left_semi")
     if kept.where("__gridloom_more").limit(1).count():
         rest = own.join(kept.where("__gridloom_more").hint("shuffle_hash"), match, "left_semi")
-        stay = stay.unionByName(rest.dropDuplicates([key, "__gridloom_own"]))
+        others = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]))
+        one = rest.groupBy(F.col(f"`{key}`").alias("__gridloom_key"), "__gridloom_own").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), others).alias("__gridloom_row"))
+        stay = stay.unionByName(one.select("__gridloom_row.*", "__gridloom_own"))
     return stay.drop("__gridloom_own").unionByName(docs.where(F.col(f"`{key}`").isNull()))
 
 

@@ -185,6 +185,18 @@ def test_stages_keep_columns_of_any_name(spark, tmp_path):
         mixing.mixed(docs.withColumn("size", F.lit(1)))
 
 
+def test_the_row_that_stays_is_defined(spark):
+    """Of rows that agree in id and text, the one whose other columns come first."""
+    text = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, text, "en", s, 5, {"k": s}) for s in ("d", "b", "c")] + [(2, text + " more", "en", "a", 5, None), (3, "", "en", "z", 0, None), (3, "", "en", "y", 0, None)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, extra map<string,string>"
+    for n in (1, 5):
+        got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, kind).repartition(n), SF)
+        assert sorted((r["doc_id"], r["source"], r["extra"]) for r in got.collect()) == [(1, "b", {"k": "b"}), (3, "y", None)]
+    bare = spark.createDataFrame([(1, "token=abcdefgh")], "doc_id long, text string")
+    assert corpus_pipeline.secrets(spark, bare, SF).collect()[0]["text"] == "[secret]"
+
+
 def test_pipeline_sweeps_its_own_scratch_only(spark):
     """A result of another query can be read after the stages have run."""
     before = queries.op1_secret_scan(spark, SF)
