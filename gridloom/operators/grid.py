@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import geometry as g
+from gridloom.operators import borders
 from gridloom.plans.model import CELL, SQUARE_AREA
 
 # Where the centres of half and quarter cells lie, in quarters of a cell.
@@ -107,18 +108,20 @@ def box_area(ring: str, x0: Column, y0: Column, x1: Column, y1: Column) -> Colum
 
 def fill_core(shapes: DataFrame, ring: str, border: str, share: float = 0.5, cell: float = CELL) -> DataFrame:
     """The same, after a border of so many cells (a column, null for none) is taken off the shape; a
-    negative one is added to it. Convex shapes are cut exactly. Of others those cells stay whose centre
-    is as far from the border, and a border is added by the cells whose centre it reaches."""
-    by = F.col(border) * cell
-    convex = F.size(g.concave_vertices(F.col(ring))) == 0
-    marked = shapes.withColumn("__by", F.coalesce(by, F.lit(0.0))).withColumn("__exact", convex | (F.col("__by") == 0))
-    cut = marked.withColumn("__core", F.when((F.col("__by") > 0) & F.col("__exact"), g.eroded(F.col(ring), F.col("__by"))).otherwise(F.col(ring))).where(F.size("__core") > 0)
+    negative one is added to it, with round corners. Convex shapes lose theirs by moved half-planes, all
+    others as borders.with_bordered_area says."""
+    marked = shapes.withColumn("__by", F.coalesce(F.col(border) * cell, F.lit(0.0)))
+    turned = (F.col("__by") > 0) & (F.size(g.concave_vertices(F.col(ring))) > 0)
+    marked = marked.withColumn("__round", (F.col("__by") < 0) | turned)
+    cut = marked.where(~F.col("__round")).withColumn("__core", F.when(F.col("__by") > 0, g.eroded(F.col(ring), F.col("__by"))).otherwise(F.col(ring))).where(F.size("__core") > 0)
     x, y = F.col("xidx") * cell, F.col("yidx") * cell
-    cells = candidate_cells(with_box(cut, "__core"), "__core", cell, F.greatest(-F.col("__by"), F.lit(0.0))).withColumn("area", box_area("__core", x, y, x + cell, y + cell))
-    far = g.border_distance(F.col(ring), x + cell / 2, y + cell / 2)
+    plain = candidate_cells(with_box(cut, "__core"), "__core", cell).withColumn("area", box_area("__core", x, y, x + cell, y + cell))
+    # apart, so that only cells of such shapes pass through the larger expressions and Python
+    near = candidate_cells(marked.where("__round"), ring, cell, F.greatest(-F.col("__by"), F.lit(0.0)))
+    near = borders.with_bordered_area(near, ring, "__by", x, y, cell)
     enough = F.col("area") > share * SQUARE_AREA * (cell / CELL) ** 2
-    kept = F.when(F.col("__by") < 0, enough | (far <= -F.col("__by"))).when(F.col("__exact"), enough).otherwise(enough & (far >= F.col("__by")))
-    return cells.where(kept).drop("__by", "__exact", "__core", "__box")
+    both = [df.where(enough).drop("__by", "__round", "__core", "__box") for df in (plain, near)]
+    return both[0].unionByName(both[1])
 
 
 def fill_fine(shapes: DataFrame, ring: str, offsets: tuple[tuple[int, int], ...], share: float, cell: float = CELL) -> DataFrame:

@@ -302,6 +302,29 @@ def core_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.fill_core(rectangles(spark, sf_dir).withColumn("border", border), "ring", "border").select("id", "xidx", "yidx")
 
 
+@query("""WITH r AS (SELECT p_partkey AS id, (p_partkey % 97) * 5.0 AS x0, (p_partkey % 89) * 3.0 AS y0, p_size * 1.53 + 3.01 AS w, p_size * 0.71 + 5.03 AS h, p_partkey % 2 = 0 AS cut, CASE WHEN p_partkey % 2 = 0 THEN 1.8536 ELSE 4.8904 END AS d FROM part),
+l AS (SELECT *, x0 + w AS x1, y0 + h AS y1, x0 + 0.45 * w AS xn, y0 + 0.55 * h AS yn FROM r),
+c AS (SELECT l.*, cx, unnest(generate_series(floor((y0 - d) / 8)::bigint, floor((y1 + d) / 8)::bigint)) AS cy FROM (SELECT *, unnest(generate_series(floor((x0 - d) / 8)::bigint, floor((x1 + d) / 8)::bigint)) AS cx FROM l) l),
+b AS (SELECT *, list_sort([least(greatest(v, cx * 8), cx * 8 + 8) for v in [x0 - d, x0, x0 + d, xn - d, xn, xn + d, x1 - d, x1, x1 + d, cx * 8, cx * 8 + 8]]) AS bp FROM c),
+p AS (SELECT *, bp[j] AS a0, (bp[j + 1] - bp[j]) / 128 AS wide FROM b, range(1, 11) t(j) WHERE bp[j + 1] > bp[j]),
+s AS (SELECT *, a0 + (k + 0.5) * wide AS x FROM p, range(128) t(k)),
+e AS (SELECT *, d * d - greatest(x0 - x, x - x1, 0) ** 2 AS a, d * d - greatest(x0 - x, x - xn, 0) ** 2 AS b FROM s),
+t AS (SELECT id, cx, cy, wide,
+CASE WHEN cut THEN y0 + d WHEN a < 0 THEN NULL ELSE y0 - sqrt(a) END AS low,
+CASE WHEN cut AND (x < x0 + d OR x > x1 - d) THEN NULL WHEN cut AND x <= xn - d THEN y1 - d WHEN cut AND x < xn THEN least(y1 - d, yn - sqrt(d * d - (xn - x) ** 2)) WHEN cut THEN yn - d
+WHEN a < 0 THEN NULL WHEN b < 0 THEN yn + sqrt(a) ELSE greatest(yn + sqrt(a), y1 + sqrt(b)) END AS high FROM e)
+SELECT id, cx AS xidx, cy AS yidx FROM t GROUP BY 1, 2, 3 HAVING sum(CASE WHEN low IS NULL OR high IS NULL THEN 0 ELSE greatest(least(high, cy * 8 + 8) - greatest(low, cy * 8), 0) * wide END) > 32""")
+def border_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of shapes with a turn: of every second one less a border of 0.2317 cells, of the others with one of
+    0.6113 cells around them."""
+    p = [F.get("ring", i) for i in range(3)]
+    xn, yn = (p[0][c] + f * (p[2][c] - p[0][c]) for c, f in (("x", 0.45), ("y", 0.55)))
+    turned = F.array(p[0], p[1], g.point(p[1]["x"], yn), g.point(xn, yn), g.point(xn, p[2]["y"]), g.point(p[0]["x"], p[2]["y"]))
+    border = F.when(F.col("id") % 2 == 0, 0.2317).otherwise(-0.6113)
+    shapes = rectangles(spark, sf_dir).withColumn("ring", turned).withColumn("border", border)
+    return grid.fill_core(shapes, "ring", "border").select("id", "xidx", "yidx")
+
+
 @query(f"""WITH {EXTENT_SQL} SELECT 'square' AS kind, count(*) AS n, min(4 * (i % nx)) AS low, max(4 * (i // nx)) AS high FROM t
 UNION ALL SELECT kind, count(*), min(qx), max(qy) FROM (SELECT DISTINCT kind, 4 * (i % nx) + a AS qx, 4 * (i // nx) + b AS qy FROM t, (VALUES ('diamond', 2, 0), ('diamond', -2, 0), ('diamond', 0, 2), ('diamond', 0, -2), ('quarter', -1, -1), ('quarter', 1, -1), ('quarter', -1, 1), ('quarter', 1, 1)) s(kind, a, b)) GROUP BY kind""")
 def grid_layers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import draw
 from gridloom.functions import geometry as g
 from gridloom.functions import planning
-from gridloom.operators import elevation, grid, network, packing, paging, resolve, rules
+from gridloom.operators import borders, elevation, grid, network, packing, paging, resolve, rules
 from gridloom.plans import schedule
 from gridloom.sources import readers, sinks
 from gridloom.streaming import features
@@ -243,7 +243,7 @@ def test_streamed_features_match_as_in_batches(spark, tmp_path):
 
 
 def test_borders_of_cores(spark):
-    """A border is taken off or added; concave shapes by the distance of centres."""
+    """A border is taken off or added, with round corners."""
     cell = [(0, 0), (64, 0), (64, 64), (0, 64)]
     ell = [(0, 0), (64, 0), (64, 24), (24, 24), (24, 64), (0, 64)]
     rows = [(1, cell, None), (2, cell, 1.0), (3, cell, -1.0), (4, ell, 1.0), (5, ell, None), (6, cell[::-1], 1.0), (7, cell, 5.0)]
@@ -259,6 +259,52 @@ def test_borders_of_cores(spark):
     assert 7 not in got
 
 
+def distances(ring, x, y):
+    """Of points to a ring's border, and whether they lie inside: plain loops over sides."""
+    far, inside = np.full(x.shape, np.inf), np.zeros(x.shape, bool)
+    for (ax, ay), (bx, by) in zip(ring, [*ring[1:], ring[0]], strict=True):
+        dx, dy = bx - ax, by - ay
+        t = np.clip(((x - ax) * dx + (y - ay) * dy) / max(dx * dx + dy * dy, 1e-300), 0, 1)
+        far = np.minimum(far, np.hypot(x - ax - t * dx, y - ay - t * dy))
+        if ay != by:
+            inside ^= ((ay > y) != (by > y)) & (x < ax + (y - ay) * dx / dy)
+    return far, inside
+
+
+def test_areas_within_borders(spark):
+    """Exact areas against closed forms, and against points on a fine raster for shapes with turns."""
+
+    def area(piece, sides, off, grow):
+        return borders.cell_areas(np.array(piece, float).reshape(1, -1, 2), np.array(sides, float).reshape(1, -1, 4), np.array([off]), np.array([grow]), 8.0)[0]
+
+    quarter = area([], [[-9, 0, 0, 0], [0, 0, 0, -9]], 5.0, True)
+    assert abs(quarter - np.pi * 25 / 4) < 1e-9
+    lens = area([[0, 0], [8, 0], [8, 8], [0, 8]], [[0, 4, 0, 4], [4, 4, 4, 4]], 3.0, False)
+    both = 2 * 9 * np.arccos(4 / 6) - 2 * (36 - 16) ** 0.5
+    assert abs(lens - (64 - (np.pi * 9 / 2 + np.pi * 9 - both))) < 1e-9
+    ring = [(1.0, 2), (60, 5), (50, 30), (33, 12), (30, 41), (22, 14), (14, 50), (9, 50), (12, 20), (1, 30), (1, 2)]
+    star = [(40 + (30 if k % 2 else 11) * np.cos(k * 0.4487), 40 + (30 if k % 2 else 11) * np.sin(k * 0.4487)) for k in range(14)]
+    hook = [(0.0, 0), (56, 0), (56, 56), (40, 56), (40, 16), (16, 16), (16, 56), (0, 56)]
+    rows = [(10 * a + b, [(float(x), float(y)) for x, y in (r[::-1] if b % 2 else r)], by) for a, r in enumerate((ring, star, hook)) for b, by in enumerate((0.2, 0.55, 0.9, -0.3, -1.0, -1.7, 0.0))]
+    df = spark.createDataFrame(rows, "id int, ring array<struct<x:double,y:double>>, border double")
+    got = {(r["id"], r["xidx"], r["yidx"]): r["area"] for r in grid.fill_core(df, "ring", "border", share=0.001).collect()}
+    n = 40
+    at = (np.arange(-4 * n, 16 * n) + 0.5) * 8 / n
+    x, y = np.meshgrid(at, at)
+    for i, r, by in rows:
+        far, inside = distances(r, x, y)
+        kept = inside | (far <= -by * 8) if by < 0 else inside & (far >= by * 8)
+        points = kept.reshape(20, n, 20, n).sum(axis=(1, 3)) * (8 / n) ** 2
+        for yi in range(-4, 16):
+            for xi in range(-4, 16):
+                assert abs(got.get((i, xi, yi), 0.0) - points[yi + 4, xi + 4]) < 0.8, (i, xi, yi)
+    wide = {k: sum(v for (i, _, _), v in got.items() if i == k) for k in (23, 25)}
+    # what a border of d adds: d times the length of the outline, sectors at corners, less what overlaps
+    d = 0.3 * 8
+    assert abs(wide[23] - (56 * 56 - 24 * 40 + 304 * d + 6 * np.pi * d * d / 4 - 2 * d * d)) < 0.5
+    assert area([], [], 1.0, True) == 0
+
+
 def test_numbers_of_rows(spark):
     from gridloom.functions.number import numbered
 
