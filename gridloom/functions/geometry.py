@@ -215,8 +215,16 @@ def side_planes(ring: Column, inward: Column) -> Column:
 
 
 def eroded(ring: Column, by: Column) -> Column:
-    """A convex ring less all that lies nearer than by to its border; it may be empty."""
-    return let(counter_clockwise(ring), lambda own: clipped(own, side_planes(own, by)))
+    """A convex ring less all that lies nearer than by to its border; it may be empty. The sides of boxes are
+    moved, which rounds once; cutting would round at each corner."""
+
+    def moved(box: Column) -> Column:
+        x0, y0, x1, y1 = box["x0"] + by, box["y0"] + by, box["x1"] - by, box["y1"] - by
+        own = rectangle(x0, y0, x1, y1)
+        return F.when((x0 < x1) & (y0 < y1), own).otherwise(F.slice(own, 1, 0))
+
+    cut = let(counter_clockwise(ring), lambda own: clipped(own, side_planes(own, by)))
+    return F.when(is_box(ring), let(bounds(ring), moved)).otherwise(cut)
 
 
 def shared_area(a: Column, b: Column) -> Column:
