@@ -3,6 +3,8 @@ routes over cells make of them, by joins and windows."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,27 +80,43 @@ def _cross(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
 
 def crossings(segs: DataFrame, bucket: float) -> DataFrame:
     """line, pos, t (place on the segment, 0 to 1), x, y: where segments of different lines of one
-    name meet. Both sides are dealt to square buckets of the plane and joined on them."""
+    name meet. Segments at one place, however many lines have them, are compared once: with each goes the
+    least and the last line, which tell whether a line other than one's own is there. Both sides are
+    dealt to square buckets of the plane and joined on them; a pair counts in the first that both have."""
+    shape = ["name", "ax", "ay", "bx", "by"]
+    own = segs.where(F.col("line").isNotNull())
+    places = own.groupBy(*shape).agg(F.min("line").alias("low"), F.max("line").alias("high"))
 
     def dealt(side: str) -> DataFrame:
-        s = segs.select(*[F.col(c).alias(f"{side}_{c}") for c in segs.columns])
-
-        def cells(c: str) -> Column:
-            low, high = F.least(f"{side}_a{c}", f"{side}_b{c}"), F.greatest(f"{side}_a{c}", f"{side}_b{c}")
-            return F.sequence(F.floor(low / bucket), F.floor(high / bucket))
-
-        return s.withColumn("bx", F.explode(cells("x"))).withColumn("by", F.explode(cells("y")))
-
-    own = dealt("p").withColumn("name", F.col("p_name")).join(dealt("q").withColumn("name", F.col("q_name")), ["name", "bx", "by"])
-    met = own.where("p_line < q_line")  # each pair once; both sides are told
+        s = places.select(*[F.col(c).alias(f"{side}_{c}") for c in places.columns])
+
+        def end(c: str, of: Callable[..., Column]) -> Column:
+            return F.floor(of(f"{side}_a{c}", f"{side}_b{c}") / bucket)
+
+        first = s.withColumns({f"{side}_first_{c}": end(c, F.least) for c in "xy"})
+        for c in "xy":
+            first = first.withColumn(f"b{c}", F.explode(F.sequence(F.col(f"{side}_first_{c}"), end(c, F.greatest))))
+        return first.withColumn("name", F.col(f"{side}_name"))
+
+    # much work on few rows: as many partitions as are set, which aren't merged
+    parts = int(segs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["name", "bx", "by"]
+    both = dealt("p").repartition(parts, *keys).join(dealt("q").hint("merge"), keys)
+    once = [F.col(f"b{c}") == F.greatest(f"p_first_{c}", f"q_first_{c}") for c in "xy"]
+    p, q = (F.struct(*[f"{k}_{c}" for c in shape[1:]]) for k in "pq")
+    met = both.where(once[0] & once[1] & (p < q))  # each pair once; both sides are told
     rx, ry = F.col("p_bx") - F.col("p_ax"), F.col("p_by") - F.col("p_ay")
     sx, sy = F.col("q_bx") - F.col("q_ax"), F.col("q_by") - F.col("q_ay")
     qx, qy = F.col("q_ax") - F.col("p_ax"), F.col("q_ay") - F.col("p_ay")
     den = _cross(rx, ry, sx, sy)
     t, u = _cross(qx, qy, sx, sy) / den, _cross(qx, qy, rx, ry) / den
     hit = met.where(den != 0).withColumns({"t": t, "u": u}).where("t between 0 and 1 and u between 0 and 1")
-    sides = [F.struct(F.col(f"{k}_line").alias("line"), F.col(f"{k}_pos").alias("pos"), F.col(at).alias("t"), (F.col(f"{k}_ax") + F.col(at) * dx).alias("x"), (F.col(f"{k}_ay") + F.col(at) * dy).alias("y")) for k, at, dx, dy in (("p", "t", rx, ry), ("q", "u", sx, sy))]
-    return hit.select(F.inline(F.array(*sides))).dropDuplicates(["line", "pos", "t"])
+    sides = [F.struct(F.col("name"), *[F.col(f"{k}_{c}").alias(c) for c in shape[1:]], F.col(at).alias("t"), F.col(f"{o}_low").alias("low"), F.col(f"{o}_high").alias("high")) for k, at, o in (("p", "t", "q"), ("q", "u", "p"))]
+    at = hit.select(F.inline(F.array(*sides))).groupBy(*shape, "t").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    cuts = at.groupBy(*shape).agg(F.collect_list(F.struct("t", "low", "high")).alias("cuts"))
+    each = own.join(cuts.hint("merge"), shape).select("line", "pos", *shape[1:], F.inline("cuts")).where((F.col("low") != F.col("line")) | (F.col("high") != F.col("line")))
+    placed = each.select("line", "pos", "t", *[(F.col(f"a{c}") + F.col("t") * (F.col(f"b{c}") - F.col(f"a{c}"))).alias(c) for c in "xy"])
+    return placed.dropDuplicates(["line", "pos", "t"])
 
 
 def noded(lines: DataFrame, bucket: float) -> DataFrame:

@@ -1,9 +1,14 @@
 """Queries over tables with larger keys, many copies and many rows: rows against SQL, and how work is dealt."""
 
+import time
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom import queries as engine
+from gridloom.functions import geometry as g
+from gridloom.operators import network
 
 
 @pytest.fixture
@@ -32,3 +37,19 @@ def parts(spark, rows):
 def test_boxes_lose_borders_exactly(given, spark):
     """Cells that are half covered to the last digit: the boxes' sides are moved, not cut."""
     given("core_fill", part=parts(spark, [(8884, 31), (9434, 31), (33134, 31), (40862, 31), (38978, 31)]))
+
+
+def test_crossings_of_copies(spark):
+    """Lines at one place are compared once with others (all pairs would be 3 billion), and each gets its own cuts. A
+    line's own pieces don't cut it, unless another line lies there, too."""
+    began = time.time()
+    cross = [(0.0, 0.0), (8.0, 8.0)], [(0.0, 8.0), (8.0, 0.0)]
+    loop = [(20.0, 0.0), (28.0, 8.0), (28.0, 0.0), (20.0, 8.0)]
+    rows = [(5000, "road", loop), (5001, "road", loop[2:]), (None, "road", loop[:2]), (5002, "rail", cross[0])]
+    lines = spark.createDataFrame(rows, "line long, name string, coords array<struct<x:double,y:double>>")
+    ends = [F.array(*[g.point(F.lit(x), F.lit(y)) for x, y in c]) for c in cross]
+    copies = spark.range(10_000, 50_000).select(F.col("id").alias("line"), F.lit("road").alias("name"), F.when(F.col("id") % 2 == 0, ends[0]).otherwise(ends[1]).alias("coords"))
+    got = {tuple(r) for r in network.crossings(network.segments(lines.union(copies)), 4.0).select("line", "pos", "t", "x", "y").collect()}
+    own = {(5000, 0, 0.5, 24.0, 4.0), (5000, 1, 1.0, 28.0, 0.0), (5001, 0, 0.5, 24.0, 4.0), (5001, 0, 0.0, 28.0, 0.0)}
+    assert got == own | {(k, 0, 0.5, 4.0, 4.0) for k in range(10_000, 50_000)}
+    assert time.time() - began < 60
