@@ -28,13 +28,13 @@ def drawn(cells: DataFrame, cm_types: str, *keys: str, salt: int = 0) -> DataFra
 def strided(cells: DataFrame, element: str, sx: int | str, sy: int | str) -> DataFrame:
     """Every sx-th column and sy-th row (numbers, or columns) of each element's cells, from its first
     on, never its last; a stride of one leaves all. Ends are aggregated and joined back, so that an
-    element's cells needn't meet in one task."""
+    element's cells needn't meet in one task; never by a broadcast, as there are as many ends as elements."""
     for c, stride in (("xidx", sx), ("yidx", sy)):
         if stride == 1:
             continue
         s = F.col(stride) if isinstance(stride, str) else F.lit(stride)
         ends = cells.groupBy(F.col(element).alias("__element")).agg(F.min(c).alias("__low"), F.max(c).alias("__high"))
-        cells = cells.join(ends, F.col(element).eqNullSafe(F.col("__element"))).drop("__element").where((s <= 1) | (((F.col(c) - F.col("__low")) % s == 0) & (F.col(c) < F.col("__high")))).drop("__low", "__high")
+        cells = cells.join(ends.hint("merge"), F.col(element).eqNullSafe(F.col("__element"))).drop("__element").where((s <= 1) | (((F.col(c) - F.col("__low")) % s == 0) & (F.col(c) < F.col("__high")))).drop("__low", "__high")
     return cells
 
 

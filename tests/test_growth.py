@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gridloom import queries as engine
 from gridloom.functions import geometry as g
-from gridloom.operators import network
+from gridloom.operators import assign, network
 
 
 @pytest.fixture
@@ -53,3 +53,15 @@ def test_crossings_of_copies(spark):
     own = {(5000, 0, 0.5, 24.0, 4.0), (5000, 1, 1.0, 28.0, 0.0), (5001, 0, 0.5, 24.0, 4.0), (5001, 0, 0.0, 28.0, 0.0)}
     assert got == own | {(k, 0, 0.5, 4.0, 4.0) for k in range(10_000, 50_000)}
     assert time.time() - began < 60
+
+
+def executed(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_ends_of_elements_are_not_broadcast(spark):
+    """There are as many as elements, and they would pass through the driver."""
+    cells = spark.range(500).select((F.col("id") % 50).alias("id"), (F.col("id") % 10).cast("int").alias("xidx"), (F.col("id") % 7).cast("int").alias("yidx"))
+    df = assign.strided(cells, "id", 3, 2)
+    assert "BroadcastHashJoin" not in executed(df) and df.count() > 0
