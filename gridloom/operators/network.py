@@ -172,13 +172,12 @@ def valid_path(path: DataFrame) -> DataFrame:
 
 
 def node_tiles(needs: DataFrame, tiles: DataFrame) -> DataFrame:
-    """node and tile: tiles with exactly the ports (names) that a node's edges need. Relational
-    division: as many needs met as there are, and as ports on the tile."""
-    wanted = needs.select("node", "port").distinct()
-    count = wanted.groupBy("node").agg(F.count("*").alias("n"))
-    ports = tiles.select("tile", F.explode("ports").alias("port"), F.size("ports").alias("m"))
-    met = wanted.join(ports, "port").groupBy("node", "tile", "m").agg(F.count("*").alias("k"))
-    return met.join(count, "node").where("k = n and m = n").select("node", "tile")
+    """node and tile: tiles with exactly the ports (names) that a node's edges need. A node's ports are
+    gathered once and looked up whole, so that no row is made for tiles that have some of them only. A
+    missing port is on no tile."""
+    wanted = needs.where("node is not null").groupBy("node").agg(F.sort_array(F.collect_set("port")).alias("__ports"), F.bool_and(F.col("port").isNotNull()).alias("__known"))
+    own = tiles.select("tile", F.sort_array("ports").alias("__ports")).where(F.size(F.array_distinct("__ports")) == F.size("__ports")).where("not exists(__ports, p -> p is null) and size(__ports) > 0").distinct()
+    return wanted.where("__known").join(F.broadcast(own), "__ports").select("node", "tile")
 
 
 def tile_paths(squares: DataFrame, tiles: list[tuple[int, float, dict[str, int]]]) -> DataFrame:

@@ -62,6 +62,25 @@ def executed(df):
 
 def test_ends_of_elements_are_not_broadcast(spark):
     """There are as many as elements, and they would pass through the driver."""
-    cells = spark.range(500).select((F.col("id") % 50).alias("id"), (F.col("id") % 10).cast("int").alias("xidx"), (F.col("id") % 7).cast("int").alias("yidx"))
+    cells = spark.range(500).select((F.col("id") % 50).alias("id"), F.floor(F.col("id") / 50).cast("int").alias("xidx"), F.floor(F.col("id") / 50 % 5).cast("int").alias("yidx"))
     df = assign.strided(cells, "id", 3, 2)
     assert "BroadcastHashJoin" not in executed(df) and df.count() > 0
+
+
+def test_node_tiles_gather_ports_once(spark):
+    """One shuffle of the needs; missing ports and nodes, ports told twice, and tiles with a port twice."""
+    needs = spark.createDataFrame([(1, "u"), (1, "d"), (1, "u"), (2, "l"), (3, "u"), (3, None), (None, "l"), (4, "u")], "node long, port string")
+    tiles = spark.createDataFrame([(7, ["d", "u"]), (8, ["l"]), (9, ["u", "u"]), (6, []), (5, ["u", "d", "l"])], "tile int, ports array<string>")
+    df = network.node_tiles(needs, tiles)
+    plan = executed(df)
+    assert sorted(tuple(r) for r in df.collect()) == [(1, 7), (2, 8)]
+    assert plan.count("hashpartitioning(node#") == 1
+
+
+@pytest.mark.parametrize("name", ["core_fill", "polygon_iou", "ring_concave", "random_cell", "rule_match", "unprocessed_tags", "first_match_type"])
+def test_rows_are_dealt_by_their_number(given, name, spark, monkeypatch):
+    """A small file is work for several tasks."""
+    given(name, part=parts(spark, [(k, k % 50 + 1) for k in range(20_000)]).coalesce(1))
+    monkeypatch.setattr(engine, "table", lambda *_: parts(spark, [(k, k % 50 + 1) for k in range(20_000)]))
+    seen = [engine.rectangles(spark, ""), engine.tagged(spark, "")]
+    assert all(df.rdd.getNumPartitions() == 3 for df in seen)
