@@ -25,16 +25,16 @@ def allowed(tags: Column, feature_id: Column) -> Column:
 def match(features: DataFrame, rules: DataFrame) -> DataFrame:
     """features joined to all active rules that match: a tag in common, on which both sides are
     exploded and equi-joined, then the other conditions. The rule table is a configuration of some
-    dozens of rows; Spark broadcasts it by its size."""
+    dozens of rows and is broadcast, so that features that are dealt by id stay so."""
     active = rules.where(F.coalesce("active", F.lit(True)))
     by_tag = active.withColumn("__t", F.explode("tags")).withColumns({"__k": F.col("__t.k"), "__v": F.col("__t.v")}).drop("__t", "tags")
     each = features.withColumn("__tag", F.explode(F.map_entries("tags"))).withColumns({"__k": F.col("__tag.key"), "__v": F.col("__tag.value")}).drop("__tag")
-    met = each.join(by_tag.withColumnRenamed("id", "__rule_id") if "id" in by_tag.columns else by_tag, ["__k", "__v"])
+    met = each.join(F.broadcast(by_tag.withColumnRenamed("id", "__rule_id") if "id" in by_tag.columns else by_tag), ["__k", "__v"])
     return met.where(allowed(F.col("tags"), F.col("id"))).drop("__k", "__v").dropDuplicates(["id", "name"])
 
 
 def unmatched(features: DataFrame, matched: DataFrame) -> DataFrame:
-    return features.join(matched.select("id"), "id", "left_anti")
+    return features.join(matched.select("id").hint("merge"), "id", "left_anti")
 
 
 def unprocessed_tags(features: DataFrame, matched: DataFrame) -> DataFrame:

@@ -48,6 +48,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, key: str, each: int = 8192) -> DataFrame:
+    """rows of a table by their key, so many to a task: much work follows on few bytes, which Spark would deal by
+    their size. Counting a table reads the ends of its files only."""
+    return rows.repartition(max(1, -(-rows.count() // each)), key)
+
+
 # ---- assignments and their resolution ----
 
 ROWS_SQL = """
@@ -123,9 +129,9 @@ m AS (
 
 
 def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part")
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id"), "p_type", "p_brand", "p_size")
     tags = F.create_map(F.lit("type"), F.split_part("p_type", F.lit(" "), F.lit(1)), F.lit("brand"), F.col("p_brand"), F.lit("band"), F.floor(F.col("p_size") / 10).cast("string"))
-    return p.select(F.col("p_partkey").cast("string").alias("id"), tags.alias("tags"))
+    return dealt(p, "id").select("id", tags.alias("tags"))
 
 
 def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,7 +238,7 @@ cells AS (SELECT * FROM a WHERE area > 32)
 def rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, s = F.col("p_partkey"), F.col("p_size")
     x0, y0 = (k % 97) * 5.0, (k % 89) * 3.0
-    return table(spark, sf_dir, "part").select(k.alias("id"), g.rectangle(x0, y0, x0 + (s * 1.53 + 3.01), y0 + (s * 0.71 + 5.03)).alias("ring"))
+    return dealt(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey").select(k.alias("id"), g.rectangle(x0, y0, x0 + (s * 1.53 + 3.01), y0 + (s * 0.71 + 5.03)).alias("ring"))
 
 
 def rectangle_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -260,7 +266,7 @@ def diamonds(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
     cx, cy, r = (k % 41) * 11.0 + 40, (k % 37) * 13.0 + 40, (k % 5) * 4.0 + 10
     ring = F.array(g.point(cx + r, cy), g.point(cx, cy + r), g.point(cx - r, cy), g.point(cx, cy - r))
-    return table(spark, sf_dir, "supplier").select(k.alias("id"), ring.alias("ring"))
+    return dealt(table(spark, sf_dir, "supplier").select("s_suppkey"), "s_suppkey", 1024).select(k.alias("id"), ring.alias("ring"))
 
 
 @query("""WITH s AS (SELECT s_suppkey AS id, (s_suppkey % 41) * 11.0 + 40 AS cx, (s_suppkey % 37) * 13.0 + 40 AS cy, (s_suppkey % 5) * 4.0 + 10 AS r FROM supplier),
@@ -350,7 +356,7 @@ def ring_concave(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("p_size")
     corners = ((F.lit(0), F.lit(0)), (s + 3, F.lit(0)), (s + 3, F.lit(2)), (s + 1, F.lit(2)), (s + 1, F.lit(5)), (F.lit(0), F.lit(5)))
     ring = F.array(*[g.point(x, y) for x, y in corners])
-    own = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 2 == 0, F.reverse(ring)).otherwise(ring).alias("ring"))
+    own = dealt(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 2 == 0, F.reverse(ring)).otherwise(ring).alias("ring"))
     corner = F.explode(g.concave_vertices(F.col("ring")))
     area = F.abs(g.signed_area(g.scaled(F.col("ring"), F.lit(1.5))))
     return own.select("id", "ring", corner.alias("p")).select("id", "p.x", "p.y", F.round(area, 4).alias("scaled_area"))
@@ -783,7 +789,7 @@ tiles AS (SELECT * FROM (VALUES (1, ['u','d']), (2, ['l','r']), (3, ['u','l','r'
 p AS (SELECT tile, len(ports) AS m, unnest(ports) AS port FROM tiles), c AS (SELECT node, count(*) AS n FROM needs GROUP BY node)
 SELECT node, tile FROM needs JOIN p USING (port) JOIN c USING (node) GROUP BY node, tile, n, m HAVING count(*) = n AND m = n""")
 def node_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
+    li = dealt(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey", 1 << 18)
     port = F.get(F.array(*[F.lit(x) for x in "udlr"]), F.col("l_linenumber") % 4)
     tiles = spark.createDataFrame([(1, ["u", "d"]), (2, ["l", "r"]), (3, ["u", "l", "r"]), (4, ["u", "d", "l", "r"]), (5, ["u"]), (6, ["d"]), (7, ["d", "u"])], "tile int, ports array<string>")
     return network.node_tiles(li.select(F.col("l_orderkey").alias("node"), port.alias("port")), tiles)
