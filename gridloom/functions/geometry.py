@@ -230,7 +230,7 @@ def eroded(ring: Column, by: Column) -> Column:
 def shared_area(a: Column, b: Column) -> Column:
     """Area that two rings share, whatever their turns. A ring is the sum of the triangles of its fan, each
     with the sign of its turn, so what they share is the sum of what the first ring shares with each; a
-    convex ring is one piece."""
+    convex ring is one piece, and what two boxes share is a product."""
 
     def convex(own: Column) -> Column:
         return clipped_area(a, side_planes(own, F.lit(0.0)))
@@ -243,7 +243,8 @@ def shared_area(a: Column, b: Column) -> Column:
         each = F.transform(F.sequence(F.lit(1), F.size(own) - 2), triangle)
         return F.abs(F.aggregate(each, F.lit(0.0), lambda total, area: total + area))
 
-    return F.when(F.size(b) < 3, 0.0).when(F.size(concave_vertices(b)) == 0, let(counter_clockwise(b), convex)).otherwise(fan(b))
+    boxes = let(bounds(b), lambda o: box_overlap(bounds(a), *[o[c] for c in ("x0", "y0", "x1", "y1")]))
+    return F.when(F.size(b) < 3, 0.0).when(is_box(a) & is_box(b), boxes).when(F.size(concave_vertices(b)) == 0, let(counter_clockwise(b), convex)).otherwise(fan(b))
 
 
 def overlap(a: Column, b: Column) -> Column:
