@@ -116,12 +116,20 @@ def fill_core(shapes: DataFrame, ring: str, border: str, share: float = 0.5, cel
     cut = marked.where(~F.col("__round")).withColumn("__core", F.when(F.col("__by") > 0, g.eroded(F.col(ring), F.col("__by"))).otherwise(F.col(ring))).where(F.size("__core") > 0)
     x, y = F.col("xidx") * cell, F.col("yidx") * cell
     plain = candidate_cells(with_box(cut, "__core"), "__core", cell).withColumn("area", box_area("__core", x, y, x + cell, y + cell))
-    # apart, so that only cells of such shapes pass through the larger expressions and Python
-    near = candidate_cells(marked.where("__round"), ring, cell, F.greatest(-F.col("__by"), F.lit(0.0)))
-    near = borders.with_bordered_area(near, ring, "__by", x, y, cell)
     enough = F.col("area") > share * SQUARE_AREA * (cell / CELL) ** 2
-    both = [df.where(enough).drop("__by", "__round", "__core", "__box") for df in (plain, near)]
-    return both[0].unionByName(both[1])
+    plain = plain.where(enough).drop("__by", "__round", "__core", "__box")
+    # apart, so that only cells of such shapes pass through the larger expressions and Python; shapes that are
+    # alike but for whole cells between them do so once
+    low = g.bounds(F.col(ring))
+    moved = marked.where("__round").withColumns({f"__c{c}": F.floor(low[f"{c}0"] / cell) for c in "xy"})
+    moved = moved.withColumn("__own", F.transform(ring, lambda p: g.point(p["x"] - F.col("__cx") * cell, p["y"] - F.col("__cy") * cell)))
+    parts = int(shapes.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # much work on few bytes
+    own = moved.select("__own", "__by").repartition(parts, "__own", "__by").distinct()
+    near = borders.with_bordered_area(candidate_cells(own, "__own", cell, F.greatest(-F.col("__by"), F.lit(0.0))), "__own", "__by", x, y, cell)
+    found = near.where(enough).groupBy("__own", "__by").agg(F.collect_list(F.struct("xidx", "yidx", "area")).alias("__cells"))
+    each = moved.join(found.hint("merge"), ["__own", "__by"]).withColumn("__cell", F.explode("__cells"))
+    near = each.withColumns({k: (F.col(f"__cell.{k}") + F.col(c)).cast("int") for k, c in (("xidx", "__cx"), ("yidx", "__cy"))} | {"area": F.col("__cell.area")})
+    return plain.unionByName(near.select(*plain.columns))
 
 
 def fill_fine(shapes: DataFrame, ring: str, offsets: tuple[tuple[int, int], ...], share: float, cell: float = CELL) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gridloom import queries as engine
 from gridloom.functions import geometry as g
-from gridloom.operators import assign, network
+from gridloom.operators import assign, grid, network
 
 
 @pytest.fixture
@@ -84,3 +84,18 @@ def test_rows_are_dealt_by_their_number(given, name, spark, monkeypatch):
     monkeypatch.setattr(engine, "table", lambda *_: parts(spark, [(k, k % 50 + 1) for k in range(20_000)]))
     seen = [engine.rectangles(spark, ""), engine.tagged(spark, "")]
     assert all(df.rdd.getNumPartitions() == 3 for df in seen)
+
+
+def test_shapes_alike_but_for_whole_cells(spark):
+    """Their borders are worked out once (a million cells would take minutes), and areas are as for each alone."""
+    began = time.time()
+    ell = [(1.0, 2.0), (41.0, 2.0), (41.0, 20.0), (17.0, 20.0), (17.0, 36.0), (1.0, 36.0)]
+    i, j = F.col("id") % 300 - 150, F.floor(F.col("id") / 300)
+    ring = F.array(*[g.point(i * 8 + x, j * 8 + y) for x, y in ell])
+    shapes = spark.range(40_000).select("id", ring.alias("ring"), F.lit(0.25).alias("border"), i.alias("i"), j.alias("j"))
+    cells = grid.fill_core(shapes, "ring", "border").select("id", F.col("xidx") - F.col("i"), F.col("yidx") - F.col("j"), "area").toPandas()
+    one = grid.fill_core(shapes.where("id = 450"), "ring", "border").select(F.col("xidx") - F.col("i"), F.col("yidx") - F.col("j"), "area")
+    want = sorted(tuple(r) for r in one.collect())
+    assert want and len(cells) == 40_000 * len(want)
+    assert sorted(cells.iloc[:, 1:].drop_duplicates().itertuples(index=False, name=None)) == want
+    assert time.time() - began < 60
