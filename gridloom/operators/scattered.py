@@ -1,8 +1,10 @@
 """Heights between scattered points: linear within the triangles of their Delaunay triangulation.
 
-Targets are dealt to square tiles of the plane. A task triangulates the points of one tile and of a halo
-around it, with the vertices of the hull of all points. A triangle found so is one of the whole
-triangulation where no point at all lies in its circle; what a circle reaches beyond the halo is
+Targets are dealt to square tiles of the plane. A task triangulates the points near the targets of one
+tile, with the vertices of the hull of all points. Near are the nine buckets of the plane in and around a
+target, which are so large that they hold some points; the others can't matter unless a circle says so, so
+that work grows with the targets, however dense the points are. A triangle found so is one of the whole
+triangulation where no point at all lies in its circle; what a circle reaches beyond what was given is
 looked up by a join on buckets of the plane, and points found in it are given to the tile, which is
 then triangulated again. Circles that find nothing new are certain, so rows don't depend on tiles.
 
@@ -12,15 +14,17 @@ smaller than that, by a hash of their place, so that of several triangulations o
 
 Cases: targets outside the hull and targets with null or non-finite places have a null height; points
 with nulls or non-finite numbers are left out; of points at one place the least height counts; fewer than three points, or
-points on one line, give nulls; targets may repeat.
+points on one line, give nulls; targets may repeat; on the hull a height is that between the two points beside it there.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +36,8 @@ QUANTUM = 1e-3
 #: Beyond all points, as a multiple of a coordinate's largest size.
 FAR = 1 << 60
 LIFT = 1 << 24
+#: Points that a bucket has if all are spread evenly, and that the nine around a target have at least.
+LEAST = 16
 Point = tuple[int, int]
 
 
@@ -140,8 +146,8 @@ def hull(points: Iterable[Point]) -> list[Point]:
     return out
 
 
-def heights(points: dict[Point, float], targets: list[Point], size: int) -> tuple[list[float | None], set[tuple[Point, Point, Point]]]:
-    """The height of each target and the triangles used."""
+def heights(points: dict[Point, float], targets: list[Point], size: int) -> tuple[list[float | None], dict[tuple[Point, ...], Point]]:
+    """The height of each target; the triangles and edges of the hull used, with a target in each."""
     net = Triangulation(size)
     band = max(1, math.isqrt(max(len(points), 1)))
     xs = sorted(p[0] for p in points)
@@ -154,19 +160,20 @@ def heights(points: dict[Point, float], targets: list[Point], size: int) -> tupl
     for p in sorted(points, key=along):
         net.add(p)
     found: dict[Point, float | None] = {}
-    used = set()
+    used: dict[tuple[Point, ...], Point] = {}
     for t in sorted(set(targets), key=along):
         corners = net.triangles[net.locate(t)]
         found[t] = None
         if min(corners) > 2:
             a, b, c = (net.points[i] for i in corners)
-            used.add((a, b, c))
+            used.setdefault((a, b, c), t)
             u, v, w = left_of(b, c, t), left_of(c, a, t), left_of(a, b, t)
             found[t] = (u * points[a] + v * points[b] + w * points[c]) / (u + v + w)
         else:  # on the hull, or beyond it
             real = [net.points[i] for i in corners if i > 2]
             if len(real) == 2 and left_of(*real, t) == 0:
                 a, b = real
+                used.setdefault((a, b), t)
                 k = 0 if abs(a[0] - b[0]) >= abs(a[1] - b[1]) else 1
                 found[t] = points[a] + (points[b] - points[a]) * (t[k] - a[k]) / (b[k] - a[k])
     return [found[t] for t in targets], used
@@ -196,13 +203,73 @@ def hull_of(points: DataFrame) -> list[Point]:
     return hull([(r["x"], r["y"]) for r in parts.coalesce(1).mapInArrow(run, "x bigint, y bigint").collect()])
 
 
+def on_rim(points: DataFrame, corners: list[Point]) -> DataFrame:
+    """Those of points that lie on edges of the hull with these vertices, counterclockwise."""
+    edges = list(zip(corners, corners[1:] + corners[:1], strict=True)) if len(corners) > 2 else []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (b[c].to_numpy().astype(float) for c in "xy")
+            keep = np.zeros(len(x), bool)
+            for p, q in edges:
+                dx, dy = float(q[0] - p[0]), float(q[1] - p[1])
+                off = dx * (y - p[1]) - dy * (x - p[0])
+                near = np.flatnonzero(np.abs(off) <= 1e-9 * (dx * dx + dy * dy) + abs(dx) + abs(dy))
+                for i, at in zip(near.tolist(), zip(b["x"].take(near).to_pylist(), b["y"].take(near).to_pylist(), strict=True), strict=True):
+                    keep[i] |= left_of(p, q, at) == 0
+            yield b.filter(pa.array(keep))
+
+    return points.mapInArrow(run, points.schema)
+
+
+def surroundings(places: DataFrame, points: DataFrame, box: Any, side: int, around: int, folder: str) -> tuple[DataFrame, DataFrame]:
+    """places (x, y, tile) with grain, the edge of the buckets around them; tile, x, y, z: the points in
+    the nine buckets around each place, as far as around its tile. Buckets grow until they hold enough."""
+    grain, extent = side, 0
+    if box["lowx"] is not None:
+        wide, high = (box[f"high{c}"] - box[f"low{c}"] + 1 for c in "xy")
+        grain, extent = max(1, math.isqrt(wide * high * LEAST // box["n"])), max(wide, high)
+
+    def at(c: str, grain: int, name: str) -> Column:
+        return F.floor(F.col(c) / grain).alias(name)
+
+    def nine(df: DataFrame, *keep: str) -> DataFrame:
+        x = df.select(*keep, F.explode(F.sequence(F.col("cx") - 1, F.col("cx") + 1)).alias("bx"), "cy")
+        return x.select(*keep, "bx", F.explode(F.sequence(F.col("cy") - 1, F.col("cy") + 1)).alias("by"))
+
+    found: list[tuple[DataFrame, DataFrame]] = []
+    left = places
+    while True:
+        inside = [F.floor(F.greatest(F.least(F.col(c), F.lit(box[f"high{c}"])), F.lit(box[f"low{c}"])) / grain).alias(f"c{c}") for c in "xy"]
+        here = left.select("x", "y", "tile", *inside)
+        n = len(found)
+        if grain < extent:
+            centres = here.select("cx", "cy").distinct()
+            counted = points.groupBy(at("x", grain, "bx"), at("y", grain, "by")).agg(F.count("*").alias("n"))
+            around_it = nine(centres.withColumns({"ox": F.col("cx"), "oy": F.col("cy")}), "ox", "oy").join(counted, ["bx", "by"])
+            enough = around_it.groupBy(F.col("ox").alias("cx"), F.col("oy").alias("cy")).agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
+            here = rounds.written(here.join(enough.drop("n").withColumn("enough", F.lit(True)), ["cx", "cy"], "left"), f"{folder}/near-{n}")
+            left = here.where("enough is null").select(*left.columns)
+            here = here.where("enough")
+        own = nine(here.select("tile", at("x", side, "tx"), at("y", side, "ty"), "cx", "cy").distinct(), "tile", "tx", "ty").distinct()
+        near = points.withColumns({"bx": at("x", grain, "bx"), "by": at("y", grain, "by")}).join(own, ["bx", "by"])
+        for c in "xy":
+            near = near.where((F.col(c) >= F.col(f"t{c}") * side - around) & (F.col(c) < (F.col(f"t{c}") + 1) * side + around))
+        found.append((here.select("x", "y", "tile", F.lit(grain).cast("bigint").alias("grain")), near.select("tile", "x", "y", "z")))
+        if grain >= extent or left.isEmpty():
+            break
+        grain *= 4
+    both = [reduce(DataFrame.union, dfs) for dfs in zip(*found, strict=True)]
+    return both[0], rounds.written(both[1], f"{folder}/near")
+
+
 ROW = "tile bigint, place array<bigint>, z double, circles array<struct<x:double,y:double,r:double>>"
 CIRCLES = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64()), ("r", pa.float64())]))
 
 
 def interpolated(points: DataFrame, targets: DataFrame, tile: float, halo: float) -> DataFrame:
     """targets (x, y and others) with z, from points (x, y, z). tile: map units along the edge of what one
-    task triangulates; halo: map units around it that it reads at first. Rounds are written to the shared
+    task triangulates; halo: map units around it that it reads at first, at most. Rounds are written to the shared
     folder, which the result reads."""
     spark = points.sparkSession
     folder = rounds.new_folder(spark, "scattered")
@@ -213,19 +280,15 @@ def interpolated(points: DataFrame, targets: DataFrame, tile: float, halo: float
 
     own = points.where(finite("x") & finite("y") & finite("z")).select(whole("x").alias("x"), whole("y").alias("y"), "z")
     own = rounds.written(own.groupBy("x", "y").agg(F.min("z").cast("double").alias("z")), f"{folder}/points")
-    box = own.agg(*[f(c).alias(f"{n}{c}") for c in "xy" for n, f in (("low", F.min), ("high", F.max))]).first()
+    box = own.agg(*[f(c).alias(f"{n}{c}") for c in "xy" for n, f in (("low", F.min), ("high", F.max))], F.count("*").alias("n")).first()
     places = targets.where(finite("x") & finite("y")).select(whole("x").alias("x"), whole("y").alias("y")).distinct()
     places = rounds.written(places.withColumn("tile", number(F.col("x"), F.col("y"), side)), f"{folder}/targets")
     rim = spark.createDataFrame(hull_of(own), "x bigint, y bigint").join(own, ["x", "y"]).select("x", "y", "z")
     corners = {(r["x"], r["y"]): r["z"] for r in rim.collect()}  # vertices of the hull, for every tile
+    rim_points = rounds.written(on_rim(own, hull(corners)), f"{folder}/rim")
     inner = own.join(rim.select("x", "y"), ["x", "y"], "left_anti")
-    size = max((abs(v) for v in box if v is not None), default=1) + 1
-
-    def span(c: str) -> Column:
-        return F.sequence(F.floor((F.col(c) - around) / side), F.floor((F.col(c) + around) / side))
-
-    dealt = own.withColumn("__x", F.explode(span("x"))).withColumn("__y", F.explode(span("y")))
-    dealt = dealt.select((F.col("__x") * (1 << 32) + F.col("__y")).alias("tile"), "x", "y", "z")
+    size = max((abs(box[f"{n}{c}"] or 0) for n in ("low", "high") for c in "xy"), default=1) + 1
+    places, dealt = surroundings(places, own, box, side, around, folder)
 
     def run(want: pa.Table, given: pa.Table) -> pa.Table:
         here = corners | dict(zip(zip(given["x"].to_pylist(), given["y"].to_pylist(), strict=True), given["z"].to_pylist(), strict=True))
@@ -234,22 +297,30 @@ def interpolated(points: DataFrame, targets: DataFrame, tile: float, halo: float
         n = want["tile"][0].as_py() if at else 0
         x0, y0 = (at[0][0] // side * side, at[0][1] // side * side) if at else (0, 0)
         circles = []
-        for t in used:
+        grains = dict(zip(at, want["grain"].to_pylist(), strict=True))
+        for t, (tx, ty) in used.items():
+            if len(t) == 2:  # an edge of the hull: other points between its ends
+                (ax, ay), (bx, by) = t
+                circles.append({"x": (ax + bx) / 2, "y": (ay + by) / 2, "r": -(math.hypot(bx - ax, by - ay) / 2 * (1 + 1e-9) + 1)})
+                continue
             x, y, r = circle(*t)
             r = r * (1 + 1e-9) + 1
-            if x - r < x0 - around or x + r >= x0 + side + around or y - r < y0 - around or y + r >= y0 + side + around:
+            grain = grains[tx, ty]
+            low, high = [[max(k // grain * grain - grain, o - around) for k, o in ((tx, x0), (ty, y0))], [min(k // grain * grain + 2 * grain, o + side + around) for k, o in ((tx, x0), (ty, y0))]]
+            if x - r < low[0] or x + r >= high[0] or y - r < low[1] or y + r >= high[1]:
                 circles.append({"x": x, "y": y, "r": r})
         per = [circles if i == 0 else [] for i in range(len(at))]
         return pa.table({"tile": pa.array([n] * len(at), pa.int64()), "place": pa.array([list(a) for a in at], pa.list_(pa.int64())), "z": pa.array(z, pa.float64()), "circles": pa.array(per, CIRCLES)})
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    grain = places.agg(F.min("grain")).first()[0] or side
     todo, more, found, n = places, spark.createDataFrame([], "tile bigint, x bigint, y bigint, z double"), None, 0
     while True:
         tiles = todo.select("tile").distinct()
         given = dealt.union(more).join(tiles, "tile", "left_semi").select(F.expr("tile + 0").alias("tile"), "x", "y", "z")
         after = todo.repartition(parts, "tile").groupBy("tile").cogroup(given.repartition(parts, "tile").groupBy("tile")).applyInArrow(run, ROW)
         after = rounds.written(after.where("place is not null"), f"{folder}/round-{n}")
-        new = rounds.written(missed(after, inner, given, side, box), f"{folder}/new-{n}")
+        new = rounds.written(missed(after, inner, rim_points, given, side, box, grain), f"{folder}/new-{n}")
         redo = new.select("tile").distinct()
         sure = after.join(redo, "tile", "left_anti").select(F.get("place", F.lit(0)).alias("__x"), F.get("place", F.lit(1)).alias("__y"), "z")
         found = sure if found is None else found.union(sure)
@@ -262,11 +333,20 @@ def interpolated(points: DataFrame, targets: DataFrame, tile: float, halo: float
     return keyed.join(found, (F.col("__tx") == F.col("__x")) & (F.col("__ty") == F.col("__y")), "left").drop("__tx", "__ty", "__x", "__y")
 
 
-def missed(after: DataFrame, points: DataFrame, given: DataFrame, side: int, box: Any) -> DataFrame:
-    """tile, x, y, z: points in circles of a tile's triangles that the tile was not given."""
+def missed(after: DataFrame, points: DataFrame, rim: DataFrame, given: DataFrame, side: int, box: Any, grain: int) -> DataFrame:
+    """tile, x, y, z: points in circles of a tile's triangles that the tile was not given, and points of the
+    rim in circles over edges of the hull (r is negative). Small circles are looked up by small buckets
+    (grain), the others by large ones (side)."""
     if box["lowx"] is None:
         return after.select("tile", F.lit(0).cast("bigint").alias("x"), F.lit(0).cast("bigint").alias("y"), F.lit(0.0).alias("z")).limit(0)
     circles = after.select("tile", F.inline("circles")).withColumnsRenamed({"x": "cx", "y": "cy"})
+    parts = [(F.col("r").between(0, 4 * grain), points, grain), (F.col("r") > 4 * grain, points, side), (F.col("r") < 0, rim, side)]
+    inside = reduce(DataFrame.union, [within(circles.where(of).withColumn("r", F.abs("r")), own, edge, box) for of, own, edge in parts]).distinct()
+    return inside.join(given.select("tile", "x", "y"), ["tile", "x", "y"], "left_anti")
+
+
+def within(circles: DataFrame, points: DataFrame, side: int, box: Any) -> DataFrame:
+    """tile, x, y, z: points in circles (tile, cx, cy, r), by buckets."""
 
     def span(c: str) -> Column:
         least, most = F.greatest(F.col(f"c{c}") - F.col("r"), F.lit(float(box[f"low{c}"]))), F.least(F.col(f"c{c}") + F.col("r"), F.lit(float(box[f"high{c}"])))
@@ -278,5 +358,4 @@ def missed(after: DataFrame, points: DataFrame, given: DataFrame, side: int, box
     reach = reach.where(near[0] * near[0] + near[1] * near[1] <= F.col("r") * F.col("r"))  # buckets that a circle touches
     own = points.select(F.floor(F.col("x") / side).alias("bx"), F.floor(F.col("y") / side).alias("by"), "x", "y", "z")
     dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
-    inside = reach.join(own, ["bx", "by"]).where(dx * dx + dy * dy <= F.col("r") * F.col("r")).select("tile", "x", "y", "z").distinct()
-    return inside.join(given.select("tile", "x", "y"), ["tile", "x", "y"], "left_anti")
+    return reach.join(own, ["bx", "by"]).where(dx * dx + dy * dy <= F.col("r") * F.col("r")).select("tile", "x", "y", "z")

@@ -65,3 +65,40 @@ def test_points_that_span_nothing(spark):
     at = spark.createDataFrame([(1.0, 1.0)], "x double, y double")
     for points in ([], [(1.0, 1.0, 3.0)], [(0.0, 0.0, 1.0), (2.0, 2.5, 3.0)], [(float(i), 0.0, 1.0) for i in range(9)]):
         assert [r["z"] for r in scattered.interpolated(spark.createDataFrame(points, kind), at, 5.0, 1.0).collect()] == [None]
+
+
+def test_only_points_near_targets_are_dealt(spark, tmp_path):
+    """However dense the points are; where they are sparse, buckets grow."""
+    places = spark.createDataFrame([(500, 500, 0), (90, 910, 0), (-50, 5000, 0)], "x bigint, y bigint, tile bigint")
+    sizes = []
+    for step in (20, 5):
+        points = spark.range((1000 // step) ** 2).selectExpr(f"id % {1000 // step} * {step} as x", f"id div {1000 // step} * {step} as y", "1.0D as z").where("x > 300 or y > 300")
+        box = points.selectExpr("min(x) lowx", "max(x) highx", "min(y) lowy", "max(y) highy", "count(*) n").first()
+        found, near = scattered.surroundings(places, points, box, 1 << 20, 1000, str(tmp_path / str(step)))
+        sizes.append(near.count())
+        assert found.count() == 3 and near.groupBy("tile").count().count() == 1
+        lone = spark.createDataFrame([(100, 100, 0)], "x bigint, y bigint, tile bigint")
+        wide, more = scattered.surroundings(lone, points, box, 1 << 20, 1000, str(tmp_path / f"{step}-lone"))
+        assert wide.first()["grain"] > found.where("x = 500").first()["grain"] and more.count() >= scattered.LEAST
+    assert max(sizes) < 3 * 16 * scattered.LEAST
+
+
+def test_targets_between_clusters(spark):
+    """Triangles of far points, found from few of them, are those found from all in one tile."""
+    rng = random.Random(8)
+    points = [(cx + rng.gauss(0, 0.4), cy + rng.gauss(0, 0.4), rng.uniform(0, 9)) for cx, cy in ((0, 0), (90, 3), (40, 70)) for _ in range(700)]
+    targets = [(i, rng.uniform(0, 80), rng.uniform(0, 50)) for i in range(60)] + [(60 + i, *points[i * 50][:2]) for i in range(40)]
+    own, at = spark.createDataFrame(points, "x double, y double, z double").repartition(3), spark.createDataFrame(targets, "id int, x double, y double")
+    got = {r["id"]: r["z"] for r in scattered.interpolated(own, at, 25.0, 2.0).collect()}
+    whole = {(round(x * 1000), round(y * 1000)): z for x, y, z in points}
+    want, _ = scattered.heights(whole, [(round(x * 1000), round(y * 1000)) for _, x, y in targets], 200_000)
+    assert [got[i] for i in range(100)] == pytest.approx(want) and sum(z is not None for z in want) > 60
+
+
+def test_targets_on_the_hull_far_from_its_points(spark):
+    """The points beside them on the hull count, though they are far beyond what is near."""
+    rng = random.Random(9)
+    points = [(rng.uniform(1, 99), rng.uniform(1, 99), 5.0) for _ in range(900)] + [(x, y, x + y) for x, y in ((0.0, 0.0), (0.0, 40.0), (0.0, 100.0), (100.0, 0.0), (100.0, 100.0))] + [(0.0, 70.0, 0.0)]
+    at = spark.createDataFrame([(1, 0.0, 15.0), (2, 0.0, 55.0), (3, 0.0, 85.0), (4, 50.0, 0.0)], "id int, x double, y double")
+    got = {r["id"]: r["z"] for r in scattered.interpolated(spark.createDataFrame(points, "x double, y double, z double"), at, 10.0, 1.0).collect()}
+    assert got == pytest.approx({1: 15.0, 2: 20.0, 3: 50.0, 4: 50.0})
