@@ -29,7 +29,7 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections import deque
+from collections import defaultdict, deque
 from collections.abc import Callable, Iterable, Iterator
 from itertools import product
 from typing import Any
@@ -60,6 +60,8 @@ OPPOSITE = {"u": "d", "d": "u", "l": "r", "r": "l", "ur": "dl", "dl": "ur", "ul"
 EDGE = "edge_id bigint, rank bigint, color int, tile bigint, line array<struct<x:double,y:double>>, blocks array<bigint>"
 #: What comes first when edges are laid, and when they are mended.
 LAY, MEND = ("rank", "color"), ("color", "rank")
+#: How far either end of a route may be moved, the least first.
+ASIDE = [(m[:2], m[2:]) for m in sorted(product((0, 1, -1), repeat=4), key=lambda m: sum(map(abs, m))) if any(m)]
 PATH = "path array<struct<x:int,y:int,sides:int>>"
 
 Cell = tuple[int, int]
@@ -144,6 +146,9 @@ def route(line: Line, used: Callable[[Cell], int], closed: set[Cell] | frozenset
         return [start]
     limit = LONGEST * sum(math.dist(a, b) for a, b in zip(line, line[1:], strict=False)) + 2
     fits, free = known.fits, known.free
+    out, into = used(start), used(goal)
+    if known.apart(start, goal) > limit or all(out & side or not fits[out | side] for _, side, _ in known.steps) or all(into & back or not fits[into | back] for _, _, back in known.steps):
+        return None  # too far, or an end is full
 
     def moves(state: tuple[int, int, int]) -> Iterator[tuple[tuple[int, int, int], float]]:
         x, y, entered = state
@@ -216,9 +221,9 @@ class Lattice:
     def holders(self, cell: Cell) -> set[int]:
         return {self.holder[cell, b] for b in bits(self.used(cell))}
 
-    def used_but(self, loose: set[int]) -> Callable[[Cell], int]:
+    def used_but(self, loose: Callable[[int], bool]) -> Callable[[Cell], int]:
         """Sides in use by edges that are not loose."""
-        return lambda cell: sum(b for b in bits(self.used(cell)) if self.holder[cell, b] not in loose)
+        return lambda cell: sum(b for b in bits(self.used(cell)) if not loose(self.holder[cell, b]))
 
     def in_the_way(self, path: list[Cell], known: Catalogue) -> list[int]:
         """Edges whose routes a path can't be laid beside."""
@@ -256,26 +261,38 @@ class Router:
             self.lattice.take(edge, path)
         return path is not None
 
-    def mend(self, edge: int, beside: set[int]) -> set[int]:
-        """Edges whose routes have changed: this one and some of those beside it, or none."""
+    def mend(self, edge: int, *beside: set[int]) -> set[int]:
+        """Edges whose routes have changed: this one and some of those beside it (in any of the sets), or
+        none."""
         if self.lay(edge):
             return {edge}
-        before = {e: self.lattice.paths[e] for e in beside if e in self.lattice.paths}
-        loose = set(before) | {edge}
+        before: dict[int, list[Cell]] = {}  # of those that are ripped up
+
+        def loose(e: int) -> bool:
+            return e == edge or any(e in own for own in beside)
+
         fixed = self.lattice.used_but(loose)
-        todo, laid = deque([edge]), set()
+        todo, laid, touched, seen = deque([edge]), set(), {edge}, set()
         for _ in range(TURNS):
+            # routes that have taken each other's place go on like that for ever
+            state = tuple(todo), frozenset((e, tuple(self.lattice.paths.get(e, ()))) for e in touched if self.lattice.paths.get(e) != before.get(e))
+            if state in seen:
+                break
+            seen.add(state)
             e = todo.popleft()
             path = self.route(e, self.lattice.used)
             if not path:
                 path = self.route(e, fixed)
                 others = self.lattice.in_the_way(path, self.known) if path else []
-                if not path or not loose.issuperset(others):
+                if not path or not all(map(loose, others)):
                     todo.appendleft(e)
                     break
                 for other in others:
+                    if other != edge:
+                        before.setdefault(other, self.lattice.paths[other])
                     self.lattice.drop(other)
                     todo.append(other)
+                    touched.add(other)
             self.lattice.take(e, path)
             laid.add(e)
             if not todo:
@@ -296,13 +313,16 @@ class Router:
         routes, the cell beside must be on one of them."""
         if not self.lines[edge]:
             return None
-        (sx, sy), (gx, gy) = start, goal = ends_of(self.lines[edge])
-        for dx, dy, ex, ey in sorted(product((0, 1, -1), repeat=4), key=lambda m: sum(map(abs, m))):
-            a, b = (sx + dx, sy + dy), (gx + ex, gy + ey)
-            if a == b or not (dx or dy or ex or ey):
-                continue
-            if all(new == old or not self.lattice.holders(old) or self.lattice.holders(old) & self.lattice.holders(new) for new, old in ((a, start), (b, goal))):
-                path = self.route(edge, self.lattice.used, (a, b))
+
+        def beside(old: Cell) -> dict[Cell, Cell]:
+            own = self.lattice.holders(old)
+            new = {m: (old[0] + m[0], old[1] + m[1]) for m in product((0, 1, -1), repeat=2)}
+            return {m: c for m, c in new.items() if c == old or not own or own & self.lattice.holders(c)}
+
+        starts, goals = (beside(c) for c in ends_of(self.lines[edge]))
+        for m, n in ASIDE:
+            if m in starts and n in goals and starts[m] != goals[n]:
+                path = self.route(edge, self.lattice.used, (starts[m], goals[n]))
                 if path:
                     return path
         return None
@@ -438,22 +458,31 @@ def mended(found: DataFrame, closed: DataFrame | None, box: Cell, known: Catalog
     around = rounds.written(around, f"{folder}-around")
 
     def run(own: pa.Table, cells: pa.Table) -> pa.Table:
-        lines = {r["edge_id"]: r for r in own.to_pylist() if r["waits"] is None}
+        rows = own.to_pylist()
+        lines = {r["edge_id"]: r["blocks"] for r in rows if r["waits"] is None}
         router, held, out = Router(lattice_of(cells), box, known), set(), []
-        for e, r in lines.items():
-            router.lines[e] = points(r["line"])
-            if r["path"]:
-                router.lattice.paths[e] = [(p["x"], p["y"]) for p in r["path"]]
+        laid_at: dict[int, set[int]] = defaultdict(set)  # edges with a route, by the blocks that they reach
+        for r in rows:
+            if r["waits"] is None:
+                e = r["edge_id"]
+                router.lines[e] = points(r["line"])
+                if r["path"]:
+                    router.lattice.paths[e] = [(p["x"], p["y"]) for p in r["path"]]
+                    for b in r["blocks"]:
+                        laid_at[b].add(e)
         changed: set[int] = set()
-        for r in ordered((r for r in own.to_pylist() if r["waits"] is not None), MEND):
+        for r in ordered((r for r in rows if r["waits"] is not None), MEND):
             e = r["edge_id"]
             if r["waits"] or not held.isdisjoint(r["wide"]):
                 held.update(r["wide"])
                 out.append({**r, "settled": False})
                 continue
             router.lines[e] = points(r["line"])
-            mine = set(r["blocks"])
-            changed |= router.mend(e, {k for k, o in lines.items() if k != e and not mine.isdisjoint(o["blocks"])})
+            new = router.mend(e, *(laid_at[b] for b in r["blocks"]))
+            changed |= new
+            for k in new & lines.keys():
+                for b in lines[k]:
+                    laid_at[b].add(k)
             out.append({**r, "settled": True})
         out = [{**r, "path": None} for r in out] + [{"edge_id": e, "path": shown(router.lattice.paths[e])} for e in sorted(changed)]
         return pa.table({f.name: pa.array([r.get(f.name) for r in out], f.type) for f in MENDED})
@@ -500,7 +529,16 @@ def routed(edges: DataFrame, box: Cell, steps: Iterable[str] = ("u", "d", "l", "
     blocks = F.when(F.size("line") > 0, reach(F.col("line"))).otherwise(F.array().cast("array<bigint>"))
     own = own.select("edge_id", "rank", (F.pmod(sx, F.lit(2)) * 2 + F.pmod(sy, F.lit(2))).cast("int").alias("color"), (x * (1 << 32) + y).cast("bigint").alias("tile"), "line", blocks.alias("blocks"))
     shut = rounds.written(closed.select("xidx", "yidx").distinct(), f"{folder}/closed") if closed is not None else None
-    found = laid(rounds.written(own, f"{folder}/edges"), shut, box, known, f"{folder}/laid", few)
+    # edges within an open cell use no side of it, so that they neither wait nor are in the way
+    ends = {i: F.struct(*[F.floor(at[c]).cast("int").alias(n) for c, n in (("x", "xidx"), ("y", "yidx"))]) for i, at in (("a", F.get("line", F.lit(0))), ("b", F.element_at("line", -1)))}
+    inside = F.col("a.xidx").between(0, box[0] - 1) & F.col("a.yidx").between(0, box[1] - 1)
+    own = own.withColumns({k: F.when(F.size("line") > 0, at) for k, at in ends.items()}).withColumn("still", F.coalesce((F.col("a") == F.col("b")) & inside, F.lit(False)))
+    if shut is not None:
+        barred = shut.select(F.struct(F.col("xidx").cast("int").alias("xidx"), F.col("yidx").cast("int").alias("yidx")).alias("a"), F.lit(True).alias("barred")).distinct()
+        own = own.join(barred, "a", "left").withColumn("still", F.col("still") & F.col("barred").isNull())
+    own = rounds.written(own.select("edge_id", "rank", "color", "tile", "line", "blocks", "a", "still"), f"{folder}/edges")
+    found = laid(own.where("not still").drop("a", "still"), shut, box, known, f"{folder}/laid", few)
     new = mended(found, shut, box, known, f"{folder}/mended", few).withColumnRenamed("path", "new")
     last = found.join(new, "edge_id", "left").select("edge_id", F.posexplode_outer(F.coalesce("new", "path")).alias("pos", "c"))
-    return last.select("edge_id", "pos", F.col("c.x").alias("xidx"), F.col("c.y").alias("yidx"))
+    moved = last.select("edge_id", "pos", F.col("c.x").alias("xidx"), F.col("c.y").alias("yidx"))
+    return moved.union(own.where("still").select("edge_id", F.lit(0).alias("pos"), "a.xidx", "a.yidx"))

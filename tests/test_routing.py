@@ -199,3 +199,27 @@ def test_cheapest_walks_with_few_steps():
             else:
                 assert len(path) - 1 <= limit and abs(sum(cost[p] for p in path[1:]) - want) < 1e-9
         assert abs(sum(cost[p] for p in routing.cheapest((0, 0), lambda at: at == (3, 2), moves)[1:]) - min(b.get((3, 2), math.inf) for b in best.values())) < 1e-9
+
+
+def test_routes_that_take_turns_are_given_up(monkeypatch):
+    """Two edges over one border, neither of which can go another way: no more turns once they repeat."""
+    known = routing.Catalogue("udlr", None)
+    router = routing.Router(routing.Lattice(), (9, 9), known)
+    router.lines = {1: [(3.9, 3.5), (4.1, 3.5)], 2: [(3.95, 3.6), (4.05, 3.6)]}
+    calls, real = [], router.route
+    monkeypatch.setattr(router, "route", lambda e, used, ends=None: calls.append(ends) or real(e, used, ends))
+    assert router.lay(1) and not router.lay(2)
+    changed = router.mend(2, {1})
+    assert router.lattice.paths[1] == [(3, 3), (4, 3)] and changed in (set(), {2})
+    assert sum(ends is None for ends in calls) < 10
+
+
+def test_edges_within_a_cell_take_no_turn(monkeypatch, spark):
+    """They have their cell at once, unless it is closed or off the map."""
+    seen, real = [], routing.flagged
+    monkeypatch.setattr(routing, "flagged", lambda left, *more: seen.append({r["edge_id"] for r in left.select("edge_id").collect()}) or real(left, *more))
+    edges = [(1, 0, [(2.1, 2.1), (2.9, 2.2)]), (2, 0, [(2.5, 2.5)]), (3, 1, [(5.1, 5.1), (5.2, 5.3)]), (4, None, [(-0.5, 1.0), (-0.4, 1.0)]), (5, 0, [(1.5, 2.5), (4.5, 2.5)]), (6, 0, []), (7, 0, None)]
+    closed = spark.createDataFrame([(5, 5)], "xidx int, yidx int")
+    got = paths(routing.routed(table(spark, edges), (9, 9), closed=closed))
+    assert got[1] == got[2] == [(2, 2)] and got[5] == [(1, 2), (2, 2), (3, 2), (4, 2)] and got[6] is got[7] is None
+    assert got.keys() == set(range(1, 8)) and seen[0] == {3, 4, 5, 6, 7}
