@@ -3,7 +3,8 @@ routes over cells make of them, by joins and windows."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -185,32 +186,50 @@ def tile_paths(squares: DataFrame, tiles: list[tuple[int, float, dict[str, int]]
     border. squares: edge_id, pos, to, back. tiles: number, cost, port value by direction name; a
     catalogue of some dozens. A layered shortest path, per edge."""
 
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        own = sorted(rows.to_pylist(), key=lambda r: r["pos"])
+    by_sides: dict[frozenset[str], list[int]] = {}
+    for i, (_, _, ports) in enumerate(tiles):
+        by_sides.setdefault(frozenset(ports), []).append(i)
+
+    def row_of(own: list[tuple[int, int, str | None, str | None]]) -> list[tuple[int, int, int]]:
         layers: list[dict[int, tuple[float, int | None]]] = []
-        for r in own:
-            need = {d for d in (r["to"], r["back"]) if d}
+        for _, _, to, back in own:
             here: dict[int, tuple[float, int | None]] = {}
-            for i, (_, cost, ports) in enumerate(tiles):
-                if set(ports) != need:
-                    continue
+            for i in by_sides.get(frozenset(d for d in (to, back) if d), ()):
+                _, cost, ports = tiles[i]
                 if not layers:
                     here[i] = (cost, None)
                     continue
-                port = own[len(layers) - 1]["to"]
-                before = [(c + cost, j) for j, (c, _) in layers[-1].items() if tiles[j][2][port] == ports[r["back"]]]
+                port = own[len(layers) - 1][2]
+                before = [(c + cost, j) for j, (c, _) in layers[-1].items() if tiles[j][2][port] == ports[back]]
                 if before:
                     here[i] = min(before)
+            if not here:
+                return []
             layers.append(here)
         out: list[tuple[int, int, int]] = []
-        if layers and layers[-1]:
-            at: int | None = min(layers[-1], key=lambda i: (layers[-1][i][0], i))
-            for k in range(len(layers) - 1, -1, -1):
-                out.append((own[k]["edge_id"], own[k]["pos"], tiles[at][0]))
-                at = layers[k][at][1]
-        return pa.table({n: pa.array([o[i] for o in out], k) for i, (n, k) in enumerate((("edge_id", pa.int64()), ("pos", pa.int32()), ("tile", pa.int32())))})
-
-    return squares.groupBy("edge_id").applyInArrow(run, "edge_id bigint, pos int, tile int")
+        at: int | None = min(layers[-1], key=lambda i: (layers[-1][i][0], i))
+        for k in range(len(layers) - 1, -1, -1):
+            out.append((own[k][0], own[k][1], tiles[at][0]))
+            at = layers[k][at][1]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*(b[c].to_pylist() for c in ("edge_id", "pos", "to", "back")), strict=True))
+        out: list[tuple[int, int, int]] = []
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate((pa.int64(), pa.int32(), pa.int32()))], ["edge_id", "pos", "tile"])
+
+        for _, own in groupby(rows, key=lambda r: r[0]):
+            out += row_of(list(own))
+            if len(out) >= 8192:
+                yield batch()
+                out = []
+        if out:
+            yield batch()
+
+    own = squares.select("edge_id", "pos", "to", "back").repartition("edge_id").sortWithinPartitions("edge_id", "pos")
+    return own.mapInArrow(run, "edge_id bigint, pos int, tile int")
 
 
 def path_cells(cells: DataFrame, path: DataFrame) -> DataFrame:

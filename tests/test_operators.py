@@ -381,6 +381,15 @@ def test_tile_paths_against_all_choices(spark):
         assert all(got[edge][k][2][to] == got[edge][k + 1][2][other[to]] for k, to, _ in own if to)
 
 
+def test_tile_paths_go_through_many_edges_at_once(spark):
+    """No call per edge; edges of one square have no tiles."""
+    squares = spark.range(3000).selectExpr("id edge_id", "0 pos", "if(id % 100 = 0, 'r', null) to", "cast(null as string) back").union(spark.sql("select id * 100, 1, null, 'l' from range(30)"))
+    found = network.tile_paths(squares, [(7, 1.0, {"l": 0}), (8, 1.0, {"r": 0})])
+    assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
+    assert sorted((r["edge_id"], r["pos"], r["tile"]) for r in found.collect()) == sorted((100 * i, k, 8 - k) for i in range(30) for k in (0, 1))
+
+
+
 def test_strokes_set_each_cell_once(spark):
     rng = random.Random(33)
     rows = [(page, menu, x, y) for page in (0, 1) for menu in ("Ground 1", "Walls") for x in range(20) for y in range(18) if rng.random() < 0.8 or (x < 8 and y < 8)]
