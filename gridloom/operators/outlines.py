@@ -8,7 +8,8 @@ A building may depend on those before it, whose cells are then taken. Buildings
 the map and settled in rounds: within a tile in order, as long as none that comes before and reaches for
 the same triangles is still open, be it of this tile or another. The first of all open buildings can
 always be settled, and chains of neighbours within a tile need one round only, so the rounds are as many
-as the borders of tiles that such a chain crosses. The result is that of going through all of them in order.
+as the borders of tiles that such a chain crosses; and each round has other borders and, as few are left, larger
+tiles. The result is that of going through all of them in order.
 
 Cases: outlines without an area, off the map, with a null ring, or on which nothing fits or nothing is
 free get no rows; orders may repeat, then the smaller building comes first; buildings must be unique, and
@@ -29,12 +30,18 @@ from pyspark.sql import functions as F
 from gridloom.functions import geometry as g
 from gridloom.functions import labels, planning
 from gridloom.operators import catalogues, grid, packing, rounds
-from gridloom.plans.model import DIAMOND_AREA, QUARTER_AREA
+from gridloom.plans.model import CELL, DIAMOND_AREA, QUARTER_AREA
 
 #: A cell takes part if more than this share of it is covered.
 SHARES = (0.0, 0.5)
 #: Less than this share of a cell is rounding.
 NOTHING = 1e-9
+#: Corners of rings in candidate cells that are compared at once, and outlines.
+POINTS, ROWS = 1 << 19, 1000
+#: Quarter cells along the edge of a block of the map; by how much of a tile each round's tiles are shifted.
+BLOCK, SHIFT = 16, 0.618
+#: So few outlines may share one tile.
+FEW = 10_000
 PLACED = "array<struct<diagonal:boolean,rows:int,cols:int,qx:int,qy:int>>"
 STATE = "building bigint, place bigint, priority int, tile bigint, ring array<struct<x:double,y:double>>, cells array<struct<diagonal:boolean,qx:int,qy:int,area:double>>"
 
@@ -90,17 +97,109 @@ def parts(elements: DataFrame, rings: str, place: str) -> DataFrame:
     return own.withColumns({"place": F.col(place).cast("long"), "building": F.col(place).cast("long") * (1 << 20) + F.col("__part")}).drop("__part")
 
 
+def clipped_areas(x: np.ndarray, y: np.ndarray, planes: list[tuple[float, float, np.ndarray]]) -> np.ndarray:
+    """Areas of rings, one in each row of x and y, cut by half-planes a * x + b * y + c >= 0, with a c for
+    each ring: the steps of geometry.clipped_area() in their order, so the same numbers."""
+    sizes, one = np.full(len(x), x.shape[1]), np.arange(len(x))
+    for a, b, c in planes:
+        at = np.arange(x.shape[1])
+        real, after = at < sizes[:, None], np.where(at + 1 < sizes[:, None], at + 1, 0)
+        s = a * x + b * y + c[:, None]
+        t = np.take_along_axis(s, after, 1)
+        keeps, meets = real & (t >= 0), real & ((s >= 0) != (t >= 0))
+        end = np.cumsum(keeps.astype(np.int64) + meets, axis=1)
+        sizes = end[:, -1]
+        cut = [np.zeros((len(x), max(int(sizes.max(initial=0)), 1))) for _ in range(2)]
+        i, j = np.nonzero(meets)
+        share = s[i, j] / (s[i, j] - t[i, j])
+        k, m = np.nonzero(keeps)
+        for p, out in zip((x, y), cut, strict=True):
+            out[i, end[i, j] - 1 - keeps[i, j]] = p[i, j] + (p[i, after[i, j]] - p[i, j]) * share
+            out[k, end[k, m] - 1] = p[k, after[k, m]]
+        x, y = cut
+    total = np.zeros(len(x))
+    for j in range(x.shape[1]):
+        n = np.where(j + 1 < sizes, j + 1, 0)
+        total += np.where(j < sizes, x[:, j] * y[one, n] - x[one, n] * y[:, j], 0.0)
+    return np.abs(total / 2)
+
+
+def fine_areas(diagonal: bool, qx: np.ndarray, qy: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of each ring its area within a fine cell; sides of upright boxes are multiplied, as by grid.fill_fine()."""
+    cx, cy = (qx / 4 + 0.5) * CELL, (qy / 4 + 0.5) * CELL
+    if diagonal:
+        return clipped_areas(x, y, [(-a, -b, a * cx + b * cy + CELL / 2) for a in (1.0, -1.0) for b in (1.0, -1.0)])
+    x0, y0, x1, y1 = cx - CELL / 4, cy - CELL / 4, cx + CELL / 4, cy + CELL / 4
+    box = np.zeros(len(x), bool)
+    if x.shape[1] == 4:
+        for v, w in ((x, y), (y, x)):
+            box |= (v[:, 0] == v[:, 1]) & (w[:, 1] == w[:, 2]) & (v[:, 2] == v[:, 3]) & (w[:, 3] == w[:, 0])
+    wide = np.minimum(x.max(1), x1) - np.maximum(x.min(1), x0)
+    high = np.minimum(y.max(1), y1) - np.maximum(y.min(1), y0)
+    out, cut = np.maximum(wide, 0.0) * np.maximum(high, 0.0), ~box
+    planes = [(1.0, 0.0, -x0[cut]), (-1.0, 0.0, x1[cut]), (0.0, 1.0, -y0[cut]), (0.0, -1.0, y1[cut])]
+    out[cut] = clipped_areas(x[cut], y[cut], planes)
+    return out
+
+
+def fine_cells(x: np.ndarray, y: np.ndarray, size: tuple[int, int]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of rings with equally many corners, one in each row: ring, diagonal, qx, qy, area of all fine cells of
+    an nx by ny map that they cover in part, from POINTS corners of rings in candidate cells at a time."""
+    for diagonal, offsets, margin in ((False, grid.QUARTERS, 3), (True, [o for o in grid.DIAMONDS if min(o) >= 0], 2)):
+        pad = CELL if diagonal else 0.0
+        low, wide = [], []
+        for v, n in ((x, size[0]), (y, size[1])):
+            # no farther off the map than a fine cell may lie
+            ends = [np.clip(np.floor(e / CELL), -2, n + 1).astype(np.int64) for e in (v.min(1) - pad, v.max(1) + pad)]
+            low.append(ends[0])
+            wide.append(ends[1] - ends[0] + 1)
+        stop = np.cumsum(wide[0] * wide[1] * len(offsets))
+        every, step = int(stop[-1]) if len(stop) else 0, max(1, POINTS // x.shape[1])
+        a, b = (np.array([o[k] for o in offsets]) for k in range(2))
+        for begin in range(0, every, step):
+            at = np.arange(begin, min(begin + step, every))
+            ring = np.searchsorted(stop, at, "right")
+            at = at - (stop[ring] - wide[0][ring] * wide[1][ring] * len(offsets))
+            cell, o = np.divmod(at, len(offsets))
+            right, up = np.divmod(cell, wide[1][ring])
+            qx, qy = (low[0][ring] + right) * 4 + a[o], (low[1][ring] + up) * 4 + b[o]
+            inside = (qx >= -2) & (qx <= 4 * size[0] - margin) & (qy >= -2) & (qy <= 4 * size[1] - margin)
+            ring, qx, qy = ring[inside], qx[inside], qy[inside]
+            area = fine_areas(diagonal, qx, qy, x[ring], y[ring])
+            some = area > NOTHING * (DIAMOND_AREA if diagonal else QUARTER_AREA)
+            yield ring[some], np.full(int(some.sum()), diagonal), qx[some], qy[some], area[some]
+
+
 def reached(outlines: DataFrame, size: tuple[int, int]) -> DataFrame:
-    """building, diagonal, qx, qy, area: all fine cells of an nx by ny map that the outlines
-    (building, ring) cover in part."""
-    nx, ny = size
-    own = outlines.select("building", "ring")
-    each = []
-    for diagonal, offsets, margin in ((False, grid.QUARTERS, 3), (True, grid.DIAMONDS, 2)):
-        fine = grid.fill_fine(own, "ring", offsets, NOTHING)
-        inside = F.col("qx").between(-2, 4 * nx - margin) & F.col("qy").between(-2, 4 * ny - margin)
-        each.append(fine.where(inside).select("building", F.lit(diagonal).alias("diagonal"), F.col("qx").cast("int").alias("qx"), F.col("qy").cast("int").alias("qy"), "area"))
-    return each[0].union(each[1])
+    """outlines (building, place, priority, ring) with cells, all fine cells of an nx by ny map that each
+    covers in part, in order; those that cover none go. Dealt by building: much work on few bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for begin in range(0, whole.num_rows, ROWS):
+                b = whole.slice(begin, ROWS)
+                rings = b.column("ring")
+                count, flat = rings.value_lengths().to_numpy(), rings.flatten()
+                x, y = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y"))
+                start, found = np.cumsum(count) - count, []
+                for n in np.unique(count).tolist():
+                    rows = np.flatnonzero(count == n)
+                    corner = start[rows, None] + np.arange(n)
+                    rows, corner = (v[(np.isfinite(x[corner]) & np.isfinite(y[corner])).all(1)] for v in (rows, corner))
+                    found += [(rows[ring], *cells) for ring, *cells in fine_cells(x[corner], y[corner], size)]
+                if not found:
+                    continue
+                row, diagonal, qx, qy, area = (np.concatenate(v) for v in zip(*found, strict=True))
+                order = np.lexsort((qy, qx, diagonal, row))
+                cells = pa.StructArray.from_arrays([pa.array(diagonal[order]), pa.array(qx[order], pa.int32()), pa.array(qy[order], pa.int32()), pa.array(area[order])], ["diagonal", "qx", "qy", "area"])
+                own, sizes = np.unique(row, return_counts=True)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), cells)
+                kept = b.take(pa.array(own))
+                yield pa.RecordBatch.from_arrays([*kept.columns, lists], [*b.schema.names, "cells"])
+
+    parts = int(outlines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = outlines.select("building", "place", "priority", "ring").repartition(parts, "building")
+    return own.mapInArrow(run, STATE.replace("tile bigint, ", ""))
 
 
 def own_direction(ring: list[tuple[float, float]]) -> bool | None:
@@ -161,10 +260,13 @@ def settle(rows: Iterator[dict[str, Any]], sizes: dict[bool, Sizes], modular: bo
         cells = [(c["diagonal"], c["qx"], c["qy"], c["area"]) for c in r["cells"]]
         free = [c for c in cells if taken.isdisjoint(triangles_of(*c[:3]))]
         reach = {t for c in free for t in triangles_of(*c[:3])}
-        if reach and (r["waits"] or not held.isdisjoint(reach)):
+        if free and (r["waits"] or not held.isdisjoint(reach)):
             held |= reach
             yield False, []
             continue
+        if not free:
+            yield True, []
+            continue
         found = best_packing([(p["x"], p["y"]) for p in r["ring"]], free, sizes, modular)
         for diagonal, h, w, qx, qy in found:
             for i in range(h):
@@ -173,9 +275,32 @@ def settle(rows: Iterator[dict[str, Any]], sizes: dict[bool, Sizes], modular: bo
         yield True, found
 
 
+def span(cells: str, q: str) -> tuple[Column, Column]:
+    """The least and the greatest index along an axis of the fine cells in an array."""
+    every = F.transform(cells, lambda c: c[q])
+    return F.array_min(every), F.array_max(every)
+
+
+def tiled(left: DataFrame, side: int, shift: int) -> DataFrame:
+    """left with the tile that its first cells lie in: side by side map cells, shifted by quarter cells."""
+    at = [F.floor((span("cells", q)[0] + shift) / (4 * side)).cast("long") for q in ("qx", "qy")]
+    return left.withColumn("tile", at[0] * (1 << 32) + at[1])
+
+
+def bordering(left: DataFrame) -> DataFrame:
+    """Those whose bounds share a block of the map with any of another tile; no others reach for a triangle
+    that another tile reaches for."""
+    blocks = left.select("tile", "building", *[span("cells", q)[k].alias(f"{q}{k}") for q in ("qx", "qy") for k in (0, 1)])
+    for q in ("qx", "qy"):  # the triangles of a cell lie within one index around it
+        blocks = blocks.withColumn(q, F.explode(F.sequence(F.floor((F.col(f"{q}0") - 1) / BLOCK), F.floor((F.col(f"{q}1") + 1) / BLOCK))))
+    shared = blocks.groupBy("qx", "qy").agg(F.min("tile").alias("a"), F.max("tile").alias("b")).where("a <> b")
+    near = blocks.join(shared, ["qx", "qy"], "left_semi").select("building").distinct()
+    return left.join(near, "building", "left_semi")
+
+
 def one_round(left: DataFrame, sizes: dict[bool, Sizes], modular: bool) -> DataFrame:
     """left, with settled and placements."""
-    each = left.select("tile", F.struct("priority", "place", "building").alias("turn"), F.explode("cells").alias("c"))
+    each = bordering(left).select("tile", F.struct("priority", "place", "building").alias("turn"), F.explode("cells").alias("c"))
     claims = each.select("tile", "turn", F.explode(triangles(F.col("c.diagonal"), F.col("c.qx"), F.col("c.qy"))).alias("t")).select("tile", "turn", "t.ax", "t.ay")
     waiting = rounds.waiting(claims, "ax", "ay").select("turn.building").withColumn("waits", F.lit(True))
 
@@ -231,24 +356,27 @@ def placed(outlines: DataFrame, catalogue: DataFrame, size: tuple[int, int], tak
     modular = any(r["is_modular"] for r in found)
 
     own = outlines.select(F.col("building").cast("long").alias("building"), F.col("place").cast("long").alias("place"), F.col("priority").cast("int").alias("priority"), "ring").where(F.abs(g.signed_area(F.col("ring"))) > 0)
-    cells = reached(own, size).groupBy("building").agg(F.sort_array(F.collect_list(F.struct("diagonal", "qx", "qy", "area"))).alias("cells"))
-    corner = [F.floor(F.array_min(F.transform("cells", lambda c: c[q])) / (4 * rounds.TILE)).cast("long") for q in ("qx", "qy")]
-    state = own.join(cells, "building").withColumn("tile", corner[0] * (1 << 32) + corner[1])
-    left = state.select("building", "place", "priority", "tile", "ring", "cells")
+    left = reached(own, size)
     if taken is not None:
         left = less_taken(left, taken)
     left.write.parquet(f"{folder}/0")
     left = spark.read.parquet(f"{folder}/0")
-    number, done = 0, left.limit(0).select("building", "priority", F.lit(None).cast(PLACED).alias("placed"))
+    number, side, count = 0, rounds.TILE, left.count()
+    done = left.limit(0).select("building", "priority", F.lit(None).cast(PLACED).alias("placed"))
     while True:
         number += 1
-        one_round(left, sizes, modular).write.parquet(f"{folder}/{number}")
+        # other borders each round, so that few outlines lie at one again
+        whole = tiled(left, side, int(4 * side * (number * SHIFT % 1))).select("building", "place", "priority", "tile", "ring", "cells")
+        one_round(whole, sizes, modular).write.parquet(f"{folder}/{number}")
         after = spark.read.parquet(f"{folder}/{number}")
         done = done.union(after.where("settled").select("building", "priority", "placed"))
-        rest = after.where("not settled").drop("settled", "placed")
-        if rest.isEmpty():
+        rest = after.where("not settled").drop("tile", "settled", "placed")
+        before, count = count, rest.count()
+        if not count:
             return done.select("building", "priority", F.inline("placed"))
         new = after.where("settled").select("building", "priority", F.inline("placed"))
+        if 4 * count <= before or count <= FEW:  # no more in a tile than before
+            side *= 2
         left = less_taken(rest, taken_by(new))
 
 

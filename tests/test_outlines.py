@@ -1,13 +1,14 @@
 """Buildings on outlines, against a loop over them that compares polygons."""
 
 import math
+import os
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators import outlines, packing, rounds
+from gridloom.operators import grid, outlines, packing, rounds
 from gridloom.plans import maps
 from gridloom.plans.model import BUILDINGS
 from gridloom.sources import readers
@@ -128,6 +129,36 @@ def test_triangles_of_cells(spark):
         assert {(t["ax"], t["ay"]) for t in r["t"]} == own[r["d"], r["x"], r["y"]]
 
 
+def test_cells_of_outlines(spark, monkeypatch):
+    """Exactly the areas of grid.fill_fine(), few at a time; a table of one partition is dealt to several tasks."""
+    monkeypatch.setattr(outlines, "POINTS", 50)
+    r = random.Random(3)
+    rings = [turned_box(r.uniform(-5, NX * 8), r.uniform(-5, NY * 8), r.uniform(3, 30), r.uniform(3, 9), r.choice((0, 7, 45, 90, 117))) for _ in range(20)]
+    rings += [[(x + 8.0, y + 8.0) for x, y in ((0, 0), (20, 0), (20, 20), (14, 20), (14, 5), (6, 5), (6, 20), (0, 20))], [(1.0, 1.0), (30.0, 3.0), (9.0, 25.0)]]
+    rings += [turned_box(-90, 8, 9, 9, 0), [(math.inf, 1.0), (2.0, 1.0), (2.0, 9.0)]]
+    own = table(spark, rings).coalesce(1)
+    got = outlines.reached(own, (NX, NY)).withColumn("task", F.spark_partition_id()).cache()
+    assert got.select("task").distinct().count() > 1
+    want = []
+    for d, offsets, margin in ((False, grid.QUARTERS, 3), (True, grid.DIAMONDS, 2)):
+        fine = grid.fill_fine(own.where(F.col("building") < len(rings) - 1), "ring", offsets, outlines.NOTHING)
+        fine = fine.where(F.col("qx").between(-2, 4 * NX - margin) & F.col("qy").between(-2, 4 * NY - margin))
+        want += [(r["building"], d, r["qx"], r["qy"], r["area"]) for r in fine.collect()]
+    found = [tuple(r) for r in got.select("building", F.inline("cells")).collect()]
+    assert sorted(found) == sorted(want) and len({b for b, *_ in found}) > 15
+    assert all(r["cells"] == sorted(r["cells"]) for r in got.collect())
+
+
+def test_a_chain_across_many_tiles_takes_few_rounds(spark, monkeypatch):
+    monkeypatch.setattr(rounds, "TILE", 1)
+    rings = [turned_box(3 + 7 * k, 9, 9, 7, 0) for k in range(30)]
+    got = indexed(outlines.placed(table(spark, rings), catalogue(spark), (30, 4)))
+    folder = rounds._folders[-1].removeprefix("file:")
+    assert len(os.listdir(folder)) <= 10
+    monkeypatch.setattr(rounds, "TILE", 64)
+    assert got == indexed(outlines.placed(table(spark, rings), catalogue(spark), (30, 4)))
+
+
 def test_outlines_without_a_building(spark):
     """No area, off the map, a null ring, all taken; nothing at all."""
     flat = [(8.0, 8.0), (16.0, 8.0), (20.0, 8.0)]
