@@ -377,7 +377,7 @@ def placed(outlines: DataFrame, catalogue: DataFrame, size: tuple[int, int], tak
         new = after.where("settled").select("building", "priority", F.inline("placed"))
         if 4 * count <= before or count <= FEW:  # no more in a tile than before
             side *= 2
-        left = less_taken(rest, taken_by(new))
+        left = rounds.written(less_taken(rest, taken_by(new)), f"{folder}/{number}-left")  # a round reads it often
 
 
 def drawn(placements: DataFrame, catalogue: DataFrame, kind: str, per_row: int, salt: int = 0) -> DataFrame:
