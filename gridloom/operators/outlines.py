@@ -11,7 +11,7 @@ always be settled, and chains of neighbours within a tile need one round only, s
 as the borders of tiles that such a chain crosses; and each round has other borders and, as few are left, larger
 tiles. The result is that of going through all of them in order.
 
-Cases: outlines without an area, off the map, with a null ring, or on which nothing fits or nothing is
+Cases: outlines without an area, off the map, with a null ring or a corner that isn't finite, or on which nothing fits or nothing is
 free get no rows; orders may repeat, then the smaller building comes first; buildings must be unique, and
 place and priority must be set; an empty catalogue or no outlines give no rows.
 """
