@@ -154,7 +154,7 @@ def test_a_chain_across_many_tiles_takes_few_rounds(spark, monkeypatch):
     rings = [turned_box(3 + 7 * k, 9, 9, 7, 0) for k in range(30)]
     got = indexed(outlines.placed(table(spark, rings), catalogue(spark), (30, 4)))
     folder = rounds._folders[-1].removeprefix("file:")
-    assert len(os.listdir(folder)) <= 10
+    assert sum(n.isdigit() for n in os.listdir(folder)) <= 10
     monkeypatch.setattr(rounds, "TILE", 64)
     assert got == indexed(outlines.placed(table(spark, rings), catalogue(spark), (30, 4)))
 
