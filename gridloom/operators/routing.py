@@ -10,6 +10,11 @@ and waits in rounds the same way. The rows are those of one loop over all edges,
 are; a tile's lines and the routes near them are all that a task holds, whatever the size of a
 connected component.
 
+Where lines are dense, many edges lie between the same two cells and can't be told apart. Of those that
+can go straight over one border only, the first takes it or nobody does, so the others take no turn; in
+a task, what had no way has none later either, as nothing laid is taken away before mending. An edge
+that can't be mended isn't tried again for others like it until a cell that the attempt looked at changes.
+
 The order is by rank, then by colour, then by edge_id; for mending, by colour first. Squares of SQUARE
 cells have four colours, so that neighbours differ: all edges of a colour that don't reach across
 a whole square are settled in one round, and rounds are some four times the number of ranks.
@@ -31,10 +36,13 @@ import heapq
 import math
 from collections import defaultdict, deque
 from collections.abc import Callable, Iterable, Iterator
+from functools import cache
 from itertools import product
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +61,8 @@ SQUARE = 128
 TILE = SQUARE
 #: So many edges or fewer, with what is near them, are settled by one task.
 FEW = 1000
+#: Steps up to which all cells that a walk between two ends can reach are within DEAREST of any line between them.
+NEAR = 6
 #: Cells beyond a line that its route can reach: DEAREST from a cell's centre.
 MARGIN = DEAREST + 1
 SIDES = {name: 1 << i for i, name in enumerate(STEPS.values())}
@@ -83,6 +93,10 @@ def ends_of(line: Line) -> tuple[Cell, Cell]:
     return start, goal
 
 
+def most_steps(line: Line) -> float:
+    return LONGEST * sum(math.dist(a, b) for a, b in zip(line, line[1:], strict=False)) + 2
+
+
 def cheapest(start: Any, done: Callable[[Any], bool], moves: Callable[[Any], Iterable[tuple[Any, float]]], limit: float = math.inf, ahead: Callable[[Any], int] = lambda at: 0, apart: Callable[[Any], Any] | None = None) -> list[Any] | None:
     """Cheapest walk over states, of at most limit steps. With a limit a state has several labels, as a
     dearer way to it that takes fewer steps may be the one that can go on. ahead: steps from a state to
@@ -144,7 +158,7 @@ def route(line: Line, used: Callable[[Cell], int], closed: set[Cell] | frozenset
         return None
     if start == goal:
         return [start]
-    limit = LONGEST * sum(math.dist(a, b) for a, b in zip(line, line[1:], strict=False)) + 2
+    limit = most_steps(line)
     fits, free = known.fits, known.free
     out, into = used(start), used(goal)
     if known.apart(start, goal) > limit or all(out & side or not fits[out | side] for _, side, _ in known.steps) or all(into & back or not fits[into | back] for _, _, back in known.steps):
@@ -180,6 +194,25 @@ def route(line: Line, used: Callable[[Cell], int], closed: set[Cell] | frozenset
     return [s[:2] for s in found] if found else None
 
 
+def alike(line: Line, known: Catalogue) -> tuple[Any, ...] | None:
+    """What a search can tell of a short line: the cells of its ends, its steps at most, and which of two
+    ways round is cheaper. None where that isn't all."""
+    a, b = sorted(ends_of(line))
+    dx, dy, steps = abs(b[0] - a[0]), abs(b[1] - a[1]), int(most_steps(line))
+    if not known.free or known.diagonal:
+        return None
+    if dx + dy == 1 and steps < 3:
+        return a, b, steps
+    if dx + dy == 1 and steps < 5:
+        ways = [[(c[0] + d * dy, c[1] + d * dx) for c in (a, b)] for d in (1, -1)]
+    elif dx == dy == 1 and steps < 4:
+        ways = [[(a[0], b[1])], [(b[0], a[1])]]
+    else:
+        return None
+    one, two = (sum(line_distance(x + 0.5, y + 0.5, line) for x, y in w) for w in ways)
+    return (a, b, steps, one < two) if abs(one - two) > 1e-9 else None
+
+
 def sides_of(path: list[Cell]) -> list[tuple[Cell, int]]:
     """Cells of a route and the sides that it has there."""
     out = [0] * len(path)
@@ -198,8 +231,10 @@ class Lattice:
         self.sides: dict[Cell, int] = {}
         self.holder: dict[tuple[Cell, int], int] = {}
         self.paths: dict[int, list[Cell]] = {}
+        self.seen: set[Cell] = set()  # cells looked at, until it is emptied
 
     def used(self, cell: Cell) -> int:
+        self.seen.add(cell)
         return self.sides.get(cell, 0)
 
     def hold(self, edge: int, cell: Cell, sides: int) -> None:
@@ -250,6 +285,10 @@ class Router:
         self.lattice, self.box, self.known = lattice, box, known
         self.lines: dict[int, Line] = {}
         self.far: dict[int, dict[Cell, float]] = {}
+        self.shut: dict[tuple[Cell, Cell], int] = {}  # steps that didn't suffice between two cells
+        self.changed: dict[Cell, int] = {}  # how many had been mended when a cell changed last
+        self.turn = 0
+        self.hopeless: dict[Any, tuple[set[Cell], int, float, float]] = {}
 
     def route(self, edge: int, used: Callable[[Cell], int], ends: tuple[Cell, Cell] | None = None) -> list[Cell] | None:
         line = self.lines[edge]
@@ -261,12 +300,52 @@ class Router:
             self.lattice.take(edge, path)
         return path is not None
 
-    def mend(self, edge: int, *beside: set[int]) -> set[int]:
+    def forget(self, edge: int) -> None:
+        """What is known of an edge without a route."""
+        self.lines.pop(edge, None)
+        self.far.pop(edge, None)
+
+    def lay_first(self, edge: int) -> bool:
+        """lay, before anything is mended."""
+        line = self.lines[edge]
+        if not line:
+            return False
+        a, b = sorted(ends_of(line))
+        steps = int(most_steps(line))
+        if steps <= NEAR and self.shut.get((a, b), 0) >= steps:
+            return False
+        if self.lay(edge):
+            return True
+        if steps <= NEAR:
+            self.shut[a, b] = steps
+        return False
+
+    def mend(self, edge: int, *beside: set[int], area: Any = None) -> set[int]:
         """Edges whose routes have changed: this one and some of those beside it (in any of the sets), or
-        none."""
+        none. area: the same for edges with the same sets. An attempt that failed isn't repeated
+        for an edge like the one that failed while all cells that it looked at are as they were; numbers of
+        edges count where several are ripped up at once."""
+        same = alike(self.lines[edge], self.known) if area is not None and self.lines[edge] else None
+        if same:
+            seen, at, low, high = self.hopeless.get((same, area), (None, 0, 0, 0))
+            if seen is not None and low < edge < high and all(self.changed.get(c, 0) <= at for c in seen):
+                return set()
+        self.lattice.seen = set()
+        before: dict[int, list[Cell]] = {}  # of those that are ripped up
+        span = [-math.inf, math.inf]  # numbers that the edge could have had as well
+        new = self.attempt(edge, beside, before, span)
+        if new:
+            self.turn += 1
+            for e in new:
+                for c in (*before.get(e, ()), *self.lattice.paths[e]):
+                    self.changed[c] = self.turn
+        elif same:
+            self.hopeless[same, area] = self.lattice.seen, self.turn, *span
+        return new
+
+    def attempt(self, edge: int, beside: Iterable[set[int]], before: dict[int, list[Cell]], span: list[float]) -> set[int]:
         if self.lay(edge):
             return {edge}
-        before: dict[int, list[Cell]] = {}  # of those that are ripped up
 
         def loose(e: int) -> bool:
             return e == edge or any(e in own for own in beside)
@@ -287,6 +366,9 @@ class Router:
                 if not path or not all(map(loose, others)):
                     todo.appendleft(e)
                     break
+                if edge in others:
+                    span[0] = max([span[0], *(o for o in others if o < edge)])
+                    span[1] = min([span[1], *(o for o in others if o > edge)])
                 for other in others:
                     if other != edge:
                         before.setdefault(other, self.lattice.paths[other])
@@ -319,9 +401,18 @@ class Router:
             new = {m: (old[0] + m[0], old[1] + m[1]) for m in product((0, 1, -1), repeat=2)}
             return {m: c for m, c in new.items() if c == old or not own or own & self.lattice.holders(c)}
 
-        starts, goals = (beside(c) for c in ends_of(self.lines[edge]))
+        def open_(cell: Cell, way: int) -> bool:
+            there = self.lattice.used(cell)
+            on_map = 0 <= cell[0] < self.box[0] and 0 <= cell[1] < self.box[1] and cell not in self.lattice.closed
+            return on_map and any(not there & step[way] and self.known.fits[there | step[way]] for step in self.known.steps)
+
+        # only ends that a route could leave or reach
+        starts, goals = ({m: c for m, c in beside(end).items() if open_(c, way)} for way, end in enumerate(ends_of(self.lines[edge]), 1))
+        if not starts or not goals:
+            return None
+        limit = most_steps(self.lines[edge])
         for m, n in ASIDE:
-            if m in starts and n in goals and starts[m] != goals[n]:
+            if m in starts and n in goals and starts[m] != goals[n] and self.known.apart(starts[m], goals[n]) <= limit:
                 path = self.route(edge, self.lattice.used, (starts[m], goals[n]))
                 if path:
                     return path
@@ -350,6 +441,16 @@ def reach(line: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(ends, pieces)))
 
 
+def straight(known: Catalogue) -> Column:
+    """Whether a line (a and b, the cells of its ends) is so short that its only way is over one border."""
+    if known.diagonal:
+        return F.lit(False)
+    length = F.aggregate(F.sequence(F.lit(1), F.size("line") - 1), F.lit(0.0), lambda n, i: n + F.hypot(F.get("line", i)["x"] - F.get("line", i - 1)["x"], F.get("line", i)["y"] - F.get("line", i - 1)["y"]))
+    beside = F.abs(F.col("a.xidx") - F.col("b.xidx")) + F.abs(F.col("a.yidx") - F.col("b.yidx")) == 1
+    # less than three steps, whatever the last digit
+    return F.coalesce(F.when((F.size("line") > 1) & beside, LONGEST * length + 2 < 2.999), F.lit(False))
+
+
 def block_of(x: Column, y: Column) -> Column:
     return (F.floor(x / BLOCK) * (1 << 32) + F.floor(y / BLOCK)).cast("bigint")
 
@@ -364,23 +465,64 @@ def near(places: DataFrame, paths: DataFrame, closed: DataFrame | None) -> DataF
     return cells.join(places, "at").select(F.expr("tile + 0").alias("tile"), "edge_id", "x", "y", "sides")
 
 
-def flagged(left: DataFrame, blocks: str, order: tuple[str, ...], few: int) -> DataFrame:
-    """left with waits: some open edge of another tile comes first at one of the blocks. The last few
-    edges are of one tile."""
+def flagged(left: DataFrame, order: tuple[str, ...], few: int, areas: DataFrame | None = None) -> DataFrame:
+    """left with waits: some open edge of another tile comes first at one of the blocks that it reaches, or at one
+    of the wide ones that areas has for these. Edges of a tile that reach the same blocks are
+    looked up once. The last few edges are of one tile."""
     if left.count() <= few:
         return left.withColumns({"tile": F.lit(0).cast("bigint"), "waits": F.lit(False)})
-    keys = [F.coalesce(k, F.lit((1 << 63) - 1)).alias(k) for k in order]
-    claims = left.select("tile", F.struct(*keys, "edge_id").alias("turn"), F.explode(blocks).alias("at"))
-    waiting = rounds.waiting(claims, "at").select("turn.edge_id", F.lit(True).alias("waits"))
-    return left.join(waiting, "edge_id", "left").withColumn("waits", F.coalesce("waits", F.lit(False))).select(*left.columns, "waits")
+    turn = F.struct(*[F.coalesce(k, F.lit((1 << 63) - 1)).alias(k) for k in order], "edge_id")
+    own = left.groupBy("tile", "blocks").agg(F.min(turn).alias("turn"))
+    claims = own.withColumn("wide", F.col("blocks")) if areas is None else own.join(areas, "blocks")
+    claims = claims.select("tile", "blocks", "turn", F.explode("wide").alias("at"))
+    first = claims.groupBy("at", "tile").agg(F.min("turn").alias("turn"))
+    two = first.groupBy("at").agg(F.slice(F.sort_array(F.collect_list(F.struct("turn", "tile"))), 1, 2).alias("two")).where(F.size("two") > 1)
+    other = F.when(F.get("two", 0)["tile"] != F.col("tile"), F.get("two", 0)["turn"]).otherwise(F.get("two", 1)["turn"])
+    before = claims.join(two, "at").groupBy("tile", "blocks").agg(F.min(other).alias("before"))
+    return left.join(before, ["tile", "blocks"], "left").withColumn("waits", F.coalesce(F.col("before") < turn, F.lit(False))).select(*left.columns, "waits")
+
+
+class Lists:
+    """The lists of a column, taken out one at a time."""
+
+    def __init__(self, column: pa.ChunkedArray):
+        own = column.combine_chunks()
+        self.offsets = own.offsets.to_numpy().tolist()
+        values = own.values
+        self.values = [values.field(c).to_numpy() for c in "xy"] if pa.types.is_struct(values.type) else values.to_numpy()
+
+    def line(self, i: int) -> Line:
+        a, b = self.offsets[i], self.offsets[i + 1]
+        return list(zip(*(v[a:b].tolist() for v in self.values), strict=True))
+
+    def key(self, i: int) -> bytes:
+        return self.values[self.offsets[i] : self.offsets[i + 1]].tobytes()
+
+
+def numbers(key: bytes) -> frozenset[int]:
+    return frozenset(np.frombuffer(key, np.int64).tolist())
+
+
+def in_turn(own: pa.Table, order: tuple[str, ...]) -> list[int]:
+    """Places of rows in order, nulls last."""
+    return pc.sort_indices(own, [(k, "ascending") for k in (*order, "edge_id")], null_placement="at_end").to_pylist()
 
 
-def points(line: list[dict[str, float]] | None) -> Line:
-    return [(p["x"], p["y"]) for p in line or []]
+class Held:
+    """Blocks of edges that wait for another round, and so have those that come after them wait."""
 
+    def __init__(self, reach: Callable[[bytes], frozenset[int]]):
+        self.reach, self.blocks, self.keys = reach, set(), set()
 
-def ordered(rows: Iterable[dict[str, Any]], order: tuple[str, ...]) -> list[dict[str, Any]]:
-    return sorted(rows, key=lambda r: [*[(r[k] is None, r[k] or 0) for k in order], r["edge_id"]])
+    def waits(self, key: bytes, already: bool) -> bool:
+        if key in self.keys:
+            return True
+        own = self.reach(key)
+        if already or not self.blocks.isdisjoint(own):
+            self.blocks |= own
+            self.keys.add(key)
+            return True
+        return False
 
 
 def lattice_of(cells: pa.Table) -> Lattice:
@@ -413,23 +555,22 @@ def laid(edges: DataFrame, closed: DataFrame | None, box: Cell, known: Catalogue
     none = spark.createDataFrame([], f"edge_id bigint, {PATH}")
 
     def run(own: pa.Table, cells: pa.Table) -> pa.Table:
-        router, held, settled, paths = Router(lattice_of(cells), box, known), set(), {}, {}
-        for r in ordered(own.to_pylist(), LAY):
-            e = r["edge_id"]
-            if r["waits"] or not held.isdisjoint(r["blocks"]):
-                held.update(r["blocks"])
-                settled[e] = False
+        router, held = Router(lattice_of(cells), box, known), Held(cache(numbers))
+        ids, waits, lines, areas = own["edge_id"].to_pylist(), own["waits"].to_pylist(), Lists(own["line"]), Lists(own["blocks"])
+        settled, paths = [False] * len(ids), [None] * len(ids)
+        for i in in_turn(own, LAY):
+            if held.waits(areas.key(i), waits[i]):
                 continue
-            router.lines[e] = points(r["line"])
-            settled[e] = True
-            router.lay(e)
-            paths[e] = router.lattice.paths.get(e)
-        ids = own["edge_id"].to_pylist()
-        return own.drop_columns(["waits"]).append_column("settled", pa.array([settled[e] for e in ids], pa.bool_())).append_column("path", pa.array([shown(paths.get(e)) for e in ids], SETTLED))
+            settled[i], e = True, ids[i]
+            router.lines[e] = lines.line(i)
+            if router.lay_first(e):
+                paths[i] = shown(router.lattice.paths[e])
+            router.forget(e)
+        return own.drop_columns(["waits"]).append_column("settled", pa.array(settled, pa.bool_())).append_column("path", pa.array(paths, SETTLED))
 
     while True:
         there = spark.read.parquet(folder).where("settled").select("edge_id", "path") if n else none
-        turn = flagged(left, "blocks", LAY, few)
+        turn = flagged(left, LAY, few)
         places = turn.where("not waits").select("tile", F.explode("blocks").alias("at")).distinct()
         after = by_tile(turn, near(places, there, closed), run, f"{EDGE}, settled boolean, {PATH}")
         after.write.parquet(f"{folder}/round={n}")
@@ -442,62 +583,71 @@ def laid(edges: DataFrame, closed: DataFrame | None, box: Cell, known: Catalogue
 def mended(found: DataFrame, closed: DataFrame | None, box: Cell, known: Catalogue, folder: str, few: int) -> DataFrame:
     """edge_id and path of the edges whose routes change when those without one are mended."""
     spark = found.sparkSession
-    by_block = found.select("edge_id", F.explode("blocks").alias("at"))
     lost = rounds.written(found.where("path is null and size(line) > 0").drop("path"), f"{folder}-lost")
     changed = spark.createDataFrame([], f"edge_id bigint, {PATH}, round int")
     if lost.isEmpty():
         return changed.drop("round")
-    # blocks that neighbours of an edge in a block may reach
-    start = lost.select(F.explode("blocks").alias("at")).distinct()
-    further = by_block.join(start, "at", "left_semi").join(found.select("edge_id", F.explode("blocks").alias("to")), "edge_id").select("at", "to").distinct()
-    further = rounds.written(further, f"{folder}-further")
-    wide = lost.select("edge_id", F.explode("blocks").alias("at")).join(further, "at").groupBy("edge_id").agg(F.collect_set("to").alias("wide"))
-    left = rounds.written(lost.join(wide, "edge_id"), f"{folder}-left")
-    all_places = further.select(F.col("to").alias("at")).distinct()
-    around = found.join(by_block.join(all_places, "at", "left_semi").select("edge_id").distinct(), "edge_id", "left_semi")
-    around = rounds.written(around, f"{folder}-around")
+    # blocks that neighbours of an edge in a block may reach; edges that reach the same blocks are alike in that
+    by_block = rounds.written(found.select("blocks").distinct().withColumn("at", F.explode("blocks")), f"{folder}-blocks")
+    own = lost.select("blocks").distinct().withColumn("at", F.explode("blocks"))
+    further = by_block.join(own.select("at").distinct(), "at", "left_semi").select("at", F.explode("blocks").alias("to")).distinct()
+    areas = rounds.written(own.join(further, "at").groupBy("blocks").agg(F.sort_array(F.collect_set("to")).alias("wide")), f"{folder}-areas")
+    all_places = areas.select(F.explode("wide").alias("at")).distinct()
+    around = found.join(by_block.join(all_places, "at", "left_semi").select("blocks").distinct(), "blocks", "left_semi")
+    around = rounds.written(around.select("edge_id", "line", "blocks", "path"), f"{folder}-around")
 
     def run(own: pa.Table, cells: pa.Table) -> pa.Table:
-        rows = own.to_pylist()
-        lines = {r["edge_id"]: r["blocks"] for r in rows if r["waits"] is None}
-        router, held, out = Router(lattice_of(cells), box, known), set(), []
+        kind = own["kind"]
+        wide, near_, rows = (own.filter(pc.equal(kind, k)) for k in (AREA, LINE, TURN))
+        keys, to = Lists(wide["blocks"]), Lists(wide["wide"])
+        reach_of = {keys.key(i): numbers(to.key(i)) for i in range(len(wide))}
+        blocks = cache(numbers)
+        router, held = Router(lattice_of(cells), box, known), Held(reach_of.__getitem__)
         laid_at: dict[int, set[int]] = defaultdict(set)  # edges with a route, by the blocks that they reach
-        for r in rows:
-            if r["waits"] is None:
-                e = r["edge_id"]
-                router.lines[e] = points(r["line"])
-                if r["path"]:
-                    router.lattice.paths[e] = [(p["x"], p["y"]) for p in r["path"]]
-                    for b in r["blocks"]:
-                        laid_at[b].add(e)
+        lines, areas = Lists(near_["line"]), Lists(near_["blocks"])
+        area_of: dict[int, bytes] = {}
+        for i, (e, path) in enumerate(zip(near_["edge_id"].to_pylist(), near_["path"].to_pylist(), strict=True)):
+            router.lines[e], area_of[e] = lines.line(i), areas.key(i)
+            router.lattice.paths[e] = [(p["x"], p["y"]) for p in path]
+            for b in blocks(area_of[e]):
+                laid_at[b].add(e)
+        ids, waits, lines, areas = rows["edge_id"].to_pylist(), rows["waits"].to_pylist(), Lists(rows["line"]), Lists(rows["blocks"])
         changed: set[int] = set()
-        for r in ordered((r for r in rows if r["waits"] is not None), MEND):
-            e = r["edge_id"]
-            if r["waits"] or not held.isdisjoint(r["wide"]):
-                held.update(r["wide"])
-                out.append({**r, "settled": False})
+        late = [False] * len(ids)
+        for i in in_turn(rows, MEND):
+            e, area = ids[i], areas.key(i)
+            if held.waits(area, waits[i]):
+                late[i] = True
                 continue
-            router.lines[e] = points(r["line"])
-            new = router.mend(e, *(laid_at[b] for b in r["blocks"]))
+            router.lines[e] = lines.line(i)
+            new = router.mend(e, *(laid_at[b] for b in blocks(area)), area=area)
             changed |= new
-            for k in new & lines.keys():
-                for b in lines[k]:
-                    laid_at[b].add(k)
-            out.append({**r, "settled": True})
-        out = [{**r, "path": None} for r in out] + [{"edge_id": e, "path": shown(router.lattice.paths[e])} for e in sorted(changed)]
-        return pa.table({f.name: pa.array([r.get(f.name) for r in out], f.type) for f in MENDED})
+            if new:
+                area_of[e] = area
+                for b in blocks(area):
+                    laid_at[b].add(e)
+            else:
+                router.forget(e)
+        rest = rows.filter(pa.array(late, pa.bool_())).select(["edge_id", "rank", "color", "tile", "line", "blocks"])
+        rest = rest.append_column("settled", pa.array([False] * len(rest), pa.bool_())).append_column("path", pa.nulls(len(rest), SETTLED))
+        known_now = sorted(changed)
+        new = {"edge_id": pa.array(known_now, pa.int64()), "path": pa.array([shown(router.lattice.paths[e]) for e in known_now], SETTLED)}
+        return pa.concat_tables([rest.cast(MENDED), pa.table([new.get(f.name, pa.nulls(len(known_now), f.type)) for f in MENDED], MENDED)])
 
     n = 0
+    columns = "edge_id", "rank", "color", "tile", "line", "blocks"
+    left = lost
     while True:
         now = changed.groupBy("edge_id").agg(F.max_by("path", "round").alias("new"))
-        there = around.join(now, "edge_id", "left").withColumn("path", F.coalesce("new", "path")).drop("new")
-        turn = flagged(left, "wide", MEND, few).withColumn("path", F.lit(None).cast(PATH[5:]))
-        go = turn.where("not waits")
-        places = go.select("tile", F.explode("wide").alias("at")).distinct()
-        ids = go.select(F.col("tile").alias("t"), F.explode("blocks").alias("at")).join(by_block, "at").select("t", "edge_id").distinct()
-        lines = ids.join(there, "edge_id").select("edge_id", "rank", "color", F.col("t").alias("tile"), "line", "blocks", F.lit(None).cast("array<bigint>").alias("wide"), F.lit(None).cast("boolean").alias("waits"), "path")
-        both = turn.select("edge_id", "rank", "color", "tile", "line", "blocks", "wide", "waits", "path").unionByName(lines)
-        after = by_tile(both, near(places, there, closed), run, f"{EDGE}, wide array<bigint>, settled boolean, {PATH}")
+        there = around.join(now, "edge_id", "left").withColumn("path", F.coalesce("new", "path")).drop("new").where("path is not null")
+        turn = rounds.written(flagged(left.select(*columns), MEND, few, areas), f"{folder}-turn/round={n}")
+        go = turn.where("not waits").select("tile", "blocks").distinct()
+        places = go.join(areas, "blocks").select("tile", F.explode("wide").alias("at")).distinct()
+        beside = go.select("tile", F.explode("blocks").alias("at")).distinct().join(by_block, "at").select("tile", "blocks").distinct()
+        lines = there.join(beside, "blocks").select(F.lit(LINE).alias("kind"), "edge_id", "tile", "line", "blocks", "path")
+        wide = turn.select("tile", "blocks").distinct().join(areas, "blocks").select(F.lit(AREA).alias("kind"), "tile", "blocks", "wide")
+        both = turn.select(F.lit(TURN).alias("kind"), *columns, "waits").unionByName(lines, True).unionByName(wide, True)
+        after = by_tile(both, near(places, there, closed), run, f"{EDGE}, settled boolean, {PATH}")
         after.write.parquet(f"{folder}/round={n}")
         mine = spark.read.parquet(f"{folder}/round={n}")
         left = mine.where("settled = false").drop("settled", "path")
@@ -507,8 +657,10 @@ def mended(found: DataFrame, closed: DataFrame | None, box: Cell, known: Catalog
             return changed.groupBy("edge_id").agg(F.max_by("path", "round").alias("path"))
 
 
+#: What a row given to a task of mending is.
+AREA, LINE, TURN = range(3)
 POINTS = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
-MENDED = pa.schema([("edge_id", pa.int64()), ("rank", pa.int64()), ("color", pa.int32()), ("tile", pa.int64()), ("line", POINTS), ("blocks", pa.list_(pa.int64())), ("wide", pa.list_(pa.int64())), ("settled", pa.bool_()), ("path", SETTLED)])
+MENDED = pa.schema([("edge_id", pa.int64()), ("rank", pa.int64()), ("color", pa.int32()), ("tile", pa.int64()), ("line", POINTS), ("blocks", pa.list_(pa.int64())), ("settled", pa.bool_()), ("path", SETTLED)])
 
 
 def routed(edges: DataFrame, box: Cell, steps: Iterable[str] = ("u", "d", "l", "r"), tiles: Iterable[Iterable[str]] | None = None, closed: DataFrame | None = None, tile: int = TILE, few: int = FEW) -> DataFrame:
@@ -526,8 +678,8 @@ def routed(edges: DataFrame, box: Cell, steps: Iterable[str] = ("u", "d", "l", "
         return x, y
 
     (x, y), (sx, sy) = home(tile), home(SQUARE)
-    blocks = F.when(F.size("line") > 0, reach(F.col("line"))).otherwise(F.array().cast("array<bigint>"))
-    own = own.select("edge_id", "rank", (F.pmod(sx, F.lit(2)) * 2 + F.pmod(sy, F.lit(2))).cast("int").alias("color"), (x * (1 << 32) + y).cast("bigint").alias("tile"), "line", blocks.alias("blocks"))
+    home_tile = (x * (1 << 32) + y).cast("bigint")
+    own = own.select("edge_id", "rank", (F.pmod(sx, F.lit(2)) * 2 + F.pmod(sy, F.lit(2))).cast("int").alias("color"), home_tile.alias("tile"), "line")
     shut = rounds.written(closed.select("xidx", "yidx").distinct(), f"{folder}/closed") if closed is not None else None
     # edges within an open cell use no side of it, so that they neither wait nor are in the way
     ends = {i: F.struct(*[F.floor(at[c]).cast("int").alias(n) for c, n in (("x", "xidx"), ("y", "yidx"))]) for i, at in (("a", F.get("line", F.lit(0))), ("b", F.element_at("line", -1)))}
@@ -536,8 +688,20 @@ def routed(edges: DataFrame, box: Cell, steps: Iterable[str] = ("u", "d", "l", "
     if shut is not None:
         barred = shut.select(F.struct(F.col("xidx").cast("int").alias("xidx"), F.col("yidx").cast("int").alias("yidx")).alias("a"), F.lit(True).alias("barred")).distinct()
         own = own.join(barred, "a", "left").withColumn("still", F.col("still") & F.col("barred").isNull())
-    own = rounds.written(own.select("edge_id", "rank", "color", "tile", "line", "blocks", "a", "still"), f"{folder}/edges")
-    found = laid(own.where("not still").drop("a", "still"), shut, box, known, f"{folder}/laid", few)
+    blocks = F.when(F.size("line") > 0, F.sort_array(reach(F.col("line")))).otherwise(F.array().cast("array<bigint>"))
+    moving = {c: F.when(~F.col("still"), v) for c, v in (("line", F.col("line")), ("blocks", blocks), ("straight", straight(known)))}
+    own = rounds.written(own.select("edge_id", "rank", "color", "tile", "a", "b", "still", *[v.alias(c) for c, v in moving.items()]), f"{folder}/edges")
+    all_ = own.where("not still")
+    # of edges that can go straight over one border only, all but the first find it taken, or closed
+    border = F.when(F.col("straight"), F.array_sort(F.array("a", "b")))
+    turn = F.struct(*[F.coalesce(k, F.lit((1 << 63) - 1)).alias(k) for k in LAY], "edge_id")
+    first = all_.where("straight").groupBy(border.alias("border")).agg(F.min(turn).alias("turn")).select(F.col("turn.edge_id").alias("edge_id"))
+    late = all_.where("straight").join(first, "edge_id", "left_anti")
+    at_all = all_.where("not straight").unionByName(all_.where("straight").join(first, "edge_id", "left_semi"))
+    columns = [c.split()[0] for c in EDGE.split(", ")]
+    found = laid(at_all.select(*columns), shut, box, known, f"{folder}/laid", few)
+    # the last few were laid as one tile's; with edges of many colours it would have all tiles wait for each other
+    found = found.withColumn("tile", home_tile).select(*columns, "path").union(late.select(*columns, F.lit(None).cast(PATH[5:])))
     new = mended(found, shut, box, known, f"{folder}/mended", few).withColumnRenamed("path", "new")
     last = found.join(new, "edge_id", "left").select("edge_id", F.posexplode_outer(F.coalesce("new", "path")).alias("pos", "c"))
     moved = last.select("edge_id", "pos", F.col("c.x").alias("xidx"), F.col("c.y").alias("yidx"))

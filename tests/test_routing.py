@@ -223,3 +223,38 @@ def test_edges_within_a_cell_take_no_turn(monkeypatch, spark):
     got = paths(routing.routed(table(spark, edges), (9, 9), closed=closed))
     assert got[1] == got[2] == [(2, 2)] and got[5] == [(1, 2), (2, 2), (3, 2), (4, 2)] and got[6] is got[7] is None
     assert got.keys() == set(range(1, 8)) and seen[0] == {3, 4, 5, 6, 7}
+
+
+def test_short_edges_that_are_alike(monkeypatch, spark):
+    """Of those over one border only the first takes a turn, and what failed isn't tried again for others
+    like it; the rows are those of a loop that tries all."""
+    turns, real = [], routing.flagged
+    monkeypatch.setattr(routing, "flagged", lambda left, *more: turns.append(left.count()) or real(left, *more))
+    rng = random.Random(8)
+    size, edges = 7, []
+    for i in range(700):
+        x, y, a, far = rng.uniform(0, size), rng.uniform(0, size), rng.uniform(0, 7), rng.choice((0.3, 0.3, 0.6, 1.1))
+        edges.append((i, rng.randrange(3), [(x, y), (min(max(x + far * math.cos(a), 0.0), size - 0.01), min(max(y + far * math.sin(a), 0.0), size - 0.01))]))
+    known = routing.Catalogue("udlr", None)
+    want, before = loop(edges, (size, size), known)
+    moving = [e for e, _, line in edges if len(set(routing.ends_of(line))) > 1]
+    lost = len(edges) - before
+    assert len(want) > before and lost > 100
+    found = paths(routing.routed(table(spark, edges), (size, size), "udlr", None, None, 4096, 0))
+    assert found == {e: want.get(e) for e, _, _ in edges}
+    assert turns[0] < len(moving) - 20
+
+    # in mending, with what every edge is beside
+    router = routing.Router(routing.Lattice(), (size, size), known)
+    router.lines = {e: line for e, _, line in edges}
+    order = sorted(edges, key=lambda e: (e[1], e[0]))
+    for e, _, _ in order:
+        router.lay(e)
+    assert len(router.lattice.paths) == before
+    tried, attempt = [], router.attempt
+    monkeypatch.setattr(router, "attempt", lambda e, *more: tried.append(e) or attempt(e, *more))
+    everyone = {e for e, _, _ in edges}
+    for e, _, _ in order:
+        if e not in router.lattice.paths:
+            router.mend(e, everyone & router.lattice.paths.keys(), area="all")
+    assert router.lattice.paths == want and len(tried) < lost
