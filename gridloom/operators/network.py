@@ -165,6 +165,12 @@ def with_directions(path: DataFrame) -> DataFrame:
     return path.where("pos is not null").withColumns({"to": direction(nx - F.col("xidx"), ny - F.col("yidx")), "back": opposite(direction(F.col("xidx") - px, F.col("yidx") - py))})
 
 
+def several(path: DataFrame) -> DataFrame:
+    """path without edges that have one square (pos 0) or none, before anything is sorted: they have no sides, so
+    that they get no tiles and change none."""
+    return path.join(path.where("pos <> 0").select("edge_id").distinct(), "edge_id", "left_semi")
+
+
 def valid_path(path: DataFrame) -> DataFrame:
     """edge_id and whether all consecutive squares are neighbours. Edges without a route have none."""
     own = Window.partitionBy("edge_id").orderBy("pos")

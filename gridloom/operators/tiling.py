@@ -123,19 +123,31 @@ class Rows:
 
 
 def open_ends(edges: DataFrame, tiles: list[Tile]) -> DataFrame:
-    """edges (ROUTE) with starts and ends: the tiles at either end from which the other one is reached."""
+    """edges (ROUTE) with starts and ends: the tiles at either end from which the other one is reached. Routes of
+    one shape that need the same sides are looked at once a task."""
+
+    def both(r: dict[str, Any]) -> tuple[list[int], list[int]]:
+        rows = Rows(r, tiles)
+        found = {t.number: rows.ends(t.number) for t in rows.fit[0]} if rows.fit else {}
+        return sorted(s for s, e in found.items() if e), sorted(set().union(*found.values()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[Any, tuple[list[int], list[int]]] = {}
         for b in batches:
             starts, ends = [], []
             for r in b.to_pylist():
-                rows = Rows(r, tiles)
-                found = {t.number: rows.ends(t.number) for t in rows.fit[0]} if rows.fit else {}
-                starts.append(sorted(s for s, e in found.items() if e))
-                ends.append(sorted(set().union(*found.values())))
+                at = r["src"]
+                shape = tuple((s["x"] - at["x"], s["y"] - at["y"]) for s in r["squares"]), tuple(r["begin"]), tuple(r["finish"])
+                if shape not in known:
+                    known[shape] = both(r)
+                start, end = known[shape]
+                starts.append(start)
+                ends.append(end)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))], [*b.schema.names, "starts", "ends"])
 
-    return edges.mapInArrow(run, EDGE)
+    # much work on few bytes: as many partitions as are set, which aren't merged
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return edges.repartition(parts, "component", "edge_id", "part").mapInArrow(run, EDGE)
 
 
 def consistent(edges: DataFrame) -> DataFrame:

@@ -780,7 +780,7 @@ def junction_tiles() -> list[tiling.Tile]:
 def network_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tiles along all routes, agreeing at borders and where routes meet; routes choose in order."""
     own = rounds.written(path_edges(spark, sf_dir), rounds.new_folder(spark, "edges"))
-    path = routing.routed(own, (NET_SIZE, NET_SIZE), tiles=[t.ports for t in junction_tiles()])
+    path = network.several(routing.routed(own, (NET_SIZE, NET_SIZE), tiles=[t.ports for t in junction_tiles()]))
     return tiling.tiled(path.join(own.select("edge_id", "rank", F.lit(0).cast("long").alias("component")), "edge_id"), junction_tiles())
 
 

@@ -7,6 +7,7 @@ from itertools import combinations, product
 import pytest
 from pyspark.sql import functions as F
 
+from gridloom import queries as engine
 from gridloom.functions.labels import STEPS
 from gridloom.operators import catalogues, network, rounds, tiling
 from gridloom.plans import maps
@@ -185,3 +186,17 @@ def test_roads_of_a_map(spark, priority):
     straight = {("fence", x, 3): name[frozenset("lr")] for x in range(4)}
     turns = [(0, 3, "lr"), (1, 3, "lu"), (1, 4, "ud"), (1, 5, "dr"), (2, 5, "lr"), (3, 5, "ld"), (3, 4, "ud"), (3, 3, "ud")]
     assert fences == (straight if priority < 1 else {("fence", x, y): name[frozenset(c)] for x, y, c in turns})
+
+
+def test_routes_of_one_square_go_no_further(spark):
+    """They and edges without a route are left out before routes are cut and given tiles, with the same rows."""
+    rows = [(1, 0, 3, 4), (2, 0, 3, 3), (2, 1, 3, 4), (2, 2, 4, 4), (3, None, None, None), (4, 0, 6, 3), (4, 1, 6, 4), (4, 2, 7, 4)]
+    path = spark.createDataFrame(rows, "edge_id long, pos int, xidx int, yidx int")
+    few = network.several(path)
+    assert {r["edge_id"] for r in few.collect()} == {2, 4}
+
+    def tiles(p):
+        ranked = p.withColumns({"rank": F.lit(0).cast("long"), "component": F.lit(0).cast("long")})
+        return sorted(map(tuple, tiling.tiled(ranked, engine.junction_tiles()).collect()))
+
+    assert tiles(few) == tiles(path) != []
