@@ -766,7 +766,7 @@ def tile_set() -> list[tuple[int, float, dict[str, int]]]:
 @query()
 def tile_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tiles along the routes, agreeing at every border."""
-    return network.tile_paths(network.with_directions(path_search(spark, sf_dir)), tile_set())
+    return network.tile_paths(network.with_directions(network.several(path_search(spark, sf_dir))), tile_set())
 
 
 def junction_tiles() -> list[tiling.Tile]:

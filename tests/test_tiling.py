@@ -200,3 +200,15 @@ def test_routes_of_one_square_go_no_further(spark):
         return sorted(map(tuple, tiling.tiled(ranked, engine.junction_tiles()).collect()))
 
     assert tiles(few) == tiles(path) != []
+
+
+def test_tile_paths_get_no_routes_of_one_square(monkeypatch, spark):
+    """The query leaves them out before squares are sorted, with the same rows."""
+    rows = [(1, 0, 3, 4), (2, 0, 3, 3), (2, 1, 3, 4), (2, 2, 4, 4), (3, None, None, None)]
+    path = spark.createDataFrame(rows, "edge_id long, pos int, xidx int, yidx int")
+    seen, real = [], network.tile_paths
+    monkeypatch.setattr(engine, "path_search", lambda *_: path)
+    monkeypatch.setattr(network, "tile_paths", lambda squares, tiles: seen.append(squares) or real(squares, tiles))
+    got = sorted(map(tuple, engine.tile_paths(spark, "").collect()))
+    assert {r["edge_id"] for r in seen[0].collect()} == {2}
+    assert got == sorted(map(tuple, real(network.with_directions(path), engine.tile_set()).collect())) != []
